@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from alpenglow.llm import packing, pieces, shared, token_counts
+from alpenglow.llm import kneser_ney, neighbours, packing, pieces, shared, simhash, suffixes, token_counts, topk, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -19,14 +19,46 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against a cache that starts empty, so that every distinct text is encoded."""
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), shared.fresh(spark, "token-counts"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op6_token_counts, op9_best_fit_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_suffix_dedup, op3_simhash, op5_top_k, op6_token_counts, op7_kneser_ney,
+        op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
+    )
+}
 SQL: dict[str, str] = {}

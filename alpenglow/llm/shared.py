@@ -33,3 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written: it does when the driver's garbage is collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
