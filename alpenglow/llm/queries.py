@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from alpenglow.llm import kneser_ney, neighbours, packing, pieces, shared, simhash, suffixes, token_counts, topk, toxicity
+from alpenglow.llm import kneser_ney, neighbours, packing, pieces, secret_scan, shared, simhash, suffixes, token_counts, topk, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -27,6 +27,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return secret_scan.scan(rows, secret_scan.train(secret_scan.dictionary(rows)))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"))
@@ -57,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_suffix_dedup, op3_simhash, op5_top_k, op6_token_counts, op7_kneser_ney,
+        op1_sentencepiece, op2_suffix_dedup, op3_simhash, op4_secret_scan, op5_top_k, op6_token_counts, op7_kneser_ney,
         op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
     )
 }

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alpenglow.llm import shared
@@ -163,3 +163,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_row_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each key: of repeated rows the one of least text."""
+    order = Window.partitionBy(key).orderBy("text")
+    return docs.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")

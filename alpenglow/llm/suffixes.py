@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alpenglow.llm import shared
 from alpenglow.llm.vector import PrefixHash, mix, offsets, ragged, texts
@@ -33,6 +34,8 @@ LENGTH, ANCHOR = 100, 32
 HOT = 4096
 #: Bytes of blocks sorted at once.
 SORTED = 2 << 20
+#: Bytes of text hashed at once; their arrays take some hundred times as much.
+SLICE = 1 << 20
 _POSITION = 28
 MARK = "doc long, start long, n int, d int, h long, blocks long"
 
@@ -191,26 +194,27 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, n: n
     return doc[block[equal]], p[equal]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``(doc, text)``; doc orders the documents. Where ids repeat with differing texts, or are null, doc is made from id and text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc, doc_id, text, _0, ...)``; doc orders the documents. Where ids repeat, or are null, doc is made from id and text."""
+    names = [f"_{i}" for i in range(len(carry))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
     n, ids, null = rows.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if n == ids and not null:
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
-    each = rows.distinct().withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text", *names)
+    each = rows.select("doc_id", "text").distinct().withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     most = each.agg(F.max("k")).first()[0] or 1
     least = rows.agg(F.min("doc_id")).first()[0] or 0
     each = each.withColumn("doc", F.coalesce("doc_id", F.lit(least - 1)) * most + F.col("k"))
-    return rows.alias("r").join(each.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("r.text").eqNullSafe(F.col("e.text"))).select("e.doc", "r.doc_id", "r.text")
+    return rows.alias("r").join(each.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("r.text").eqNullSafe(F.col("e.text"))).select("e.doc", *[F.col(f"r.{c}") for c in rows.columns])
 
 
-def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc, doc_id, text, spans array<struct<start, end>>)``: byte intervals that go, disjoint and in order."""
+def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc, doc_id, text, _0, ..., spans array<struct<start, end>>)``: byte intervals that go, and the columns ``carry``."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, carry)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in texts(batches):
+        for batch, raw in texts(batches, size=SLICE):
             flat = np.frombuffer(b"".join(raw), np.uint8)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             text, start, n, d, h, whole = blocks(flat, offsets(np.array([len(x) for x in raw])), length, anchor)
@@ -246,12 +250,13 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     shared.release(spark)
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(partitions, "doc")  # shuffled once: both joins below read it
+    # shuffled once: both joins below read it, so both take all its columns into Python
+    dealt = keyed.repartition(partitions, "doc")
     ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "blocks")).alias("ask"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches):
-            asked = batch.column(2)
+            asked = batch.column(batch.num_columns - 1)
             has = np.flatnonzero(np.asarray(asked.is_valid()))
             if not len(has):
                 continue
@@ -320,14 +325,14 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    blocks_ = dealt.join(ask, "doc", "left").select("doc", "text", "ask").mapInArrow(extract, "key long, doc long, start long, n int, d int, data binary")
+    blocks_ = dealt.join(ask, "doc", "left").mapInArrow(extract, "key long, doc long, start long, n int, d int, data binary")
     sorted_ = blocks_.repartition(partitions, F.coalesce("key", "doc")).sortWithinPartitions("key").mapInArrow(sort, "doc long, start long, n int")
     gone = marks.where("h is null").select("doc", "start", "n").union(sorted_)
     per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
     return dealt.join(per_doc, "doc", "left")
 
 
-def _union(raw: bytes, given: list[dict] | None) -> list[tuple[int, int]]:
+def _union(given: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s in sorted((x["start"], x["end"]) for x in given or ()):
         if out and s[0] <= out[-1][1]:
@@ -356,21 +361,24 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches):
-            cuts = [_union(x, s) for x, s in zip(raw, batch.column(2).to_pylist())]
+            cuts = [_union(s) for s in batch.column("spans").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([sum(b - a for a, b in c) for c in cuts], pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(_kept(x, c)).hexdigest() for x, c in zip(raw, cuts)], pa.string())],
+                [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([sum(b - a for a, b in c) for c in cuts], pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([hashlib.sha256(_kept(x, c)).hexdigest() for x, c in zip(raw, cuts)], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return spans(docs, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def texts_left(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, kept string)`` of every row: the text without its repeated bytes.
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with every text freed of its repeated bytes; other columns stay.
 
     A removed span is narrowed to whole characters, so what is left stays UTF-8. Null texts stay
-    null; a text of which nothing is left is empty.
+    null; a text of which nothing is left is empty. Documents are told apart as in :func:`digests`.
     """
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kinds = {"doc_id": T.LongType(), "text": T.StringType()}
+    schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in docs.schema.fields])
 
     def whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
         while a < b and raw[a] & 0xC0 == 0x80:
@@ -380,9 +388,11 @@ def texts_left(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {c: f"_{i}" for i, c in enumerate(carry)}
         for batch, raw in texts(batches):
-            kept = [_kept(x, [whole(x, a, b) for a, b in _union(x, s)]) for x, s in zip(raw, batch.column(2).to_pylist())]
-            null = np.asarray(batch.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if z else k.decode() for k, z in zip(kept, null)], pa.string())], names=["doc_id", "kept"])
+            kept = [_kept(x, [whole(x, a, b) for a, b in _union(s)]) for x, s in zip(raw, batch.column("spans").to_pylist())]
+            null = np.asarray(batch.column("text").is_null())
+            left = pa.array([None if z else k.decode() for k, z in zip(kept, null)], pa.string())
+            yield pa.RecordBatch.from_arrays([left if c == "text" else batch.column(place.get(c, c)) for c in schema.names], names=schema.names)
 
-    return spans(docs, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept string")
+    return spans(docs, length, carry=carry).mapInArrow(run, schema)
