@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alpenglow.errors import ParameterError
 from alpenglow.functions.numbering import average_rank
@@ -85,7 +86,7 @@ def binomial_tail(k: int, n: int) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail_udf(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b)) for a, b in zip(k, n)])
 
