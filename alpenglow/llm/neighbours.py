@@ -60,6 +60,7 @@ class CentroidGraph:
 
     centroids: np.ndarray
     links: np.ndarray
+    sizes: np.ndarray | None = None  # rows of each list, once it is filled
 
     @classmethod
     def build(cls, c: np.ndarray, near: int = 16, far: int = 4) -> CentroidGraph:
@@ -69,29 +70,40 @@ class CentroidGraph:
         b = np.random.default_rng(3).integers(0, len(c), (len(c), far))
         return cls(c, np.concatenate((a, b), axis=1))
 
-    def within(self, q: np.ndarray, ratio: float) -> np.ndarray:
-        """Centroids at most ``ratio`` times as far from q as the nearest one found, by best-first search."""
+    def within(self, q: np.ndarray, ratio: float, least_rows: int = 0) -> np.ndarray:
+        """Lists whose centroids are at most ``ratio`` times as far from q as the nearest one, by best-first search.
+
+        Where these hold fewer than ``least_rows`` rows, as for a query that lies on a centroid, the
+        next lists follow until they do or none is left.
+        """
         seen = np.zeros(len(self.centroids), bool)
         entry = np.unique(np.linspace(0, len(self.centroids) - 1, min(8, len(self.centroids))).astype(int))
-        seen[entry] = True
-        d = np.sqrt(((self.centroids[entry] - q) ** 2).sum(1))
-        heap = list(zip(d.tolist(), entry.tolist()))
-        heapq.heapify(heap)
-        out, least = [], float(d.min())
-        while heap:
+        heap: list[tuple[float, int]] = []
+        out: list[tuple[float, int]] = []
+        least, rows = np.inf, 0
+
+        def push(new: np.ndarray) -> float:
+            seen[new] = True
+            d = np.sqrt(((self.centroids[new] - q) ** 2).sum(1))
+            for x in zip(d.tolist(), new.tolist()):
+                heapq.heappush(heap, x)
+            return min(least, float(d.min()))
+
+        least = push(entry)
+        while heap or not seen.all():
+            if not heap:  # a part of the graph that no link leads to
+                least = push(np.flatnonzero(~seen)[:1])
             dist, at = heapq.heappop(heap)
-            if dist > least * ratio and len(out) >= 8:
+            if dist > least * ratio and len(out) >= 8 and rows >= least_rows:
                 break
             out.append((dist, at))
-            new = self.links[at]
-            new = np.unique(new[~seen[new]])
+            rows += int(self.sizes[at]) if self.sizes is not None else 0
+            new = np.unique(self.links[at][~seen[self.links[at]]])
             if len(new):
-                seen[new] = True
-                d = np.sqrt(((self.centroids[new] - q) ** 2).sum(1))
-                least = min(least, float(d.min()))
-                for x in zip(d.tolist(), new.tolist()):
-                    heapq.heappush(heap, x)
-        return np.array([at for dist, at in out if dist <= least * ratio], np.int64)
+                least = push(new)
+        out.sort()
+        held = np.cumsum([int(self.sizes[at]) for _, at in out]) if self.sizes is not None else np.zeros(len(out), np.int64)
+        return np.array([at for k, (dist, at) in enumerate(out) if dist <= least * ratio or (k and held[k - 1] < least_rows)], np.int64)
 
 
 def lists_of(x: np.ndarray, c: np.ndarray, copies: int = COPIES, overlap: float = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +130,13 @@ class PostingIndex:
     shares: np.ndarray  # of each list
 
 
-def _dealt(rows: DataFrame, run, most: int, name: str, key: str) -> tuple[DataFrame, np.ndarray]:
-    """Rows with a list, cut into shares of about ``most`` rows each; the number of shares of each list."""
+def _dealt(rows: DataFrame, run, most: int, name: str, key: str) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
+    """Rows with a list, cut into shares of about ``most`` rows each; the number of shares and of rows of each list."""
     table = shared.written(rows.mapInArrow(run, f"list int, {key} long, vec array<double>"), name)
     counts = {r[0]: r[1] for r in table.groupBy("list").count().collect()}  # one row a list
     shares = np.array([-(-counts.get(i, 0) // most) for i in range(max(counts, default=-1) + 1)], np.int64)
     number = F.element_at(F.lit(shares.tolist() or [1]).cast("array<int>"), F.col("list") + 1)
-    return table.withColumn("share", F.pmod(F.xxhash64(key), number).cast("int")), shares
+    return table.withColumn("share", F.pmod(F.xxhash64(key), number).cast("int")), shares, counts
 
 
 def build(table: DataFrame) -> PostingIndex | None:
@@ -145,7 +157,8 @@ def build(table: DataFrame) -> PostingIndex | None:
             row, at = lists_of(matrix(batch.column(1), c.shape[1])[:, : c.shape[1]], c)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "vec_id", "vec"])
 
-    postings, shares = _dealt(rows, assign, SHARE, "postings", "vec_id")
+    postings, shares, counts = _dealt(rows, assign, SHARE, "postings", "vec_id")
+    graph.sizes = np.array([counts.get(i, 0) for i in range(len(graph.centroids))], np.int64)
     return PostingIndex(graph, postings, shares)
 
 
@@ -158,13 +171,13 @@ def search(index: PostingIndex, queries: DataFrame, k: int = 10, ratio: float =
         g = sent.value
         for batch in batches:
             q = matrix(batch.column(1), g.centroids.shape[1])[:, : g.centroids.shape[1]]
-            found = [g.within(v, ratio) for v in q]
+            found = [g.within(v, ratio, 10 * COPIES * (k + 1)) for v in q]
             row = np.repeat(np.arange(len(q)), [len(f) for f in found])
             at = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "query_id", "vec"])
 
     asked = usable(queries, zero=False).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
-    probes, turns = _dealt(asked, probe, ASKED, "probes", "query_id")
+    probes, turns, _ = _dealt(asked, probe, ASKED, "probes", "query_id")
     probes = probes.withColumnRenamed("share", "turn")
     number = lambda a: F.element_at(F.lit(a.tolist() or [0]).cast("array<int>"), F.col("list") + 1)
     all_shares = np.zeros(max(len(index.shares), len(turns)), np.int64)
