@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 from alpenglow.plans.cut import written
 
 
-def running_total(df: DataFrame, order: list[str], value: Column | None = None, name: str = "before") -> DataFrame:
-    """``df`` with the sum of ``value`` (by default 1) over all rows that come earlier in ``order``; ties by nothing else."""
+#: Rows up to which a global order is cheaper in one task than in range partitions.
+SMALL = 100_000
+
+
+def running_total(df: DataFrame, order: list[str], value: Column | None = None, name: str = "before", small: bool = False) -> DataFrame:
+    """``df`` with the sum of ``value`` (by default 1) over all rows that come earlier in ``order``; ties by nothing else.
+
+    ``small``: the caller knows that there are at most ``SMALL`` rows, which one task then orders.
+    """
+    if small:
+        whole = Window.orderBy(*order)
+        if value is None:
+            return df.withColumn(name, (F.row_number().over(whole) - 1).cast("long"))
+        return df.withColumn(name, F.coalesce(F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     amount = F.lit(1).cast("long") if value is None else value
     table = written(ordered.withColumn("_amount", amount).withColumn("_row", F.monotonically_increasing_id()), "ordered")
@@ -37,13 +49,13 @@ def running_total(df: DataFrame, order: list[str], value: Column | None = None,
     return table.select(*df.columns, (inside + shift).alias(name))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "node_id") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "node_id", small: bool = False) -> DataFrame:
     """``df`` with 0-based positions in ``order`` (which should have no ties) as column ``name``."""
-    return running_total(df, order, name=name)
+    return running_total(df, order, name=name, small=small)
 
 
-def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+def average_rank(df: DataFrame, column: str, name: str, small: bool = False) -> DataFrame:
     """``df`` with the 1-based rank of ``column``; equal values share the mean of their ranks. Nulls have no rank."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, [column], F.col("_n"), "_before").select(F.col(column), (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    ranked = running_total(counts, [column], F.col("_n"), "_before", small).select(F.col(column), (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranked, column, "left")

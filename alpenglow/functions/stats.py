@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alpenglow.errors import ParameterError
-from alpenglow.functions.numbering import average_rank
+from alpenglow.functions.numbering import SMALL, average_rank
+from alpenglow.operators import local
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -27,7 +28,8 @@ def pearson(df: DataFrame, x: str, y: str, name: str = "value") -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, name: str = "value") -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
+    small = both.limit(SMALL + 1).count() <= SMALL
+    ranked = average_rank(average_rank(both, "x", "rx", small), "y", "ry", small)
     return ranked.agg(guarded_corr(F.col("rx"), F.col("ry")).alias(name))
 
 
@@ -104,17 +106,26 @@ def moments(df: DataFrame, x: str = "fitness") -> DataFrame:
 
 
 def cauchy_location(df: DataFrame, x: str = "fitness", rounds: int = 200) -> float:
-    """Maximum-likelihood location of a Cauchy distribution, its scale fitted with it, by repeated weighted means in Spark."""
+    """Maximum-likelihood location of a Cauchy distribution, its scale fitted with it, by repeated weighted means.
+
+    A round is one aggregate; a column that a size check finds small is worked on outside Spark.
+    """
     q1, loc, q3 = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
     scale = max((q3 - q1) / 2, 1e-12)
-    for _ in range(rounds):
+    values = local.fetch(df.select(F.col(x).cast("double")), local.LIMIT)
+
+    def sums(loc: float, scale: float) -> tuple[float, float, int]:
+        if values:
+            w = 1 / (1 + ((values[0] - loc) / scale) ** 2)
+            return float(w.sum()), float((w * values[0]).sum()), len(w)
         w = 1 / (1 + F.pow((F.col(x) - loc) / scale, 2))
-        total, mean, n = df.agg(F.sum(w), F.sum(w * F.col(x)), F.count(x)).first()
-        new = mean / total
-        factor = math.sqrt(max(n / (2 * total) if total else 1.0, 1e-12))
-        new_scale = scale / factor if factor else scale
+        return df.agg(F.sum(w), F.sum(w * F.col(x)), F.count(x)).first()
+
+    for _ in range(rounds):
+        total, mean, n = sums(loc, scale)
+        new, new_scale = mean / total, max(scale / math.sqrt(max(n / (2 * total), 1e-12)), 1e-12)
         done = abs(new - loc) + abs(new_scale - scale) < 1e-10 * (abs(loc) + scale)
-        loc, scale = new, max(new_scale, 1e-12)
+        loc, scale = new, new_scale
         if done:
             break
     return float(loc)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alpenglow.operators import local
 from alpenglow.plans.cut import written
 
 
@@ -27,12 +28,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", limit: int = 0) -> DataFrame:
     """``(node, root)`` of every node that has a link to another; root is the component's least node.
 
-    Self-links, repeated links and links with a null end don't matter; no links give no rows.
+    Self-links, repeated links and links with a null end don't matter; no links give no rows. Up
+    to ``limit`` links are worked on outside Spark; by default none.
     """
     a, b = F.col(u), F.col(v)
+    if links := local.fetch(edges.where(a != b).select(a, b), limit):
+        node, root = local.components(*links)
+        return local.frame(edges, node=node, root=root)
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     state = None
     while True:

@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alpenglow.operators import local
 from alpenglow.plans.cut import written
 
 
-def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", limit: int = local.LIMIT) -> DataFrame:
     """``(key, node, dist)``: all nodes reached from each key's seeds ``(key, node)`` along ``src -> dst``, with their least number of steps.
 
     One round a level, for all keys at once: the frontier joins the edges and drops what its key
     has seen. A pair of key and node enters the frontier once.
     """
     step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
+    if (links := local.fetch(step, limit)) and (starts := local.fetch(seeds.select("key", "node").distinct(), limit)) and (got := local.reach(*links, *starts)):
+        return local.frame(seeds, key=got[0], node=got[1], dist=got[2])
     frontier = written(seeds.select("key", "node").distinct().withColumn("dist", F.lit(0)), "reach")
     found, level = frontier, 0
     while True:
@@ -30,11 +33,14 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst"
         found = found.union(frontier)
 
 
-def follow(pointers: DataFrame) -> DataFrame:
+def follow(pointers: DataFrame, limit: int = local.LIMIT) -> DataFrame:
     """``(node, target, steps)``: where each node's chain ``(node, to, cost)`` ends; a node that points to itself is an end.
 
     Pointers are doubled, so chains of length n take log2(n) rounds.
     """
+    if chain := local.fetch(pointers.select("node", "to", "cost"), limit):
+        got = local.follow(*chain)
+        return local.frame(pointers, node=got[0], target=got[1], steps=got[2])
     now = written(pointers.select("node", F.col("to").alias("target"), F.when(F.col("node") == F.col("to"), 0).otherwise(F.col("cost")).cast("long").alias("steps")), "follow")
     while True:
         beyond = now.select(F.col("node").alias("target"), F.col("target").alias("t2"), F.col("steps").alias("s2"))
@@ -44,10 +50,12 @@ def follow(pointers: DataFrame) -> DataFrame:
         now = new.drop("moved")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "delta_fit", damping: float = 0.85, tolerance: float = 1e-12, rounds: int = 200) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "delta_fit", damping: float = 0.85, tolerance: float = 1e-12, rounds: int = 200, limit: int = local.LIMIT) -> DataFrame:
     """``(node_id, pagerank)``, summing to 1; nodes without out-edges spread their rank evenly."""
-    n = nodes.count()
     w = F.col(weight) if weight else F.lit(1.0)
+    if (ids := local.fetch(nodes.select("node_id").orderBy("node_id"), limit)) and (links := local.fetch(edges.select("src", "dst", w.cast("double").alias("w")), limit)):
+        return local.frame(nodes, node_id=ids[0], pagerank=local.pagerank(ids[0], *links, damping, tolerance, rounds))
+    n = nodes.count()
     total = edges.groupBy("src").agg(F.sum(w).alias("_total"))
     share = written(edges.join(total, "src").select("src", "dst", (w / F.col("_total")).alias("share")), "share")
     rank = written(nodes.select("node_id", F.lit(1.0 / n).alias("pagerank")), "rank")

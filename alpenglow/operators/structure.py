@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alpenglow.functions.numbering import numbered
+from alpenglow.operators import local
 from alpenglow.operators.components import components
 from alpenglow.operators.graph import follow, reach
 
@@ -18,11 +19,11 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(counts, "node_id", "left").select("node_id", zero(F.col("i")).alias("in_degree"), zero(F.col("o")).alias("out_degree"))
 
 
-def plateaus(nodes: DataFrame, neutral: DataFrame) -> DataFrame:
+def plateaus(nodes: DataFrame, neutral: DataFrame, small: bool = False) -> DataFrame:
     """``(node_id, plateau_id, plateau_size, peak)``: components of neutral pairs, numbered by least member; -1 and 1 for other nodes."""
-    found = components(neutral)
+    found = components(neutral, limit=local.LIMIT)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("plateau_size"))
-    named = numbered(sizes, ["root"], "plateau_id")
+    named = numbered(sizes, ["root"], "plateau_id", small)
     own = found.join(named, "root").select(F.col("node").alias("node_id"), "plateau_id", "plateau_size", F.col("root").alias("peak"))
     return nodes.select("node_id").join(own, "node_id", "left").select("node_id", F.coalesce("plateau_id", F.lit(-1)).cast("long").alias("plateau_id"), F.coalesce("plateau_size", F.lit(1)).cast("long").alias("plateau_size"), F.coalesce("peak", "node_id").alias("peak"))
 

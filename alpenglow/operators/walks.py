@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alpenglow.operators import local
 from alpenglow.operators.structure import symmetric
 from alpenglow.plans.cut import written
 
@@ -31,11 +33,28 @@ def random_walks(land, n_walks: int, length: int, seed: int = 0, neutral: bool =
     return written(found, "walks")
 
 
-def climb_paths(nodes: DataFrame, pointers: DataFrame, end: int | None = None) -> DataFrame:
+def _paths(node: np.ndarray, to: np.ndarray, end: int | None) -> dict[str, np.ndarray]:
+    ids, target, _ = local.follow(node, to, np.ones(len(node)))
+    order = np.argsort(node)
+    next_ = np.searchsorted(ids, to[order])
+    at = np.arange(len(ids)) if end is None else np.flatnonzero(target == end)
+    start, step, out = ids[at], 0, []
+    while len(at):
+        out.append((start, np.full(len(at), step), ids[at]))
+        go = next_[at] != at
+        start, at, step = start[go], next_[at[go]], step + 1
+    none = np.zeros(0, np.int64)
+    a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+    return {"start": a, "step": b.astype(np.int32), "node_id": c}
+
+
+def climb_paths(nodes: DataFrame, pointers: DataFrame, end: int | None = None, limit: int = local.LIMIT) -> DataFrame:
     """``(start, step, node_id, fitness)`` of every node's climb; with ``end``, of the climbs that end there.
 
     Grown back from the ends, a round a step, so only paths that count are made.
     """
+    if chain := local.fetch(pointers.select("node", "to"), limit):
+        return local.frame(nodes, **_paths(*chain, end)).join(nodes.select("node_id", "fitness"), "node_id")
     to = pointers.where("node <> to").select(F.col("to").alias("head"), F.col("node").alias("before"))
     sinks = pointers.where("node = to").select(F.col("node"))
     if end is not None:

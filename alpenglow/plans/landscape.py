@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alpenglow.errors import DataError, NotBuiltError, ParameterError
-from alpenglow.functions.numbering import numbered
-from alpenglow.operators import neighbours, structure
+from alpenglow.functions.numbering import SMALL, numbered
+from alpenglow.operators import local, neighbours, structure
 from alpenglow.operators.components import components
 from alpenglow.operators.graph import pagerank
 from alpenglow.plans.cut import written
@@ -36,6 +36,7 @@ class Landscape:
         self.kind, self.alphabet, self.n_edit = "default", None, 1
         self.variables: list[Variable] = []
         self.columns: list[str] = []
+        self.typed, self.n_configs = False, 0
 
     # building
 
@@ -61,49 +62,47 @@ class Landscape:
         else:
             pairs = neighbours.hamming_pairs(nodes, self.variables, self.typed)
         pairs = written(pairs.select("u", "v", "fu", "fv"), "pairs")
-        edges, neutral = neighbours.classify(pairs, self.epsilon, self.maximize)
+        n = encoded.n
         if tau is not None:
-            nodes, edges, neutral = self._above(nodes, edges, neutral, tau)
-        neighbours.check_linked(edges, neutral)
+            nodes, pairs, n = self._above(nodes, pairs, tau, n)
         if not keep_isolated:
-            nodes, edges, neutral = self._linked(nodes, edges, neutral)
-        self.nodes, self.edges, self.neutral = nodes, written(edges, "edges"), written(neutral, "neutral")
+            nodes, pairs, n = self._linked(nodes, pairs, n)
+        self.nodes, self.n_configs = nodes, n
+        # narrow reads of one table; the wide joins are behind it
+        self.edges, self.neutral = neighbours.classify(pairs, self.epsilon, self.maximize)
         self.built = True
         return self
 
-    def _above(self, nodes: DataFrame, edges: DataFrame, neutral: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _above(self, nodes: DataFrame, pairs: DataFrame, tau: float, n: int) -> tuple[DataFrame, DataFrame, int]:
         """Without edges both of whose ends are worse than tau; of the rest the largest weakly connected component (first of equals)."""
-        bad = nodes.where(F.col("fitness") < tau if self.maximize else F.col("fitness") > tau).select("node_id")
-        marked = edges.join(bad.select(F.col("node_id").alias("src"), F.lit(True).alias("b1")), "src", "left").join(bad.select(F.col("node_id").alias("dst"), F.lit(True).alias("b2")), "dst", "left")
-        edges = written(marked.where("b1 is null or b2 is null").select("src", "dst", "delta_fit"), "edges")
-        found = components(edges, "src", "dst")
+        worse = (lambda c: F.col(c) < tau) if self.maximize else (lambda c: F.col(c) > tau)
+        neutral = F.abs(F.col("fu") - F.col("fv")) <= neighbours.neutral_bound(self.epsilon)
+        pairs = written(pairs.where(neutral | ~(worse("fu") & worse("fv"))), "pairs")
+        found = components(pairs.where(~neutral), "u", "v", local.LIMIT)
         rooted = nodes.select("node_id").join(found.withColumnRenamed("node", "node_id"), "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("root"))
         best = rooted.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1)
-        kept = rooted.join(F.broadcast(best.select("root")), "root").select("node_id")  # one row
-        return self._only(nodes, edges, neutral, kept)
-
-    def _linked(self, nodes: DataFrame, edges: DataFrame, neutral: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Without nodes that no edge and no neutral pair touches."""
-        ends = edges.select("src").union(edges.select("dst")).union(neutral.select("u")).union(neutral.select("v")).toDF("node_id").distinct()
-        kept = written(nodes.select("node_id").join(ends, "node_id", "left_semi"), "kept")
-        gone = nodes.count() - kept.count()
-        if not gone:
-            return nodes, edges, neutral
-        log.warning("%d configurations without neighbours are left out", gone)
-        return self._only(nodes, edges, neutral, kept)
+        kept = written(rooted.join(F.broadcast(best.select("root")), "root").select("node_id"), "kept")  # best: one row
+        return self._only(nodes, pairs, kept, kept.count())
+
+    def _linked(self, nodes: DataFrame, pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+        """Without nodes that are in no pair."""
+        kept = written(pairs.select("u").union(pairs.select("v")).toDF("node_id").distinct(), "kept")
+        n_kept = kept.count()
+        if not n_kept:
+            raise DataError("no two configurations are neighbours")
+        if n_kept == n:
+            return nodes, pairs, n
+        log.warning("%d configurations without neighbours are left out", n - n_kept)
+        return self._only(nodes, pairs, kept, n_kept)
 
     @staticmethod
-    def _only(nodes: DataFrame, edges: DataFrame, neutral: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The kept nodes, numbered anew in their order, and what lies between them."""
-        new = written(numbered(kept.withColumnRenamed("node_id", "old"), ["old"]), "new-ids")
+    def _only(nodes: DataFrame, pairs: DataFrame, kept: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+        """The kept nodes, numbered anew in their order, and the pairs between them."""
+        new = written(numbered(kept.withColumnRenamed("node_id", "old"), ["old"], small=n <= SMALL), "new-ids")
         nodes = written(nodes.withColumnRenamed("node_id", "old").join(new, "old").select("node_id", *[c for c in nodes.columns if c != "node_id"]), "nodes")
-
-        def moved(rows: DataFrame, a: str, b: str) -> DataFrame:
-            for c in (a, b):
-                rows = rows.withColumnRenamed(c, "old").join(new, "old").drop("old").withColumnRenamed("node_id", c)
-            return rows
-
-        return nodes, moved(edges, "src", "dst").select("src", "dst", "delta_fit"), moved(neutral, "u", "v").select("u", "v")
+        for c in ("u", "v"):
+            pairs = pairs.withColumnRenamed(c, "old").join(new, "old").drop("old").withColumnRenamed("node_id", c)
+        return nodes, written(pairs.select("u", "v", "fu", "fv"), "pairs"), n
 
     # derived tables
 
@@ -120,10 +119,6 @@ class Landscape:
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
-    @cached_property
-    def n_configs(self) -> int:
-        return self.nodes.count()
-
     @cached_property
     def n_edges(self) -> int:
         return self.edges.count()
@@ -154,7 +149,7 @@ class Landscape:
         if not self.has_neutral:
             one = F.lit(1).cast("long")
             return self.nodes.select("node_id", F.lit(-1).cast("long").alias("plateau_id"), one.alias("plateau_size"), F.col("node_id").alias("peak"))
-        return written(structure.plateaus(self.nodes, self.neutral), "plateaus")
+        return written(structure.plateaus(self.nodes, self.neutral, self.n_configs <= SMALL), "plateaus")
 
     @cached_property
     def exits(self) -> DataFrame:

@@ -8,13 +8,13 @@ observed level.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alpenglow.errors import DataError, ParameterError
-from alpenglow.functions.numbering import numbered
+from alpenglow.functions.numbering import SMALL, numbered
 from alpenglow.plans.cut import written
 
 KINDS = ("boolean", "categorical", "ordinal")
@@ -40,7 +40,7 @@ class Encoded:
     columns: list[str]
     kind: str = "default"
     alphabet: str | None = None
-    extra: dict = field(default_factory=dict)
+    n: int = 0
 
 
 def read_csv(spark: SparkSession, path: str, fitness: str, columns: Sequence[str] | None = None, numeric: Sequence[str] = ()) -> DataFrame:
@@ -134,6 +134,7 @@ def encode(df: DataFrame, kinds: dict[str, str], fitness: str = "fitness", ordin
     unique = written(unique, "unique")
     small = [i for i in range(len(columns)) if first[f"d{i}"] <= LITERAL_LEVELS]
     sets = unique.agg(*[F.array_sort(F.collect_set(quoted[i])).alias(f"s{i}") for i in small]).first() if small else None
+    n_rows = unique.count()
     variables, codes, kept = [], [], []
     for i, c in enumerate(columns):
         if i in small:
@@ -151,7 +152,7 @@ def encode(df: DataFrame, kinds: dict[str, str], fitness: str = "fitness", ordin
             codes.append((F.array_position(array, F.col(f"`{c}`")) - 1).cast("int"))
             n = 2 if kinds[c] == "boolean" else len(order)
         else:
-            ranks = numbered(unique.select(F.col(f"`{c}`")).distinct(), [c], f"_code{i}")
+            ranks = numbered(unique.select(F.col(f"`{c}`")).distinct(), [c], f"_code{i}", n_rows <= SMALL)
             unique = unique.join(ranks, c)
             codes.append(F.col(f"_code{i}").cast("int"))
             n = ranks.count()
@@ -160,9 +161,9 @@ def encode(df: DataFrame, kinds: dict[str, str], fitness: str = "fitness", ordin
     if not variables:
         raise DataError("every variable has one value only")
     coded = unique.withColumn("cfg", F.array(*codes))
-    nodes = numbered(coded, ["ordinal"] if ordinal else ["cfg"])
+    nodes = numbered(coded, ["ordinal"] if ordinal else ["cfg"], small=n_rows <= SMALL)
     nodes = nodes.select("node_id", "cfg", "fitness", *quoted)
-    return Encoded(written(nodes, "nodes"), variables, columns, kind, alphabet)
+    return Encoded(written(nodes, "nodes"), variables, columns, kind, alphabet, n_rows)
 
 
 def missing_report(df: DataFrame) -> dict[str, int]:

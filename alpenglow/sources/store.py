@@ -16,7 +16,7 @@ def save(land: Landscape, path: str) -> None:
     """Tables ``nodes``, ``edges``, ``neutral`` and ``meta`` (one JSON row) below ``path``."""
     for name in ("nodes", "edges", "neutral"):
         getattr(land, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    meta = {"maximize": land.maximize, "epsilon": land.epsilon, "kind": land.kind, "alphabet": land.alphabet, "n_edit": land.n_edit, "typed": land.typed, "columns": land.columns, "variables": [asdict(v) for v in land.variables]}
+    meta = {"maximize": land.maximize, "epsilon": land.epsilon, "kind": land.kind, "alphabet": land.alphabet, "n_edit": land.n_edit, "typed": land.typed, "n_configs": land.n_configs, "columns": land.columns, "variables": [asdict(v) for v in land.variables]}
     land.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -26,6 +26,7 @@ def load(spark: SparkSession, path: str) -> Landscape:
     land = Landscape(meta.get("maximize", True), meta["epsilon"])
     land.kind, land.alphabet, land.n_edit, land.typed, land.columns = (meta[k] for k in ("kind", "alphabet", "n_edit", "typed", "columns"))
     land.variables = [Variable(**v) for v in meta["variables"]]
+    land.n_configs = meta["n_configs"]
     land.nodes, land.edges, land.neutral = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "neutral"))
     land.built = True
     return land
