@@ -18,7 +18,7 @@ from alpenglow.operators import local
 
 def guarded_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; null for fewer than two rows or a constant side."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def pearson(df: DataFrame, x: str, y: str, name: str = "value") -> DataFrame:

@@ -57,7 +57,7 @@ def gamma_sums(found: DataFrame) -> DataFrame:
         F.sum(b1 * b2 + c1 * c2).alias("top"), F.sum((b1 * b1 + b2 * b2 + c1 * c1 + c2 * c2) / 2).alias("bottom"),
         F.sum(s(b1) * s(b2) + s(c1) * s(c2)).alias("top_sign"), F.sum((s(b1) * s(b1) + s(b2) * s(b2) + s(c1) * s(c1) + s(c2) * s(c2)) / 2).alias("bottom_sign"),
     )
-    return both.select(F.when(F.col("bottom") > 0, F.col("top") / F.col("bottom")).alias("gamma"), F.when(F.col("bottom_sign") > 0, F.col("top_sign") / F.col("bottom_sign")).alias("gamma_star"))
+    return both.select(F.try_divide("top", "bottom").alias("gamma"), F.try_divide("top_sign", "bottom_sign").alias("gamma_star"))
 
 
 def classified(found: DataFrame, bound: float, maximize: bool) -> DataFrame:

@@ -294,9 +294,9 @@ def classify_epistasis(land: Landscape, share: float | None = None, seed: int =
         raise ParameterError("squares need neighbours one edit apart")
     found = squares.classified(_sampled(found_squares(land, True), share, seed), neighbours.neutral_bound(land.epsilon), land.maximize)
     n = F.count(F.lit(1))
-    part = lambda k: F.when(n > 0, F.count_if(F.col("kind") == k) / n).otherwise(0.0)
+    part = lambda k: F.coalesce(F.try_divide(F.count_if(F.col("kind") == k), n), F.lit(0.0))
     whole = F.count_if("whole")
-    positive = F.when(whole > 0, F.count_if(F.coalesce("positive", F.lit(False))) / whole).otherwise(0.0)
+    positive = F.coalesce(F.try_divide(F.count_if(F.coalesce("positive", F.lit(False))), whole), F.lit(0.0))
     return found.agg(part("magnitude").alias("magnitude"), part("sign").alias("sign"), part("reciprocal").alias("reciprocal_sign"), positive.alias("positive"), F.when(whole > 0, 1 - positive).otherwise(0.0).alias("negative"))
 
 
@@ -316,7 +316,7 @@ def extradimensional_bypass(land: Landscape, share: float | None = None, seed: i
     ways = reach(land.edges, rows.select("key", F.col("key").alias("node")))
     met = rows.join(ways.withColumnRenamed("node", "to"), ["key", "to"], "left")
     n, with_way = F.count(F.lit(1)), F.count("dist")
-    return met.agg(F.when(n > 0, with_way / n).otherwise(0.0).alias("bypass_proportion"), F.avg("dist").alias("average_bypass_length"), n.alias("total_motifs"), with_way.alias("motifs_with_bypass"))
+    return met.agg(F.coalesce(F.try_divide(with_way, n), F.lit(0.0)).alias("bypass_proportion"), F.avg("dist").alias("average_bypass_length"), n.alias("total_motifs"), with_way.alias("motifs_with_bypass"))
 
 
 def _interactions(land: Landscape, order: int) -> list[tuple[tuple[int, int | None], ...]]:
