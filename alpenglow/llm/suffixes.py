@@ -33,9 +33,9 @@ LENGTH, ANCHOR = 100, 32
 #: Differing blocks of an anchor beyond which its windows are dealt by their hashes.
 HOT = 4096
 #: Bytes of blocks sorted at once.
-SORTED = 2 << 20
+SORTED = 1 << 20
 #: Bytes of text hashed at once; their arrays take some hundred times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _POSITION = 28
 MARK = "doc long, start long, n int, d int, h long, blocks long"
 
@@ -255,7 +255,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "blocks")).alias("ask"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in texts(batches):
+        for batch, raw in texts(batches, size=SLICE):
             asked = batch.column(batch.num_columns - 1)
             has = np.flatnonzero(np.asarray(asked.is_valid()))
             if not len(has):

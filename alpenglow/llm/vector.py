@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# Arrow's own pools keep what they once held; a worker that is used again would pile that up
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Odd multipliers of the two prefix polynomial hashes (mod 2^64) and of the final mixing.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 #: Bytes of text worked on at once; the arrays of a block take some 40 times as much.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,7 +47,7 @@ class PrefixHash:
     def powers(cls, n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
         have = cls._powers.get(which)
         if have is None or len(have[0]) < n:
-            size = max(1 << 16, 1 << int(n).bit_length())
+            size = -(-n // (1 << 18)) * (1 << 18)  # not doubled: every worker keeps them
             base = BASES[which]
             pair = []
             for b in (base, pow(base, -1, 1 << 64)):
