@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alpenglow.errors import ParameterError
-from alpenglow.functions.numbering import SMALL, average_rank
+from alpenglow.functions.numbering import SMALL, average_rank, running_total
 from alpenglow.operators import local
 
 
@@ -93,9 +93,30 @@ def binomial_tail_udf(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail(int(a), int(b)) for a, b in zip(k, n)])
 
 
-def moments(df: DataFrame, x: str = "fitness") -> DataFrame:
-    """Population skewness, population kurtosis + 3 of the excess, and spread ratios of one column, in one aggregate."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def quantiles(df: DataFrame, x: str, shares: tuple[float, ...]) -> list[float]:
+    """Exact linear quantiles from the distributed ranks of the distinct values; no task or buffer holds the column."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total(counts, ["v"], F.col("n"), "before")
+    total = counts.agg(F.sum("n")).first()[0]
+    places = {k for p in shares for k in (math.floor((total - 1) * p), math.ceil((total - 1) * p))}
+    at = " or ".join(f"({k} >= before and {k} < before + n)" for k in sorted(places))
+    rows = ranked.where(at).select("v", "before", "n").collect()
+    value = lambda k: next(r["v"] for r in rows if r["before"] <= k < r["before"] + r["n"])
+    out = []
+    for p in shares:
+        h = (total - 1) * p
+        low, high = value(math.floor(h)), value(math.ceil(h))
+        out.append(low + (high - low) * (h - math.floor(h)))
+    return out
+
+
+def moments(df: DataFrame, x: str = "fitness", small: bool = True) -> DataFrame:
+    """Population skewness, population kurtosis (3 for a normal distribution), and spread ratios of one column.
+
+    One aggregate if the caller knows the column to be small; else the quantiles come from :func:`quantiles`.
+    """
+    shares = (0.25, 0.5, 0.75)
+    q = F.percentile(x, F.array(*[F.lit(p) for p in shares])) if small else F.array(*[F.lit(v) for v in quantiles(df, x, shares)])
     row = df.agg(F.skewness(x).alias("skewness"), (F.kurtosis(x) + 3).alias("kurtosis"), F.stddev_samp(x).alias("sd"), F.avg(x).alias("mean"), q.alias("q"), F.min(x).alias("low"), F.max(x).alias("high"))
     m, q1, q3 = F.get("q", F.lit(1)), F.get("q", F.lit(0)), F.get("q", F.lit(2))
     ratio = lambda a, b: F.when(b != 0, a / b)

@@ -211,9 +211,12 @@ class Landscape:
     def dist_to_go(self) -> DataFrame:
         """``(node_id, dist_go)``: distance to the nearest of all best configurations."""
         best = self.nodes.agg((F.max if self.maximize else F.min)("fitness").alias("fitness"))
-        tied = self.nodes.join(F.broadcast(best), "fitness").select(F.col("cfg").alias("go"))  # best: one row
-        each = self.nodes.join(tied).select("node_id", structure.distance(self.distance_kind(), F.col("cfg"), F.col("go")).alias("d"))
-        return written(each.groupBy("node_id").agg(F.min("d").alias("dist_go")), "dist-go")
+        tied = written(self.nodes.join(F.broadcast(best), "fitness").select("node_id", F.col("cfg").alias("go")), "tied")  # best: one row
+        # the best themselves are at 0, so many ties leave few others to compare with them
+        others = self.nodes.join(tied.select("node_id"), "node_id", "left_anti")
+        each = others.join(tied.select("go")).select("node_id", structure.distance(self.distance_kind(), F.col("cfg"), F.col("go")).alias("d"))
+        near = each.groupBy("node_id").agg(F.min("d").cast("long").alias("dist_go"))
+        return written(near.union(tied.select("node_id", F.lit(0).cast("long"))), "dist-go")
 
     @cached_property
     def neighbour_fitness(self) -> DataFrame:

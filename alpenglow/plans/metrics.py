@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
 from alpenglow.functions import linalg, stats
+from alpenglow.functions.numbering import SMALL
 from alpenglow.operators import neighbours, squares, structure, walks
 from alpenglow.operators.graph import reach
 from alpenglow.plans.cut import written
@@ -198,7 +199,7 @@ def mean_distance_to_global_optimum(land: Landscape) -> DataFrame:
 
 
 def fitness_distribution(land: Landscape, cauchy: bool = True) -> DataFrame:
-    out = stats.moments(land.nodes)
+    out = stats.moments(land.nodes, small=land.n_configs <= SMALL)
     return out.withColumn("cauchy_loc", F.lit(stats.cauchy_location(land.nodes))) if cauchy else out
 
 

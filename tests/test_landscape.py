@@ -156,6 +156,19 @@ def test_mutations_and_kendall(spark):
     assert tau == pytest.approx(up / math.sqrt(sum(d[i] != d[j] for i, j in pairs) * sum(want.f[i] != want.f[j] for i, j in pairs)))
 
 
+def test_quantiles_without_a_buffer(spark):
+    from alpenglow.functions import stats
+
+    rng = random.Random(3)
+    values = [float(rng.randrange(40)) for _ in range(501)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "fitness double")
+    exact = df.agg(F.percentile("fitness", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))).first()[0]
+    assert stats.quantiles(df, "fitness", (0.25, 0.5, 0.9)) == pytest.approx(exact)
+    some = df.where("fitness is not null")
+    a, b = stats.moments(some).first(), stats.moments(some, small=False).first()
+    assert tuple(a) == pytest.approx(tuple(b))
+
+
 def test_autocorrelation_nears_edge_correlation(spark):
     n = 6
     rows = spark.createDataFrame([(format(i, f"0{n}b"), float(i.bit_count())) for i in range(1 << n)], "s string, fitness double")
