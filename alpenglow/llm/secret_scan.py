@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alpenglow.llm import shared
 from alpenglow.llm.vector import texts
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9_+/\-]{16,}={0,2}")
@@ -124,7 +125,8 @@ class Forest:
                 gain[(v[1:] == v[:-1]) | (n < least) | (len(rows) - n < least)] = -1
                 k = int(np.argmax(gain))
                 if gain[k] > found[0] + 1e-12:
-                    found = (float(gain[k]), int(f), float((v[k] + v[k + 1]) / 2))
+                    middle = float(v[k] + (v[k + 1] - v[k]) / 2)
+                    found = (float(gain[k]), int(f), middle if middle < v[k + 1] else float(v[k]))
             if found[1] >= 0:
                 low = x[rows, found[1]] <= found[2]
                 nodes[at][:2] = found[1:]
@@ -206,7 +208,8 @@ def dictionary(docs: DataFrame, size: int = WORDS) -> list[str]:
     word = F.regexp_replace(F.lower("word"), "[^a-z]+$", "")
     words = docs.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("word")).select(word.alias("word")).where(F.length("word").between(4, 14))
     best = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    return [w for w in (r[0] for r in best.collect()) if w.isascii() and w.isalpha()]
+    # written, so the tasks' best meet on an executor and the driver gets ``size`` rows
+    return [w for w in (r[0] for r in shared.written(best, "frequent").orderBy(F.desc("count"), "word").collect()) if w.isascii() and w.isalpha()]
 
 
 def train(words: list[str], findings: list[tuple[bytes, int, int, int]] | None = None) -> Scanner:

@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, factors: int = 8, max_labelled: in
     chi2 = F.lit(float(total)) * odd * odd / (n * (F.lit(float(total)) - n) * F.lit(max(float(positive), 1e-9)) * F.lit(max(rest, 1e-9)))
     counted = sample.select("doc_id", "text", "toxic").mapInArrow(count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     best = counted.where((F.col("n") >= 3) & (F.col("n") < total)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term")
-    known = np.sort(np.array([r[0] for r in best.collect()], np.int64).view(np.uint64))
+    known = np.sort(np.array([r[0] for r in shared.written(best, "terms").collect()], np.int64).view(np.uint64))
     model = FactorizationMachine(known, float(np.log((positive + 0.5) / (rest + 0.5))), np.zeros(len(known)), np.zeros((len(known), factors)))
     if not positive or not rest:
         return model
