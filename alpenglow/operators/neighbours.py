@@ -43,7 +43,8 @@ def masked_key(variables: list[Variable], masked: Column | tuple[int, ...], cfg:
     return total
 
 
-def _positions(nodes: DataFrame, variables: list[Variable]) -> DataFrame:
+def positions(nodes: DataFrame, variables: list[Variable]) -> DataFrame:
+    """``(node_id, fitness, p, a, key)``: every node once for each position p, with its code there and the key of the rest."""
     rows = nodes.select("node_id", "fitness", "cfg", F.posexplode("cfg").alias("p", "a"))
     return rows.select("node_id", "fitness", "p", "a", masked_key(variables, F.col("p")).alias("key"))
 
@@ -54,7 +55,7 @@ def hamming_pairs(nodes: DataFrame, variables: list[Variable], typed: bool = Fal
     ``typed``: at ordinal positions only codes one step apart. Those are found by joining a code
     with its successor, so that a long scale gives no pairs that are then thrown away.
     """
-    rows = _positions(nodes, variables)
+    rows = positions(nodes, variables)
     steps = [i for i, v in enumerate(variables) if v.kind == "ordinal"] if typed else []
     is_step = F.col("p").isin(steps) if steps else F.lit(False)
     left = rows.select("p", "key", F.when(is_step, F.col("a") + 1).otherwise(0).alias("slot"), F.col("node_id").alias("u"), "a", F.col("fitness").alias("fu"))

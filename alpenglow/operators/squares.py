@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alpenglow.operators.neighbours import masked_key
+from alpenglow.operators.neighbours import masked_key, neutral_bound, positions, radixes
 from alpenglow.sources.ingest import Variable
 
 
@@ -24,11 +24,8 @@ def squares(nodes: DataFrame, pairs: DataFrame, variables: list[Variable], typed
     cfg = nodes.select(F.col("node_id").alias("u"), "cfg")
     rows = pairs.where(F.col("p") < n - 1).join(cfg, "u")
     rows = rows.withColumn("q", F.explode(F.sequence(F.col("p") + 1, F.lit(n - 1))))
-    key = F.lit(None).cast("long")
     first = masked_key(variables, F.col("p"))
     # the key without p and q: the key without p, less q's digit
-    from alpenglow.operators.neighbours import radixes
-
     place = radixes(variables)
     c = F.element_at("cfg", F.col("q") + 1)
     if place is not None:
@@ -45,6 +42,29 @@ def squares(nodes: DataFrame, pairs: DataFrame, variables: list[Variable], typed
     return met.select("p", "q", "a", "b", "c", "d", F.col("u").alias("n00"), F.col("v").alias("n10"), F.col("u2").alias("n01"), F.col("v2").alias("n11"), F.col("fu").alias("f00"), F.col("fv").alias("f10"), F.col("fu2").alias("f01"), F.col("fv2").alias("f11"))
 
 
+def line_cycles(nodes: DataFrame, variables: list[Variable], epsilon: float) -> DataFrame:
+    """One row ``(n)``: cycles of four improving edges among configurations that differ at one position only.
+
+    Such a cycle has two sources and two sinks; both pairs are neutral. It needs four levels of a
+    categorical position. Without epsilon, pairs of equal fitness are counted by value.
+    """
+    wide = [i for i, v in enumerate(variables) if v.kind == "categorical" and v.levels >= 4]
+    rows = positions(nodes, variables).where(F.col("p").isin(wide) if wide else F.lit(False))
+    if epsilon <= 0:
+        same = rows.groupBy("p", "key", "fitness").agg(F.count(F.lit(1)).alias("k")).withColumn("c", (F.col("k") * (F.col("k") - 1) / 2).cast("double"))
+        lines = same.groupBy("p", "key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        return lines.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).cast("long").alias("n"))
+    bound = F.lit(neutral_bound(epsilon))
+    end = lambda x: rows.select("p", "key", F.col("node_id").alias(f"n{x}"), F.col("fitness").alias(f"f{x}"))
+    near = end(1).join(end(2), ["p", "key"]).where((F.col("n1") < F.col("n2")) & (F.abs(F.col("f1") - F.col("f2")) <= bound))
+    other = near.toDF("p", "key", "n3", "f3", "n4", "f4")
+    apart = F.lit(True)
+    for a in ("f1", "f2"):
+        for b in ("f3", "f4"):
+            apart = apart & (F.abs(F.col(a) - F.col(b)) > bound)
+    return near.join(other, ["p", "key"]).where((F.col("n1") < F.col("n3")) & apart).agg(F.count(F.lit(1)).alias("n"))
+
+
 def gamma_sums(found: DataFrame) -> DataFrame:
     """One row ``(gamma, gamma_star)``: correlation of a mutation's effects over backgrounds one step apart, of the effects and of their signs.
 

@@ -290,15 +290,24 @@ def _sampled(found: DataFrame, share: float | None, seed: int) -> DataFrame:
 
 
 def classify_epistasis(land: Landscape, share: float | None = None, seed: int = 0) -> DataFrame:
-    """Shares of magnitude, sign and reciprocal sign epistasis among squares of improving edges, and of positive ones."""
+    """Shares of magnitude, sign and reciprocal sign epistasis among cycles of four improving edges, and of positive ones.
+
+    Most cycles are two-locus squares. Those among alleles of one position are reciprocal, and
+    positive unless minimising, when their fittest node has no predecessor.
+    """
     if land.n_edit != 1:
         raise ParameterError("squares need neighbours one edit apart")
     found = squares.classified(_sampled(found_squares(land, True), share, seed), neighbours.neutral_bound(land.epsilon), land.maximize)
-    n = F.count(F.lit(1))
-    part = lambda k: F.coalesce(F.try_divide(F.count_if(F.col("kind") == k), n), F.lit(0.0))
-    whole = F.count_if("whole")
-    positive = F.coalesce(F.try_divide(F.count_if(F.coalesce("positive", F.lit(False))), whole), F.lit(0.0))
-    return found.agg(part("magnitude").alias("magnitude"), part("sign").alias("sign"), part("reciprocal").alias("reciprocal_sign"), positive.alias("positive"), F.when(whole > 0, 1 - positive).otherwise(0.0).alias("negative"))
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    counts = found.agg(of("magnitude"), of("sign"), of("reciprocal"), F.count_if("whole").alias("whole"), F.count_if(F.coalesce("positive", F.lit(False))).alias("up"))
+    rows = counts.join(squares.line_cycles(land.nodes, land.variables, land.epsilon))  # one row each
+    rows = rows if share is None else rows.withColumn("n", F.col("n") * share)
+    more = F.col("n") if land.maximize else F.lit(0)
+    total = F.col("magnitude") + F.col("sign") + F.col("reciprocal") + F.col("n")
+    part = lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0))
+    whole = F.col("whole") + more
+    positive = F.coalesce(F.try_divide(F.col("up") + more, whole), F.lit(0.0))
+    return rows.select(part(F.col("magnitude")).alias("magnitude"), part(F.col("sign")).alias("sign"), part(F.col("reciprocal") + F.col("n")).alias("reciprocal_sign"), positive.alias("positive"), F.when(whole > 0, 1 - positive).otherwise(0.0).alias("negative"))
 
 
 def extradimensional_bypass(land: Landscape, share: float | None = None, seed: int = 0) -> DataFrame:
@@ -316,8 +325,10 @@ def extradimensional_bypass(land: Landscape, share: float | None = None, seed: i
     rows = written(found.select(top.alias("to"), F.when(F.col("whole"), pick(opposite)).otherwise(least).alias("key")), "reciprocal")
     ways = reach(land.edges, rows.select("key", F.col("key").alias("node")))
     met = rows.join(ways.withColumnRenamed("node", "to"), ["key", "to"], "left")
-    n, with_way = F.count(F.lit(1)), F.count("dist")
-    return met.agg(F.coalesce(F.try_divide(with_way, n), F.lit(0.0)).alias("bypass_proportion"), F.avg("dist").alias("average_bypass_length"), n.alias("total_motifs"), with_way.alias("motifs_with_bypass"))
+    counts = met.agg(F.count(F.lit(1)).alias("squares"), F.count("dist").alias("motifs_with_bypass"), F.avg("dist").alias("average_bypass_length"))
+    # cycles within one position have no way: their fittest nodes are neutral to each other
+    total = counts.join(squares.line_cycles(land.nodes, land.variables, land.epsilon)).withColumn("total_motifs", F.col("squares") + F.col("n"))
+    return total.select(F.coalesce(F.try_divide("motifs_with_bypass", "total_motifs"), F.lit(0.0)).alias("bypass_proportion"), "average_bypass_length", "total_motifs", "motifs_with_bypass")
 
 
 def _interactions(land: Landscape, order: int) -> list[tuple[tuple[int, int | None], ...]]:

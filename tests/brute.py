@@ -88,3 +88,16 @@ class Brute:
                 if len(effects) >= 3:
                     out.append(pstdev(effects) / (math.sqrt(2) * sd))
         return fmean(out)
+
+    def cycles(self):
+        """Kinds of all induced cycles of four improving edges: counts of (magnitude, sign, reciprocal)."""
+        both = self.edges | {(b, a) for a, b in self.edges}
+        count = {"magnitude": 0, "sign": 0, "reciprocal_sign": 0}
+        for four in itertools.combinations(range(self.n), 4):
+            if all(sum((i, j) in both for j in four) == 2 for i in four):
+                into = {i: sum((j, i) in self.edges for j in four) for i in four}
+                low, high = [i for i in four if into[i] == 0], [i for i in four if into[i] == 2]
+                kind = "reciprocal_sign" if len(low) == 2 else "magnitude" if (low[0], high[0]) not in both else "sign"
+                count[kind] += 1
+        total = sum(count.values())
+        return {k: v / total for k, v in count.items()}

@@ -74,6 +74,18 @@ def test_square_kinds(spark, f, kind):
     assert got[kind] == 1
 
 
+@pytest.mark.parametrize("epsilon,maximize", [(0.0, True), (0.6, True), (0.0, False)])
+def test_cycles_against_brute_force(spark, epsilon, maximize):
+    rng = random.Random(12)
+    cfgs = list(itertools.product(range(5), range(4)))
+    f = [rng.randrange(3) + (rng.random() * 0.5 if epsilon else 0.0) for _ in cfgs]
+    rows = spark.createDataFrame([(*c, float(x)) for c, x in zip(cfgs, f)], "a int, b int, fitness double")
+    land = build(rows, kind="categorical", epsilon=epsilon, maximize=maximize, keep_isolated=True)
+    got = M.classify_epistasis(land).first().asDict()
+    want = Brute(cfgs, f, ["categorical"] * 2, maximize, epsilon).cycles()
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
 def test_plateau_boundary_is_inclusive(spark):
     rows = spark.createDataFrame([("0", 0.0), ("1", 0.5)], "s string, fitness double")
     land = build(rows, kind="boolean", epsilon=0.5)
