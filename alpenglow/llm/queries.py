@@ -66,4 +66,17 @@ QUERIES = {
         op8_nearest_neighbours, op9_best_fit_packing, op10_toxicity,
     )
 }
-SQL: dict[str, str] = {}
+#: The others hash, learn, approximate or pack in an order; they are tested against brute force.
+SQL: dict[str, str] = {
+    "op5_top_k": """
+        WITH whole AS (
+            SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5
+    """
+}
