@@ -1 +1 @@
-
+"""Statistics, least squares and global order."""

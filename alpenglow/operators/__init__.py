@@ -1 +1 @@
-
+"""Operators on node, edge and pair tables."""

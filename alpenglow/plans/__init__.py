@@ -1 +1 @@
-
+"""Landscapes, metrics and registered queries."""

@@ -1 +1 @@
-
+"""Reading, generating and encoding tables."""

@@ -1 +1 @@
-
+"""Empty on purpose: a landscape needs its whole table, so there are no stream operators."""
