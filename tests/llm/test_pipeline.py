@@ -1,10 +1,4 @@
-import sys
-from pathlib import Path
-
-import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
 
