@@ -36,6 +36,8 @@ HOT = 4096
 SORTED = 1 << 20
 #: Bytes of text hashed at once; their arrays take some hundred times as much.
 SLICE = 1 << 19
+#: Text bytes of a partition at most, however few shuffle partitions are set.
+PARTITION = 64 << 20
 _POSITION = 28
 MARK = "doc long, start long, n int, d int, h long, blocks long"
 
@@ -212,6 +214,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     """``(doc, doc_id, text, _0, ..., spans array<struct<start, end>>)``: byte intervals that go, and the columns ``carry``."""
     spark = docs.sparkSession
     keyed = _keyed(docs, carry)
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches, size=SLICE):
@@ -249,7 +252,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     marks = shared.written(marks, "marks")
     shared.release(spark)
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION))
     # shuffled once: both joins below read it, so both take all its columns into Python
     dealt = keyed.repartition(partitions, "doc")
     ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "blocks")).alias("ask"))
