@@ -215,6 +215,8 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     spark = docs.sparkSession
     keyed = _keyed(docs, carry)
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(given, -(-int(size) // PARTITION))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches, size=SLICE):
@@ -242,7 +244,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     same, all_ = Window.partitionBy("h", "settled", "whole").orderBy("doc", "start"), Window.partitionBy("h", "settled")
     here = F.struct("doc", "start")
     ranked = (
-        found.repartition("h", "settled")
+        (found.repartition("h", "settled") if partitions == given else found.repartition(partitions, "h", "settled"))
         .withColumn("first", F.first(here).over(same))
         .withColumn("head", F.row_number().over(same) == 1)
         .withColumn("blocks", F.count_if("head").over(all_))
@@ -252,7 +254,6 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     marks = shared.written(marks, "marks")
     shared.release(spark)
 
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION))
     # shuffled once: both joins below read it, so both take all its columns into Python
     dealt = keyed.repartition(partitions, "doc")
     ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "blocks")).alias("ask"))
