@@ -6,8 +6,8 @@ evenly spread, so parts by their leading bits are even whatever words are freque
 packed, an array for each part and batch, and end as sorted arrays in files of the shared folder,
 which the scoring workers map into memory.
 
-The order is 2: a higher one takes more disk for its counts than the input (most n-grams of three
-words occur once), and longer contexts are rarely seen again.
+The order is 2: by an estimate from a sample, where most n-grams of three words occur once, a higher
+one would take several times the input of disk for its counts.
 """
 
 from __future__ import annotations
