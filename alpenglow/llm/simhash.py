@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_row_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each key: of repeated rows the one of least text."""
-    order = Window.partitionBy(key).orderBy("text")
+def one_row_each(docs: DataFrame, *key: str) -> DataFrame:
+    """One row of each key (by default doc_id): of repeated rows the one of least text."""
+    order = Window.partitionBy(*key or ["doc_id"]).orderBy("text")
     return docs.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
