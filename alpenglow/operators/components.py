@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alpenglow.operators import local
-from alpenglow.plans.cut import written
+from alpenglow.plans.cut import drop_tables, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -44,6 +44,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", limit: int = 0) ->
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == state or not new[0]:
             break
-        state = tuple(new)
-        now = written(_star(_star(now, True), False), "links")
+        state, old = tuple(new), now
+        now = written(_star(_star(old, True), False), "links")
+        drop_tables(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
