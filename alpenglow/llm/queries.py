@@ -68,6 +68,31 @@ QUERIES = {
 }
 #: The others hash, learn, approximate or pack in an order; they are tested against brute force.
 SQL: dict[str, str] = {
+    "op2_suffix_dedup": """
+        WITH whole AS (
+            SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+        ), sized AS (
+            SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM whole
+        ), windows AS (
+            SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 200) AS w FROM sized, unnest(range(0, n_bytes - 99)) AS t(p)
+        ), repeated AS (
+            SELECT doc_id, p FROM (SELECT doc_id, p, min((doc_id, p)) OVER (PARTITION BY w) AS first FROM windows) WHERE first < (doc_id, p)
+        ), begun AS (
+            SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM repeated
+        ), runs AS (
+            SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM begun
+        ), spans AS (
+            SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run
+        ), gaps AS (
+            SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+        ), cut AS (
+            SELECT s.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+                string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept
+            FROM gaps g JOIN sized s ON s.doc_id = g.doc_id GROUP BY s.doc_id
+        )
+        SELECT s.doc_id, s.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM sized s LEFT JOIN cut c ON c.doc_id = s.doc_id
+    """,
     "op5_top_k": """
         WITH whole AS (
             SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS w FROM embeddings

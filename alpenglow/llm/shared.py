@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from alpenglow.plans.cut import drop, fresh, scratch, shared_folder, written
 
-def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a new local folder."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="alpenglow-")
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path below :func:`folder` that nothing uses yet."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["drop", "exists", "free_name", "fresh", "release", "scratch", "shared_folder", "written"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -28,11 +14,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there and it is computed once."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:

@@ -2,17 +2,19 @@
 
 A byte goes if it lies in a string of ``length`` bytes that also starts earlier. Every such string
 (a window) is owned by its anchor, the ``ANCHOR``-byte string of the least hash in it, so that equal
-windows have equal anchors at equal places. Anchors are at most some 1/35 of all bytes.
-
-1. The windows of one anchor make a block. Of equal blocks, by prefix polynomial hashes, only the
-   first stays in question; the others' windows are repeated. This is done within a batch and then
-   over all data, grouped by anchor.
-2. Where an anchor has differing blocks, their windows are suffixes to sort: segments of suffixes at
-   one distance from the anchor go through a mergesort that compares two suffixes by their common
-   extension, found from prefix polynomial hashes by binary search. Neighbours with a common
-   extension of ``length`` are equal, checked byte by byte; all but the first are repeated.
-3. An anchor with more than ``HOT`` differing blocks is split by window hash, after equal windows of
-   a batch are taken together, so that no task gets all of it.
+windows have equal anchors at equal places. The windows that follow each other under one anchor make
+a block. Hashes only bring together what may be equal; whether it is, the sort and the bytes decide.
+
+1. A slice of text gives its blocks. Those that look alike within the slice are sorted there as
+   suffixes, and all but the first of equal ones are settled as repeated. What anchors the others
+   have goes, packed, to buckets by anchor hash; a bucket finds the anchors that come more than once.
+2. The blocks of these are cut from their texts and dealt by anchor, ``HOT`` at most to a group. A
+   group sorts first its blocks, then the windows of the blocks that are left, by a mergesort that
+   compares two suffixes by their common extension, found from prefix polynomial hashes by binary
+   search. The order found and the equality of neighbours are checked byte by byte; a segment that a
+   hash collision put in a wrong order is sorted by its bytes. All but the first of equals go.
+3. Windows left over from an anchor of several groups are dealt once more by their hashes, so that
+   no task ever gets all of a frequent anchor.
 """
 
 from __future__ import annotations
@@ -22,37 +24,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alpenglow.functions.numbering import numbered
 from alpenglow.llm import shared
-from alpenglow.llm.vector import PrefixHash, mix, offsets, ragged, texts
+from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, texts, unpack
 
 LENGTH, ANCHOR = 100, 32
-#: Differing blocks of an anchor beyond which its windows are dealt by their hashes.
+#: Blocks of an anchor in a group.
 HOT = 4096
 #: Bytes of blocks sorted at once.
 SORTED = 1 << 20
-#: Bytes of text hashed at once; their arrays take some hundred times as much.
+#: Bytes of text hashed at once; their arrays take some hundred times as much. Longer texts are cut.
 SLICE = 1 << 19
 #: Text bytes of a partition at most, however few shuffle partitions are set.
 PARTITION = 64 << 20
+#: Blocks that a task gathers before it packs them.
+HELD = 1 << 20
 _POSITION = 28
-MARK = "doc long, start long, n int, d int, h long, blocks long"
+PACKED = ("<u8", "<i8", "<u4", "<u2", "<u2")  # h, doc, start, n, d
+MARKS = "doc long, start long, n long, d int, h long, share int"
 
 
 def blocks(flat: np.ndarray, doc_at: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor, for texts ``flat[doc_at[i]:doc_at[i+1]]``.
 
     Gives for each run its text, first window, number of windows, distance from there to the
-    anchor, and the hashes of the anchor and of the block (all bytes of its windows).
+    anchor, and the anchor's hash.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     windows = np.maximum(np.diff(doc_at) - length + 1, 0)
     if not windows.any():
         return none
-    first, second = PrefixHash(flat), PrefixHash(flat, 1)
+    first = PrefixHash(flat)
     n = len(flat) - anchor + 1
     at = np.arange(n, dtype=np.int64)
     low = np.uint64((1 << _POSITION) - 1)
@@ -70,9 +77,7 @@ def blocks(flat: np.ndarray, doc_at: np.ndarray, length: int, anchor: int) -> tu
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
     count = np.diff(np.r_[new, len(start)])
     begin, own = start[new], owner[new]
-    h = first.span(own, own + anchor)
-    whole = mix(second.span(begin, begin + count - 1 + length) ^ (own - begin).astype(np.uint64))
-    return text[new], begin - doc_at[text[new]], count, own - begin, h, whole
+    return text[new], begin - doc_at[text[new]], count, own - begin, first.span(own, own + anchor)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,24 +95,11 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], reach[last] - rank[last] * wide
 
 
-def _first_of(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first row of each key in the order of (doc, start), and of those strictly after their key's first."""
-    order = np.lexsort((start, doc, *keys))
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
-    new = np.r_[True, ~same][: len(order)]
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-    later = (doc[order] != doc[head]) | (start[order] != start[head])
-    return order[new], order[later]
-
-
-def _lcp(hashes: PrefixHash, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Common extension of the suffixes at x and y, up to ``most`` bytes, by binary search over prefix hashes."""
-    low, high = np.zeros(len(x), np.int64), np.full(len(x), most, np.int64)
-    todo = np.flatnonzero(hashes.equal_length(x, high) != hashes.equal_length(y, high))
-    low[high == most] = most
-    low[todo], high[todo] = 0, most - 1
+def _lcp(hashes: PrefixHash, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Common extension of the suffixes at x and y, up to ``most`` bytes of each, by binary search over prefix hashes."""
+    low, high = most.copy(), most - 1
+    todo = np.flatnonzero(hashes.equal_length(x, most) != hashes.equal_length(y, most))
+    low[todo] = 0
     while len(todo):
         mid = (low[todo] + high[todo] + 1) >> 1
         equal = hashes.equal_length(x[todo], mid) == hashes.equal_length(y[todo], mid)
@@ -117,11 +109,11 @@ def _lcp(hashes: PrefixHash, x: np.ndarray, y: np.ndarray, most: int) -> np.ndar
     return low
 
 
-def suffix_sort(flat: np.ndarray, hashes: PrefixHash, at: np.ndarray, segment: np.ndarray, most: int) -> np.ndarray:
+def suffix_sort(flat: np.ndarray, hashes: PrefixHash, at: np.ndarray, segment: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Stable mergesort of the suffixes ``at`` within their segments (sorted ids), on their first ``most`` bytes; the order.
 
-    All runs of all segments are merged at once: an element's new place is its rank in its own run
-    and, by binary search, in the run beside it.
+    ``most`` is one number in a segment. All runs of all segments are merged at once: an element's
+    new place is its rank in its own run and, by binary search, in the run beside it.
     """
     order = np.arange(len(at))
     if not len(at):
@@ -140,123 +132,251 @@ def suffix_sort(flat: np.ndarray, hashes: PrefixHash, at: np.ndarray, segment: n
         right = (run & 1).astype(bool)
         while len(act):
             mid = (low[act] + high[act]) >> 1
-            x, y = at[order[act]], at[order[base[act] + beside[act] + mid]]
-            common = _lcp(hashes, x, y, most)
-            cut = common < most
-            inner = np.minimum(common, most - 1)
-            before = np.where(cut, flat[y + inner] < flat[x + inner], right[act])  # the other stands before x
+            x, y, full = at[order[act]], at[order[base[act] + beside[act] + mid]], most[act]
+            common = _lcp(hashes, x, y, full)
+            inner = np.minimum(common, full - 1)
+            before = np.where(common < full, flat[y + inner] < flat[x + inner], right[act])  # the other stands before x
             low[act[before]] = mid[before] + 1
             high[act[~before]] = mid[~before]
             act = act[low[act] < high[act]]
         new = base + np.minimum(mine, np.where(n > 0, beside, mine)) + (place - mine) + low
-        moved = np.empty_like(order)
+        moved = order.copy()
         moved[new] = order
         order = moved
         width *= 2
     return order
 
 
-def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, d: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of all windows of the blocks that equal an earlier one of their group."""
+def _beside(flat: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings of equal sizes at x and y: which are equal, and which x stand after their y, byte by byte."""
+    equal, after = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    if not len(x):
+        return equal, after
+    for part in np.array_split(np.arange(len(x)), max(1, int(size.sum()) // SORTED)):
+        if not len(part):
+            continue
+        s = size[part]
+        if (s == s[0]).all():
+            every = np.lib.stride_tricks.sliding_window_view(flat, int(s[0]))
+            p, q = every[x[part]], every[y[part]]
+            first = (p != q).argmax(axis=1)
+            p, q = p[np.arange(len(part)), first], q[np.arange(len(part)), first]
+        else:
+            i, j = ragged(x[part], s), ragged(y[part], s)
+            bounds = offsets(s)
+            first = np.minimum.reduceat(np.where(flat[i] != flat[j], np.arange(len(i)), len(i)), bounds[:-1])
+            first = np.minimum(first, bounds[1:] - 1)
+            p, q = flat[i[first]], flat[j[first]]
+        equal[part], after[part] = p == q, p > q
+    return equal, after
+
+
+def classes(flat: np.ndarray, hashes: PrefixHash, at: np.ndarray, segment: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes within their segments, equal ones as given, and which equals the one before it.
+
+    Both are true of the bytes: where a collision of hashes has led the sort astray, bytes sort the segment.
+    """
+    order = suffix_sort(flat, hashes, at, segment, most)
+    equal = np.zeros(len(at), bool)
+    pair = np.flatnonzero(segment[1:] == segment[:-1])  # the order keeps every segment at its place
+    whole = np.bincount(order, minlength=len(at)) == 1
+    if whole.all():
+        equal[pair + 1], after = _beside(flat, at[order[pair]], at[order[pair + 1]], most[pair])
+        astray = np.unique(segment[pair[after]])
+    else:
+        equal[pair + 1], after = _beside(flat, at[order[pair]], at[order[pair + 1]], most[pair])
+        astray = np.unique(np.concatenate((segment[pair[after]], segment[~whole])))
+    for s in astray.tolist():
+        own = np.arange(np.searchsorted(segment, s), np.searchsorted(segment, s, "right"))
+        text = [flat[a : a + k].tobytes() for a, k in zip(at[own].tolist(), most[own].tolist())]
+        rank = sorted(range(len(own)), key=lambda k: (text[k], k))
+        order[own] = own[rank]
+        equal[own[1:]] = [text[a] == text[b] for a, b in zip(rank, rank[1:])]
+    return order, equal
+
+
+def _judged(flat: np.ndarray, hashes: PrefixHash, at: np.ndarray, keys: list[np.ndarray], most: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings ``flat[at:at+most]``: which are the first of their kind in the order of (doc, start), and which come after it.
+
+    Equal strings have equal ``keys``. A string that is given twice, at one place, is once neither.
+    """
+    order = np.lexsort((start, doc, *keys))
+    differs = np.zeros(max(len(order) - 1, 0), bool)
+    for k in keys:
+        differs |= k[order][1:] != k[order][:-1]
+    segment = np.cumsum(np.r_[True, differs])[: len(order)]
+    some = np.bincount(segment)[segment] > 1
+    first, later = np.ones(len(order), bool), np.zeros(len(order), bool)
+    order, segment = order[some], segment[some]
+    if len(order):
+        new, equal = classes(flat, hashes, at[order], segment, most[order])
+        order = order[new]
+        head = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))]
+        first[order] = ~equal
+        later[order] = equal & ((doc[order] != doc[head]) | (start[order] != start[head]))
+    return first, later
+
+
+def judge(group: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, d: np.ndarray, data: list[bytes], length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Blocks of ``n`` windows, in groups: the windows that equal an earlier one of their group as (doc, start, n), and the first ones as (block, place in it)."""
     flat = np.frombuffer(b"".join(data), np.uint8)
-    block_at = offsets(np.array([len(x) for x in data]))
-    block = np.repeat(np.arange(len(n)), n)
-    j = ragged(np.zeros(len(n), np.int64), n)
-    order = np.lexsort((start[block] + j, doc[block], d[block] - j, group[block]))
-    block, j = block[order], j[order]
-    key_a, key_b = group[block], d[block] - j
-    new = np.r_[True, (key_a[1:] != key_a[:-1]) | (key_b[1:] != key_b[:-1])]
-    segment = np.cumsum(new)
-    shared_ = np.bincount(segment)[segment] > 1
-    block, j, segment = block[shared_], j[shared_], segment[shared_]
-    at = block_at[block] + j
-    order = suffix_sort(flat, PrefixHash(flat), at, segment, length)
-    at, block, j, segment = at[order], block[order], j[order], segment[order]
-    beside = np.flatnonzero(segment[1:] == segment[:-1])
-    equal, claimed = np.zeros(len(at), bool), np.zeros(len(at), bool)
     hashes = PrefixHash(flat)
-    claim = hashes.equal_length(at[beside], np.full(len(beside), length)) == hashes.equal_length(at[beside + 1], np.full(len(beside), length))
-    claimed[beside[claim] + 1] = True
-    for part in np.array_split(beside[claim], max(1, int(claim.sum()) * length // SORTED)):
-        x = flat[at[part][:, None] + np.arange(length)]
-        equal[part + 1] = (x == flat[at[part + 1][:, None] + np.arange(length)]).all(axis=1)
-    if (claimed != equal).any():  # a collision: that segment is decided by its bytes
-        for s in np.unique(segment[claimed != equal]):
-            own = np.flatnonzero(segment == s)
-            own = own[np.lexsort((start[block[own]] + j[own], doc[block[own]]))]
-            seen: set[bytes] = set()
-            for k in own:
-                x = flat[at[k] : at[k] + length].tobytes()
-                equal[k] = x in seen
-                seen.add(x)
-    p = start[block] + j
-    if equal.any():  # a row given twice is not before itself
-        first = np.maximum.accumulate(np.where(~equal, np.arange(len(at)), 0))
-        equal &= (doc[block] != doc[block[first]]) | (p != p[first])
-    return doc[block[equal]], p[equal]
-
-
-def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc, doc_id, text, _0, ...)``; doc orders the documents. Where ids repeat, or are null, doc is made from id and text."""
+    at = offsets(n + (length - 1))[:-1]
+    first, later = _judged(flat, hashes, at, [n, d, group], n + (length - 1), doc, start)
+    gone = [(doc[later], start[later], n[later])]
+    left = np.flatnonzero(first)
+    block = np.repeat(left, n[left])
+    j = ragged(np.zeros(len(left), np.int64), n[left])
+    first, later = _judged(flat, hashes, at[block] + j, [d[block] - j, group[block]], np.full(len(block), length), doc[block], start[block] + j)
+    gone.append((doc[block[later]], start[block[later]] + j[later], np.ones(int(later.sum()), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*gone)), (block[first], j[first])
+
+
+class Repeats:
+    """Anchors that a bucket has met: how often, and of one met once its only block."""
+
+    def __init__(self):
+        self.known = [np.zeros(0, k) for k in PACKED]
+        self.count = np.zeros(0, np.int64)
+
+    def add(self, *new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The blocks (h, doc, start, n, d) that can now be told to share their anchor, each once, and their numbers under the anchor."""
+        order = np.argsort(new[0], kind="stable")
+        new = [x[order] for x in new]
+        u, head, size = np.unique(new[0], return_index=True, return_counts=True)
+        at = np.searchsorted(self.known[0], u)
+        old = np.zeros(len(u), bool)
+        old[at < len(self.count)] = self.known[0][at[at < len(self.count)]] == u[at < len(self.count)]
+        before = np.zeros(len(u), np.int64)
+        before[old] = self.count[at[old]]
+        told = np.repeat(before + size > 1, size)
+        number = np.repeat(before, size) + np.arange(len(order)) - np.repeat(head, size)
+        once = at[old & (before == 1)]
+        out = [np.concatenate((k[once], x[told])) for k, x in zip(self.known, new)]
+        number = np.concatenate((np.zeros(len(once), np.int64), number[told]))
+        self.count[at[old]] += size[old]
+        fresh = head[~old]
+        order = np.argsort(np.concatenate((self.known[0], u[~old])), kind="stable")
+        self.known = [np.concatenate((k, x[fresh]))[order] for k, x in zip(self.known, new)]
+        self.count = np.concatenate((self.count, size[~old]))[order]
+        return (*out, number)
+
+
+def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc, doc_id, text, _0, ...)`` and the distinct documents ``(doc, text)``; doc orders them.
+
+    Where ids repeat, or are null, doc numbers the distinct ids and texts in their order, nulls first.
+    """
     names = [f"_{i}" for i in range(len(carry))]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
     n, ids, null = rows.agg(F.count(F.lit(1)), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if n == ids and not null:
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text", *names)
-    each = rows.select("doc_id", "text").distinct().withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    most = each.agg(F.max("k")).first()[0] or 1
-    least = rows.agg(F.min("doc_id")).first()[0] or 0
-    each = each.withColumn("doc", F.coalesce("doc_id", F.lit(least - 1)) * most + F.col("k"))
-    return rows.alias("r").join(each.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("r.text").eqNullSafe(F.col("e.text"))).select("e.doc", *[F.col(f"r.{c}") for c in rows.columns])
+        rows = rows.select(F.col("doc_id").alias("doc"), "doc_id", "text", *names)
+        return rows, rows
+    each = shared.written(numbered(rows.select("doc_id", "text").distinct(), ["doc_id", "text"], "doc"), "documents")
+    rows = rows.alias("r").join(each.alias("e"), F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("r.text").eqNullSafe(F.col("e.text")))
+    return rows.select("e.doc", "r.doc_id", "r.text", *[f"r.{c}" for c in names]), each.select("doc", "text")
+
+
+def _slices(ids: np.ndarray, raw: list[bytes], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts in pieces of at most SLICE windows, a slice's worth at a time: their ids, places and bytes."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, x in zip(ids.tolist(), raw):
+        for a in range(0, max(len(x) - overlap, 0), SLICE):
+            held.append((i, a, x[a : a + SLICE + overlap]))
+            size += len(held[-1][2])
+            if size >= SLICE:
+                yield tuple(map(np.array, (list(zip(*held))[:2]))) + ([h[2] for h in held],)
+                held, size = [], 0
+    if held:
+        yield tuple(map(np.array, (list(zip(*held))[:2]))) + ([h[2] for h in held],)
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    """Columns of ``names``; None is null. Whole numbers become 64 bits wide but for those called d or share."""
+    n = next(len(c) for c in columns if c is not None)
+    kind = lambda c: pa.binary() if c == "data" else pa.int32() if c in ("d", "share") else pa.int64()
+    return pa.RecordBatch.from_arrays([pa.nulls(n, kind(c)) if x is None else pa.array(x, kind(c)) for c, x in zip(names.split(), columns)], names=names.split())
 
 
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc, doc_id, text, _0, ..., spans array<struct<start, end>>)``: byte intervals that go, and the columns ``carry``."""
     spark = docs.sparkSession
-    keyed = _keyed(docs, carry)
-    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(given, -(-int(size) // PARTITION))
+    rows, each = _keyed(docs, carry)
+    size = each.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks packed for each bucket; windows settled within a slice, packed for any."""
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
+
+        def packed(columns: list[np.ndarray], settled: bool) -> pa.RecordBatch:
+            to = part_of(columns[0], partitions).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
+            ends = np.r_[cut[1:], len(to)].astype(np.int64)
+            data = [pack(*(c[a:b].astype(k) for c, k in zip(columns, PACKED))) for a, b in zip(cut.tolist(), ends.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(np.full(len(cut), settled)), pa.array(data, pa.binary())], names=["bucket", "settled", "data"])
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            order = np.argsort(columns[0], kind="stable")
+            return packed([c[order] for c in columns], False)
+
         for batch, raw in texts(batches, size=SLICE):
-            flat = np.frombuffer(b"".join(raw), np.uint8)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            text, start, n, d, h, whole = blocks(flat, offsets(np.array([len(x) for x in raw])), length, anchor)
-            doc = ids[text]
-            first, later = _first_of([h, whole], doc, start)
-            yield _marks(doc[first], start[first], n[first], d[first], h[first], whole[first])
-            gone, a, b = _merged(doc[later], start[later], start[later] + n[later] - 1 + length)
-            yield _marks(gone, a, b - a - length + 1)
-
-    def _marks(doc, start, n, d=None, h=None, whole=None) -> pa.RecordBatch:
-        """Blocks in question; without ``d``, windows that are settled as repeated, dealt out by a hash of their own."""
-        if d is None:
-            d, whole = np.full(len(doc), -1), np.zeros(len(doc), np.uint64)
-            h = mix(np.asarray(doc).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(start).astype(np.uint64))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(d, pa.int32()), pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.asarray(d) < 0)],
-            names=["doc", "start", "n", "d", "h", "whole", "settled"],
-        )
-
-    found = keyed.select("doc", "text").mapInArrow(anchors, "doc long, start long, n int, d int, h long, whole long, settled boolean")
-    # one shuffle and one sort serve both windows
-    same, all_ = Window.partitionBy("h", "settled", "whole").orderBy("doc", "start"), Window.partitionBy("h", "settled")
-    here = F.struct("doc", "start")
-    ranked = (
-        (found.repartition("h", "settled") if partitions == given else found.repartition(partitions, "h", "settled"))
-        .withColumn("first", F.first(here).over(same))
-        .withColumn("head", F.row_number().over(same) == 1)
-        .withColumn("blocks", F.count_if("head").over(all_))
-    )
-    settled = F.col("settled") | (here != F.col("first"))
-    marks = ranked.where(settled | (F.col("head") & (F.col("blocks") > 1))).select("doc", "start", "n", F.when(~settled, F.col("d")).alias("d"), F.when(~settled, F.col("h")).alias("h"), F.when(~settled, F.col("blocks")).alias("blocks"))
-    marks = shared.written(marks, "marks")
+            for ids, base, pieces in _slices(batch.column(0).to_numpy(zero_copy_only=False), raw, length - 1):
+                flat, at = np.frombuffer(b"".join(pieces), np.uint8), offsets(np.array([len(x) for x in pieces]))
+                text, start, n, d, h = blocks(flat, at, length, anchor)
+                doc, place = ids[text], base[text] + start
+                first, later = _judged(flat, PrefixHash(flat), at[text] + start, [n, d, h], n + (length - 1), doc, place)
+                held.append((h[first], doc[first], place[first], n[first], d[first]))
+                count += len(held[-1][0])
+                if later.any():
+                    gone, a, b = _merged(doc[later], place[later], place[later] + n[later] + (length - 1))
+                    b = b - (length - 1)
+                    for k in range(0, int((b - a).max()), 60_000):  # a packed number of windows has 16 bits
+                        some = b - a > k
+                        g, a_, n_ = gone[some], a[some] + k, np.minimum(b[some] - a[some] - k, 60_000)
+                        key = mix(g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + a_.astype(np.uint64))
+                        order = np.argsort(key)
+                        yield packed([c[order] for c in (key, g, a_, n_, np.zeros(len(g), np.int64))], True)
+                if count >= HELD:
+                    yield flush()
+                    held, count = [], 0
+        if held:
+            yield flush()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks whose anchor comes more than once, with their shares of it; settled windows pass through."""
+        names, met = "doc start n d h share", Repeats()
+        held: list[list[np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            h, doc, start, n, d, number = met.add(*(np.concatenate(x) for x in zip(*held)))
+            return _batch(names, doc, start, n, d, h.view(np.int64), number // HOT)
+
+        for batch in batches:
+            for settled, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+                part = unpack(data.as_py(), *PACKED)
+                if settled:
+                    yield _batch(names, part[1], part[2], part[3], None, None, None)
+                else:
+                    held.append(part)
+            if sum(len(p[0]) for p in held) >= HELD:
+                yield told()
+                held = []
+        if held:
+            yield told()
+
+    found = each.select("doc", "text").mapInArrow(anchors, "bucket int, settled boolean, data binary")
+    marks = shared.written(found.repartitionById(partitions, F.col("bucket")).mapInArrow(gather, MARKS), "marks")
     shared.release(spark)
 
-    # shuffled once: both joins below read it, so both take all its columns into Python
-    dealt = keyed.repartition(partitions, "doc")
-    ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "blocks")).alias("ask"))
+    # mostly shuffled once: where all ids differ, both joins below read it, so both take all its columns into Python
+    dealt = rows.repartition(partitions, "doc")
+    texts_ = dealt if each is rows else each.repartition(partitions, "doc")
+    ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "share")).alias("ask"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches, size=SLICE):
@@ -267,75 +387,77 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
             lists = asked.take(pa.array(has))
             part = lists.flatten()
             of = np.repeat(has, np.asarray(lists.value_lengths()))
-            start, n, d, h, blocks_ = (part.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+            start, n, d, h, share = (part.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
             doc = batch.column(0).to_numpy(zero_copy_only=False)[of]
-            cold = np.flatnonzero(blocks_ <= HOT)
-            data = [raw[t][a : a + k - 1 + length] for t, a, k in zip(of[cold].tolist(), start[cold].tolist(), n[cold].tolist())]
-            yield _rows(h[cold], doc[cold], start[cold], n[cold], d[cold], data)
-            hot = np.flatnonzero(blocks_ > HOT)
-            if len(hot):
-                each = np.repeat(hot, n[hot])
-                j = ragged(np.zeros(len(hot), np.int64), n[hot])
-                flat, at = np.frombuffer(b"".join(raw), np.uint8), offsets(np.array([len(x) for x in raw]))
-                p = start[each] + j
-                begin = at[of[each]] + p
-                w = PrefixHash(flat, 1).span(begin, begin + length)
-                first, later = _first_of([h[each], d[each] - j, w], doc[each], p)
-                gone, a, b = _merged(doc[each[later]], p[later], p[later] + length)
-                yield _rows(None, gone, a, b - a - length + 1, None, None)
-                shares = np.maximum(blocks_[each[first]] // 64, 1).astype(np.uint64)
-                key = mix(h[each[first]].view(np.uint64) + np.uint64(1) + w[first] % shares).view(np.int64)
-                data = [flat[x : x + length].tobytes() for x in begin[first].tolist()]
-                yield _rows(key, doc[each[first]], p[first], np.ones(len(first), np.int64), (d[each] - j)[first], data)
-
-    def _rows(key, doc, start, n, d, data) -> pa.RecordBatch:
-        none = lambda kind: pa.nulls(len(doc), kind)
-        return pa.RecordBatch.from_arrays(
-            [none(pa.int64()) if key is None else pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), none(pa.int32()) if d is None else pa.array(d, pa.int32()), none(pa.binary()) if data is None else pa.array(data, pa.binary())],
-            names=["key", "doc", "start", "n", "d", "data"],
-        )
+            # a group's key: shares of one anchor are apart, and mixing leaves them evenly spread
+            key = mix(h.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            for k in range(0, len(of), HOT):
+                s = slice(k, k + HOT)
+                data = [raw[t][a : a + m - 1 + length] for t, a, m in zip(of[s].tolist(), start[s].tolist(), n[s].tolist())]
+                yield _batch("key doc start n d share data", key[s], doc[s], start[s], n[s], d[s], share[s], data)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def settle(rows: pa.Table) -> pa.RecordBatch:
-            cols = {c: rows.column(c).to_numpy() for c in ("key", "doc", "start", "n", "d")}
-            doc, p = repeated_windows(cols["key"], cols["doc"], cols["start"], cols["n"].astype(np.int64), cols["d"].astype(np.int64), rows.column("data").to_pylist(), length)
-            doc, a, b = _merged(doc, p, p + length)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b - a - length + 1, pa.int32())], names=["doc", "start", "n"])
-
+        """Settles groups; of an anchor's several groups the first windows go on, by their own hashes."""
+        for rows in _whole_groups(batches):
+            key, doc, start, n, d, share = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "start", "n", "d", "share"))
+            data = rows.column("data").to_pylist()
+            gone, (block, j) = judge(key, doc, start, n, d, data, length)
+            of, a, b = _merged(gone[0], gone[1], gone[1] + gone[2] + (length - 1))
+            yield _batch("key doc start n data", None, of, a, b - a - (length - 1), None)
+            _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+            several = ((share > 0) | (size[group] >= HOT))[block]
+            if several.any():
+                block, j = block[several], j[several]
+                each = [data[b][a : a + length] for b, a in zip(block.tolist(), j.tolist())]
+                at = np.arange(len(each)) * length
+                w = PrefixHash(np.frombuffer(b"".join(each), np.uint8)).span(at, at + length)
+                yield _batch("key doc start n data", w.view(np.int64), doc[block], start[block] + j, np.ones(len(block), np.int64), each)
+
+    def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same for single windows in the order of (key, doc, start); a group longer than a batch leaves its first windows for the next."""
+        left: pa.Table | None = None
         for batch in batches:
-            key = batch.column(0)
-            done = batch.filter(key.is_null())
-            if done.num_rows:
-                yield done.select(["doc", "start", "n"])
-            batch = batch.filter(key.is_valid())
-            if not batch.num_rows:
-                continue
-            # cut the batch at key changes into runs of about SORTED bytes
-            k = batch.column(0).to_numpy()
-            ends = np.r_[np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
-            sizes = np.cumsum(batch.column(3).to_numpy().astype(np.int64) + length)
-            a = 0
-            for e in ends.tolist():
-                if a < e and held and held[-1].column(0)[-1].as_py() != k[a] and size >= SORTED:
-                    yield settle(pa.Table.from_batches(held))
-                    held, size = [], 0
-                if sizes[e - 1] - (sizes[a - 1] if a else 0) >= SORTED or e == len(k):
-                    held.append(batch.slice(a, e - a))
-                    size += int(sizes[e - 1] - (sizes[a - 1] if a else 0))
-                    a = e
-        if held:
-            yield settle(pa.Table.from_batches(held))
-
-    blocks_ = dealt.join(ask, "doc", "left").mapInArrow(extract, "key long, doc long, start long, n int, d int, data binary")
-    sorted_ = blocks_.repartition(partitions, F.coalesce("key", "doc")).sortWithinPartitions("key").mapInArrow(sort, "doc long, start long, n int")
-    gone = marks.where("h is null").select("doc", "start", "n").union(sorted_)
+            rows = pa.Table.from_batches([batch])
+            if left is not None:
+                last = left.filter(pa.compute.equal(left.column("key"), rows.column("key")[0]))
+                rows = pa.concat_tables([last, rows])
+            key, doc, start = (rows.column(c).to_numpy() for c in ("key", "doc", "start"))
+            none = np.zeros(len(key), np.int64)
+            gone, (block, _) = judge(key, doc, start, none + 1, none, rows.column("data").to_pylist(), length)
+            of, a, b = _merged(gone[0], gone[1], gone[1] + gone[2] + (length - 1))
+            yield _batch("doc start n", of, a, b - a - (length - 1))
+            left = rows.take(pa.array(np.sort(block[key[block] == key[-1]])))
+
+    pieces = texts_.join(ask, "doc", "left").mapInArrow(extract, "key long, doc long, start long, n long, d int, share int, data binary")
+    judged = pieces.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(sort, "key long, doc long, start long, n long, data binary")
+    judged = shared.written(judged, "judged")
+    spread = judged.where("key is not null").select("key", "doc", "start", "data").repartition(partitions, "key").sortWithinPartitions("key", "doc", "start")
+    gone = marks.where("h is null").select("doc", "start", "n").union(judged.where("key is null").select("doc", "start", "n")).union(spread.mapInArrow(sort_windows, "doc long, start long, n long"))
     per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
     return dealt.join(per_doc, "doc", "left")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in the order of ``key``, cut and joined at changes of the key to tables of about SORTED bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("data"))))
+        a = 0
+        for e in ends:
+            if a < e and held and size >= SORTED and held[-1].column(0)[-1].as_py() != key[a]:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            if sizes[e - 1] - (sizes[a - 1] if a else 0) >= SORTED or e == len(key):
+                held.append(batch.slice(a, e - a))
+                size += int(sizes[e - 1] - (sizes[a - 1] if a else 0))
+                a = e
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _union(given: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s in sorted((x["start"], x["end"]) for x in given or ()):

@@ -86,6 +86,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total, dtype=shift.dtype if total else np.int64)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as byte planes, of which the even ones compress well."""
+    return len(arrays[0]).to_bytes(8, "little") + b"".join(a[:, None].view(np.uint8).T.tobytes() for a in map(np.ascontiguousarray, arrays))
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of :func:`pack`, of these types."""
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for kind in map(np.dtype, kinds):
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(planes.T.copy().view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of equal shares of the hash range (uint64), in order."""
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]]; empty segments give 0."""
     sums = np.zeros(len(bounds) - 1, values.dtype)
