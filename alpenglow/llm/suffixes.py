@@ -43,7 +43,7 @@ SLICE = 1 << 19
 #: Text bytes of a partition at most, however few shuffle partitions are set.
 PARTITION = 64 << 20
 #: Blocks that a task gathers before it packs them.
-HELD = 1 << 20
+HELD = 1 << 19
 _POSITION = 28
 PACKED = ("<u8", "<i8", "<u4", "<u2", "<u2")  # h, doc, start, n, d
 MARKS = "doc long, start long, n long, d int, h long, share int"
@@ -373,20 +373,13 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     marks = shared.written(found.repartitionById(partitions, F.col("bucket")).mapInArrow(gather, MARKS), "marks")
     shared.release(spark)
 
-    # mostly shuffled once: where all ids differ, both joins below read it, so both take all its columns into Python
-    dealt = rows.repartition(partitions, "doc")
-    texts_ = dealt if each is rows else each.repartition(partitions, "doc")
     ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "share")).alias("ask"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches, size=SLICE):
-            asked = batch.column(batch.num_columns - 1)
-            has = np.flatnonzero(np.asarray(asked.is_valid()))
-            if not len(has):
-                continue
-            lists = asked.take(pa.array(has))
+            lists = batch.column(2)
             part = lists.flatten()
-            of = np.repeat(has, np.asarray(lists.value_lengths()))
+            of = np.repeat(np.arange(len(raw)), np.asarray(lists.value_lengths()))
             start, n, d, h, share = (part.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
             doc = batch.column(0).to_numpy(zero_copy_only=False)[of]
             # a group's key: shares of one anchor are apart, and mixing leaves them evenly spread
@@ -428,13 +421,15 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
             yield _batch("doc start n", of, a, b - a - (length - 1))
             left = rows.take(pa.array(np.sort(block[key[block] == key[-1]])))
 
-    pieces = texts_.join(ask, "doc", "left").mapInArrow(extract, "key long, doc long, start long, n long, d int, share int, data binary")
+    pieces = each.select("doc", "text").repartition(partitions, "doc").join(ask, "doc").mapInArrow(extract, "key long, doc long, start long, n long, d int, share int, data binary")
     judged = pieces.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(sort, "key long, doc long, start long, n long, data binary")
     judged = shared.written(judged, "judged")
+    shared.release(spark)
     spread = judged.where("key is not null").select("key", "doc", "start", "data").repartition(partitions, "key").sortWithinPartitions("key", "doc", "start")
     gone = marks.where("h is null").select("doc", "start", "n").union(judged.where("key is null").select("doc", "start", "n")).union(spread.mapInArrow(sort_windows, "doc long, start long, n long"))
     per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
-    return dealt.join(per_doc, "doc", "left")
+    # shuffled again rather than kept from the first join: what that one wrote is gone by now
+    return rows.repartition(partitions, "doc").join(per_doc, "doc", "left")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
