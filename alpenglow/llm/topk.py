@@ -3,30 +3,40 @@
 A vector's components, as integers, are the weights of its terms. Each block of candidates is an
 inverted list for every term; a block of queries takes the terms one at a time and scatters its
 weighted postings into a dense array of scores. Partition selection leaves each block's best, which
-are merged within the task and then over all tasks. Queries are sent to the executors in chunks of
-a bounded number of rows; each chunk passes over all candidates.
+are merged within the task and then over all tasks. Query blocks are files in the shared folder that
+the executors write and map, so queries never pass the driver; every chunk of candidates is read
+once and meets one block of queries after another.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alpenglow.llm import files, shared
 from alpenglow.llm.vectors import matrix, topped, usable
 
-#: Queries sent to the executors at once.
+#: Query rows of a file, about.
 CHUNK = 16_384
-BLOCK, QUERIES = 4096, 512
-#: Weights saturate here, so that scores of up to 2^13 terms fit into 64 bits.
-MOST = 1 << 25
+#: Candidates that meet all queries together; candidates and queries of one array of scores.
+CANDIDATES, BLOCK, QUERIES = 65_536, 4096, 512
+LONG = np.iinfo(np.int64)
 
 
 def weights(vectors: np.ndarray, scale: int = 256) -> np.ndarray:
-    return np.clip(np.floor(vectors * scale), -MOST, MOST).astype(np.int64)
+    """floor(scale * x) as 64-bit integers, or as Python's whole numbers where one doesn't fit into 62 bits."""
+    with np.errstate(over="ignore"):
+        x = np.floor(vectors * scale)
+    if not x.size or np.abs(x).max() < 2.0**62:
+        return x.astype(np.int64)
+    big = [scale * int(v) if abs(v) > 2.0**60 else math.floor(v * scale) for v in vectors.ravel().tolist()]
+    return np.array([*big, None], object)[:-1].reshape(x.shape)
 
 
 def postings(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -38,11 +48,15 @@ def postings(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _most(w: np.ndarray) -> int:
+    return max(int(w.max()), -int(w.min())) if w.size else 0
+
+
 def accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Scores of n candidates for each query row."""
-    most = int(np.abs(queries).max(initial=0)) * max((int(np.abs(w).max(initial=0)) for _, w in lists), default=0) * max(1, len(lists))
-    kind = np.int32 if most < 1 << 31 else np.int64
-    scores = np.zeros((len(queries), n), kind)
+    """Scores of n candidates for each query row: 32 or 64 bits wide, or whole numbers of any size where sums may need more."""
+    most = _most(queries) * max((_most(w) for _, w in lists), default=0) * max(1, len(lists))
+    kind = np.int32 if most < 1 << 31 else np.int64 if most < 1 << 63 else object
+    scores = np.full((len(queries), n), 0, kind)
     for t, (rows, w) in enumerate(lists[: queries.shape[1]]):
         own = np.flatnonzero(queries[:, t])
         if not len(own) or not len(rows):
@@ -58,57 +72,86 @@ def accumulate(queries: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]],
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of one block for each query: (place of query, id, score)."""
-    order = np.argsort(ids, kind="stable")
-    ids, w = ids[order], w[order]
-    n = len(ids)
-    lists = postings(w)
-    out = []
+    """The k best candidates of one block for each query: (place of query, id, score); ties to the smaller id."""
+    n, lists, out = len(ids), postings(w), []
     for a in range(0, len(queries), QUERIES):
-        scores = accumulate(queries[a : a + QUERIES], lists, n).astype(np.int64)
-        key = scores * n + np.arange(n - 1, -1, -1)  # ties to the smaller id
+        scores = accumulate(queries[a : a + QUERIES], lists, n)
         own = ids == query_ids[a : a + QUERIES, None]
-        key[own] = np.iinfo(np.int64).min
-        at = np.argpartition(key, n - min(k, n), axis=1)[:, n - min(k, n) :]
-        q = np.repeat(np.arange(len(at)), at.shape[1])
-        at = at.ravel()
-        ok = ~own[q, at]
-        out.append((q[ok] + a, ids[at[ok]], scores[q[ok], at[ok]]))
+        if scores.dtype == object:
+            q, at = np.nonzero(~own)
+        else:
+            scores[own] = np.iinfo(scores.dtype).min  # no score: sums stay above it
+            m = min(k, n)
+            q, at = np.nonzero((scores >= np.partition(scores, n - m, axis=1)[:, n - m, None]) & ~own)
+        out.append(_best_of(q + a, ids[at], scores[q, at] if scores.dtype == object else scores[q, at].astype(np.int64), k))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if score.dtype != object:
+        q, v, negative = topped(query, ids, -score, k)
+        return q, v, -negative
+    each = sorted(set(score.tolist()), reverse=True)
+    place = {s: i for i, s in enumerate(each)}
+    q, v, rank = topped(query, ids, np.array([place[s] for s in score.tolist()], np.int64), k)
+    return q, v, np.array([*(each[i] for i in rank.tolist()), None], object)[:-1]
+
+
+def _order_key(score: int) -> bytes | None:
+    """Of a score near or beyond the bounds of 64 bits, bytes that are ordered like the numbers."""
+    return (score + (1 << 2111)).to_bytes(264, "big") if abs(score) >= 1 << 62 else None
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k candidates of highest integer inner product.
 
     Both tables have vec_id and embedding. Vectors that are null or hold null or non-finite
     components take no part; vectors of other lengths count as filled with zeros. Candidates with
     the query's own vec_id are left out; other repeated rows are candidates each. Of query rows
-    with one vec_id the one of least components stands. Ties go to the smaller vec_id. Empty
-    tables, or a query without candidates, give no rows; extra columns are not read.
+    with one vec_id the one of least components stands. Ties go to the smaller vec_id. All ranks
+    are those of the exact scores; a score outside 64 bits is given as the nearest 64-bit number.
+    Empty tables, or a query without candidates, give no rows; extra columns are not read.
     """
     spark = candidates.sparkSession
     rows = usable(candidates)
-    asked = usable(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = shared.written(usable(queries).groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
     chunks = max(1, -(-asked.count() // CHUNK))
-    found = None
-    for c in range(chunks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").toArrow()  # about CHUNK rows
-        ids, w = np.asarray(part.column("vec_id")), weights(matrix(part.column("vec").combine_chunks()), scale)
-        sent = spark.sparkContext.broadcast((ids, w))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, q = sent.value
-            top = tuple(np.zeros(0, np.int64) for _ in range(3))
-            for batch in batches if len(query_ids) else ():
-                for a in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(a, BLOCK)
-                    x = weights(matrix(part.column(1)), scale)
-                    new = best(q, query_ids, part.column(0).to_numpy(), x, k)
-                    place, vec, neg = topped(*(np.concatenate((s, t)) for s, t in zip(top, (new[0], new[1], -new[2]))), k)
-                    top = place, vec, neg
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[top[0]], pa.int64()), pa.array(top[1], pa.int64()), pa.array(-top[2], pa.int64())], names=["query_id", "vec_id", "score"])
-
-        some = rows.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = some if found is None else found.union(some)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    folder = shared.fresh(spark, "query-blocks")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One file a partition; a task that runs again writes the same rows again."""
+        held = pa.Table.from_batches(list(batches), schema=pa.schema([("vec_id", pa.int64()), ("vec", pa.list_(pa.float64()))]))
+        if held.num_rows:
+            name = f"{folder}/{TaskContext.get().partitionId()}"
+            files.save(f"{name}-vec.npy", matrix(held.column("vec").combine_chunks()))
+            files.save(f"{name}-id.npy", np.asarray(held.column("vec_id")))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()])], names=["block"])
+
+    dealt = asked.repartition(chunks, "vec_id").sortWithinPartitions("vec_id").mapInArrow(save, "block long")
+    blocks = sorted(r[0] for r in dealt.collect())  # a number for each CHUNK queries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(part)
+            x, ids = weights(matrix(table.column(1).combine_chunks()), scale), np.asarray(table.column(0))
+            for b in blocks:
+                q, query_ids = weights(np.asarray(files.load(f"{folder}/{b}-vec.npy")), scale), np.asarray(files.load(f"{folder}/{b}-id.npy"))
+                found = [best(q, query_ids, ids[a : a + BLOCK], x[a : a + BLOCK], k) for a in range(0, len(ids), BLOCK)]
+                place, vec, score = _best_of(*(np.concatenate(c) for c in zip(*found)), k)
+                whole = score.tolist()
+                near = whole if score.dtype != object else [min(max(s, LONG.min), LONG.max) for s in whole]
+                key = [_order_key(s) for s in whole]
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[place], pa.int64()), pa.array(vec, pa.int64()), pa.array(near, pa.int64()), pa.array(key, pa.binary())], names=["query_id", "vec_id", "score", "exact"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CANDIDATES:
+                yield from met(held)
+                held = []
+        if held and sum(b.num_rows for b in held):
+            yield from met([b for b in held if b.num_rows])
+
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score long, exact binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import types as T
@@ -33,6 +35,31 @@ def test_top_k_is_exact(table):
     assert topk.search(df.limit(0), df.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.3e5, 1e6, 1e9, 1e18, 1e300])
+def test_top_k_of_large_components(spark, monkeypatch, scale):
+    """Whole numbers of any size are ranked exactly; queries come in several blocks, candidates in several chunks."""
+    monkeypatch.setattr(topk, "CHUNK", 2)
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 24)) * scale
+    x[5], x[9] = x[100], x[150] * 1e-9
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    w = [[256 * int(v) if abs(v) > 2**60 else math.floor(256 * v) for v in r] for r in x.tolist()]
+    want = []
+    for q in range(0, 300, 50):
+        s = {j: sum(a * b for a, b in zip(w[q], w[j])) for j in range(300) if j != q}
+        best = sorted(s, key=lambda j: (-s[j], j))[:5]  # noqa: B023
+        want += [(q, r + 1, j, min(max(s[j], -(2**63)), 2**63 - 1)) for r, j in enumerate(best)]
+    assert sorted(map(tuple, topk.search(df, df.where("vec_id % 50 = 0")).collect())) == want
+
+
+def test_many_ties_go_to_the_smallest_ids(spark):
+    df = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(9000)], "vec_id long, embedding array<double>").repartition(3)
+    got = topk.search(df, df.where("vec_id in (0, 2)"))
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id").collect())) == [(0, r, r) for r in range(1, 6)] + [(2, r, v) for r, v in enumerate((0, 1, 3, 4, 5), 1)]
+
+
 def test_sparse_rows_scatter():
     rng = np.random.default_rng(2)
     w = rng.integers(-3, 4, (200, 30)) * (rng.random((200, 30)) < 0.2)
