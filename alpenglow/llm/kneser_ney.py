@@ -1,13 +1,13 @@
 """Operator 7: an interpolated modified Kneser-Ney model, counted in Spark, kept as sorted hash arrays.
 
-Words are hashed to 64 bits; a word's id is its rank among all training words' hashes. N-grams of
-two words are hashed, by a bijection of their pair of ids, to 64 bits too. Both kinds of hash are
-evenly spread, so parts by their leading bits are even whatever words are frequent. Counts travel
+Words are hashed to 64 bits, and their bytes kept beside the hashes, so that words of one hash stay
+apart. A word's id is its rank among all training words in the order of hash and bytes. N-grams of
+two words are hashed by their pair of ids, without collisions up to 2^32 words. Both kinds of hash
+are evenly spread, so parts by their leading bits are even whatever words are frequent. Counts travel
 packed, an array for each part and batch, and end as sorted arrays in files of the shared folder,
 which the scoring workers map into memory.
 
-The order is 2: by an estimate from a sample, where most n-grams of three words occur once, a higher
-one would take several times the input of disk for its counts.
+The order is 2: the README has what counting of n-grams of three words takes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alpenglow.llm import files, shared
-from alpenglow.llm.vector import MIX, PrefixHash, mix, offsets, segment_sum, texts
+from alpenglow.llm.bpe import unique_words
+from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, segment_sum, texts, unpack
 
 #: Text bytes for one part of the model.
 PART_BYTES = 12 << 20
@@ -34,49 +35,44 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PACKED = "part int, kind int, data binary"
 
 
-def unmix(h: np.ndarray) -> np.ndarray:
-    """Inverse of :func:`mix`."""
-    h = h ^ (h >> np.uint64(33))
-    h *= np.uint64(pow(MIX[1], -1, 1 << 64))
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(pow(MIX[0], -1, 1 << 64))
-    h ^= h >> np.uint64(33)
-    return h
+@dataclass
+class Tokens:
+    """Words in ``flat``, each text's end (of length 0) after its last: hashes, places, and the texts' bounds ``at``."""
+
+    flat: np.ndarray
+    hash: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    at: np.ndarray
 
 
-def tokens(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every text's words and of its end, and the texts' bounds."""
+def tokens(docs: list[bytes]) -> Tokens:
     flat = np.frombuffer(b"".join(d.lower() + b"\n" for d in docs), np.uint8)
     edge = np.flatnonzero(np.diff(np.r_[False, ~_SPACE[flat], False]))
     start, end = edge[::2], edge[1::2]
     doc_at = offsets(np.array([len(d) + 1 for d in docs]))
-    n = np.diff(np.searchsorted(start, doc_at))
-    at = offsets(n + 1)
-    out = np.full(at[-1], END)
+    at = offsets(np.diff(np.searchsorted(start, doc_at)) + 1)
     is_word = np.ones(at[-1], bool)
     is_word[at[1:] - 1] = False
-    out[is_word] = PrefixHash(flat).span(start, end)
-    return out, at
-
-
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Parts of equal shares of the hash range, in order."""
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-
-
-def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted keys and their values as byte planes, of which the even ones compress well."""
-    planes = lambda a: a[:, None].view(np.uint8).T.tobytes()
-    return len(keys).to_bytes(8, "little") + planes(keys.astype(np.uint64)) + b"".join(planes(v.astype(np.uint32)) for v in values)
+    out = Tokens(flat, np.full(at[-1], END), np.zeros(at[-1], np.int64), np.zeros(at[-1], np.int64), at)
+    out.hash[is_word], out.start[is_word], out.length[is_word] = PrefixHash(flat).span(start, end), start, end - start
+    return out
 
 
-def unpack(data: bytes, n_values: int) -> list[np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(data, np.uint8, offset=8)
-    out = [raw[: 8 * n].reshape(8, n).T.copy().view(np.uint64).ravel()]
-    for k in range(n_values):
-        out.append(raw[(8 + 4 * k) * n : (12 + 4 * k) * n].reshape(4, n).T.copy().view(np.uint32).ravel())
-    return out
+def distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index for each distinct word, in the order of hash and bytes, and for every word its place among these."""
+    first, inverse = unique_words(chars, start, length, hashes)
+    n = len(np.unique(hashes))
+    if len(first) == n:
+        return first, inverse  # np.unique has ordered them by hash
+    # some words have one hash: these are told apart, and ordered, by their bytes
+    shared_ = np.isin(hashes[first], hashes[first[n:]])
+    word = [(int(hashes[i]), chars[start[i] : start[i] + length[i]].tobytes() if s else b"") for i, s in zip(first.tolist(), shared_.tolist())]
+    place = {w: k for k, w in enumerate(sorted(set(word)))}
+    to = np.array([place[w] for w in word], np.int64)
+    rep = np.zeros(len(place), np.int64)
+    rep[to[::-1]] = first[::-1]
+    return rep, to[inverse]
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -87,32 +83,66 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[head], *(np.add.reduceat(v[order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64) for v in values)]
 
 
-def _rows(part: np.ndarray, kind: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+def summed_pairs(before: np.ndarray, own: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Distinct pairs of ids in order, and the sums of their counts."""
+    if max(before.max(initial=0), own.max(initial=0)) < 1 << 32:  # one key orders them
+        pair, count = summed((before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64), count)
+        return [(pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), count]
+    order = np.lexsort((own, before))
+    before, own, count = before[order], own[order], count[order]
+    head = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (own[1:] != own[:-1])][: len(own)])
+    return [before[head], own[head], np.add.reduceat(count.astype(np.int64), head) if len(head) else count]
+
+
+def pair_hash(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of ids; without collisions where both are below 2^32."""
+    b = before.astype(np.uint64)
+    return mix(((b << np.uint64(32)) | (b >> np.uint64(32))) ^ own.astype(np.uint64))
+
+
+def _rows(part: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     """One packed row for each part; ``part`` ascends."""
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
     ends = np.r_[cut[1:], len(part)].astype(np.int64)
-    data = [pack(keys[a:b], *(v[a:b] for v in values)) for a, b in zip(cut, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int32)), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+    data = [pack(*(v[a:b] for v in columns)) for a, b in zip(cut.tolist(), ends.tolist())]
+    return _sent(part[cut], kind, data)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], keys_of, parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of ``keys_of(texts)`` (uint64), packed by part, in rounds of about HELD entries."""
-    held: list[list[np.ndarray]] = []
-    n = 0
+def _sent(part: np.ndarray, kind: int, data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(part).astype(np.int32)), pa.array(np.full(len(data), kind, np.int32)), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
-    def flush() -> pa.RecordBatch:
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
-        return _rows(part_of(keys, parts), 0, keys, counts)
 
-    for batch, raw in texts(batches):
-        keys = keys_of(raw)
-        held.append(summed(keys, np.ones(len(keys), np.int64)))
+def _gathered(batches: Iterator[pa.RecordBatch], entries, packed) -> Iterator[pa.RecordBatch]:
+    """``entries(texts)`` of every block, ``packed`` in rounds of about HELD."""
+    held: list = []
+    n = 0
+    for _, raw in texts(batches):
+        held.append(entries(raw))
         n += len(held[-1][0])
         if n > HELD:
-            yield flush()
+            yield packed(held)
             held, n = [], 0
     if held:
-        yield flush()
+        yield packed(held)
+
+
+def _word_counts(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Distinct words of some texts: hash, count, length, and all their bytes."""
+    t = tokens(raw)
+    rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
+    return t.hash[rep], np.bincount(inverse, minlength=len(rep)), t.length[rep], t.flat[ragged(t.start[rep], t.length[rep])]
+
+
+def _merged_words(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    h, count, length, chars = (np.concatenate(x) for x in zip(*held))
+    start = offsets(length)[:-1]
+    rep, inverse = distinct(chars, start, length, h)
+    total = np.zeros(len(rep), np.int64)
+    np.add.at(total, inverse, count)
+    return h[rep], total, length[rep], chars[ragged(start[rep], length[rep])]
+
+
+WORD, PAIR = ("<u8", "<i8", "<i8"), ("<i8", "<i8", "<i8")
 
 
 @dataclass
@@ -132,27 +162,51 @@ class SortedParts:
     def find(self, needles: np.ndarray) -> np.ndarray:
         """Ranks of sorted hashes, -1 where absent."""
         out = np.full(len(needles), -1, np.int64)
-        part = part_of(needles, len(self.sizes))
-        bounds = np.searchsorted(part, np.arange(len(self.sizes) + 1))
-        for p, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if a < b and self.sizes[p]:
+        for p, a, b in _cuts(part_of(needles, len(self.sizes))):
+            if self.sizes[p]:
                 have = self.column("hash", p)
                 k = np.minimum(np.searchsorted(have, needles[a:b]), len(have) - 1)
                 out[a:b] = np.where(have[k] == needles[a:b], self.at[p] + k, -1)
         return out
 
+    def find_words(self, needles: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Ranks of words in the order of their hashes, -1 where absent; their bytes are compared, not only the hashes."""
+        out = np.full(len(needles), -1, np.int64)
+        for p, a, b in _cuts(part_of(needles, len(self.sizes))):
+            if not self.sizes[p]:
+                continue
+            have, at, kept = (self.column(c, p) for c in ("hash", "at", "chars"))
+            todo, k = np.arange(a, b), np.searchsorted(have, needles[a:b])
+            while len(todo):  # once but for words of one hash
+                ok = k < len(have)
+                ok[ok] = have[k[ok]] == needles[todo[ok]]
+                todo, k = todo[ok], k[ok]
+                begin = np.asarray(at[k])
+                same = at[k + 1] - begin == length[todo]
+                i = np.flatnonzero(same)
+                size = length[todo[i]]
+                differs = chars[ragged(start[todo[i]], size)] != kept[ragged(begin[i], size)]
+                same[i[np.repeat(np.arange(len(i)), size)[differs]]] = False
+                out[todo[same]] = self.at[p] + k[same]
+                todo, k = todo[~same], k[~same] + 1
+        return out
+
     def take(self, column: str, ranks: np.ndarray) -> np.ndarray:
-        """Values at ascending ranks; -1 gives 0."""
+        """Values at any ranks; -1 gives 0."""
         out = np.zeros(len(ranks), np.int64)
         ok = np.flatnonzero(ranks >= 0)
         order = ok[np.argsort(ranks[ok], kind="stable")]
-        bounds = np.searchsorted(ranks[order], self.at)
-        for p, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if a < b:
-                out[order[a:b]] = self.column(column, p)[ranks[order[a:b]] - self.at[p]]
+        for p, a, b in _cuts(np.searchsorted(self.at, ranks[order], "right") - 1):
+            out[order[a:b]] = self.column(column, p)[ranks[order[a:b]] - self.at[p]]
         return out
 
 
+def _cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of the runs of ascending parts."""
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    yield from zip(part[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(part)])
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """The discounts of counts 1, 2 and 3 or more, from the numbers of n-grams that occur 1 to 4 times."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -184,9 +238,10 @@ class KneserNey:
 
     def score(self, docs: list[bytes]) -> dict[str, np.ndarray]:
         """Per text: n_tokens, n_known, base_score and score (log10)."""
-        h, at = tokens(docs)
-        u, inverse = np.unique(h, return_inverse=True)
-        rank = self.words.find(u)
+        t = tokens(docs)
+        h, at = t.hash, t.at
+        rep, inverse = distinct(t.flat, t.start, t.length, h)
+        rank = self.words.find_words(h[rep], t.flat, t.start[rep], t.length[rep])
         count, cont, n1, n2, n3 = (self.words.take(c, rank) for c in ("count", "cont", "n1", "n2", "n3"))
         base = np.log10((count + 1) / (self.tokens + (self.n_words + 1)))
         d, e = self.word_discount, self.pair_discount
@@ -195,7 +250,7 @@ class KneserNey:
             lower = np.maximum(cont - _discount(d, cont), 0) / self.continued + rest / (self.n_words + 1)
             back = np.where(count > 0, (e[1] * n1 + e[2] * n2 + e[3] * n3) / np.maximum(count, 1), 1.0)
         else:
-            lower, back = np.full(len(u), 1.0 / (self.n_words + 1)), np.ones(len(u))
+            lower, back = np.full(len(rep), 1.0 / (self.n_words + 1)), np.ones(len(rep))
         # contexts: the word before, or the start of the text
         prev = np.r_[0, inverse[:-1]]
         first = np.zeros(len(h), bool)
@@ -203,7 +258,7 @@ class KneserNey:
         own = rank[inverse]
         before = np.where(first, self.n_words, rank[prev])
         both = np.flatnonzero((own >= 0) & (before >= 0))
-        key, place = np.unique(mix((before[both].astype(np.uint64) << np.uint64(32)) | own[both].astype(np.uint64)), return_inverse=True)
+        key, place = np.unique(pair_hash(before[both], own[both]), return_inverse=True)
         seen = np.zeros(len(h), np.int64)
         seen[both] = self.pairs.take("count", self.pairs.find(key))[place]
         total = np.where(first, self.starts[3], count[prev])
@@ -239,45 +294,63 @@ def train(docs: DataFrame) -> KneserNey:
         return [got.get(p) for p in range(n)]
 
     # words
-    def word_part(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*(unpack(d, 1) for d in table.column("data").to_pylist()))))
-        save("words", "hash", part, keys)
-        save("words", "count", part, counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-        return told(part, len(keys), 0, 0, 0, 0, counts.sum())
+    def packed_words(held: list) -> pa.RecordBatch:
+        h, count, length, chars = _merged_words(held)
+        at = offsets(length)
+        cuts = list(_cuts(part_of(h, parts)))
+        fixed = [pack(h[a:b], count[a:b].astype("<i8"), length[a:b].astype("<i8")) for _, a, b in cuts]
+        return _sent([p for p, *_ in cuts], 0, [x + chars[at[a] : at[b]].tobytes() for x, (_, a, b) in zip(fixed, cuts)])
 
-    packed = rows.mapInArrow(lambda it: _gathered(it, lambda raw: tokens(raw)[0], parts), PACKED)
+    def word_part(table: pa.Table) -> pa.Table:
+        part, held = table.column("part")[0].as_py(), []
+        for data in table.column("data").to_pylist():
+            h, count, length = unpack(data, *WORD)
+            held.append((h, count, length, np.frombuffer(data, np.uint8, offset=8 + 24 * len(h))))
+        h, count, length, chars = _merged_words(held)
+        save("words", "hash", part, h)
+        save("words", "at", part, offsets(length))
+        save("words", "chars", part, chars)
+        save("words", "count", part, count.astype(np.uint32) if count.max() < 1 << 32 else count)
+        return told(part, len(h), 0, 0, 0, 0, count.sum())
+
+    packed = rows.mapInArrow(lambda it: _gathered(it, _word_counts, packed_words), PACKED)
     got = collected(packed.groupBy("part").applyInArrow(word_part, grouped), parts)
     words = SortedParts(folder, "words", [r["n"] if r else 0 for r in got])
     n_words, n_tokens = int(words.at[-1]), sum(r["total"] for r in got if r)
     shared.release(spark)
 
     # pairs
-    def pair_keys(raw: list[bytes]) -> np.ndarray:
-        h, at = tokens(raw)
-        u, inverse = np.unique(h, return_inverse=True)
-        own = words.find(u)[inverse]
+    def pair_counts(raw: list[bytes]) -> list[np.ndarray]:
+        t = tokens(raw)
+        rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
+        own = words.find_words(t.hash[rep], t.flat, t.start[rep], t.length[rep])[inverse]
         before = np.r_[0, own[:-1]]
-        before[at[:-1]] = n_words
-        return mix((before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64))
+        before[t.at[:-1]] = n_words
+        return summed_pairs(before, own, np.ones(len(own), np.int64))
+
+    def packed_pairs(held: list) -> pa.RecordBatch:
+        before, own, count = summed_pairs(*(np.concatenate(x) for x in zip(*held)))
+        part = part_of(pair_hash(before, own), parts).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return _rows(part[order], 0, *(x[order].astype(k) for x, k in zip((before, own, count), PAIR)))
 
     def pair_part(table: pa.Table) -> pa.Table:
         """Saves a part of the pairs; passes on, packed by the words' parts, how they follow and continue words."""
         part = table.column("part")[0].as_py()
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*(unpack(d, 1) for d in table.column("data").to_pylist()))))
-        save("pairs", "hash", part, keys)
-        save("pairs", "count", part, counts.astype(np.uint8) if counts.max() < 1 << 8 else counts.astype(np.uint16) if counts.max() < 1 << 16 else counts)
-        pair = unmix(keys)
-        before, own = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(unpack(d, *PAIR) for d in table.column("data").to_pylist()))))
+        keys = pair_hash(before, own)
+        order = np.argsort(keys)
+        save("pairs", "hash", part, keys[order])
+        save("pairs", "count", part, counts[order].astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.int64))
         prev = summed(before, counts == 1, counts == 2, counts >= 3)
         cont = summed(own, np.ones(len(own), np.int64))
         to = lambda ids: np.minimum(np.searchsorted(words.at, ids, "right") - 1, parts)
-        sent = [_rows(to(prev[0]), 1, *prev), _rows(to(cont[0]), 2, *cont)]
-        c = [part, len(keys), *_of_counts(counts)]
-        sent.append(pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([3], pa.int32()), pa.array([np.array(c, np.int64).tobytes()], pa.binary())], names=["part", "kind", "data"]))
+        sent = [_rows(to(x[0]), kind, *(v.astype("<i8") for v in x)) for kind, x in ((1, prev), (2, cont))]
+        numbers = [part, len(keys), *_of_counts(counts)]
+        sent.append(_sent([-1], 3, [np.array(numbers, np.int64).tobytes()]))
         return pa.Table.from_batches(sent)
 
-    packed = rows.mapInArrow(lambda it: _gathered(it, pair_keys, parts), PACKED)
+    packed = rows.mapInArrow(lambda it: _gathered(it, pair_counts, packed_pairs), PACKED)
     stats = packed.groupBy("part").applyInArrow(pair_part, PACKED)
     stats = shared.written(stats, "pair-statistics")
     shared.release(spark)
@@ -291,9 +364,9 @@ def train(docs: DataFrame) -> KneserNey:
         base, n = (n_words, 1) if part == parts else (int(words.at[part]), words.sizes[part])
         dense = {k: np.zeros(n, np.int64) for k in ("n1", "n2", "n3", "cont")}
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-            ids, *values = unpack(data, 3 if kind == 1 else 1)
+            ids, *values = unpack(data, *["<i8"] * (4 if kind == 1 else 2))
             for name, v in zip(("n1", "n2", "n3") if kind == 1 else ("cont",), values):
-                dense[name][ids.astype(np.int64) - base] += v
+                dense[name][ids - base] += v
         if part == parts:
             return told(part, *(int(dense[k][0]) for k in ("n1", "n2", "n3")), 0, 0, 0)
         for k, v in dense.items():

@@ -191,13 +191,13 @@ def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row, by a model of the labelled rows outside fold 0.
 
     Null texts count as empty and get the score of a text without known terms. Rows with a null
-    doc_id are scored, with held_out null. Without labels of both kinds all scores are the smoothed
+    doc_id are scored, with held_out false. Without labels of both kinds all scores are the smoothed
     share of toxic labels. Repeated rows give repeated results; an empty table none; extra columns
     are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(rows, train(docs, labels))
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def crc_fold(doc_id: int, folds: int = FOLDS) -> int:

@@ -7,22 +7,49 @@ import numpy as np
 import pytest
 
 from alpenglow.llm import kneser_ney, secret_scan, toxicity
-
-
-def test_hash_bijection():
-    x = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
-    assert np.array_equal(kneser_ney.unmix(kneser_ney.mix(x)), x)
+from alpenglow.llm.vector import pack, unpack
 
 
 def test_packing_of_counts():
     keys, counts = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 500, dtype=np.uint64)), np.arange(500)
-    a, b = kneser_ney.unpack(kneser_ney.pack(keys, counts), 1)
+    a, b = unpack(pack(keys, counts), "<u8", "<i8")
     assert np.array_equal(a, keys) and np.array_equal(b, counts)
 
 
+def test_pairs_of_ids_beyond_32_bits():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4, 400) + (1 << 33), rng.integers(0, 4, 400) + (1 << 40)
+    got = kneser_ney.summed_pairs(a, b, np.ones(400, np.int64))
+    assert {(x, y): n for x, y, n in zip(*(g.tolist() for g in got))} == Counter(zip(a.tolist(), b.tolist()))
+    small = kneser_ney.summed_pairs(a - (1 << 33), b - (1 << 40), np.ones(400, np.int64))
+    assert np.array_equal(small[2], got[2])
+    x = rng.integers(0, 1 << 32, (2, 10_000))
+    assert len(np.unique(kneser_ney.pair_hash(*x))) == len({*zip(*x.tolist())})
+
+
+def thue_morse(n):
+    """Two words of n bytes whose polynomial hashes modulo 2^64 are equal for any odd base, n a power of two from 1,024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_hash_stay_apart(frame):
+    a, b = thue_morse(2048)
+    t = kneser_ney.tokens([f"{a} x {b}".encode()])
+    assert t.hash[0] == t.hash[2] and a != b
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = kneser_ney.score_held_out(frame([(ids[0], f"{a} x"), (ids[1], f"{a} y {a}"), (held, f"{b} {a} x {b}")])).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in rows} == {ids[0]: (3, 3), ids[1]: (4, 4), held: (5, 3)}
+    both = kneser_ney.score_held_out(frame([(ids[0], f"{a} {b}"), (ids[1], f"{b} y {b}"), (held, f"{b} {a} z")])).collect()
+    scores = {r.doc_id: r for r in both}
+    assert scores[held].n_known == 3
+    assert scores[held].base_score == pytest.approx(sum(math.log10((c + 1) / (7 + 5)) for c in (3, 1, 0, 2)))
+
+
 def test_kneser_ney_against_a_plain_model(frame, odd):
     rng = random.Random(3)
-    docs = odd + [(100 + k, " ".join(rng.choices(["A", "b", "c", "dd", "e,", "é"], weights=[9, 7, 4, 3, 2, 1], k=rng.randint(0, 40)))) for k in range(80)]
+    docs = odd + [(100 + k, " ".join(rng.choices(["A", "b", "é,", *(f"w{j}" for j in range(2997))], weights=[1 / (j + 2) for j in range(3000)], k=rng.randint(0, 40)))) for k in range(200)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     toks = lambda t: [*(t or "").encode().lower().split(), None]
     train = [toks(t) for i, t in docs if not held(i)]
@@ -36,8 +63,11 @@ def test_kneser_ney_against_a_plain_model(frame, odd):
         cont[b] += 1
 
     def discounts(counts):
+        """Of Chen and Goodman, written out: Y = n1 / (n1 + 2 n2), D_k = k - (k + 1) Y n_(k+1) / n_k."""
         m = Counter(counts)
-        return kneser_ney.discounts([m[k] for k in (1, 2, 3, 4)])
+        y = m[1] / (m[1] + 2 * m[2])
+        each = [0, 1 - 2 * y * m[2] / m[1], 2 - 3 * y * m[3] / m[2], 3 - 4 * y * m[4] / m[3]]
+        return [0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(each) if k)]
 
     d2, d1, t1 = discounts(pairs.values()), discounts(cont.values()), cont.total()
     rest = sum(d1[min(k, 3)] for k in cont.values()) / t1
