@@ -45,7 +45,10 @@ PARTITION = 64 << 20
 #: Blocks that a task gathers before it packs them.
 HELD = 1 << 19
 _POSITION = 28
+#: Bytes of blocks that a task gathers before it sends them on, and those of a bucket.
+SENT, BUCKET = 4 << 20, 24 << 20
 PACKED = ("<u8", "<i8", "<u4", "<u2", "<u2")  # h, doc, start, n, d
+BLOCKS = ("<u8", "<i8", "<u4", "<u2", "<u2", "<i4")  # key, doc, start, n, d, share
 MARKS = "doc long, start long, n long, d int, h long, share int"
 
 
@@ -376,6 +379,9 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     ask = marks.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "d", "h", "share")).alias("ask"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        bytes_: list[bytes] = []
+        count = 0
         for batch, raw in texts(batches, size=SLICE):
             lists = batch.column(2)
             part = lists.flatten()
@@ -383,17 +389,32 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
             start, n, d, h, share = (part.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
             doc = batch.column(0).to_numpy(zero_copy_only=False)[of]
             # a group's key: shares of one anchor are apart, and mixing leaves them evenly spread
-            key = mix(h.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            for k in range(0, len(of), HOT):
-                s = slice(k, k + HOT)
-                data = [raw[t][a : a + m - 1 + length] for t, a, m in zip(of[s].tolist(), start[s].tolist(), n[s].tolist())]
-                yield _batch("key doc start n d share data", key[s], doc[s], start[s], n[s], d[s], share[s], data)
+            key = mix(h.view(np.uint64) + share.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            held.append((key, doc, start, n, d, share))
+            bytes_ += [raw[t][a : a + m - 1 + length] for t, a, m in zip(of.tolist(), start.tolist(), n.tolist())]
+            count += int((n + (length - 1)).sum())
+            if count >= SENT:
+                yield sent(held, bytes_)
+                held, bytes_, count = [], [], 0
+        if held:
+            yield sent(held, bytes_)
+
+    def sent(held: list[tuple[np.ndarray, ...]], data: list[bytes]) -> pa.RecordBatch:
+        """Blocks packed for the buckets of their keys; their bytes are compressed together."""
+        columns = [np.concatenate(x) for x in zip(*held)]
+        to = part_of(columns[0], buckets).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)]).tolist()
+        rows, some = [], []
+        for a, b in zip(cut, [*cut[1:], len(to)]):
+            rows.append(pack(*(c[order[a:b]].astype(k) for c, k in zip(columns, BLOCKS))))
+            some.append(pa.compress(b"".join([data[i] for i in order[a:b].tolist()]), codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(rows, pa.binary()), pa.array(some, pa.binary())], names=["bucket", "blocks", "data"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Settles groups; of an anchor's several groups the first windows go on, by their own hashes."""
-        for rows in _whole_groups(batches):
-            key, doc, start, n, d, share = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "start", "n", "d", "share"))
-            data = rows.column("data").to_pylist()
+        for key, doc, start, n, d, share, data in _groups(batches, length):
             gone, (block, j) = judge(key, doc, start, n, d, data, length)
             of, a, b = _merged(gone[0], gone[1], gone[1] + gone[2] + (length - 1))
             yield _batch("key doc start n data", None, of, a, b - a - (length - 1), None)
@@ -421,8 +442,10 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
             yield _batch("doc start n", of, a, b - a - (length - 1))
             left = rows.take(pa.array(np.sort(block[key[block] == key[-1]])))
 
-    pieces = each.select("doc", "text").repartition(partitions, "doc").join(ask, "doc").mapInArrow(extract, "key long, doc long, start long, n long, d int, share int, data binary")
-    judged = pieces.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(sort, "key long, doc long, start long, n long, data binary")
+    asked = marks.where("h is not null").agg(F.coalesce(F.sum(F.col("n") + (length - 1)), F.lit(0))).first()[0]
+    buckets = max(partitions, -(-int(asked) // BUCKET))
+    pieces = each.select("doc", "text").repartition(partitions, "doc").join(ask, "doc").mapInArrow(extract, "bucket int, blocks binary, data binary")
+    judged = pieces.repartitionById(buckets, F.col("bucket")).mapInArrow(sort, "key long, doc long, start long, n long, data binary")
     judged = shared.written(judged, "judged")
     shared.release(spark)
     spread = judged.where("key is not null").select("key", "doc", "start", "data").repartition(partitions, "key").sortWithinPartitions("key", "doc", "start")
@@ -432,25 +455,29 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
     return rows.repartition(partitions, "doc").join(per_doc, "doc", "left")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches in the order of ``key``, cut and joined at changes of the key to tables of about SORTED bytes."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """The blocks of a bucket in the order of their keys, whole groups of about SORTED bytes at a time: BLOCKS and their bytes."""
+    parts, raw = [], []
     for batch in batches:
-        key = batch.column(0).to_numpy()
-        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
-        sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column("data"))))
-        a = 0
-        for e in ends:
-            if a < e and held and size >= SORTED and held[-1].column(0)[-1].as_py() != key[a]:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-            if sizes[e - 1] - (sizes[a - 1] if a else 0) >= SORTED or e == len(key):
-                held.append(batch.slice(a, e - a))
-                size += int(sizes[e - 1] - (sizes[a - 1] if a else 0))
-                a = e
-    if held:
-        yield pa.Table.from_batches(held)
+        for row, data in zip(batch.column(1), batch.column(2)):
+            part = unpack(row.as_py(), *BLOCKS)
+            parts.append(part)
+            raw.append(pa.decompress(data.as_py(), int((part[3].astype(np.int64) + (length - 1)).sum()), codec="zstd", asbytes=True))
+    if not parts:
+        return
+    columns = [np.concatenate(x).astype(np.int64) if k else np.concatenate(x).view(np.int64) for k, x in enumerate(zip(*parts))]
+    flat = b"".join(raw)
+    del raw, parts
+    at = offsets(columns[3] + (length - 1))
+    order = np.argsort(columns[0], kind="stable")
+    columns = [c[order] for c in columns]
+    key, size = columns[0], np.cumsum(columns[3] + (length - 1))
+    ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+    block = size[ends - 1] // SORTED
+    a = 0
+    for e in ends[np.r_[block[1:] != block[:-1], True]].tolist():
+        yield *(c[a:e] for c in columns), [flat[at[i] : at[i + 1]] for i in order[a:e].tolist()]
+        a = e
 
 
 def _union(given: list[dict] | None) -> list[tuple[int, int]]:
