@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from alpenglow.llm.vector import ragged
+from alpenglow.llm.vector import ragged, same_spans
 
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -143,12 +143,7 @@ def unique_words(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, has
     """Indices of distinct words, and for every word its place among them; equal hashes are checked symbol by symbol."""
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     rep = first[inverse]
-    bad = length[rep] != length
-    same = np.where(bad, 0, length)
-    where = ragged(start, same)
-    differs = symbols[where] != symbols[ragged(start[rep], same)]
-    if differs.any():
-        bad[np.repeat(np.arange(len(length)), same)[differs]] = True
+    bad = (length[rep] != length) | ~same_spans(symbols, start, symbols, start[rep], length)
     if bad.any():  # hash collisions: such words stand for themselves
         own = np.flatnonzero(bad)
         inverse = inverse.copy()
@@ -182,9 +177,7 @@ class WordStore:
         if len(self.hash):
             known = (self.hash[place] == h) & (self.n_chars[place] == size)
             k = np.flatnonzero(known)
-            differs = symbols[ragged(at[k], size[k])] != self.chars[ragged(self.char_at[place[k]], size[k])]
-            if differs.any():
-                known[k[np.repeat(np.arange(len(k)), size[k])[differs]]] = False
+            known[k] = same_spans(symbols, at[k], self.chars, self.char_at[place[k]], size[k])
         new = np.flatnonzero(~known)
         chars = symbols[ragged(at[new], size[new])]
         char_at = np.zeros(len(new) + 1, np.int64)

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from alpenglow.llm import files, shared
 from alpenglow.llm.bpe import unique_words
-from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, segment_sum, texts, unpack
+from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, same_spans, segment_sum, texts, unpack
 
 #: Text bytes for one part of the model.
 PART_BYTES = 12 << 20
-#: Entries that a task gathers before it sends them on.
-HELD = 3_000_000
+#: Words, and pairs of words, that a task gathers before it sends them on.
+WORDS, PAIRS = 400_000, 2_000_000
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 _SPACE = np.zeros(256, bool)
@@ -112,18 +112,21 @@ def _sent(part: np.ndarray, kind: int, data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(part).astype(np.int32)), pa.array(np.full(len(data), kind, np.int32)), pa.array(data, pa.binary())], names=["part", "kind", "data"])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], entries, packed) -> Iterator[pa.RecordBatch]:
-    """``entries(texts)`` of every block, ``packed`` in rounds of about HELD."""
+def _gathered(batches: Iterator[pa.RecordBatch], entries, merged, packed, most: int) -> Iterator[pa.RecordBatch]:
+    """``entries(texts)`` of every block, merged whenever there are ``most``, and ``packed`` where that doesn't halve them."""
     held: list = []
     n = 0
     for _, raw in texts(batches):
         held.append(entries(raw))
         n += len(held[-1][0])
-        if n > HELD:
-            yield packed(held)
-            held, n = [], 0
+        if n > most:
+            held = [merged(held)]
+            n = len(held[0][0])
+            if n > most // 2:
+                yield packed(held[0])
+                held, n = [], 0
     if held:
-        yield packed(held)
+        yield packed(merged(held))
 
 
 def _word_counts(raw: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -184,9 +187,7 @@ class SortedParts:
                 begin = np.asarray(at[k])
                 same = at[k + 1] - begin == length[todo]
                 i = np.flatnonzero(same)
-                size = length[todo[i]]
-                differs = chars[ragged(start[todo[i]], size)] != kept[ragged(begin[i], size)]
-                same[i[np.repeat(np.arange(len(i)), size)[differs]]] = False
+                same[i] = same_spans(chars, start[todo[i]], kept, begin[i], length[todo[i]])
                 out[todo[same]] = self.at[p] + k[same]
                 todo, k = todo[~same], k[~same] + 1
         return out
@@ -294,8 +295,8 @@ def train(docs: DataFrame) -> KneserNey:
         return [got.get(p) for p in range(n)]
 
     # words
-    def packed_words(held: list) -> pa.RecordBatch:
-        h, count, length, chars = _merged_words(held)
+    def packed_words(words: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        h, count, length, chars = words
         at = offsets(length)
         cuts = list(_cuts(part_of(h, parts)))
         fixed = [pack(h[a:b], count[a:b].astype("<i8"), length[a:b].astype("<i8")) for _, a, b in cuts]
@@ -313,7 +314,7 @@ def train(docs: DataFrame) -> KneserNey:
         save("words", "count", part, count.astype(np.uint32) if count.max() < 1 << 32 else count)
         return told(part, len(h), 0, 0, 0, 0, count.sum())
 
-    packed = rows.mapInArrow(lambda it: _gathered(it, _word_counts, packed_words), PACKED)
+    packed = rows.mapInArrow(lambda it: _gathered(it, _word_counts, _merged_words, packed_words, WORDS), PACKED)
     got = collected(packed.groupBy("part").applyInArrow(word_part, grouped), parts)
     words = SortedParts(folder, "words", [r["n"] if r else 0 for r in got])
     n_words, n_tokens = int(words.at[-1]), sum(r["total"] for r in got if r)
@@ -328,8 +329,8 @@ def train(docs: DataFrame) -> KneserNey:
         before[t.at[:-1]] = n_words
         return summed_pairs(before, own, np.ones(len(own), np.int64))
 
-    def packed_pairs(held: list) -> pa.RecordBatch:
-        before, own, count = summed_pairs(*(np.concatenate(x) for x in zip(*held)))
+    def packed_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        before, own, count = pairs
         part = part_of(pair_hash(before, own), parts).astype(np.int64)
         order = np.argsort(part, kind="stable")
         return _rows(part[order], 0, *(x[order].astype(k) for x, k in zip((before, own, count), PAIR)))
@@ -350,7 +351,7 @@ def train(docs: DataFrame) -> KneserNey:
         sent.append(_sent([-1], 3, [np.array(numbers, np.int64).tobytes()]))
         return pa.Table.from_batches(sent)
 
-    packed = rows.mapInArrow(lambda it: _gathered(it, pair_counts, packed_pairs), PACKED)
+    packed = rows.mapInArrow(lambda it: _gathered(it, pair_counts, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed_pairs, PAIRS), PACKED)
     stats = packed.groupBy("part").applyInArrow(pair_part, PACKED)
     stats = shared.written(stats, "pair-statistics")
     shared.release(spark)

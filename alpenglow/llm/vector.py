@@ -101,6 +101,36 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _eights(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte of ``x`` on, as one number; zeros follow the last."""
+    raw = np.concatenate((np.ascontiguousarray(x).view(np.uint8), np.zeros(8, np.uint8)))
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def same_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the spans ``x[a:a+length]`` equal ``y[b:b+length]``, eight bytes at a time; x and y are of one type."""
+    size = x.itemsize
+    ex = _eights(x)
+    ey = ex if y is x else _eights(y)
+    same = np.ones(len(a), bool)
+    todo = np.flatnonzero(length > 0)
+    i, j, left = a[todo] * size, b[todo] * size, length[todo] * size
+    for _ in range(64):
+        mask = _MASK[np.minimum(left, 8)]
+        ok = (ex[i] & mask) == (ey[j] & mask)
+        same[todo[~ok]] = False
+        go = ok & (left > 8)
+        todo, i, j, left = todo[go], i[go] + 8, j[go] + 8, left[go] - 8
+        if not len(todo):
+            return same
+    for t in todo.tolist():  # long ones
+        same[t] = np.array_equal(x[a[t] : a[t] + length[t]], y[b[t] : b[t] + length[t]])
+    return same
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Parts of equal shares of the hash range (uint64), in order."""
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
