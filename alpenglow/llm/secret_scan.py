@@ -1,17 +1,20 @@
 """Operator 4: secret scans with a random forest that removes false positives.
 
-Runs of 16 or more key characters are candidates. The forest judges each by its length, character
-transitions, dictionary coverage, signs of a path and the words beside it. It is trained on
-labelled findings; :func:`made_findings` makes such a set from formats of keys and of what is
-mistaken for them.
+Candidates are runs of 16 or more key characters, also several joined by dots, blocks of private
+keys, quoted values of 6 to 64 characters assigned to a credential word, and passwords in URLs. The
+forest judges each by its length, character transitions, dictionary coverage, signs of a path and
+the words beside it. It is trained on labelled findings; :func:`made_findings` makes such a set from
+formats of keys and of what is mistaken for them.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import random
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,19 +27,44 @@ from pyspark.sql import types as T
 from alpenglow.llm import shared
 from alpenglow.llm.vector import texts
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9_+/\-]{16,}={0,2}")
+RUN = re.compile(rb"[A-Za-z0-9_+/\-]{16,}(?:\.[A-Za-z0-9_\-]{16,})*={0,2}")
+BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----")
+QUOTED = re.compile(rb"[:=][ \t]{0,4}([\"'])([^\"'\s]{6,64})\1")
+IN_URL = re.compile(rb"://[^\s:/@]{1,64}:([^\s:/@]{4,64})@")
 #: Labelled findings that a forest is trained on, and words of the dictionary.
 FINDINGS, WORDS = 6_000, 5_000
+#: Distinct words that a task counts before it sends them on.
+HELD = 200_000
+NO_LETTERS = bytes(set(range(256)) - set(b"abcdefghijklmnopqrstuvwxyz"))
 BEFORE, AFTER = 48, 24
 
 # Public key prefixes and neighbouring words
-PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "npm_", "pypi-", "hf_")
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "npm_", "pypi-", "hf_", "eyJ", "-----BEGIN")
 KEYWORDS = re.compile(rb"(?i)token|passw|secret|api|key|auth|credential|bearer|pwd")
 BENIGN = re.compile(rb"(?i)example|sample|placeholder|uuid|sha\d*\b|commit|checksum|digest|md5|isbn|version|dummy|integrity|hash")
 PATHLIKE = re.compile(rb"(?i)https?:|www\.|\.(com|org|net|html?|png|jpe?g|py|js|css|txt|json|md)\b")
 NAMES = ("length", "transitions", "log_probability", "coverage", "digits", "capitals", "hex", "distinct", "entropy", "slashes", "path", "assigned", "keyword", "benign", "prefix", "beside_letter")
 
 
+def candidates(raw: bytes) -> list[tuple[int, int]]:
+    """Places of all candidates in order; of overlapping ones the earlier kind stands: block, in a URL, quoted, run."""
+    found: list[tuple[int, int]] = []
+    if b"-----BEGIN" in raw:
+        found += [m.span() for m in BLOCK.finditer(raw)]
+    if b"://" in raw and b"@" in raw:
+        found += [m.span(1) for m in IN_URL.finditer(raw)]
+    found += [m.span(2) for m in QUOTED.finditer(raw) if KEYWORDS.search(raw, max(0, m.start() - 24), m.start())]
+    runs = [m.span() for m in RUN.finditer(raw)]
+    if not found:
+        return runs
+    out: list[tuple[int, int]] = []
+    for a, b in [*found, *runs]:
+        k = bisect.bisect_left(out, (a, b))
+        if (not k or out[k - 1][1] <= a) and (k == len(out) or b <= out[k][0]):
+            out.insert(k, (a, b))
+    return out
+
+
 @dataclass
 class Transitions:
     """Log probabilities of a character after another in ordinary words; digits are one class."""
@@ -157,7 +185,7 @@ class Scanner:
 
     def scan(self, raw: bytes) -> list[tuple[int, int, float]]:
         """(start, end, score) of every candidate in bytes, in order."""
-        spans = [m.span() for m in CANDIDATE.finditer(raw)]
+        spans = candidates(raw)
         if not spans:
             return []
         scores = self.forest.score(np.array([self.features.of(raw, a, b) for a, b in spans]))
@@ -180,6 +208,10 @@ def made_findings(words: list[str], n: int = FINDINGS, seed: int = 17) -> list[t
         lambda: (v := rng.choice(PREFIXES[2:]) + some(alnum, rng.randint(20, 40)), rng.choice((v, assign(v)))),
         lambda: (v := key(), assign(v)),
         lambda: (v := key(), assign(v)),
+        lambda: (v := "eyJ" + ".".join(some(alnum + "_-", rng.randint(18, 60)) for _ in range(3)), rng.choice((v, assign(v)))),
+        lambda: (v := some(alnum + "!@#$%^&*?", rng.randint(8, 20)), f"{name()} {rng.choice(':=')} \"{v}\""),
+        lambda: (v := some(alnum + "!#$%", rng.randint(8, 20)), f"{rng.choice(('postgres', 'https', 'redis', 'ftp'))}://{rng.choice(plain)}:{v}@{rng.choice(plain)}.example/{rng.choice(plain)}"),
+        lambda: (v := f"-----BEGIN {(k := rng.choice(('', 'RSA ', 'EC ', 'OPENSSH ')))}PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(rng.randint(2, 12))) + f"\n-----END {k}PRIVATE KEY-----", v),
     )
     other = (
         lambda: (v := joined(rng.choice(("", "", "-", "_", "/"))), v),
@@ -190,26 +222,46 @@ def made_findings(words: list[str], n: int = FINDINGS, seed: int = 17) -> list[t
         lambda: (v := some("0123456789", rng.randint(16, 24)), rng.choice((f"isbn {v}", v))),
         lambda: (v := rng.choice(("x", "-", "_", "0", "a")) * rng.randint(16, 40), rng.choice((v, assign(v)))),
         lambda: (v := rng.choice(("your", "example", "changeme", "placeholder", "insert")) + joined("_"), assign(v)),
+        lambda: (v := rng.choice(("changeme", "xxxxxxxx", "********", "<password>", "${PASSWORD}", rng.choice(plain) + rng.choice(plain), "example-" + rng.choice(plain))), f"{name()} {rng.choice(':=')} \"{v}\""),
+        lambda: (v := rng.choice(("password", "changeme", "xxxx", "PASSWORD", rng.choice(plain) + "word")), f"https://{rng.choice(plain)}:{v}@example.org/{rng.choice(plain)}"),
+        lambda: (v := ".".join(joined("_") + "letters" for _ in range(rng.randint(2, 3))), v),
     )
     out = []
     while len(out) < n:
         label = len(out) % 2
         value, shown = rng.choice(secret if label else other)()
         text = f"{said(rng.randint(0, 8))} {shown} {said(rng.randint(0, 6))}".strip().encode()
-        at = text.find(value.encode())
-        span = next((m.span() for m in CANDIDATE.finditer(text) if m.start() <= at < m.end()), None)
+        at = text.rfind(value.encode())
+        span = next(((a, b) for a, b in candidates(text) if a <= at < b), None)
         if span and (not label or span[0] == at):
             out.append((text, *span, label))
     return out
 
 
 def dictionary(docs: DataFrame, size: int = WORDS) -> list[str]:
-    """The most frequent words of four to fourteen letters, counted over all texts."""
-    word = F.regexp_replace(F.lower("word"), "[^a-z]+$", "")
-    words = docs.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("word")).select(word.alias("word")).where(F.length("word").between(4, 14))
-    best = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    # written, so the tasks' best meet on an executor and the driver gets ``size`` rows
-    return [w for w in (r[0] for r in shared.written(best, "frequent").orderBy(F.desc("count"), "word").collect()) if w.isascii() and w.isalpha()]
+    """The most frequent words of four to fourteen letters a-z, any case, counted over all texts; what follows the letters doesn't count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def told() -> pa.RecordBatch:
+            words: Counter[bytes] = Counter()
+            for w, n in held.items():
+                w = w.rstrip(NO_LETTERS)
+                if 4 <= len(w) <= 14 and w.isalpha():  # of bytes: ASCII letters only
+                    words[w] += n
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+        for _, raw in texts(batches):
+            for x in raw:
+                held.update(x.lower().split())
+            if len(held) > HELD:
+                yield told()
+                held = Counter()
+        yield told()
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r[0] for r in shared.top(counted, "n", size, "word").collect()]
 
 
 def train(words: list[str], findings: list[tuple[bytes, int, int, int]] | None = None) -> Scanner:
@@ -245,14 +297,14 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
 
 def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; other columns and null texts stay."""
+    """``docs`` with every secret in ``text`` replaced by ``mark``; other columns, whatever their names, and null texts stay."""
     sent = docs.sparkSession.sparkContext.broadcast(scanner)
     at = docs.columns.index("text")
     fields = [T.StructField("text", T.StringType()) if k == at else f for k, f in enumerate(docs.schema.fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
-        for batch, raw in texts(batches):
+        for batch, raw in texts(batches, f"_{at}"):
             null = np.asarray(batch.column(at).is_null())
             out = []
             for x, z in zip(raw, null):
@@ -264,6 +316,6 @@ def redact(docs: DataFrame, scanner: Scanner, mark: str = "[SECRET]") -> DataFra
                 out.append(None if z else b"".join((*parts, x[end:])).decode("utf-8", "replace"))
             cols = list(batch.columns)
             cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.toDF(*(f"_{k}" for k in range(len(fields)))).mapInArrow(run, T.StructType(fields))
