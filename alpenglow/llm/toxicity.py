@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alpenglow.errors import ParameterError
 from alpenglow.llm import shared
 from alpenglow.llm.vector import PrefixHash, offsets, segment_sum, texts
 
@@ -58,6 +59,7 @@ class FactorizationMachine:
     bias: float
     weight: np.ndarray
     factor: np.ndarray
+    trained: bool = False  # whether there were labels of both kinds
 
     def active(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the model's terms that each text has, once each, and each text's bounds."""
@@ -136,7 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, factors: int = 8, max_labelled: in
     agreed = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
     chosen = agreed.where((F.col("toxic") == F.col("other")) & (fold() != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = shared.written(rows.join(F.broadcast(chosen), "doc_id"), "labelled")  # at most max_labelled ids
+    # at most max_labelled ids, and one text of each (the least) if rows share one
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = shared.written(found.select("doc_id", "text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in texts(batches):
@@ -155,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, factors: int = 8, max_labelled: in
     odd = k * (F.lit(rest) - (n - k)) - (n - k) * (F.lit(float(positive)) - k)
     chi2 = F.lit(float(total)) * odd * odd / (n * (F.lit(float(total)) - n) * F.lit(max(float(positive), 1e-9)) * F.lit(max(rest, 1e-9)))
     counted = sample.select("doc_id", "text", "toxic").mapInArrow(count, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    best = counted.where((F.col("n") >= 3) & (F.col("n") < total)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term")
-    known = np.sort(np.array([r[0] for r in shared.written(best, "terms").collect()], np.int64).view(np.uint64))
+    best = counted.where((F.col("n") >= 3) & (F.col("n") < total)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    known = np.sort(np.array([r[0] for r in shared.top(best, "chi2", TERMS, "term").select("term").collect()], np.int64).view(np.uint64))
     model = FactorizationMachine(known, float(np.log((positive + 0.5) / (rest + 0.5))), np.zeros(len(known)), np.zeros((len(known), factors)))
     if not positive or not rest:
         return model
@@ -170,21 +174,23 @@ def train(docs: DataFrame, labels: DataFrame, factors: int = 8, max_labelled: in
 
     got = sample.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, terms array<int>").orderBy("doc_id").toArrow()
     lists = got.column("terms").combine_chunks()
+    model.trained = True
     return model.fit(np.asarray(lists.flatten()).astype(np.int64), offsets(np.asarray(lists.value_lengths()).astype(np.int64)), np.asarray(got.column("toxic")).astype(float))
 
 
-def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """``docs`` with the columns ``toxicity`` (0 to 1); other columns stay. Null texts count as empty."""
+def score(docs: DataFrame, model: FactorizationMachine, name: str = "toxicity") -> DataFrame:
+    """``docs`` with its score (0 to 1) as a last column ``name``, which must be a new one; other columns stay. Null texts count as empty."""
+    if shared.free_name(docs, name) != name:
+        raise ParameterError(f"there is a column {name} already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "toxicity"]
-    inner = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*inner.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in texts(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(raw))], names=[*batch.schema.names, "toxicity"])
+        for batch, raw in texts(batches, f"_{docs_text}"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(raw))], names=schema.names)
 
-    return inner.mapInArrow(run, schema)
+    docs_text = docs.columns.index("text")
+    return docs.toDF(*(f"_{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema)  # whatever the names
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
