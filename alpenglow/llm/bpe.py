@@ -139,17 +139,27 @@ def _orderly(table: MergeTable, sym, word, made, rank, hit: np.ndarray) -> np.nd
     return hit[~drop]
 
 
-def unique_words(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of distinct words, and for every word its place among them; equal hashes are checked symbol by symbol."""
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+def unique_words(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Indices of distinct words, for every word its place among them, and the number of distinct hashes.
+
+    The words come in the order of their hashes; where equal hashes turn out, symbol by symbol, to be
+    of different words, these stand for themselves after all others.
+    """
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = order[new]
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     rep = first[inverse]
     bad = (length[rep] != length) | ~same_spans(symbols, start, symbols, start[rep], length)
-    if bad.any():  # hash collisions: such words stand for themselves
+    n = len(first)
+    if bad.any():
         own = np.flatnonzero(bad)
-        inverse = inverse.copy()
-        inverse[own] = len(first) + np.arange(len(own))
+        inverse[own] = n + np.arange(len(own))
         first = np.concatenate((first, own))
-    return first, inverse
+    return first, inverse, n
 
 
 class WordStore:
@@ -170,7 +180,7 @@ class WordStore:
 
     def encode(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words at ``start``, one word after another, and the number of ids of each."""
-        rep, inverse = unique_words(symbols, start, length, hashes)
+        rep, inverse, _ = unique_words(symbols, start, length, hashes)
         at, size, h = start[rep], length[rep], hashes[rep]
         place = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
         known = np.zeros(len(rep), bool)

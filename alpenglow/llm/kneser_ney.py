@@ -27,7 +27,7 @@ from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged
 #: Text bytes for one part of the model.
 PART_BYTES = 12 << 20
 #: Words, and pairs of words, that a task gathers before it sends them on.
-WORDS, PAIRS = 400_000, 2_000_000
+WORDS, PAIRS = 400_000, 1_500_000
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 _SPACE = np.zeros(256, bool)
@@ -61,10 +61,9 @@ def tokens(docs: list[bytes]) -> Tokens:
 
 def distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One index for each distinct word, in the order of hash and bytes, and for every word its place among these."""
-    first, inverse = unique_words(chars, start, length, hashes)
-    n = len(np.unique(hashes))
+    first, inverse, n = unique_words(chars, start, length, hashes)
     if len(first) == n:
-        return first, inverse  # np.unique has ordered them by hash
+        return first, inverse
     # some words have one hash: these are told apart, and ordered, by their bytes
     shared_ = np.isin(hashes[first], hashes[first[n:]])
     word = [(int(hashes[i]), chars[start[i] : start[i] + length[i]].tobytes() if s else b"") for i, s in zip(first.tolist(), shared_.tolist())]
@@ -87,7 +86,7 @@ def summed_pairs(before: np.ndarray, own: np.ndarray, count: np.ndarray) -> list
     """Distinct pairs of ids in order, and the sums of their counts."""
     if max(before.max(initial=0), own.max(initial=0)) < 1 << 32:  # one key orders them
         pair, count = summed((before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64), count)
-        return [(pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), count]
+        return [(pair >> np.uint64(32)).view(np.int64), (pair & np.uint64(0xFFFFFFFF)).view(np.int64), count]
     order = np.lexsort((own, before))
     before, own, count = before[order], own[order], count[order]
     head = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (own[1:] != own[:-1])][: len(own)])
@@ -145,7 +144,7 @@ def _merged_words(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return h[rep], total, length[rep], chars[ragged(start[rep], length[rep])]
 
 
-WORD, PAIR = ("<u8", "<i8", "<i8"), ("<i8", "<i8", "<i8")
+WORD = ("<u8", "<u4", "<u4")  # hash, count, length
 
 
 @dataclass
@@ -299,14 +298,14 @@ def train(docs: DataFrame) -> KneserNey:
         h, count, length, chars = words
         at = offsets(length)
         cuts = list(_cuts(part_of(h, parts)))
-        fixed = [pack(h[a:b], count[a:b].astype("<i8"), length[a:b].astype("<i8")) for _, a, b in cuts]
+        fixed = [pack(*(c[a:b].astype(k) for c, k in zip((h, count, length), WORD))) for _, a, b in cuts]
         return _sent([p for p, *_ in cuts], 0, [x + chars[at[a] : at[b]].tobytes() for x, (_, a, b) in zip(fixed, cuts)])
 
     def word_part(table: pa.Table) -> pa.Table:
         part, held = table.column("part")[0].as_py(), []
         for data in table.column("data").to_pylist():
             h, count, length = unpack(data, *WORD)
-            held.append((h, count, length, np.frombuffer(data, np.uint8, offset=8 + 24 * len(h))))
+            held.append((h, count.astype(np.int64), length.astype(np.int64), np.frombuffer(data, np.uint8, offset=8 + 16 * len(h))))
         h, count, length, chars = _merged_words(held)
         save("words", "hash", part, h)
         save("words", "at", part, offsets(length))
@@ -321,6 +320,9 @@ def train(docs: DataFrame) -> KneserNey:
     shared.release(spark)
 
     # pairs
+    id_kind = "<u4" if n_words < (1 << 32) - 1 else "<u8"
+    pair_kinds = (id_kind, id_kind, "<u4")
+
     def pair_counts(raw: list[bytes]) -> list[np.ndarray]:
         t = tokens(raw)
         rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
@@ -333,12 +335,12 @@ def train(docs: DataFrame) -> KneserNey:
         before, own, count = pairs
         part = part_of(pair_hash(before, own), parts).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        return _rows(part[order], 0, *(x[order].astype(k) for x, k in zip((before, own, count), PAIR)))
+        return _rows(part[order], 0, *(x[order].astype(k) for x, k in zip((before, own, count), pair_kinds)))
 
     def pair_part(table: pa.Table) -> pa.Table:
         """Saves a part of the pairs; passes on, packed by the words' parts, how they follow and continue words."""
         part = table.column("part")[0].as_py()
-        before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(unpack(d, *PAIR) for d in table.column("data").to_pylist()))))
+        before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(unpack(d.as_py(), *pair_kinds) for d in table.column("data")))))
         keys = pair_hash(before, own)
         order = np.argsort(keys)
         save("pairs", "hash", part, keys[order])
@@ -346,7 +348,7 @@ def train(docs: DataFrame) -> KneserNey:
         prev = summed(before, counts == 1, counts == 2, counts >= 3)
         cont = summed(own, np.ones(len(own), np.int64))
         to = lambda ids: np.minimum(np.searchsorted(words.at, ids, "right") - 1, parts)
-        sent = [_rows(to(x[0]), kind, *(v.astype("<i8") for v in x)) for kind, x in ((1, prev), (2, cont))]
+        sent = [_rows(to(x[0]), kind, x[0].astype("<i8"), *(v.astype("<u4") for v in x[1:])) for kind, x in ((1, prev), (2, cont))]
         numbers = [part, len(keys), *_of_counts(counts)]
         sent.append(_sent([-1], 3, [np.array(numbers, np.int64).tobytes()]))
         return pa.Table.from_batches(sent)
@@ -365,7 +367,7 @@ def train(docs: DataFrame) -> KneserNey:
         base, n = (n_words, 1) if part == parts else (int(words.at[part]), words.sizes[part])
         dense = {k: np.zeros(n, np.int64) for k in ("n1", "n2", "n3", "cont")}
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-            ids, *values = unpack(data, *["<i8"] * (4 if kind == 1 else 2))
+            ids, *values = unpack(data, "<i8", *["<u4"] * (3 if kind == 1 else 1))
             for name, v in zip(("n1", "n2", "n3") if kind == 1 else ("cont",), values):
                 dense[name][ids - base] += v
         if part == parts:
