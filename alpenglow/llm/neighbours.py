@@ -2,30 +2,37 @@
 
 Centroids come from a size-penalised k-means on a bounded sample. Every vector goes to the list of
 its nearest centroid and, if it lies near a boundary, to further ones whose centroids are at most
-``1 + overlap`` times as far and not within ``APART`` of that distance of a chosen centroid. A query finds
-its centroids by a best-first search of an in-memory neighbour graph and reads the lists whose
-centroids are within ``ratio`` of the nearest. Long lists are read in shares of bounded size.
+``1 + overlap`` times as far and not within ``APART`` of that distance of a chosen centroid. A query
+finds its centroids by a best-first search of an in-memory neighbour graph, for a block of queries
+at a time, and reads the lists whose centroids are within a ratio of the nearest. That ratio is
+measured on the sample: the least that finds ``RECALL`` of the sample's own neighbours. So clustered
+vectors are pruned hard, and vectors without structure hardly. Long lists are read in shares of
+bounded size; blocks of queries are files in the shared folder that the shares' tasks map.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alpenglow.llm import shared
+from alpenglow.llm import files, shared
 from alpenglow.llm.vectors import matrix, topped, usable
 
-#: Vectors that the centroids are fitted on at most; all are indexed.
-SAMPLE = 20_000
-#: Lists at most, so the centroids and what counts them stay small; rows of a list or query rows handled together.
-LISTS, SHARE, ASKED = 1024, 4096, 512
-COPIES, OVERLAP, RATIO = 4, 0.08, 1.14
+#: Vectors that centroids and ratio are fitted on at most; all are indexed. Of them those that are looked up to fit the ratio.
+SAMPLE, PROBED = 20_000, 512
+#: Lists for n vectors: PER_ROOT times the root of n, LISTS at most, so the centroids stay small.
+PER_ROOT, LISTS = 3, 4096
+#: Rows of a share, and query rows of a file or handled together.
+SHARE, ASKED, TOGETHER = 4096, 4096, 256
+COPIES, OVERLAP, RECALL = 2, 0.01, 0.97
+#: Neighbours that the ratio is fitted for.
+K = 10
 #: A vector's further lists: their centroids are this share of its distance from each other, or more.
 APART = 0.45
 
@@ -41,8 +48,10 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -
     c = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
     size = np.full(k, len(x) / max(k, 1))
     for _ in range(rounds):
-        d = squared(x, c)
-        near = np.argmin(d + (size / size.mean() - 1) * 0.1 * d.mean(), axis=1)
+        near = np.empty(len(x), np.int64)
+        for a in range(0, len(x), TOGETHER * 8):
+            d = squared(x[a : a + TOGETHER * 8], c)
+            near[a : a + len(d)] = np.argmin(d + (size / size.mean() - 1) * 0.1 * d.mean(), axis=1)
         size = 0.5 * size + 0.5 * np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -60,7 +69,8 @@ class CentroidGraph:
 
     centroids: np.ndarray
     links: np.ndarray
-    sizes: np.ndarray | None = None  # rows of each list, once it is filled
+    ratio: float = 1.0
+    sizes: np.ndarray | None = None  # different vec_ids of each list, once it is filled
 
     @classmethod
     def build(cls, c: np.ndarray, near: int = 16, far: int = 4) -> CentroidGraph:
@@ -70,40 +80,48 @@ class CentroidGraph:
         b = np.random.default_rng(3).integers(0, len(c), (len(c), far))
         return cls(c, np.concatenate((a, b), axis=1))
 
-    def within(self, q: np.ndarray, ratio: float, least_rows: int = 0) -> np.ndarray:
-        """Lists whose centroids are at most ``ratio`` times as far from q as the nearest one, by best-first search.
+    def within(self, q: np.ndarray, ratio: float, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list) of the lists whose centroids are at most ``ratio`` times as far as the nearest one, by best-first search for all queries at once.
 
-        Where these hold fewer than ``least_rows`` rows, as for a query that lies on a centroid, the
+        Where these hold fewer than ``least`` vec_ids, as for a query that lies on a centroid, the
         next lists follow until they do or none is left.
         """
-        seen = np.zeros(len(self.centroids), bool)
-        entry = np.unique(np.linspace(0, len(self.centroids) - 1, min(8, len(self.centroids))).astype(int))
-        heap: list[tuple[float, int]] = []
-        out: list[tuple[float, int]] = []
-        least, rows = np.inf, 0
-
-        def push(new: np.ndarray) -> float:
-            seen[new] = True
-            d = np.sqrt(((self.centroids[new] - q) ** 2).sum(1))
-            for x in zip(d.tolist(), new.tolist()):
-                heapq.heappush(heap, x)
-            return min(least, float(d.min()))
-
-        least = push(entry)
-        while heap or not seen.all():
-            if not heap:  # a part of the graph that no link leads to
-                least = push(np.flatnonzero(~seen)[:1])
-            dist, at = heapq.heappop(heap)
-            if dist > least * ratio and len(out) >= 8 and rows >= least_rows:
+        n, m = len(q), len(self.centroids)
+        sizes = self.sizes if self.sizes is not None else np.ones(m, np.int64)
+        dist, seen, done = np.full((n, m), np.inf), np.zeros((n, m), bool), np.zeros((n, m), bool)
+        own = np.arange(n)
+
+        def look(row: np.ndarray, at: np.ndarray) -> None:
+            new = np.unique(row[~seen[row, at]] * m + at[~seen[row, at]])
+            row, at = new // m, new % m
+            seen[row, at] = True
+            dist[row, at] = np.sqrt(((self.centroids[at] - q[row]) ** 2).sum(1))
+
+        entry = np.unique(np.linspace(0, m - 1, min(8, m)).astype(int))
+        look(np.repeat(own, len(entry)), np.tile(entry, n))
+        while True:
+            open_ = np.where(seen & ~done, dist, np.inf)
+            go = open_ <= (1.1 * ratio) * dist.min(axis=1)[:, None]  # a little farther than asked: near lists may hang on these
+            # queries with little at hand go on with the nearest open list, or with one that no link has led to
+            short = ~go.any(axis=1) & ((done.sum(axis=1) < 16) | (done @ sizes < least)) & ~done.all(axis=1)
+            if short.any():
+                rows = np.flatnonzero(short)
+                nearest = open_[rows].argmin(axis=1)
+                lost = np.isinf(open_[rows, nearest])
+                if lost.any():
+                    nearest[lost] = (~seen[rows[lost]]).argmax(axis=1)
+                    look(rows[lost], nearest[lost])
+                go[rows, nearest] = True
+            row, at = np.nonzero(go)
+            if not len(row):
                 break
-            out.append((dist, at))
-            rows += int(self.sizes[at]) if self.sizes is not None else 0
-            new = np.unique(self.links[at][~seen[self.links[at]]])
-            if len(new):
-                least = push(new)
-        out.sort()
-        held = np.cumsum([int(self.sizes[at]) for _, at in out]) if self.sizes is not None else np.zeros(len(out), np.int64)
-        return np.array([at for k, (dist, at) in enumerate(out) if dist <= least * ratio or (k and held[k - 1] < least_rows)], np.int64)
+            done[row, at] = True
+            look(np.repeat(row, self.links.shape[1]), self.links[at].ravel())
+        order = np.argsort(np.where(done, dist, np.inf), axis=1, kind="stable")
+        near = np.take_along_axis(np.where(done, dist, np.inf), order, axis=1)
+        held = np.cumsum(sizes[order], axis=1) - sizes[order]
+        row, k = np.nonzero((near <= ratio * near[:, :1]) | (np.isfinite(near) & (held < least)))
+        return row, order[row, k]
 
 
 def lists_of(x: np.ndarray, c: np.ndarray, copies: int = COPIES, overlap: float = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +141,27 @@ def lists_of(x: np.ndarray, c: np.ndarray, copies: int = COPIES, overlap: float
     return row, near[row, j]
 
 
+def fitted_ratio(x: np.ndarray, c: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """The least ratio by which some vectors of ``x`` find this share of their k nearest others among ``x``.
+
+    Where ``x`` is a part of all vectors, k is that part of what is asked for.
+    """
+    some = np.unique(np.linspace(0, len(x) - 1, min(PROBED, len(x))).astype(int))
+    need = []
+    for a in range(0, len(some), 64):
+        own = some[a : a + 64]
+        d = squared(x[own], x)
+        d[np.arange(len(own)), own] = np.inf
+        near = np.argpartition(d, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+        row, at = lists_of(x[near.ravel()], c)
+        to = np.sqrt(squared(x[own], c))
+        far = to[row // near.shape[1], at] / np.maximum(to.min(axis=1)[row // near.shape[1]], 1e-300)
+        least = np.full(near.size, np.inf)
+        np.minimum.at(least, row, far)
+        need.append(least)
+    return float(np.quantile(np.concatenate(need), recall)) if need and len(x) > 1 else 1.0
+
+
 @dataclass
 class PostingIndex:
     graph: CentroidGraph
@@ -130,16 +169,7 @@ class PostingIndex:
     shares: np.ndarray  # of each list
 
 
-def _dealt(rows: DataFrame, run, most: int, name: str, key: str) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
-    """Rows with a list, cut into shares of about ``most`` rows each; the number of shares and of rows of each list."""
-    table = shared.written(rows.mapInArrow(run, f"list int, {key} long, vec array<double>"), name)
-    counts = {r[0]: r[1] for r in table.groupBy("list").count().collect()}  # one row a list
-    shares = np.array([-(-counts.get(i, 0) // most) for i in range(max(counts, default=-1) + 1)], np.int64)
-    number = F.element_at(F.lit(shares.tolist() or [1]).cast("array<int>"), F.col("list") + 1)
-    return table.withColumn("share", F.pmod(F.xxhash64(key), number).cast("int")), shares, counts
-
-
-def build(table: DataFrame) -> PostingIndex | None:
+def build(table: DataFrame, recall: float = RECALL) -> PostingIndex | None:
     """Index of all usable, non-zero vectors of ``table``; None if there are none."""
     spark = table.sparkSession
     rows = usable(table, zero=False)
@@ -147,79 +177,99 @@ def build(table: DataFrame) -> PostingIndex | None:
     if not n:
         return None
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow() if n > SAMPLE else rows.orderBy("vec_id", "vec").toArrow()
-    x = matrix(sample.column("vec").combine_chunks())
-    graph = CentroidGraph.build(balanced_centroids(np.unique(x, axis=0), int(np.clip(np.sqrt(n), 8, LISTS))))
+    x = np.unique(matrix(sample.column("vec").combine_chunks()), axis=0)
+    # a list has three vectors of the sample or more
+    graph = CentroidGraph.build(balanced_centroids(x, int(np.clip(PER_ROOT * np.sqrt(n), 8, min(LISTS, max(8, len(x) // 3))))))
+    graph.ratio = fitted_ratio(x, graph.centroids, max(1, round(K * len(x) / n)), recall)
     sent = spark.sparkContext.broadcast(graph)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value.centroids
-        for batch in batches:
-            row, at = lists_of(matrix(batch.column(1), c.shape[1])[:, : c.shape[1]], c)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "vec_id", "vec"])
-
-    postings, shares, counts = _dealt(rows, assign, SHARE, "postings", "vec_id")
-    graph.sizes = np.array([counts.get(i, 0) for i in range(len(graph.centroids))], np.int64)
-    return PostingIndex(graph, postings, shares)
-
-
-def search(index: PostingIndex, queries: DataFrame, k: int = 10, ratio: float = RATIO) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k nearest vectors found for each query row, its own vec_id left out."""
+        for whole in batches:
+            for a in range(0, whole.num_rows, TOGETHER * 8):
+                batch = whole.slice(a, TOGETHER * 8)
+                row, at = lists_of(matrix(batch.column(1), c.shape[1])[:, : c.shape[1]], c)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "vec_id", "vec"])
+
+    filled = shared.written(rows.mapInArrow(assign, "list int, vec_id long, vec array<double>"), "postings")
+    counts = {r[0]: r[1:] for r in filled.groupBy("list").agg(F.count(F.lit(1)), F.count_distinct("vec_id")).collect()}  # one row a list
+    rows_of, graph.sizes = (np.array([counts.get(i, (0, 0))[k] for i in range(len(graph.centroids))], np.int64) for k in (0, 1))
+    shares = -(-rows_of // SHARE)
+    number = F.element_at(F.lit(shares.tolist()).cast("array<int>"), F.col("list") + 1)
+    return PostingIndex(graph, filled.withColumn("share", F.pmod(F.xxhash64("vec_id"), number).cast("int")), shares)
+
+
+def search(index: PostingIndex, queries: DataFrame, k: int = K, ratio: float | None = None) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k nearest vectors found for each query row, its own vec_id left out; ``ratio`` replaces the fitted one."""
     spark = queries.sparkSession
     sent = spark.sparkContext.broadcast(index.graph)
+    folder = shared.fresh(spark, "query-blocks")
+    ratio = index.graph.ratio if ratio is None else ratio
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = sent.value
-        for batch in batches:
-            q = matrix(batch.column(1), g.centroids.shape[1])[:, : g.centroids.shape[1]]
-            found = [g.within(v, ratio, 10 * COPIES * (k + 1)) for v in q]
-            row = np.repeat(np.arange(len(q)), [len(f) for f in found])
-            at = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["list", "query_id", "vec"])
-
-    asked = usable(queries, zero=False).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
-    probes, turns, _ = _dealt(asked, probe, ASKED, "probes", "query_id")
-    probes = probes.withColumnRenamed("share", "turn")
-    number = lambda a: F.element_at(F.lit(a.tolist() or [0]).cast("array<int>"), F.col("list") + 1)
-    all_shares = np.zeros(max(len(index.shares), len(turns)), np.int64)
-    all_shares[: len(index.shares)] = index.shares
-    all_turns = np.zeros_like(all_shares)
-    all_turns[: len(turns)] = turns
-    each = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
-    left = probes.withColumn("share", each(number(all_shares)))
-    right = index.postings.withColumn("turn", each(number(all_turns)))
+        """A partition's queries as a file, and their places in it by list; a task that runs again writes the same."""
+        g, block = sent.value, TaskContext.get().partitionId()
+        held = pa.Table.from_batches(list(batches), schema=pa.schema([("query_id", pa.int64()), ("vec", pa.list_(pa.float64()))]))
+        if not held.num_rows:
+            return
+        q = matrix(held.column("vec").combine_chunks())
+        files.save(f"{folder}/{block}-vec.npy", q)
+        files.save(f"{folder}/{block}-id.npy", np.asarray(held.column("query_id")))
+        q = matrix(held.column("vec").combine_chunks(), g.centroids.shape[1])[:, : g.centroids.shape[1]]
+        found = [(row + a, at) for a in range(0, len(q), TOGETHER) for row, at in [g.within(q[a : a + TOGETHER], ratio, 40 * (k + 1))]]
+        row, at = (np.concatenate(f) for f in zip(*found))
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        data = [row[a:b].astype(np.int32).tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)])]
+        yield pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int32()), pa.array(np.full(len(cut), block)), pa.array(data, pa.binary())], names=["list", "block", "rows"])
+
+    asked = shared.written(usable(queries, zero=False).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
+    blocks = max(1, -(-asked.count() // ASKED))
+    probes = shared.written(asked.repartition(blocks, "query_id").sortWithinPartitions("query_id").mapInArrow(probe, "list int, block long, rows binary"), "probes")
+    number = F.element_at(F.lit(index.shares.tolist()).cast("array<int>"), F.col("list") + 1)
+    left = probes.withColumn("share", F.explode(F.when(number > 0, F.sequence(F.lit(0), number - 1))))
 
     def nearest(asked: pa.Table, posted: pa.Table) -> pa.Table:
-        none = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not asked.num_rows or not posted.num_rows:
-            return pa.table(none)
-        a, b = matrix(asked.column("vec").combine_chunks()), matrix(posted.column("vec").combine_chunks())
-        width = max(a.shape[1], b.shape[1])
-        a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
-        q_ids, ids = np.asarray(asked.column("query_id")), np.asarray(posted.column("vec_id"))
+        """The k nearest of a share for each query that reads it; a vec_id counts once, at its least distance."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        b = matrix(posted.column("vec").combine_chunks()) if posted.num_rows else np.zeros((0, 0))
+        ids = np.asarray(posted.column("vec_id"))
         order = np.argsort(ids, kind="stable")
         ids, b = ids[order], b[order]
-        out = []
-        for j in range(len(a)):
-            d = squared(a[j : j + 1], b)[0]
-            d[ids == q_ids[j]] = np.inf
-            m = min(len(d), k + int((ids == q_ids[j]).sum()))
-            limit = np.partition(d, m - 1)[m - 1]
-            at = np.flatnonzero((d <= limit * (1 + 1e-9) + 1e-12) & (ids != q_ids[j]))  # rounding can't drop a tie
-            score = np.sqrt(((a[j] - b[at]) ** 2).sum(1))
-            pick = np.lexsort((ids[at], score))[:k]
-            out.append((np.full(len(pick), q_ids[j]), ids[at[pick]], score[pick]))
-        q, v, s = (np.concatenate(x) for x in zip(*out))
+        head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+        for block, rows in zip(asked.column("block").to_pylist(), asked.column("rows").to_pylist()) if len(ids) else ():
+            rows = np.frombuffer(rows, np.int32)
+            vec, names = files.load(f"{folder}/{block}-vec.npy"), files.load(f"{folder}/{block}-id.npy")
+            for start in range(0, len(rows), TOGETHER):
+                some = rows[start : start + TOGETHER]
+                q, q_ids = np.asarray(vec[some]), np.asarray(names[some])
+                width = max(q.shape[1], b.shape[1])
+                q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m for m in (q, b))
+                d = squared(q, x)
+                d[q_ids[:, None] == ids] = np.inf
+                each = np.minimum.reduceat(d, head, axis=1)
+                m = min(k, each.shape[1])
+                limit = np.partition(each, m - 1, axis=1)[:, m - 1, None]
+                row, at = np.nonzero((d <= limit * (1 + 1e-9) + 1e-12) & np.isfinite(d))  # rounding can't drop a tie
+                score = np.sqrt(((q[row] - x[at]) ** 2).sum(1))
+                order = np.lexsort((score, ids[at], row))
+                row, at, score = row[order], at[order], score[order]
+                once = np.r_[True, (row[1:] != row[:-1]) | (ids[at][1:] != ids[at][:-1])][: len(row)]
+                row, vec_id, score = topped(row[once], ids[at[once]], score[once], k)
+                out.append((q_ids[row], vec_id, score))
+        q, v, s = (np.concatenate(c) for c in zip(*out))
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    keys = ["list", "share", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    keys = ["list", "share"]
+    found = left.groupBy(*keys).cogroup(index.postings.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double")
     # the copies of a vector in several lists have one distance
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest_neighbours(table: DataFrame, queries: DataFrame, k: int = 10, ratio: float = RATIO) -> DataFrame:
+def nearest_neighbours(table: DataFrame, queries: DataFrame, k: int = K, ratio: float | None = None) -> DataFrame:
     """:func:`search` over an index of ``table``; both have vec_id and embedding.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, as candidates
@@ -231,6 +281,3 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, k: int = 10, ratio:
     if index is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return search(index, queries, k, ratio)
-
-
-__all__ = ["CentroidGraph", "balanced_centroids", "build", "lists_of", "nearest_neighbours", "search", "topped"]

@@ -85,6 +85,56 @@ def test_neighbours_recall_and_scores(table):
     assert neighbours.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute(x, ids, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    best = {}
+    for i, s in zip(ids.tolist(), d.tolist()):
+        if i != ids[q]:
+            best[i] = min(s, best.get(i, s))
+    return sorted(best, key=lambda i: (best[i], i))[:k]
+
+
+@pytest.mark.parametrize(("share", "asked", "together"), [(4096, 4096, 256), (30, 4, 3)])
+def test_clustered_vectors_are_pruned(spark, monkeypatch, share, asked, together):
+    """Long lists in several shares, queries in several blocks, rows that repeat a vec_id more than k times."""
+    for name, v in (("SHARE", share), ("ASKED", asked), ("TOGETHER", together)):
+        monkeypatch.setattr(neighbours, name, v)
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(40, 16)) * 4
+    x = middle[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16))
+    ids = np.arange(3000)
+    x = np.concatenate((x, np.repeat(x[[100]] + 1e-3, 31, axis=0)))
+    ids = np.concatenate((ids, np.full(31, 5000)))
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    index = neighbours.build(df)
+    asked_ = list(range(0, 3000, 100))
+    row, at = index.graph.within(x[asked_], index.graph.ratio, 440)
+    assert index.graph.sizes[at].sum() / len(asked_) < 0.3 * 3000
+    got = {}
+    for r in neighbours.search(index, df.where("vec_id % 100 = 0 and vec_id < 3000")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = {q: brute(x, ids, q) for q in asked_}
+    assert all([r for r, _ in sorted(got[q])] == list(range(1, 11)) for q in asked_)
+    assert sum(len({v for _, v in got[q]} & set(want[q])) for q in asked_) >= 0.95 * 10 * len(asked_)
+    assert sorted(got[100])[0] == (1, 5000)
+
+
+def test_graph_search_finds_what_a_scan_finds():
+    rng = np.random.default_rng(12)
+    c = rng.normal(size=(200, 8))
+    g = neighbours.CentroidGraph.build(c)
+    g.sizes = rng.integers(0, 9, 200)
+    q = rng.normal(size=(50, 8))
+    row, at = g.within(q, 1.2, 60)
+    d = np.sqrt(neighbours.squared(q, c))
+    want = {(k, j) for k in range(50) for j in np.flatnonzero(d[k] <= 1.2 * d[k].min()).tolist()}
+    assert len(want & set(zip(row.tolist(), at.tolist()))) >= 0.97 * len(want)
+    assert all(g.sizes[at[row == k]].sum() >= 60 for k in range(50))
+    alone = neighbours.CentroidGraph(c, np.zeros((200, 1), int))  # no links: every list is looked at in turn
+    alone.sizes = np.ones(200, int)
+    assert len(alone.within(q[:2], 1.0, 10**6)[0]) == 400
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], "a") for i in range(4)], SCHEMA)
     assert neighbours.nearest_neighbours(df, df.where("vec_id = 0")).count() == 3
