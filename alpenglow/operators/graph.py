@@ -13,7 +13,7 @@ from alpenglow.operators import local
 from alpenglow.plans.cut import written
 
 
-def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", limit: int = local.LIMIT) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", limit: int | None = None) -> DataFrame:
     """``(key, node, dist)``: all nodes reached from each key's seeds ``(key, node)`` along ``src -> dst``, with their least number of steps.
 
     One round a level, for all keys at once: the frontier joins the edges and drops what its key
@@ -33,7 +33,7 @@ def reach(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst"
         found = found.union(frontier)
 
 
-def follow(pointers: DataFrame, limit: int = local.LIMIT) -> DataFrame:
+def follow(pointers: DataFrame, limit: int | None = None) -> DataFrame:
     """``(node, target, steps)``: where each node's chain ``(node, to, cost)`` ends; a node that points to itself is an end.
 
     Pointers are doubled, so chains of length n take log2(n) rounds.
@@ -50,7 +50,7 @@ def follow(pointers: DataFrame, limit: int = local.LIMIT) -> DataFrame:
         now = new.drop("moved")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "delta_fit", damping: float = 0.85, tolerance: float = 1e-12, rounds: int = 200, limit: int = local.LIMIT) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "delta_fit", damping: float = 0.85, tolerance: float = 1e-12, rounds: int = 200, limit: int | None = None) -> DataFrame:
     """``(node_id, pagerank)``, summing to 1; nodes without out-edges spread their rank evenly."""
     w = F.col(weight) if weight else F.lit(1.0)
     if (ids := local.fetch(nodes.select("node_id").orderBy("node_id"), limit)) and (links := local.fetch(edges.select("src", "dst", w.cast("double").alias("w")), limit)):

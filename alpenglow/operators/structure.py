@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alpenglow.errors import ParameterError
 from alpenglow.functions.numbering import numbered
 from alpenglow.operators import local
 from alpenglow.operators.components import components
@@ -48,16 +51,36 @@ def local_optima(nodes: DataFrame, degree: DataFrame, plateau: DataFrame, left:
     return rows.select("node_id", is_lo.alias("is_lo"), "peak")
 
 
-def climb_pointers(nodes: DataFrame, edges: DataFrame, plateau: DataFrame | None = None, left: DataFrame | None = None) -> DataFrame:
-    """``(node, to, cost)``: the successor of greatest fitness (whatever the direction of search), ties to the least id; sinks point to themselves.
+STRATEGIES = ("best-improvement", "first-improvement")
+
 
-    With plateaus, a sink on one that can be left points to its first exit: the least member's least target.
+def climb_pointers(
+    nodes: DataFrame, edges: DataFrame, plateau: DataFrame | None = None, left: DataFrame | None = None, strategy: str = "best-improvement", exit_by: str = "first-improvement",
+    maximize: bool = True, seed: int = 0,
+) -> DataFrame:
+    """``(node, to, cost)``: each node's successor in a climb; sinks point to themselves.
+
+    By ``best-improvement`` that is the one of greatest fitness (whatever the direction of search),
+    ties to the least id; by ``first-improvement`` any, drawn by ``seed``. With plateaus, a sink on one
+    that can be left points to its exit: the first one is the least member's least target, the best
+    one the target that gains most, the first of equals.
     """
+    for given in (strategy, exit_by):
+        if given not in STRATEGIES:
+            raise ParameterError(f"{given!r} is none of {STRATEGIES}")
     f = nodes.select(F.col("node_id").alias("dst"), F.col("fitness").alias("f"))
-    best = edges.select("src", "dst").join(f, "dst").groupBy("src").agg(F.max(F.struct(F.col("f"), (-F.col("dst")).alias("neg"))).alias("m"))
+    if strategy == "best-improvement":
+        ways = edges.select("src", "dst").join(f, "dst")
+    else:
+        ways = edges.select("src", "dst", F.xxhash64("src", "dst", F.lit(seed)).alias("f"))
+    best = ways.groupBy("src").agg(F.max(F.struct(F.col("f"), (-F.col("dst")).alias("neg"))).alias("m"))
     rows = nodes.select(F.col("node_id").alias("node")).join(best.select(F.col("src").alias("node"), (-F.col("m.neg")).alias("to")), "node", "left")
     if plateau is not None and left is not None:
-        first = left.groupBy("plateau_id").agg(F.min(F.struct("member", "to")).alias("m")).select("plateau_id", F.col("m.to").alias("exit"))
+        if exit_by == "best-improvement":
+            gain = (-F.col("f") if maximize else F.col("f")).alias("gain")
+            left = left.join(f.withColumnRenamed("dst", "to"), "to").select("plateau_id", gain, "member", "to")
+        order = F.struct(*[c for c in left.columns if c != "plateau_id"])
+        first = left.groupBy("plateau_id").agg(F.min(order).alias("m")).select("plateau_id", F.col("m.to").alias("exit"))
         on = plateau.select(F.col("node_id").alias("node"), "plateau_id").where("plateau_id >= 0").join(first, "plateau_id")
         rows = rows.join(on.select("node", "exit"), "node", "left").withColumn("to", F.coalesce("to", "exit"))
     return rows.select("node", F.coalesce("to", "node").alias("to"), F.lit(1).alias("cost"))
@@ -97,8 +120,10 @@ def neighbour_fitness(nodes: DataFrame, edges: DataFrame, neutral: DataFrame) ->
     return nodes.select("node_id").join(means, "node_id", "left")
 
 
-def distance(kind: str | list[str], a: Column, b: Column) -> Column:
-    """Hamming or Manhattan distance of two code arrays, or the sum of both by each position's kind."""
+def distance(kind: str | list[str] | Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """Hamming or Manhattan distance of two code arrays, the sum of both by each position's kind, or one's own function of both."""
+    if callable(kind):
+        return kind(a, b)
     if kind == "hamming":
         parts = F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1))
     elif kind == "manhattan":
@@ -108,3 +133,20 @@ def distance(kind: str | list[str], a: Column, b: Column) -> Column:
         step = F.zip_with(a, b, lambda x, y: F.struct(F.abs(x - y).alias("m"), F.when(x == y, 0).otherwise(1).alias("h")))
         parts = F.zip_with(step, ordinal, lambda s, o: F.when(o, s["m"]).otherwise(s["h"]))
     return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def mean_distances(nodes: DataFrame, targets: DataFrame, kind: str | list[str], n_positions: int) -> DataFrame:
+    """``(lo, mean_distance)`` of all nodes to each target ``(lo, cfg)``, from the counts of every position's codes.
+
+    A distance is a sum over positions, so no node meets a target: running sums in the order of the
+    codes give what a code costs at its position.
+    """
+    kinds = {"hamming": ["hamming"] * n_positions, "manhattan": ["ordinal"] * n_positions}.get(kind, kind) if isinstance(kind, str) else kind
+    counts = nodes.select(F.posexplode("cfg").alias("p", "code")).groupBy("p", "code").agg(F.count(F.lit(1)).alias("n"))
+    whole, below = Window.partitionBy("p"), Window.partitionBy("p").orderBy("code")
+    total, mass = F.sum("n").over(whole), F.sum(F.col("n") * F.col("code")).over(whole)
+    n_to, mass_to = F.sum("n").over(below), F.sum(F.col("n") * F.col("code")).over(below)
+    steps = F.col("code") * n_to - mass_to + (mass - mass_to) - F.col("code") * (total - n_to)
+    ordinal = F.element_at(F.array(*[F.lit(k == "ordinal") for k in kinds]), F.col("p") + 1)
+    cost = counts.select("p", "code", (F.when(ordinal, steps).otherwise(total - F.col("n")) / total).alias("cost"))
+    return targets.select("lo", F.posexplode("cfg").alias("p", "code")).join(cost, ["p", "code"]).groupBy("lo").agg(F.sum("cost").alias("mean_distance"))

@@ -48,7 +48,7 @@ def _paths(node: np.ndarray, to: np.ndarray, end: int | None) -> dict[str, np.nd
     return {"start": a, "step": b.astype(np.int32), "node_id": c}
 
 
-def climb_paths(nodes: DataFrame, pointers: DataFrame, end: int | None = None, limit: int = local.LIMIT) -> DataFrame:
+def climb_paths(nodes: DataFrame, pointers: DataFrame, end: int | None = None, limit: int | None = None) -> DataFrame:
     """``(start, step, node_id, fitness)`` of every node's climb; with ``end``, of the climbs that end there.
 
     Grown back from the ends, a round a step, so only paths that count are made.

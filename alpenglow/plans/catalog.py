@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +42,25 @@ SOURCES = {
 }
 
 
-@cache
-def _built(app: str, spark: SparkSession, sf_dir: str, name: str, options: tuple) -> Landscape:
+@lru_cache(maxsize=32)
+def _built(app: str, spark: SparkSession, sf_dir: str, name: str, options: tuple, state: tuple) -> Landscape:
     s = SOURCES[name]
     kinds = {c: k for c, k, _, _ in s.columns}
     return build(s.frame(spark, sf_dir), kinds, kind=s.kind, **dict(options))
 
 
+def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """What changes when a table does: its time, bytes and number of files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = store.getContentSummary(where)
+    return store.getFileStatus(where).getModificationTime(), size.getLength(), size.getFileCount()
+
+
 def landscape(spark: SparkSession, sf_dir: str, name: str, **options) -> Landscape:
-    """A landscape of the catalogue; built once a session and folder, as its metrics share its tables."""
-    return _built(spark.sparkContext.applicationId, spark, sf_dir, name, tuple(sorted(options.items())))
+    """A landscape of the catalogue; built once a session and state of its table, as its metrics share its tables."""
+    state = _state(spark, f"{sf_dir}/{SOURCES[name].table}.parquet")
+    return _built(spark.sparkContext.applicationId, spark, sf_dir, name, tuple(sorted(options.items())), state)
 
 
 class Sql:

@@ -181,6 +181,11 @@ class Landscape:
         """Climbs without plateau exits."""
         return written(structure.climb_pointers(self.nodes, self.edges), "pointers")
 
+    def basins_by(self, strategy: str = "best-improvement", exit_by: str = "first-improvement", seed: int = 0) -> DataFrame:
+        """:attr:`basins` of climbs and exits chosen otherwise (see :func:`alpenglow.operators.structure.climb_pointers`)."""
+        pointers = structure.climb_pointers(self.nodes, self.edges, self.plateaus, self.exits, strategy, exit_by, self.maximize, seed)
+        return structure.greedy_basins(self.nodes, pointers, self.optima)
+
     @cached_property
     def basins(self) -> DataFrame:
         """``(node_id, basin_index, steps)`` of climbs that leave plateaus by their first exit."""
@@ -210,13 +215,18 @@ class Landscape:
     @cached_property
     def dist_to_go(self) -> DataFrame:
         """``(node_id, dist_go)``: distance to the nearest of all best configurations."""
+        return self.distances_to_go(self.distance_kind())
+
+    def distances_to_go(self, kind) -> DataFrame:
+        """:attr:`dist_to_go` by another distance: a name, a list of them, or a function of two code arrays."""
         best = self.nodes.agg((F.max if self.maximize else F.min)("fitness").alias("fitness"))
         tied = written(self.nodes.join(F.broadcast(best), "fitness").select("node_id", F.col("cfg").alias("go")), "tied")  # best: one row
         # the best themselves are at 0, so many ties leave few others to compare with them
         others = self.nodes.join(tied.select("node_id"), "node_id", "left_anti")
-        each = others.join(tied.select("go")).select("node_id", structure.distance(self.distance_kind(), F.col("cfg"), F.col("go")).alias("d"))
-        near = each.groupBy("node_id").agg(F.min("d").cast("long").alias("dist_go"))
-        return written(near.union(tied.select("node_id", F.lit(0).cast("long"))), "dist-go")
+        each = others.join(tied.select("go")).select("node_id", structure.distance(kind, F.col("cfg"), F.col("go")).alias("d"))
+        near = each.groupBy("node_id").agg(F.min("d").alias("dist_go"))
+        near = near if callable(kind) else near.withColumn("dist_go", F.col("dist_go").cast("long"))
+        return written(near.union(tied.select("node_id", F.lit(0).cast(near.schema["dist_go"].dataType))), "dist-go")
 
     @cached_property
     def neighbour_fitness(self) -> DataFrame:
@@ -235,8 +245,11 @@ class Landscape:
 
     # reading
 
-    def get_data(self, lo_only: bool = False, include_pagerank: bool = False) -> DataFrame:
-        """The node table with its derived columns; ``lo_only``: local optima with those of their basins."""
+    def get_data(self, lo_only: bool = False, include_pagerank: bool = False, network=None) -> DataFrame:
+        """The node table with its derived columns; ``lo_only``: local optima with those of their basins.
+
+        A ``network`` of :meth:`get_lon` gives these the measures of their peak in it, as columns ``lon_*``.
+        """
         rows = self.nodes.select("node_id", *[F.col(f"`{c}`") for c in self.columns], "fitness").join(self.optima.select("node_id", "is_lo", "peak"), "node_id")
         if self.has_neutral:
             rows = rows.join(self.plateaus.select("node_id", "plateau_id", "plateau_size"), "node_id")
@@ -245,7 +258,11 @@ class Landscape:
         if not lo_only:
             return rows.drop("peak").join(self.degrees, "node_id").join(self.basins.select("node_id", "basin_index"), "node_id").orderBy("node_id")
         sizes = self.basin_sizes.join(self.accessible_paths, "node_id").withColumnRenamed("node_id", "peak")
-        return rows.where("is_lo").drop("is_lo").join(sizes, "peak").drop("peak").orderBy("node_id")
+        rows = rows.where("is_lo").drop("is_lo").join(sizes, "peak")
+        if network is not None:
+            measures = ("escape_difficulty", "improve_rate", "accessibility", "in_degree", "out_degree")
+            rows = rows.join(network.nodes.select("peak", *[F.col(c).alias(f"lon_{c}") for c in measures]), "peak", "left")
+        return rows.drop("peak").orderBy("node_id")
 
     def get_lon(self, **options):
         """The local optima network (see :mod:`alpenglow.operators.lon`)."""
@@ -287,6 +304,30 @@ class Landscape:
         return f"Landscape(kind={self.kind!r}, built={self.built}, maximize={self.maximize}, epsilon={self.epsilon})"
 
 
+#: Columns that a landscape's tables add; a variable of such a name gets an underscore.
+RESERVED = {
+    "node_id", "cfg", "fitness", "ordinal", "is_lo", "peak", "plateau_id", "plateau_size", "in_degree", "out_degree", "basin_index", "pagerank", "size_basin_greedy",
+    "radius_basin_greedy", "size_basin_accessible", "old", "_first",
+}
+
+
+def _apart(df: DataFrame, kinds: dict[str, str] | None, levels: dict[str, list] | None, fitness: str, ordinal: str | None):
+    """Variables renamed until none is called like a column of a landscape, and the new names."""
+    rename: dict[str, str] = {}
+    for c in df.columns:
+        if c in (fitness, ordinal) or (kinds and c not in kinds):
+            continue
+        new, taken = c, {x.lower() for x in df.columns if x != c} | {x.lower() for x in rename.values()}
+        while new.lower() in RESERVED or new.lower() in taken:
+            new += "_"
+        if new != c:
+            rename[c] = new
+    if not rename:
+        return df, kinds, levels
+    to = lambda given: given and {rename.get(c, c): v for c, v in given.items()}
+    return df.withColumnsRenamed(rename), to(kinds), to(levels)
+
+
 def build(
     df: DataFrame, kinds: dict[str, str] | None = None, *, kind: str = "default", fitness: str = "fitness", maximize: bool = True, epsilon: float = 0.0,
     tau: float | None = None, filter_mode: str = "any", n_edit: int = 1, neighbours_by: str = "typed", ordinal: str | None = None, alphabet: str | None = None,
@@ -296,7 +337,8 @@ def build(
 
     ``kind`` is boolean, ordinal, categorical, dna, rna, protein, sequence (with ``alphabet``, or
     inferred) or default, which needs ``kinds`` of all columns. ``tau`` keeps good rows before
-    building (filter_mode ``any``), or after it drops edges between bad ones (``both``). ``rules``
+    building (filter_mode ``any``), or after it drops edges between bad ones (``both``). A variable called
+    like a column that landscapes have (node_id, cfg, ...) gets an underscore after its name. ``rules``
     is a :class:`alpenglow.plans.filters.RowFilter`. ``generate`` gives a configuration's
     neighbours by a rule of one's own.
     """
@@ -309,6 +351,7 @@ def build(
         df = ingest.tau_filter(df, tau, maximize, fitness)
         if not df.limit(1).count():
             raise DataError("no row is as good as tau")
+    df, kinds, levels = _apart(df, kinds, levels, fitness, ordinal)
     given = [c for c in (kinds or df.columns) if c not in (fitness, ordinal)]
     if kind == "boolean":
         df, _, kinds = ingest.parse_boolean(df, given, fitness)

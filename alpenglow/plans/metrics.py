@@ -167,12 +167,19 @@ def local_optima_accessibility(land: Landscape, lo: list[int] | None = None) ->
     return _reaches(land, lo).groupBy(F.col("key").alias("node_id")).agg((F.count(F.lit(1)) / F.lit(land.n_configs)).alias("accessibility"))
 
 
-def mean_path_length_to_local_optima(land: Landscape, lo: list[int] | None = None, accessible: bool = True, share: float | None = None, seed: int = 0) -> DataFrame:
-    """``(node_id, mean, variance)`` of the fewest steps to each optimum from where it can be reached; ``share`` samples the starts."""
+def mean_path_length_to_local_optima(land: Landscape, lo: list[int] | None = None, accessible: bool = True, n_samples: float | int | None = None, seed: int = 0) -> DataFrame:
+    """``(node_id, mean, variance)`` of the fewest steps to each optimum from where it can be reached.
+
+    ``n_samples`` takes only so many starts (a whole number) or such a share of all (a float up to 1), drawn by ``seed``.
+    """
     _check_optima(land, lo)
     found = _reaches(land, lo, accessible)
-    if share is not None:
-        found = found.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    if n_samples is not None:
+        if isinstance(n_samples, bool) or n_samples <= 0 or (isinstance(n_samples, float) and n_samples > 1):
+            raise ParameterError("n_samples is a share above 0 and up to 1, or a positive whole number")
+        size = max(1, int(n_samples * land.n_configs)) if isinstance(n_samples, float) else min(n_samples, land.n_configs)
+        starts = land.nodes.select(F.col("node_id").alias("node")).orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(size)
+        found = found.join(written(starts, "starts"), "node", "left_semi")
     return found.groupBy(F.col("key").alias("node_id")).agg(F.avg("dist").alias("mean"), F.var_pop("dist").alias("variance"))
 
 
@@ -182,17 +189,23 @@ def mean_path_length_to_global_optimum(land: Landscape, accessible: bool = True)
 
 
 def mean_distance_to_local_optima(land: Landscape, lo: list[int] | None = None, kind=None) -> DataFrame:
-    """``(node_id, mean_distance)`` of all configurations to each local optimum."""
+    """``(node_id, mean_distance)`` of all configurations to each local optimum.
+
+    ``kind`` replaces the distance: a name, a list of them, or a function of two code arrays (which alone compares every pair).
+    """
     _check_optima(land, lo)
     chosen = land.optima.where("is_lo") if lo is None else land.optima.where(F.col("node_id").isin(lo))
-    targets = chosen.join(land.nodes.select("node_id", "cfg"), "node_id").select(F.col("node_id").alias("lo"), F.col("cfg").alias("lo_cfg"))
-    each = land.nodes.select("cfg").join(targets).select("lo", structure.distance(kind or land.distance_kind(), F.col("cfg"), F.col("lo_cfg")).alias("d"))
+    targets = chosen.join(land.nodes.select("node_id", "cfg"), "node_id").select(F.col("node_id").alias("lo"), "cfg")
+    kind = kind or land.distance_kind()
+    if not callable(kind):
+        return structure.mean_distances(land.nodes, targets, kind, land.n_vars).withColumnRenamed("lo", "node_id")
+    each = land.nodes.select("cfg").join(targets.withColumnRenamed("cfg", "lo_cfg")).select("lo", kind(F.col("cfg"), F.col("lo_cfg")).alias("d"))
     return each.groupBy(F.col("lo").alias("node_id")).agg(F.avg("d").alias("mean_distance"))
 
 
-def mean_distance_to_global_optimum(land: Landscape) -> DataFrame:
-    """To the nearest of all best configurations."""
-    return land.dist_to_go.agg(F.avg("dist_go").alias("value"))
+def mean_distance_to_global_optimum(land: Landscape, kind=None) -> DataFrame:
+    """To the nearest of all best configurations; ``kind`` as above."""
+    return (land.dist_to_go if kind is None else land.distances_to_go(kind)).agg(F.avg("dist_go").alias("value"))
 
 
 # fitness

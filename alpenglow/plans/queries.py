@@ -232,17 +232,76 @@ _add("additive_landscape", "config:s fitness:d", lambda spark, sf: problems.Addi
 _sack = problems.Knapsack(9, seed=5)
 _total = lambda xs: " + ".join(f"((i >> {8 - j}) & 1) * {x}" for j, x in enumerate(xs))
 _add("knapsack_landscape", "config:s fitness:d", lambda spark, sf: problems.Knapsack(9, seed=5).get_data(spark), f"SELECT lpad(bin(i), 9, '0') AS config, CASE WHEN {_total(_sack.weights)} > {_sack.capacity} THEN 0 ELSE {_total(_sack.values)} END AS fitness FROM (SELECT unnest(range(0, 512)) AS i)")
-_add("nk_landscape", "config:s fitness:d", lambda spark, sf: problems.NK(10, 3, seed=1).get_data(spark))
-_add("max3sat_landscape", "config:s fitness:d", lambda spark, sf: problems.Max3Sat(9, 3.0, seed=2).get_data(spark))
-_add("partitioning_landscape", "config:s fitness:d", lambda spark, sf: problems.NumberPartitioning(9, 1.0, seed=4).get_data(spark))
-_add("rough_mount_fuji_landscape", "config:s fitness:d", lambda spark, sf: problems.RoughMountFuji(9, 0.5, seed=6).get_data(spark))
+_bit = lambda n, j: f"((i >> {n - 1 - j}) & 1)"
+_cube = lambda n, fitness: f"SELECT lpad(bin(i), {n}, '0') AS config, {fitness} AS fitness FROM (SELECT unnest(range(0, {1 << n})) AS i)"
+_nk = problems.NK(10, 3, seed=1)
+_states = [" + ".join(f"{_bit(10, j)} * {1 << (3 - pos)}" for pos, j in enumerate(places)) for places in _nk.linked]
+_add("nk_landscape", "config:s fitness:d", lambda spark, sf: problems.NK(10, 3, seed=1).get_data(spark), _cube(10, "(" + " + ".join(f"list_extract({[float(v) for v in values]!r}, {state} + 1)" for values, state in zip(_nk.values, _states)) + ") / 10"))
+_sat = problems.Max3Sat(9, 3.0, seed=2)
+_clauses = " + ".join("(" + " OR ".join(f"{_bit(9, v)} = {int(x)}" for v, x in clause) + ")::INT" for clause in sorted(_sat.clauses))
+_add("max3sat_landscape", "config:s fitness:d", lambda spark, sf: problems.Max3Sat(9, 3.0, seed=2).get_data(spark), _cube(9, _clauses))
+_parts = problems.NumberPartitioning(9, 1.0, seed=4)
+_add("partitioning_landscape", "config:s fitness:d", lambda spark, sf: problems.NumberPartitioning(9, 1.0, seed=4).get_data(spark), _cube(9, "-abs(" + " + ".join(f"(1 - 2 * {_bit(9, j)}) * {x}" for j, x in enumerate(_parts.numbers)) + ")"))
+_drawn = lambda p: ", ".join(map(repr, p.draws()))
+_mount = problems.RoughMountFuji(9, 0.5, seed=6)
+_add("rough_mount_fuji_landscape", "config:s fitness:d", lambda spark, sf: problems.RoughMountFuji(9, 0.5, seed=6).get_data(spark), _cube(9, "0.5 * (" + " + ".join(f"{s!r} * {_bit(9, j)}" for j, s in enumerate(_mount.slope)) + f") + 0.5 * list_extract([{_drawn(_mount)}], i + 1)"))
+_add("house_of_cards_landscape", "config:s fitness:d", lambda spark, sf: problems.HoC(8, seed=7).get_data(spark), _cube(8, f"list_extract([{_drawn(problems.HoC(8, seed=7))}], i + 1)"))
+
+# beyond the landscapes of whole tables: epsilon, isolated nodes, sequences, exits, network measures
+
+_e4 = Sql("l4", epsilon=2.0)
+_eps4 = lambda spark, sf: landscape(spark, sf, "l4", epsilon=2.0)
+_far = {"best": "SELECT root, max(f) AS best FROM plat JOIN enc USING (id) GROUP BY 1", "out": "SELECT p.root, e.src, e.dst, x.f - b.best AS gain FROM edges e JOIN plat p ON p.id = e.src JOIN plat q ON q.id = e.dst JOIN enc x ON x.id = e.dst JOIN best b ON b.root = p.root WHERE p.root <> q.root AND p.size > 1 AND x.f - b.best > 2.0", "lo_e": "SELECT p.id, p.root, p.size, CASE WHEN p.size > 1 THEN p.root NOT IN (SELECT root FROM out) ELSE d.outd = 0 END AS is_lo FROM plat p JOIN deg d ON d.id = p.id"}
+_add("plateaus_eps_l4", "node_id:l plateau_id:l plateau_size:l", lambda spark, sf: _eps4(spark, sf).plateaus, _e4.query("SELECT id AS node_id, CASE WHEN size > 1 THEN dense_rank() OVER (ORDER BY CASE WHEN size > 1 THEN root END NULLS LAST) - 1 ELSE -1 END AS plateau_id, size AS plateau_size FROM plat"))
+_add("exits_eps_l4", "member:l to:l", lambda spark, sf: _eps4(spark, sf).exits, _e4.query('SELECT src AS member, dst AS "to" FROM out', _far))
+_add("local_optima_eps_l4", "node_id:l is_lo:b peak:l", lambda spark, sf: _eps4(spark, sf).optima, _e4.query("SELECT id AS node_id, is_lo, root AS peak FROM lo_e", _far))
+for by, pick in (("first", "(src, dst)"), ("best", "(-gain, src, dst)")):
+    _climb = _far | {
+        "leave": f"SELECT root, arg_min(dst, {pick}) AS t FROM out GROUP BY 1",
+        "onward": "SELECT e.id, coalesce(s.t, CASE WHEN p.size > 1 THEN x.t END) AS t FROM enc e LEFT JOIN succ s ON s.id = e.id JOIN plat p ON p.id = e.id LEFT JOIN leave x ON x.root = p.root",
+        "up(start, id, steps)": "SELECT id, id, 0 FROM enc UNION ALL SELECT c.start, n.t, c.steps + 1 FROM up c JOIN onward n ON n.id = c.id WHERE n.t IS NOT NULL",
+    }
+    _add(f"basins_eps_{by}_l4", "node_id:l basin_index:l steps:l", lambda spark, sf, by=by: _eps4(spark, sf).basins_by(exit_by=f"{by}-improvement"), _e4.query("SELECT start AS node_id, CASE WHEN s.is_lo THEN s.root ELSE arg_max(l.root, c.steps) END AS basin_index, CASE WHEN s.is_lo THEN 0 ELSE max(c.steps) END AS steps FROM up c JOIN lo_e l ON l.id = c.id JOIN lo_e s ON s.id = c.start GROUP BY c.start, s.is_lo, s.root", _climb))
+_sparse = "WHERE (discount * 37 + tax * 11 + ascii(l_returnflag) * 5 + ascii(l_linestatus)) % 7 = 0"
+
+
+def _sparse_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = SOURCES["l1"].frame(spark, sf).where(_sparse[6:])
+    kinds = {c: k for c, k, _, _ in SOURCES["l1"].columns}
+    alone = build(rows, kinds, keep_isolated=True)
+    linked = alone.edges.select(F.col("src").alias("node_id")).union(alone.edges.select("dst")).union(alone.neutral.select("u")).union(alone.neutral.select("v")).distinct()
+    return alone.nodes.join(linked, "node_id", "left_anti")
+
+
+_add("isolated_l1", "l_returnflag:s l_linestatus:s discount:l tax:l fitness:d", _sparse_rows, Sql("l1", where=_sparse).query("SELECT l_returnflag, l_linestatus, discount, tax, f AS fitness FROM enc0 WHERE id NOT IN (SELECT u FROM linked UNION SELECT v FROM linked)"))
+for kind, letters, table in (("dna", "ACGT", "orders"), ("protein", "ACDEFGHIKLMNPQRSTVWY", "part")):
+    key = {"orders": "o_orderkey", "part": "p_partkey"}[table]
+    cost = {"orders": "o_totalprice", "part": "p_retailprice"}[table]
+    m, width = len(letters), {"orders": 5, "part": 3}[table]
+    code = lambda i, m=m, key=key: f"CAST(floor({key} / {m ** i}) AS BIGINT) % {m}"
+    seq = " || ".join(f"substr('{letters}', CAST({code(i)} + 1 AS INT), 1)" for i in range(width))
+    made = f"SELECT {seq} AS s, max({cost}) AS f FROM {table} GROUP BY 1"
+    near = " + ".join(f"(substr(x.s, {i + 1}, 1) <> substr(y.s, {i + 1}, 1))::INT" for i in range(width))
+    holed = " UNION ALL ".join(f"SELECT x.s AS a, y.s AS b, x.f AS fa, y.f AS fb FROM g x JOIN g y ON left(x.s, {i}) = left(y.s, {i}) AND substr(x.s, {i + 2}) = substr(y.s, {i + 2}) AND x.s < y.s" for i in range(width))
+
+    def _sequences(spark: SparkSession, sf: str, kind=kind, table=table, seq=seq, cost=cost) -> DataFrame:
+        rows = spark.read.parquet(f"{sf}/{table}.parquet").groupBy(F.expr(seq.replace("BIGINT", "LONG")).alias("s")).agg(F.max(cost).cast("double").alias("fitness"))
+        land = build(rows, kind=kind)
+        name = F.concat(*[F.col(f"`{c}`") for c in land.columns])
+        of = land.nodes.select("node_id", name.alias("s"))
+        pairs = land.edges.join(of.select(F.col("node_id").alias("src"), F.col("s").alias("worse")), "src").join(of.select(F.col("node_id").alias("dst"), F.col("s").alias("better")), "dst")
+        return pairs.select("worse", "better", "delta_fit")
+
+    _add(f"improving_edges_{kind}_{table}", "worse:s better:s delta_fit:d", _sequences, f"WITH g AS ({made}), h AS ({holed}) SELECT CASE WHEN fa < fb THEN a ELSE b END AS worse, CASE WHEN fa < fb THEN b ELSE a END AS better, abs(fa - fb) AS delta_fit FROM h WHERE fa <> fb")
+_lon_access = _lon | {"kept": "SELECT src, dst, w FROM lone WHERE f2 >= f1", "back(k, id)": "SELECT id, id FROM lo WHERE is_lo AND id = root UNION SELECT a.k, e.src FROM back a JOIN kept e ON e.dst = a.id"}
+_add("lon_measures_l1", "peak:l accessibility:l out_degree:l in_degree:l", lambda spark, sf: landscape(spark, sf, "l1").get_lon(min_edge_freq=1).nodes, L["l1"].query("SELECT k AS peak, count(*) AS accessibility, (SELECT count(*) FROM kept WHERE src = k) AS out_degree, (SELECT count(*) FROM kept WHERE dst = k) AS in_degree FROM back GROUP BY k", _lon_access))
 
 # without an SQL form: iterations to a limit, seeded walks, the whole profile
 
 _add("pagerank_l3", "node_id:l pagerank:d", lambda spark, sf: landscape(spark, sf, "l3").pagerank)
 _add("autocorrelation_l3", _V, _of("l3", M.autocorrelation))
 _add("cauchy_l1", _V, lambda spark, sf: spark.createDataFrame([(stats.cauchy_location(landscape(spark, sf, "l1").nodes),)], "value double"))
-_add("missing_report_part", "column:s nulls:l", lambda spark, sf: spark.createDataFrame(sorted(ingest.missing_report(spark.read.parquet(f"{sf}/part.parquet")).items()), "column string, nulls long"))
+_add("missing_report_part", "column:s nulls:l", lambda spark, sf: spark.createDataFrame(sorted(ingest.missing_report(spark.read.parquet(f"{sf}/part.parquet")).items()), "column string, nulls long"), "SELECT * FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM part) ON COLUMNS(*) INTO NAME \"column\" VALUE nulls)")
 QUERIES["profile_l3"] = lambda spark, sf: profile(landscape(spark, sf, "l3"))
 QUERIES["list_metrics"] = lambda spark, sf: list_metrics(spark)
 

@@ -84,10 +84,15 @@ class RoughMountFuji(Problem):
         self.alpha = alpha
         self.slope = [self.rng.uniform(-1.0, 1.0) for _ in range(n)]
 
-    def prepare(self, rows: DataFrame) -> DataFrame:
+    def draws(self) -> list[float]:
+        """The draws of all bit strings in counting order; asked again, the same."""
         state = self.rng.getstate()
-        draws = pa.table({"id": pa.array(range(1 << self.n), pa.int64()), "u": pa.array([self.rng.random() for _ in range(1 << self.n)])})
+        out = [self.rng.random() for _ in range(1 << self.n)]
         self.rng.setstate(state)
+        return out
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        draws = pa.table({"id": pa.array(range(1 << self.n), pa.int64()), "u": pa.array(self.draws())})
         return rows.join(rows.sparkSession.createDataFrame(draws), "id")
 
     def fitness(self) -> Column:

@@ -202,3 +202,91 @@ def test_network(spark):
             if (p ^ i).bit_count() == 2 and basin[i] != p:
                 want[p, basin[i]] = want.get((p, basin[i]), 0) + 1
     assert {(r.src, r.dst): r.weight for r in lon.edges.collect()} == want
+
+
+def test_large_sides_equal_small_ones(spark, monkeypatch):
+    """Everything once more with the size checks at 0, as if no graph, table or column were small."""
+    from alpenglow.functions import numbering, stats
+    from alpenglow.plans import landscape as plan
+    from alpenglow.sources import ingest
+
+    def all_of(seed, maximize, epsilon):
+        land, _ = made(spark, seed, maximize, epsilon, drop=0.1)
+        tables = [land.nodes.select("node_id", "cfg", "fitness"), land.edges, land.neutral, land.plateaus, land.optima, land.basins, land.accessible_paths, land.dist_to_go, land.basin_sizes]
+        one = [M.fdc(land), M.fdc(land, method="kendall"), M.fitness_distribution(land), M.fitness_flattening_index(land), M.basin_fitness_correlation(land), M.mean_path_length_to_local_optima(land), M.mean_distance_to_local_optima(land), land.get_lon(min_edge_freq=0).edges]
+        near = lambda x: round(x, 8) if isinstance(x, float) else x
+        found = [sorted((tuple(map(near, r)) for r in t.collect()), key=str) for t in (*tables, *one)]
+        return found, {r.node_id: r.pagerank for r in land.pagerank.collect()}
+
+    for args in ((21, True, 0.0), (22, False, 0.8)):
+        small, ranks = all_of(*args)
+        with monkeypatch.context() as m:
+            for module in (numbering, stats, plan, ingest, M):
+                m.setattr(module, "SMALL", 0)
+            m.setattr(local, "LIMIT", 0)
+            m.setattr(ingest, "LITERAL_LEVELS", 0)
+            large, other = all_of(*args)
+        assert small == large
+        assert all(abs(ranks[k] - other[k]) < 1e-9 for k in ranks)
+
+
+def test_strategies_distances_and_samples(spark):
+    land, want = made(spark, 31, epsilon=0.7)
+    for strategy in ("best-improvement", "first-improvement"):
+        for exit_by in ("best-improvement", "first-improvement"):
+            got = {r.node_id: r.basin_index for r in land.basins_by(strategy, exit_by).collect()}
+            peaks = {r.node_id: r.peak for r in land.optima.where("is_lo").collect()}
+            assert len(got) == want.n and set(got.values()) <= set(peaks.values()) and all(got[i] == p for i, p in peaks.items())
+    same = lambda x: {r.node_id: (r.basin_index, r.steps) for r in x.collect()}
+    assert same(land.basins_by()) == same(land.basins)
+    with pytest.raises(ParameterError):
+        land.basins_by("worst")
+    squared = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    gap = lambda i, j: sum((x - y) ** 2 for x, y in zip(want.cfgs[i], want.cfgs[j]))
+    best = [i for i in range(want.n) if want.f[i] == max(want.f)]
+    assert M.value(M.mean_distance_to_global_optimum(land, squared)) == pytest.approx(sum(min(gap(i, g) for g in best) for i in range(want.n)) / want.n)
+    got = {r.node_id: r.mean_distance for r in M.mean_distance_to_local_optima(land, kind=squared).collect()}
+    assert got and all(v == pytest.approx(sum(gap(i, k) for i in range(want.n)) / want.n) for k, v in got.items())
+    kinds = list(KINDS.values())
+    typed = lambda i, j: sum(abs(x - y) if k == "ordinal" else x != y for x, y, k in zip(want.cfgs[i], want.cfgs[j], kinds))
+    plain = {"hamming": lambda i, j: sum(x != y for x, y in zip(want.cfgs[i], want.cfgs[j])), "manhattan": lambda i, j: sum(abs(x - y) for x, y in zip(want.cfgs[i], want.cfgs[j])), None: typed}
+    for kind, d in plain.items():
+        got = {r.node_id: r.mean_distance for r in M.mean_distance_to_local_optima(land, kind=kind).collect()}
+        assert got and all(v == pytest.approx(sum(d(i, k) for i in range(want.n)) / want.n) for k, v in got.items())
+    whole = {r.node_id: r.mean for r in M.mean_path_length_to_local_optima(land).collect()}
+    assert {r.node_id: r.mean for r in M.mean_path_length_to_local_optima(land, n_samples=1.0).collect()} == whole
+    assert {r.node_id: r.mean for r in M.mean_path_length_to_local_optima(land, n_samples=10_000).collect()} == whole
+    assert M.mean_path_length_to_local_optima(land, n_samples=3).count() <= len(whole)
+    for wrong in (0, 1.5, -2, True):
+        with pytest.raises(ParameterError):
+            M.mean_path_length_to_local_optima(land, n_samples=wrong)
+
+
+def test_network_measures_in_the_data(spark):
+    land, _ = made(spark, 32)
+    rows = land.get_data(lo_only=True, network=land.get_lon(min_edge_freq=0))
+    net = {r.peak: r for r in land.get_lon(min_edge_freq=0).nodes.collect()}
+    peaks = {r.node_id: r.peak for r in land.optima.where("is_lo").collect()}
+    got = rows.collect()
+    assert got and all((r.lon_accessibility, r.lon_in_degree, r.lon_escape_difficulty) == (net[peaks[r.node_id]].accessibility, net[peaks[r.node_id]].in_degree, net[peaks[r.node_id]].escape_difficulty) for r in got)
+
+
+def test_variables_called_like_own_columns(spark):
+    names = ["cfg", "Node_ID", "peak"]
+    rows = [(*c, float(sum(c) * 7 % 5)) for c in itertools.product(range(2), range(3), range(2))]
+    land = build(spark.createDataFrame(rows, [*names, "fitness"]), dict(zip(names, ("categorical", "ordinal", "boolean"))))
+    plain = build(spark.createDataFrame(rows, ["a", "b", "c", "fitness"]), dict(zip("abc", ("categorical", "ordinal", "boolean"))))
+    assert sorted(map(tuple, land.edges.collect())) == sorted(map(tuple, plain.edges.collect()))
+    data = land.get_data()
+    assert {"cfg_", "Node_ID_", "peak_", "node_id"} <= set(data.columns) and data.count() == 12
+
+
+def test_queries_see_changed_tables(spark, tmp_path):
+    from alpenglow.plans.catalog import landscape
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.where("l_discount < 0.05").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    first = landscape(spark, str(tmp_path), "l1")
+    assert landscape(spark, str(tmp_path), "l1") is first
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert landscape(spark, str(tmp_path), "l1").n_configs > first.n_configs
