@@ -31,6 +31,8 @@ PER_ROOT, LISTS = 3, 4096
 #: Rows of a share, and query rows of a file or handled together.
 SHARE, ASKED, TOGETHER = 4096, 4096, 256
 COPIES, OVERLAP, RECALL = 2, 0.01, 0.97
+#: Lists that are read first, to bound what the others give.
+FIRST = 6
 #: Neighbours that the ratio is fitted for.
 K = 10
 #: A vector's further lists: their centroids are this share of its distance from each other, or more.
@@ -218,21 +220,27 @@ def search(index: PostingIndex, queries: DataFrame, k: int = K, ratio: float | N
         q = matrix(held.column("vec").combine_chunks(), g.centroids.shape[1])[:, : g.centroids.shape[1]]
         found = [(row + a, at) for a in range(0, len(q), TOGETHER) for row, at in [g.within(q[a : a + TOGETHER], ratio, 40 * (k + 1))]]
         row, at = (np.concatenate(f) for f in zip(*found))
-        order = np.argsort(at, kind="stable")
-        row, at = row[order], at[order]
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        data = [row[a:b].astype(np.int32).tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)])]
-        yield pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int32()), pa.array(np.full(len(cut), block)), pa.array(data, pa.binary())], names=["list", "block", "rows"])
+        head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])  # a query's lists come nearest first
+        rank = np.arange(len(row)) - np.repeat(head, np.diff(np.r_[head, len(row)]))
+        key = at * 2 + (rank >= FIRST)
+        order = np.argsort(key, kind="stable")
+        row, key = row[order], key[order]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        data = [row[a:b].astype(np.int32).tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)])]
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut] // 2, pa.int32()), pa.array(key[cut] % 2 == 1), pa.array(np.full(len(cut), block)), pa.array(data, pa.binary())], names=["list", "later", "block", "rows"])
 
     asked = shared.written(usable(queries, zero=False).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
     blocks = max(1, -(-asked.count() // ASKED))
-    probes = shared.written(asked.repartition(blocks, "query_id").sortWithinPartitions("query_id").mapInArrow(probe, "list int, block long, rows binary"), "probes")
+    probes = shared.written(asked.repartition(blocks, "query_id").sortWithinPartitions("query_id").mapInArrow(probe, "list int, later boolean, block long, rows binary"), "probes")
     number = F.element_at(F.lit(index.shares.tolist()).cast("array<int>"), F.col("list") + 1)
     left = probes.withColumn("share", F.explode(F.when(number > 0, F.sequence(F.lit(0), number - 1))))
 
     def nearest(asked: pa.Table, posted: pa.Table) -> pa.Table:
-        """The k nearest of a share for each query that reads it; a vec_id counts once, at its least distance."""
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        """The k nearest of a share for each query that reads it; a vec_id counts once, at its least distance.
+
+        Queries that have a bound, from their first lists, take nothing beyond it.
+        """
+        out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),)]
         b = matrix(posted.column("vec").combine_chunks()) if posted.num_rows else np.zeros((0, 0))
         ids = np.asarray(posted.column("vec_id"))
         order = np.argsort(ids, kind="stable")
@@ -241,6 +249,7 @@ def search(index: PostingIndex, queries: DataFrame, k: int = K, ratio: float | N
         for block, rows in zip(asked.column("block").to_pylist(), asked.column("rows").to_pylist()) if len(ids) else ():
             rows = np.frombuffer(rows, np.int32)
             vec, names = files.load(f"{folder}/{block}-vec.npy"), files.load(f"{folder}/{block}-id.npy")
+            bound = files.load(f"{folder}/{block}-bound.npy") if asked.column("later")[0].as_py() else None
             for start in range(0, len(rows), TOGETHER):
                 some = rows[start : start + TOGETHER]
                 q, q_ids = np.asarray(vec[some]), np.asarray(names[some])
@@ -251,18 +260,39 @@ def search(index: PostingIndex, queries: DataFrame, k: int = K, ratio: float | N
                 each = np.minimum.reduceat(d, head, axis=1)
                 m = min(k, each.shape[1])
                 limit = np.partition(each, m - 1, axis=1)[:, m - 1, None]
+                if bound is not None:
+                    limit = np.minimum(limit, np.asarray(bound[some])[:, None] ** 2)
                 row, at = np.nonzero((d <= limit * (1 + 1e-9) + 1e-12) & np.isfinite(d))  # rounding can't drop a tie
                 score = np.sqrt(((q[row] - x[at]) ** 2).sum(1))
                 order = np.lexsort((score, ids[at], row))
                 row, at, score = row[order], at[order], score[order]
                 once = np.r_[True, (row[1:] != row[:-1]) | (ids[at][1:] != ids[at][:-1])][: len(row)]
                 row, vec_id, score = topped(row[once], ids[at[once]], score[once], k)
-                out.append((q_ids[row], vec_id, score))
-        q, v, s = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    keys = ["list", "share"]
-    found = left.groupBy(*keys).cogroup(index.postings.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double")
+                out.append((q_ids[row], vec_id, np.full(len(row), block), some[row].astype(np.int64), score))
+        columns = dict(zip(("query_id", "vec_id", "block", "row", "score"), (np.concatenate(c) for c in zip(*out))))
+        return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in columns.items()})
+
+    def looked_up(asked: DataFrame) -> DataFrame:
+        keys = ["list", "share"]
+        return asked.groupBy(*keys).cogroup(index.postings.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, block long, row long, score double")
+
+    # the first lists give every query a bound, beyond which the others needn't give anything
+    found = shared.written(looked_up(left.where("not later")), "near")
+    near = found.groupBy("block", "row", "vec_id").agg(F.min("score").alias("score"))
+    kth = near.withColumn("rank", F.row_number().over(Window.partitionBy("block", "row").orderBy("score", "vec_id"))).where(F.col("rank") == k)
+
+    def bounds(rows: pa.Table) -> pa.Table:
+        """A file for each block; a query with fewer than k so far has no bound."""
+        block = rows.column("block")[0].as_py()
+        bound = np.full(len(files.load(f"{folder}/{block}-id.npy")), np.inf)
+        known = rows.filter(rows.column("row").is_valid())
+        bound[np.asarray(known.column("row"))] = np.asarray(known.column("score"))
+        files.save(f"{folder}/{block}-bound.npy", bound)
+        return pa.table({"block": pa.array([block], pa.int64())})
+
+    every = probes.select("block").distinct().select("block", F.lit(None).cast("long").alias("row"), F.lit(None).cast("double").alias("score"))
+    kth.select("block", "row", "score").union(every).groupBy("block").applyInArrow(bounds, "block long").count()
+    found = found.union(looked_up(left.where("later")))
     # the copies of a vector in several lists have one distance
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
