@@ -306,6 +306,7 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc, doc_id, text, _0, ..., spans array<struct<start, end>>)``: byte intervals that go, and the columns ``carry``."""
     spark = docs.sparkSession
+    shared.release(spark)  # what steps before have left
     rows, each = _keyed(docs, carry)
     size = each.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION))
