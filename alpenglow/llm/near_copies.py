@@ -1,29 +1,35 @@
 """Near copies: all pairs of texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-A set-similarity join without misses. In any one order of the shingles, two such sets of n and m
-share a shingle within the first ``n - ceil(0.8 n) + 1`` of the one and ``m - ceil(0.8 m) + 1`` of
-the other. Only these are dealt into buckets by shingle; shingles that a sample of texts finds
-frequent come last in the order, which makes groups small and leaves out no pair. A bucket compares
-texts that share a shingle and that no link has connected yet, so that a large group of copies
-doesn't become all its pairs. First come bitmaps of about two bits a shingle, each shingle flipping
-one: as exclusive-or and bit counts tell how many shingles two sets at least don't share, most pairs
-end there, and none that is similar. For the others the whole sets are compared, read like the
-bitmaps from files in the shared folder.
+Equal texts are taken once. Then come two joins, and a link of either is one of whole sets compared:
+
+1. SimHash, by operator 3's fingerprints (of 5-word shingles) and its tiles: texts whose fingerprints
+   chain at RADIUS differing bits are compared with each other. Large groups of copies are one
+   component after that, at a cost that grows with their texts, not with their shingles.
+2. Fingerprints miss pairs, so a set-similarity join without misses finds the rest. In any one order
+   of the shingles, two such sets of n and m share a shingle within the first ``n - ceil(0.8 n) + 1``
+   of the one and ``m - ceil(0.8 m) + 1`` of the other. Only these are dealt into buckets by shingle;
+   shingles that a sample of texts finds frequent come last in the order, which makes groups small
+   and leaves out no pair.
+
+Within a group (a fingerprint component, or the texts that share a shingle) only texts of different
+components and of sizes that may be similar meet. First come bitmaps of about two bits a shingle,
+each shingle flipping one: as exclusive-or and bit counts tell how many shingles two sets at least
+don't share, most pairs end there, and none that is similar. For the others the whole sets are
+compared, read like the bitmaps from files in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alpenglow.llm import files, shared
-from alpenglow.llm.simhash import SEED, labels_of
+from alpenglow.llm import files, shared, simhash
+from alpenglow.llm.simhash import labels_of
 from alpenglow.llm.vector import offsets, ragged, texts
 from alpenglow.operators.components import components
 
@@ -32,24 +38,27 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 #: One text in so many is in the sample; a shingle of so many of these is frequent. They decide the order only.
 SAMPLE, FREQUENT = 8, 4
+#: Bits in which fingerprints of linked texts differ at most; what they miss the shingles find.
+RADIUS = 3
 #: Shingles of a bucket, about.
 BUCKET = 500_000
+#: Texts of a bucket of fingerprint components, and rows of a file of kept ones, about.
+CHAINED, KEPT = 10_000, 1 << 20
+#: Shingles that a task gathers before it writes them.
+HELD = 2_000_000
+#: Places beside it at which a text is compared first; pairs compared at once after that.
+BESIDE, PAIRS = 4, 1 << 20
 _BLOCK, _START = 14, 28
 
 
+def distinct(hashes: bytes) -> np.ndarray:
+    """Sorted distinct shingles of :func:`simhash.hashed`; the shingle 0 for none."""
+    return np.unique(np.frombuffer(hashes, np.uint64)) if hashes else np.zeros(1, np.uint64)
+
+
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; a text of fewer words is one shingle, a text without words the shingle 0."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(1, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_digest
-    if len(words) <= width:
-        return np.frombuffer(digest(joined, SEED), np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = end - size
-    n = len(words) - width + 1
-    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), end[width - 1 :].tolist())]), np.uint64))
+    return distinct(simhash.hashed(raw, width))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -98,41 +107,77 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return s[:n]
 
 
-def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, read, bitmaps) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (node, least node of its component) among texts that share a token; ``read(node)`` gives a set, ``bitmaps(nodes)`` their bitmaps one after another."""
-    order = np.lexsort((node, token))
-    token, node, size = token[order], node[order], size[order]
-    several = np.zeros(len(token), bool)
-    several[1:] = token[1:] == token[:-1]
-    several[:-1] |= several[1:]
-    token, node, size = token[several], node[several], size[several]
+def _open(token: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which rows are in groups (of a token, in order) of more than one component."""
+    if not len(token):
+        return np.zeros(0, bool)
+    cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    return np.repeat(np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut), np.diff(np.r_[cut, len(token)]))
+
+
+def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, read, bitmaps) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (root, least root of its component) among texts that share a token and have different ``root``s.
+
+    ``read(node)`` gives a set, ``bitmaps(nodes, sizes)`` their bitmaps one after another.
+    """
+    order = np.lexsort((node, size, token))
+    token, node, size, root = (v[order] for v in (token, node, size, root))
+    keep = _open(token, root)
+    token, node, size, root = (v[keep] for v in (token, node, size, root))
     ids, first, x = np.unique(node, return_index=True, return_inverse=True)
-    size, label, n = size[first], np.arange(len(ids)), len(ids)
+    size, root, n = size[first], root[first], len(ids)
+    _, least, of = np.unique(root, return_index=True, return_inverse=True)
+    label = least[of]
     words = n_words(size)
     flat, at = bitmaps(ids, size), offsets(words)[:-1]
     refused = np.zeros(0, np.int64)
-    d = 1
-    while len(x):
-        # groups of a token that still have texts d places apart and more than one component
-        cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        count = np.diff(np.r_[cut, len(token)])
-        own = label[x]
-        keep = np.repeat((count > d) & (np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)), count)
-        token, x = token[keep], x[keep]
-        i = np.flatnonzero(token[d:] == token[:-d]) if len(x) > d else np.zeros(0, np.int64)
-        a, b = x[i], x[i + d]
+
+    def settle(a: np.ndarray, b: np.ndarray) -> None:
+        """Compares the pairs, and those of two components only until one links them."""
+        nonlocal label, refused
         fits = (label[a] != label[b]) & (np.minimum(size[a], size[b]) * UNDER >= np.maximum(size[a], size[b]) * OVER)
-        a, b = a[fits], b[fits]
-        fits = may_be_similar(flat, at, words, size, a, b)
-        pair = np.setdiff1d(np.unique(np.minimum(a, b)[fits] * n + np.maximum(a, b)[fits]), refused, assume_unique=True)
-        a, b = pair // n, pair % n
-        ok = np.fromiter((similar(read(int(ids[p])), read(int(ids[q]))) for p, q in zip(a.tolist(), b.tolist())), bool, len(pair))
-        label = labels_of(n, a[ok], b[ok], label)
-        if not ok.all():
-            refused = np.union1d(refused, pair[~ok])
-        d += 1
-    at = np.flatnonzero(label != np.arange(n))
-    return ids[at], ids[label[at]]
+        pair = np.unique(np.minimum(a, b)[fits] * n + np.maximum(a, b)[fits])
+        pair = pair[may_be_similar(flat, at, words, size, pair // n, pair % n)]
+        pair = np.setdiff1d(pair, refused, assume_unique=True)
+        take = 1
+        while len(pair):
+            p, q = label[pair // n], label[pair % n]
+            between = np.minimum(p, q) * n + np.maximum(p, q)
+            order = np.argsort(between, kind="stable")
+            pair, between = pair[order], between[order]
+            cut = np.flatnonzero(np.r_[True, between[1:] != between[:-1]])
+            now = np.arange(len(pair)) - np.repeat(cut, np.diff(np.r_[cut, len(pair)])) < take
+            a, b = pair[now] // n, pair[now] % n
+            ok = np.fromiter((similar(read(int(ids[p])), read(int(ids[q]))) for p, q in zip(a.tolist(), b.tolist())), bool, len(a))
+            refused = np.union1d(refused, pair[now][~ok])
+            label = labels_of(n, a[ok], b[ok], label)
+            pair = pair[~now]
+            pair = pair[label[pair // n] != label[pair % n]]
+            take *= 2
+
+    for d in range(1, BESIDE + 1):  # links most of a group of copies
+        i = np.flatnonzero(token[d:] == token[:-d])
+        settle(x[i], x[i + d])
+        keep = _open(token, label[x])
+        token, x = token[keep], x[keep]
+    if len(x):
+        # all that are not of a group's largest component meet all of its texts of sizes near their own
+        group = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
+        of, one, count = np.unique(group * n + label[x], return_index=True, return_counts=True)
+        order = np.lexsort((count, of // n))
+        largest = x[one[order[np.r_[np.flatnonzero(np.diff(of[order] // n)), len(of) - 1]]]]  # a text of it, by group
+        key = group * (2 * int(size.max()) + 2) + size[x]
+        low = np.searchsorted(key, key - size[x] + -(-OVER * size[x] // UNDER))
+        high = np.searchsorted(key, key - size[x] + UNDER * size[x] // OVER, "right")
+        rows = np.arange(len(x))
+        while len(rows):
+            rows = rows[label[x[rows]] != label[largest[group[rows]]]]
+            m = max(1, int(np.searchsorted(np.cumsum(high[rows] - low[rows]), PAIRS, "right")))
+            some, rows = rows[:m], rows[m:]
+            settle(np.repeat(x[some], high[some] - low[some]), x[ragged(low[some], high[some] - low[some])])
+    u, one = np.unique(root, return_index=True)
+    v = root[label[one]]
+    return u[u != v], v[u != v]
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -164,14 +209,53 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = spark.read.schema("doc_id long, h1 long, h2 long, component long").parquet(path)
     each = rows.groupBy("component", "doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     least = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "n")).alias("x"))
-    kept = shared.written(least.select("x.*"), "kept").alias("k")
-    given = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *hashes()).alias("d")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("doc_id", "h1", "h2")]
-    found = given.join(kept, same[0] & same[1] & same[2]).select("row", "d.doc_id", "d.h1", "d.h2", "n")
+    times, most = _looked_up(least.select("x.*"), rows.count())
+    # found in files rather than by a join, which would deal out the texts once more
+    given = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *hashes())
+    found = given.withColumn("n", times(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "h1", "h2"))
+    if most < 2:
+        return found.where("n = 1").select("row.*")
     several = found.where("n > 1").groupBy("doc_id", "h1", "h2").agg(F.first("row").alias("row"))  # repeated rows, or rows of one id and text
     return found.where("n = 1").select("row").union(several.select("row")).select("row.*")
 
 
+def _looked_up(kept: DataFrame, n: int) -> tuple[Callable[..., Column], int]:
+    """A function of (whether doc_id is null, doc_id or 0, h1, h2) that gives the ``n`` of that row of ``kept``, 0 if it has none; the largest ``n``."""
+    spark = kept.sparkSession
+    folder = shared.fresh(spark, "kept")
+    parts = -(-max(n, 1) // KEPT)
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]) for batch in batches]
+        if rows and (rows := np.concatenate(rows, axis=1)).shape[1]:
+            part = int(rows[0, 0])
+            files.save(f"{folder}/{part}.npy", np.ascontiguousarray(rows[1:, np.lexsort(rows[1:5][::-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([int(rows[5].max())])], names=["part", "most"])
+
+    part = F.pmod("h1", F.lit(parts)).cast("int")
+    dealt = kept.select(part.alias("part"), "h1", "h2", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("none").cast("long").alias("none"), "n")
+    there = {r.part: r.most for r in dealt.repartitionById(parts, F.col("part")).mapInArrow(save, "part long, most long").collect()}
+
+    @F.arrow_udf("long")
+    def times(none: pa.Array, doc: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+        ask = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (h1, h2, doc, none)])
+        out = np.zeros(ask.shape[1], np.int64)
+        of = ask[0] % parts
+        for k in np.unique(of).tolist():
+            if k in there:
+                rows = files.load(f"{folder}/{k}.npy")
+                mine = np.flatnonzero(of == k)
+                at, end = (np.searchsorted(rows[0], ask[0, mine], side) for side in ("left", "right"))
+                while len(mine := mine[(go := at < end)]):  # rows of one h1: mostly one
+                    at, end = at[go], end[go]
+                    same = (rows[:4, at] == ask[:, mine]).all(axis=0)
+                    out[mine[same]] = rows[4, at[same]]
+                    at = at + 1
+        return pa.array(out)
+
+    return times, max(there.values(), default=0)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``(doc_id, h1, h2, component)`` of every row: its text's hashes (:func:`hashes`) and a component that links reach.
 
@@ -185,39 +269,56 @@ def near_copies(docs: DataFrame) -> DataFrame:
     folder = shared.fresh(spark, "shingles")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for k, (batch, raw) in enumerate(texts(batches)):
-            sets = [shingles(x) for x in raw]
+        part, k = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+
+        def saved() -> pa.RecordBatch:
+            sets = [s for h in held for s in h[1]]
             size = np.array([len(s) for s in sets], np.int64)
             base = part << _BLOCK | k
             files.save(f"{folder}/{base}.npy", np.concatenate(sets))
             files.save(f"{folder}/{base}-bits.npy", np.concatenate([bitmap(x) for x in sets]))
             files.save(f"{folder}/{base}-at.npy", np.stack((offsets(size)[:-1], offsets(n_words(size))[:-1])))
             node = (base << _START) + offsets(size)[:-1]
-            heads = [prefix(s, frequent.value).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array(size), pa.array(heads, pa.binary())], names=["doc_id", "h1", "h2", "node", "size", "head"])
-
-    placed = shared.written(rows.mapInArrow(place, "doc_id long, h1 long, h2 long, node long, size long, head binary"), "placed")
-    total = placed.agg(F.sum(F.octet_length("head"))).first()[0] or 0
-    buckets = max(1, total // 8 // BUCKET)
+            given = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+            fp = np.array([f for h in held for f in h[2]], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in given.columns), pa.array(node), pa.array(size), pa.array(fp)], names=["doc_id", "h1", "h2", "node", "size", "fp"])
+
+        for batch, raw in texts(batches):
+            digests = [simhash.hashed(x, WIDTH) for x in raw]
+            held.append((batch.select(["doc_id", "h1", "h2"]), [distinct(x) for x in digests], [simhash.folded(x) for x in digests]))
+            if sum(len(s) for h in held for s in h[1]) >= HELD:
+                yield saved()
+                held, k = [], k + 1
+        if held:
+            yield saved()
+
+    placed = shared.written(rows.mapInArrow(place, "doc_id long, h1 long, h2 long, node long, size long, fp long"), "placed")
+    # equal texts have equal sizes and fingerprints
+    each = shared.written(placed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("node", "size", "fp")]), "texts")
+    n, total = each.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(f"size - ceil(size * {OVER} / {UNDER}) + 1")), F.lit(0))).first()
+    buckets = max(1, int(total) // BUCKET)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first shingles of sets, packed for their buckets."""
         for batch in batches:
-            head = batch.column(2).to_pylist()
-            token = np.frombuffer(b"".join(head), np.uint64)
-            row = np.repeat(np.arange(len(head)), [len(x) // 8 for x in head])
+            node, size, root = (np.asarray(c) for c in batch.columns)
+            head = []
+            for at, m in zip(node.tolist(), size.tolist()):
+                start = at & ((1 << _START) - 1)
+                head.append(prefix(np.asarray(files.load(f"{folder}/{at >> _START}.npy"))[start : start + m], frequent.value))
+            token = np.concatenate([np.zeros(0, np.uint64), *head])
+            row = np.repeat(np.arange(len(head)), [len(x) for x in head])
             to = (token % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             to, token, row = to[order], token[order], row[order]
             cut = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)] if len(to) else np.zeros(1, np.int64)
-            node, size = (np.asarray(batch.column(c)) for c in (0, 1))
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-            data = [[v[a:b].tobytes() for a, b in spans] for v in (token, node[row], size[row])]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int64()), *(pa.array(v, pa.binary()) for v in data)], names=["bucket", "token", "node", "size"])
+            data = [[v[a:b].tobytes() for a, b in spans] for v in (token, node[row], size[row], root[row])]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int64()), *(pa.array(v, pa.binary()) for v in data)], names=["bucket", "token", "node", "size", "root"])
 
-    def compare(dealt: pa.Table) -> pa.Table:
-        token, node, size = (np.frombuffer(b"".join(dealt.column(c).to_pylist()), kind) for c, kind in (("token", np.uint64), ("node", np.int64), ("size", np.int64)))
-        sizes = dict(zip(node.tolist(), size.tolist()))
+    def compare(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> pa.Table:
+        sizes: dict[int, int] = {}
 
         def read(at: int) -> np.ndarray:
             start = at & ((1 << _START) - 1)
@@ -225,6 +326,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
         def bitmaps(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
             """Block by block, as ids ascend."""
+            sizes.update(zip(ids.tolist(), size.tolist()))
             out = [np.zeros(0, np.uint64)]
             block = ids >> _START
             cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(ids)])
@@ -234,9 +336,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 out.append(files.load(f"{folder}/{block[a]}-bits.npy")[ragged(np.asarray(place), n_words(size[a:b]))])
             return np.concatenate(out)
 
-        u, v = bucket_links(token, node, size, read, bitmaps)
+        u, v = bucket_links(token, node, size, root, read, bitmaps)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    dealt = placed.select("node", "size", "head").mapInArrow(deal, "bucket long, token binary, node binary, size binary")
-    found = components(dealt.groupBy("bucket").applyInArrow(compare, "u long, v long"))
-    return placed.select("doc_id", "h1", "h2", "node").join(found, "node", "left").select("doc_id", "h1", "h2", F.coalesce("root", "node").alias("component"))
+    def chained(dealt: pa.Table) -> pa.Table:
+        token, node, size = (dealt.column(c).to_numpy() for c in ("token", "node", "size"))
+        return compare(token, node, size, node)
+
+    def shared_shingles(dealt: pa.Table) -> pa.Table:
+        kinds = (("token", np.uint64), ("node", np.int64), ("size", np.int64), ("root", np.int64))
+        return compare(*(np.frombuffer(b"".join(dealt.column(c).to_pylist()), kind) for c, kind in kinds))
+
+    fps = shared.written(each.select("fp").distinct(), "fingerprints")
+    chains = components(simhash.links(fps, RADIUS)).withColumnRenamed("node", "fp")
+    by_chain = each.join(chains, "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("token"))
+    by_chain = by_chain.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(-(-max(n, 1) // CHAINED))))
+    first = components(by_chain.groupBy("bucket").applyInArrow(chained, "u long, v long"))
+    known = shared.written(each.join(first, "node", "left").select("h1", "h2", "node", "size", F.coalesce("root", "node").alias("root")), "known")
+    by_block = known.select("node", "size", "root").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets), F.shiftright("node", _START))
+    dealt = by_block.sortWithinPartitions("node").mapInArrow(deal, "bucket long, token binary, node binary, size binary, root binary")
+    rest = components(dealt.groupBy("bucket").applyInArrow(shared_shingles, "u long, v long")).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    ends = known.select("h1", "h2", "root").join(rest, "root", "left").select("h1", "h2", F.coalesce("last", "root").alias("component"))
+    return placed.select("doc_id", "h1", "h2").join(ends, ["h1", "h2"]).select("doc_id", "h1", "h2", "component")

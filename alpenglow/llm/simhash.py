@@ -28,25 +28,36 @@ TILE = 16_384
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).copy().view(np.uint64).ravel()
 
 
-def fingerprint(raw: bytes, width: int = 3) -> int:
-    """The 64-bit fingerprint of a text in UTF-8; 0 if it has no word."""
+def hashed(raw: bytes, width: int = 3) -> bytes:
+    """The XXH64 digests of a text's shingles, repeats included: of the whole sequence if it has fewer words, none without words."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return b""
     joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= width:
-        hashes, n = digest(joined, SEED), 1
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        start = end - size
-        n = len(words) - width + 1
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), end[width - 1 :].tolist())])
+        return digest(joined, SEED)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    n = len(words) - width + 1
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), end[width - 1 :].tolist())])
+
+
+def folded(hashes: bytes) -> int:
+    """The 64-bit fingerprint of shingles hashed by :func:`hashed`; 0 if there are none."""
+    n = len(hashes) // 8
+    if not n:
+        return 0
     rows = SPREAD[np.frombuffer(hashes, np.uint8)].reshape(n, 8)
     counts = np.add.reduceat(rows, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(raw: bytes, width: int = 3) -> int:
+    """The 64-bit fingerprint of a text in UTF-8; 0 if it has no word."""
+    return folded(hashed(raw, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp long)``; null texts count as empty (0)."""
 

@@ -102,3 +102,39 @@ def test_bitmaps_leave_out_no_similar_pair():
     may = near_copies.may_be_similar(flat, at, words, size, i, j)
     are = np.array([near_copies.similar(sets[a], sets[b]) for a, b in zip(i, j)])
     assert may[are].all() and are.sum() > 30 and may.sum() < 4 * are.sum()
+
+
+def test_texts_that_stay_apart_do_not_cost_the_square_of_a_group(monkeypatch):
+    """A shingle that 1500 copies share with 20 other texts, whose sets are too unlike any."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    new = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: 400 - k], new(k)]) for k in [5] * 1500 + [150] * 20]
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    calls, pairs, verified = [0], [0], [0]
+
+    def may(*args, real=near_copies.may_be_similar):
+        calls[0] += 1
+        pairs[0] += len(args[-1])
+        return real(*args)
+
+    def similar(a, b, real=near_copies.similar):
+        verified[0] += 1
+        return real(a, b)
+
+    monkeypatch.setattr(near_copies, "may_be_similar", may)
+    monkeypatch.setattr(near_copies, "similar", similar)
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    bits = lambda ids, _: np.concatenate([near_copies.bitmap(sets[i]) for i in ids.tolist()])
+    u, v = near_copies.bucket_links(np.full(n, base[0]), np.arange(n), size, np.arange(n), lambda i: sets[i], bits)
+    far = np.flatnonzero(order >= 1500)
+    assert len(u) == 1499 and len(set(v)) == 1 and not np.isin(far, np.r_[u, v]).any()
+    assert calls[0] < 12 and pairs[0] < 60 * n and verified[0] < 5 * n
+    near = np.flatnonzero(order < 1500)
+    root = np.arange(n)
+    root[near] = near.min()  # known already: nothing is left to link, whatever the texts apart
+    verified[0] = 0
+    u, v = near_copies.bucket_links(np.full(n, base[0]), np.arange(n), size, root, lambda i: sets[i], bits)
+    assert len(u) == 0 and verified[0] < n
