@@ -36,6 +36,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies (5-word shingles, Jaccard of 0.8 or more): that of the smallest doc_id, null ids last.
 
+    SimHash fingerprints bring texts together first, by operator 3's tiles; sets of shingles confirm
+    these links and find those that fingerprints miss.
+
     Rows that share a doc_id but not the text are documents of their own; within a component the one
     of least text hashes stays. Texts without words, null ones too, are copies of each other.
     """

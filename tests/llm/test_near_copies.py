@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from alpenglow.llm import near_copies
+from alpenglow.llm import near_copies, simhash
 
 
 def shingled(t):
@@ -138,3 +138,38 @@ def test_texts_that_stay_apart_do_not_cost_the_square_of_a_group(monkeypatch):
     verified[0] = 0
     u, v = near_copies.bucket_links(np.full(n, base[0]), np.arange(n), size, root, lambda i: sets[i], bits)
     assert len(u) == 0 and verified[0] < n
+
+
+def test_fingerprints_link_before_shingles(frame, monkeypatch):
+    """SimHash is a step: fingerprints of all texts go through operator 3's tiles, and what they bring together and sets confirm is linked by them."""
+    rng = random.Random(4)
+    docs = edited(3, 15)
+    for k in range(6):
+        w = [f"v{rng.randrange(5000)}" for _ in range(1500)]
+        docs += [(900 + 10 * k, " ".join(w)), (901 + 10 * k, " ".join(w).upper()), (902 + 10 * k, " ".join(w[:700] + ["new"] + w[701:]))]
+    asked, found = [], []
+
+    def links(fps, radius, real=simhash.links):
+        asked.append(({r.fp for r in fps.collect()}, radius))
+        return real(fps, radius)
+
+    def components(edges, real=near_copies.components):
+        out = real(edges)
+        found.append({r[0]: r[1] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(near_copies.simhash, "links", links)
+    monkeypatch.setattr(near_copies, "components", components)
+    assert near_copies.near_copies(frame(docs)).count() == len(docs)
+    texts = sorted({t for _, t in docs})
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert asked == [({f - (1 << 64) if f >> 63 else f for f in fps}, 3)]
+    sets = [shingled(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (fps[i] ^ fps[j]).bit_count() <= 3 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if c in (label[i], label[j]) else c for c in label]
+    least = len(texts) - len(set(label))  # links that fingerprints and sets give; chains may bring more together
+    by_fingerprints = found[1]
+    assert len(by_fingerprints) - len(set(by_fingerprints.values())) >= least >= 8
