@@ -47,3 +47,8 @@ def load(uri: str) -> np.ndarray:
             to.write(block)
         to.flush()
         return np.load(to.name, mmap_mode="r")  # stays mapped after the name is gone
+
+
+def forget() -> None:
+    """Unmap what :func:`load` has mapped. A removed file keeps its disk space as long as a worker, which outlives its task, maps it."""
+    load.cache_clear()

@@ -306,7 +306,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             head = []
             for at, m in zip(node.tolist(), size.tolist()):
                 start = at & ((1 << _START) - 1)
-                head.append(prefix(np.asarray(files.load(f"{folder}/{at >> _START}.npy"))[start : start + m], frequent.value))
+                head.append(prefix(np.array(files.load(f"{folder}/{at >> _START}.npy")[start : start + m]), frequent.value))
             token = np.concatenate([np.zeros(0, np.uint64), *head])
             row = np.repeat(np.arange(len(head)), [len(x) for x in head])
             to = (token % np.uint64(buckets)).astype(np.int64)
@@ -316,6 +316,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
             data = [[v[a:b].tobytes() for a, b in spans] for v in (token, node[row], size[row], root[row])]
             yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int64()), *(pa.array(v, pa.binary()) for v in data)], names=["bucket", "token", "node", "size", "root"])
+        files.forget()
 
     def compare(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> pa.Table:
         sizes: dict[int, int] = {}
@@ -337,6 +338,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             return np.concatenate(out)
 
         u, v = bucket_links(token, node, size, root, read, bitmaps)
+        files.forget()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def chained(dealt: pa.Table) -> pa.Table:

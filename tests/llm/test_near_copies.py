@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -173,3 +174,15 @@ def test_fingerprints_link_before_shingles(frame, monkeypatch):
     least = len(texts) - len(set(label))  # links that fingerprints and sets give; chains may bring more together
     by_fingerprints = found[1]
     assert len(by_fingerprints) - len(set(by_fingerprints.values())) >= least >= 8
+
+
+def test_removed_sets_give_their_disk_space_back(frame):
+    """No worker still maps the files of sets and bitmaps once the stage has removed them."""
+    assert near_copies.one_of_each(frame(edited(6))).count() > 0
+    mapped = []
+    for maps in Path("/proc").glob("[0-9]*/maps"):
+        try:
+            mapped += [x for x in maps.read_text().splitlines() if "/shingles-" in x and x.endswith("(deleted)")]
+        except OSError:
+            pass
+    assert not mapped
