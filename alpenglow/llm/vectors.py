@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", zero: bool = True) -> DataFrame:
+def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", zero: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """``(vec_id long, vec array<double>)`` of the rows that take part: no null id, vector or component, all components finite.
 
-    ``zero=False`` also leaves out vectors whose components are all zero (and empty ones).
+    ``zero=False`` also leaves out vectors whose components are all zero (and empty ones). Columns of
+    ``also`` come along.
     """
     x = F.col(vec_col).cast("array<double>")
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("vec")).where("vec_id is not null and vec is not null")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("vec"), *also).where("vec_id is not null and vec is not null")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     rows = rows.where(F.forall("vec", finite))
     return rows if zero else rows.where(F.exists("vec", lambda v: v != 0))
