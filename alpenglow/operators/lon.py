@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
-from alpenglow.operators.graph import pagerank, reach
+from alpenglow.operators.bitreach import reach_counts, sizes
+from alpenglow.operators.graph import pagerank
 from alpenglow.plans.cut import written
 
 
@@ -65,13 +66,13 @@ def local_optima_network(land, mlon: bool = True, min_edge_freq: int = 3, trim:
         order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
         edges = edges.withColumn("k", F.row_number().over(order)).where(F.col("k") <= trim)
     edges = written(edges.select("src", "dst", "weight"), "lon-edges")
-    ways = reach(edges, peaks.select(F.col("peak").alias("key"), F.col("peak").alias("node")), "dst", "src")
-    access = ways.groupBy(F.col("key").alias("peak")).agg(F.count(F.lit(1)).alias("accessibility"))
+    ways = reach_counts(edges, peaks.select(F.col("peak").alias("key"), F.col("peak").alias("node")), "dst", "src")
+    access = sizes(ways).select(F.col("key").alias("peak"), F.col("size").alias("accessibility"))
     outs = edges.groupBy(F.col("src").alias("peak")).agg(F.count(F.lit(1)).alias("out_degree"))
     ins = edges.groupBy(F.col("dst").alias("peak")).agg(F.count(F.lit(1)).alias("in_degree"))
     ranks = pagerank(peaks.select(F.col("peak").alias("node_id")), edges, "weight").withColumnRenamed("node_id", "peak")
-    sizes = land.basin_sizes.withColumnRenamed("node_id", "peak")
-    rows = peaks.select("peak", "fitness").join(sizes, "peak", "left")
+    basins = land.basin_sizes.withColumnRenamed("node_id", "peak")
+    rows = peaks.select("peak", "fitness").join(basins, "peak", "left")
     for part in (escape, improve, access, outs, ins, ranks):
         rows = rows.join(part, "peak", "left")
     return OptimaNetwork(rows.fillna({"escape_difficulty": 1.0, "improve_rate": 0.0, "out_degree": 0, "in_degree": 0}), edges)

@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
+from alpenglow.plans.cut import written
 from alpenglow.sources.ingest import Variable
 
 PAIRS = ["p", "u", "v", "a", "b", "fu", "fv"]
+#: Masks of a row up to which they are joined as they are; rows of a segment beyond which it is cut once more.
+MASKS, HOT = 64, 2_000
 
 
 def radixes(variables: list[Variable]) -> list[int] | None:
@@ -64,10 +67,16 @@ def hamming_pairs(nodes: DataFrame, variables: list[Variable], typed: bool = Fal
 
 
 def edit_pairs(nodes: DataFrame, variables: list[Variable], n_edit: int) -> DataFrame:
-    """``(u, v, fu, fv)``, u < v, of all nodes that differ at 1 to ``n_edit`` positions."""
+    """``(u, v, fu, fv)``, u < v, of all nodes that differ at 1 to ``n_edit`` positions.
+
+    Few masks are joined as they are; where choosing ``n_edit`` positions gives more than MASKS keys a
+    row, pairs are found by equal segments instead.
+    """
     if n_edit < 1:
         raise ParameterError("n_edit must be 1 or more")
     n_edit = min(n_edit, len(variables))
+    if math.comb(len(variables), n_edit) > MASKS:
+        return segment_pairs(nodes, len(variables), n_edit)
     masks = list(combinations(range(len(variables)), n_edit))
     keys = F.array(*[F.struct(F.lit(m).alias("m"), masked_key(variables, c).alias("key")) for m, c in enumerate(masks)])
     rows = nodes.select("node_id", "fitness", F.explode(keys).alias("k")).select("node_id", "fitness", "k.m", "k.key")
@@ -76,6 +85,44 @@ def edit_pairs(nodes: DataFrame, variables: list[Variable], n_edit: int) -> Data
     return left.join(right, ["m", "key"]).where("u < v").select("u", "v", "fu", "fv").distinct()
 
 
+def _parts(codes: Column, n: int, parts: int) -> list[Column]:
+    """An array of n codes cut into ``parts`` slices of even lengths, of which some may be empty."""
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return [F.slice(codes, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def segment_pairs(nodes: DataFrame, n: int, n_edit: int, hot: int = HOT) -> DataFrame:
+    """The pairs of :func:`edit_pairs` by pigeonhole: of ``n_edit`` + 1 segments of the n positions, one at least is equal.
+
+    Rows with an equal segment are candidates, verified position by position; a pair is given by its
+    first equal segment only, so none comes twice and nothing is made distinct. Rows of a
+    segment that more than ``hot`` share are cut once more: the rest of their positions differs at
+    ``n_edit`` places at most too, so of its ``n_edit`` + 1 segments one is equal as well.
+    """
+    parts = n_edit + 1
+    cuts = [n * i // parts for i in range(parts + 1)]
+    rows = nodes.select("node_id", "fitness", "cfg")
+    keyed = rows.select("*", F.posexplode(F.array(*_parts(F.col("cfg"), n, parts))).alias("s", "key"))
+    frequent = written(keyed.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("s", "key"), "hot-segments")
+    of_s = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("s") + 1)
+    out = lambda c: F.concat(F.slice(c, F.lit(1), of_s(cuts[:-1])), F.slice(c, of_s([x + 1 for x in cuts[1:]]), F.lit(n)))
+    sizes = of_s([n - (b - a) for a, b in zip(cuts, cuts[1:])])
+    # segments of the rest: their bounds depend on the segment that was taken out
+    at = lambda i: F.floor(sizes * i / parts).cast("int")
+    second = lambda c: F.array(*[F.slice(c, at(i) + 1, at(i + 1) - at(i)) for i in range(parts)])
+    few = keyed.join(frequent, ["s", "key"], "left_anti").select("node_id", "fitness", "cfg", "s", "key", F.lit(-1).alias("s2"), F.array().cast("array<int>").alias("key2"))
+    many = keyed.join(frequent, ["s", "key"], "left_semi").select("node_id", "fitness", "cfg", "s", "key", F.posexplode(second(out("cfg"))).alias("s2", "key2"))
+    cand = few.union(many)
+    left = cand.select("s", "key", "s2", "key2", F.col("node_id").alias("u"), F.col("fitness").alias("fu"), F.col("cfg").alias("cu"))
+    right = cand.select("s", "key", "s2", "key2", F.col("node_id").alias("v"), F.col("fitness").alias("fv"), F.col("cfg").alias("cv"))
+    met = left.join(right, ["s", "key", "s2", "key2"]).where("u < v")
+    differ = F.aggregate(F.zip_with("cu", "cv", lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
+    first = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
+    own = first(F.array(*_parts(F.col("cu"), n, parts)), F.array(*_parts(F.col("cv"), n, parts))) == F.col("s")
+    again = (F.col("s2") < 0) | (first(second(out("cu")), second(out("cv"))) == F.col("s2"))
+    return met.where((differ <= n_edit) & own & again).select("u", "v", "fu", "fv")
+
+
 def generated_pairs(nodes: DataFrame, generate: Callable[[tuple[int, ...]], list[tuple[int, ...]]]) -> DataFrame:
     """``(u, v, fu, fv)`` of nodes one of which ``generate`` names as the other's neighbour (a user's own rule)."""
 

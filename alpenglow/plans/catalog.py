@@ -39,6 +39,10 @@ SOURCES = {
     "l3": Source("embeddings", tuple((f"b{i}", "boolean", f"cast(embedding[{i}] > 0 as int)", f"cast(embedding[{i + 1}] > 0 as int)") for i in range(6)), ("sum(label)", "sum(label)"), "boolean"),
     "l4": Source("events", (("event_type", "categorical", "event_type", "event_type"), ("hour", "ordinal", "hour(ts)", "cast(hour(ts) as int)"), ("day", "ordinal", "dayofweek(ts) - 1", "cast(dayofweek(ts) as int)")), ("count(1)", "count(*)")),
     "l5": Source("lineitem", (("supplier", "categorical", "cast(l_suppkey % 20 as int)", "cast(l_suppkey % 20 as int)"), ("quantity", "ordinal", "cast(l_quantity as int)", "cast(l_quantity as int)"), ("discount", "ordinal", _cents("l_discount"), _cents("l_discount")), ("tax", "ordinal", _cents("l_tax"), _cents("l_tax"))), ("max(l_extendedprice)", "max(l_extendedprice)")),
+    "l6": Source("lineitem", tuple((f"b{i}", "boolean", e, e.replace(" div ", " // ")) for i, e in enumerate([*[f"cast(l_quantity as int) div {1 << k} % 2" for k in range(5)], "cast(l_linenumber % 2 as int)", _cents("l_discount") + " % 2", _cents("l_tax") + " % 2", "cast(l_partkey % 2 as int)", "cast(l_suppkey % 2 as int)"])), ("max(l_extendedprice)", "max(l_extendedprice)"), "boolean"),
+    "l7": Source("events", (("event_type", "categorical", "event_type", "event_type"), ("hour", "ordinal", "hour(ts)", "cast(hour(ts) as int)"), ("day", "ordinal", "dayofweek(ts) - 1", "cast(dayofweek(ts) as int)")), ("count(1) % 2", "count(*) % 2")),
+    "l8": Source("embeddings", tuple((f"b{i}", "boolean", f"cast(embedding[{i}] > 0 as int)", f"cast(embedding[{i + 1}] > 0 as int)") for i in range(16)), ("max(label % 2)", "max(label % 2)"), "boolean"),
+    "l9": Source("embeddings", tuple((f"b{i}", "boolean", f"cast(embedding[{i}] > 0 as int)", f"cast(embedding[{i + 1}] > 0 as int)") for i in range(24)), ("sum(label)", "sum(label)"), "boolean"),
 }
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from alpenglow.errors import DataError, NotBuiltError, ParameterError
 from alpenglow.functions.numbering import SMALL, numbered
-from alpenglow.operators import local, neighbours, structure
+from alpenglow.operators import bitreach, local, neighbours, structure
 from alpenglow.operators.components import components
 from alpenglow.operators.graph import pagerank
+from alpenglow.operators.nearest import nearest
 from alpenglow.plans.cut import written
 from alpenglow.sources import ingest
 from alpenglow.sources.ingest import ALPHABETS, Encoded, Variable
@@ -201,10 +202,16 @@ class Landscape:
         """``(peak, node, dist)``: every node that can climb to a peak, in the fewest steps."""
         return structure.accessible(self.edges, self.optima)
 
+    @cached_property
+    def ancestor_counts(self) -> DataFrame:
+        """``(key, dist, n)``: how many nodes climb to the peak ``key`` in ``dist`` steps at least; no pair of both is ever a row."""
+        seeds = self.optima.where("is_lo").select(F.col("peak").alias("key"), F.col("node_id").alias("node"))
+        return written(bitreach.reach_counts(self.edges, seeds, "dst", "src"), "ancestor-counts")
+
     @cached_property
     def accessible_paths(self) -> DataFrame:
         """``(node_id, size_basin_accessible)``: nodes that can climb to a peak, itself included; 0 for other nodes."""
-        sizes = self.ancestors.groupBy(F.col("peak").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = bitreach.sizes(self.ancestor_counts).select(F.col("key").alias("node_id"), F.col("size").alias("n"))
         return written(self.nodes.select("node_id").join(sizes, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("size_basin_accessible")), "accessible")
 
     def distance_kind(self) -> str | list[str]:
@@ -221,10 +228,8 @@ class Landscape:
         """:attr:`dist_to_go` by another distance: a name, a list of them, or a function of two code arrays."""
         best = self.nodes.agg((F.max if self.maximize else F.min)("fitness").alias("fitness"))
         tied = written(self.nodes.join(F.broadcast(best), "fitness").select("node_id", F.col("cfg").alias("go")), "tied")  # best: one row
-        # the best themselves are at 0, so many ties leave few others to compare with them
         others = self.nodes.join(tied.select("node_id"), "node_id", "left_anti")
-        each = others.join(tied.select("go")).select("node_id", structure.distance(kind, F.col("cfg"), F.col("go")).alias("d"))
-        near = each.groupBy("node_id").agg(F.min("d").alias("dist_go"))
+        near = nearest(others, tied.select(F.col("go").alias("cfg")), kind, self.variables, "dist_go")
         near = near if callable(kind) else near.withColumn("dist_go", F.col("dist_go").cast("long"))
         return written(near.union(tied.select("node_id", F.lit(0).cast(near.schema["dist_go"].dataType))), "dist-go")
 
@@ -356,7 +361,7 @@ def build(
     if kind == "boolean":
         df, _, kinds = ingest.parse_boolean(df, given, fitness)
     elif kind in ALPHABETS or kind == "sequence":
-        alphabet = ALPHABETS.get(kind) or alphabet or ingest.infer_alphabet(df, given[0])
+        alphabet = ALPHABETS.get(kind) or alphabet or ingest.infer_alphabet(df, given)
         df, _, kinds = ingest.parse_sequence(df, alphabet, given, fitness)
     elif kind in ("ordinal", "categorical"):
         kinds = dict.fromkeys(given, kind)

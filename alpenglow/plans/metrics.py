@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
-from alpenglow.functions import linalg, stats
+from alpenglow.functions import linalg, stats, transform
 from alpenglow.functions.numbering import SMALL
-from alpenglow.operators import neighbours, squares, structure, walks
+from alpenglow.operators import bitreach, neighbours, squares, structure, walks
 from alpenglow.operators.graph import reach
 from alpenglow.plans.cut import written
 from alpenglow.plans.landscape import Landscape
@@ -145,26 +145,28 @@ def fitness_flattening_index(land: Landscape, min_len: int = 3) -> DataFrame:
 # navigability
 
 
-def _reaches(land: Landscape, targets: list[int] | None = None, accessible: bool = True) -> DataFrame:
-    """``(key, node, dist)`` of nodes that reach each target along improving edges, or along any."""
+def _reaches(land: Landscape, targets: list[int] | None = None, accessible: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """``(key, dist, n)`` of the nodes that reach each target along improving edges, or along any."""
     seeds = land.spark.createDataFrame([(t, t) for t in targets], "key long, node long") if targets is not None else land.optima.where("is_lo").select(F.col("node_id").alias("key"), F.col("node_id").alias("node"))
     edges = land.edges.select("src", "dst")
-    return reach(edges if accessible else edges.union(edges.select("dst", "src")), seeds, "dst", "src")
+    return bitreach.reach_counts(edges if accessible else edges.union(edges.select("dst", "src")), seeds, "dst", "src", among)
 
 
 def global_optima_accessibility(land: Landscape) -> DataFrame:
     """Share of configurations from which improving edges lead to the global optimum."""
-    return _reaches(land, [land.go_index]).agg((F.count(F.lit(1)) / F.lit(land.n_configs)).alias("value"))
+    return _reaches(land, [land.go_index]).agg((F.sum("n") / F.lit(land.n_configs)).alias("value"))
 
 
 def _check_optima(land: Landscape, lo: list[int] | None) -> None:
-    if lo is not None and (wrong := set(lo) - set(land.lo_index)):
-        raise ParameterError(f"{sorted(wrong)} are no local optima")
+    if lo is not None:
+        there = {r[0] for r in land.optima.where("is_lo").where(F.col("node_id").isin(lo)).select("node_id").collect()}
+        if wrong := set(lo) - there:
+            raise ParameterError(f"{sorted(wrong)} are no local optima")
 
 
 def local_optima_accessibility(land: Landscape, lo: list[int] | None = None) -> DataFrame:
     _check_optima(land, lo)
-    return _reaches(land, lo).groupBy(F.col("key").alias("node_id")).agg((F.count(F.lit(1)) / F.lit(land.n_configs)).alias("accessibility"))
+    return bitreach.sizes(_reaches(land, lo)).select(F.col("key").alias("node_id"), (F.col("size") / F.lit(land.n_configs)).alias("accessibility"))
 
 
 def mean_path_length_to_local_optima(land: Landscape, lo: list[int] | None = None, accessible: bool = True, n_samples: float | int | None = None, seed: int = 0) -> DataFrame:
@@ -173,19 +175,18 @@ def mean_path_length_to_local_optima(land: Landscape, lo: list[int] | None = Non
     ``n_samples`` takes only so many starts (a whole number) or such a share of all (a float up to 1), drawn by ``seed``.
     """
     _check_optima(land, lo)
-    found = _reaches(land, lo, accessible)
+    among = None
     if n_samples is not None:
         if isinstance(n_samples, bool) or n_samples <= 0 or (isinstance(n_samples, float) and n_samples > 1):
             raise ParameterError("n_samples is a share above 0 and up to 1, or a positive whole number")
         size = max(1, int(n_samples * land.n_configs)) if isinstance(n_samples, float) else min(n_samples, land.n_configs)
         starts = land.nodes.select(F.col("node_id").alias("node")).orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(size)
-        found = found.join(written(starts, "starts"), "node", "left_semi")
-    return found.groupBy(F.col("key").alias("node_id")).agg(F.avg("dist").alias("mean"), F.var_pop("dist").alias("variance"))
+        among = written(starts, "starts")
+    return bitreach.sizes(_reaches(land, lo, accessible, among)).select(F.col("key").alias("node_id"), "mean", "variance")
 
 
 def mean_path_length_to_global_optimum(land: Landscape, accessible: bool = True) -> DataFrame:
-    found = _reaches(land, [land.go_index], accessible)
-    return found.agg(F.avg("dist").cast("double").alias("mean"), F.var_pop("dist").alias("variance"))
+    return bitreach.sizes(_reaches(land, [land.go_index], accessible)).select("mean", "variance")
 
 
 def mean_distance_to_local_optima(land: Landscape, lo: list[int] | None = None, kind=None) -> DataFrame:
@@ -363,7 +364,9 @@ def higher_order_epistasis(land: Landscape, order: int = 2) -> DataFrame:
 
 
 def walsh_hadamard(land: Landscape, max_order: int = 2, max_cells: float = 1e9) -> DataFrame:
-    """``(order, positions, term, coefficient)``: effects averaged over backgrounds, by least squares on the ensemble matrix.
+    """``(order, positions, term, coefficient)``: effects averaged over backgrounds, on the ensemble matrix.
+
+    Complete grids are transformed, whatever their size and order; others are fitted by least squares.
 
     A term fixes some positions to given other letters than the wild type's (zeros, or the first
     node's). Its entry for a configuration that carries e of its k letters is (-1)^(k-e), times
@@ -372,10 +375,13 @@ def walsh_hadamard(land: Landscape, max_order: int = 2, max_cells: float = 1e9)
     wild = [0] * land.n_vars if land.kind == "boolean" else list(land.nodes.where("node_id = 0").select("cfg").first()[0])
     seen = land.nodes.select(F.posexplode("cfg").alias("p", "a")).groupBy("p").agg(F.array_sort(F.collect_set("a")).alias("s")).collect()
     letters = {r["p"]: list(r["s"]) for r in seen}
+    if math.prod(map(len, letters.values())) == land.n_configs and all(wild[i] in letters[i] for i in letters):
+        return _walsh_rows(land, transform.ensemble(land.nodes, [letters[i] for i in range(land.n_vars)], wild), wild, max_order)
     per = [[(i, k) for k in letters[i] if k != wild[i]] for i in range(land.n_vars)]
+    n_terms = _count_terms([len(x) for x in per], max_order)
+    if n_terms * land.n_configs > max_cells:
+        raise ParameterError(f"{n_terms} terms by {land.n_configs} configurations are over max_cells")
     terms = [t for n in range(0, min(max_order, land.n_vars) + 1) for chosen in combinations(per, n) for t in product(*chosen)]
-    if len(terms) * land.n_configs > max_cells:
-        raise ParameterError(f"{len(terms)} terms by {land.n_configs} configurations are over max_cells")
 
     def design(codes: np.ndarray) -> np.ndarray:
         out = np.ones((len(codes), len(terms)))
@@ -386,6 +392,25 @@ def walsh_hadamard(land: Landscape, max_order: int = 2, max_cells: float = 1e9)
         return out
 
     fit = linalg.least_squares(land.nodes, design, len(terms), intercept=False)
-    label = lambda i, c: land.alphabet[c] if land.alphabet else chr(48 + c)
-    rows = [(len(t), ",".join(str(i + 1) for i, _ in t), "-".join(f"{label(i, wild[i])}_{i + 1}_{label(i, k)}" for i, k in t), float(c)) for t, c in zip(terms, fit.coefficients)]
-    return land.spark.createDataFrame(rows, "order int, positions string, term string, coefficient double").orderBy("order", "term")
+    rows = [([dict(t).get(i, -1) for i in range(land.n_vars)], float(c)) for t, c in zip(terms, fit.coefficients)]
+    return _walsh_rows(land, land.spark.createDataFrame(rows, "term array<int>, coefficient double"), wild, max_order)
+
+
+def _count_terms(per: list[int], order: int) -> int:
+    """Products of up to ``order`` of these many columns of different positions, counted, not laid out."""
+    counts = [1] + [0] * order
+    for n in per:
+        for k in range(order, 0, -1):
+            counts[k] += counts[k - 1] * n
+    return sum(counts)
+
+
+def _walsh_rows(land: Landscape, found: DataFrame, wild: list[int], max_order: int) -> DataFrame:
+    """Terms ``(term, coefficient)``, an array with -1 where it fixes no letter, with their order and names."""
+    letter = (lambda c: F.element_at(F.array(*[F.lit(x) for x in land.alphabet]), c + 1)) if land.alphabet else (lambda c: F.char(c + 48))
+    base = F.array(*[F.lit(w) for w in wild])
+    at = F.filter(F.transform("term", lambda x, i: F.struct(i.alias("i"), x.alias("k"))), lambda t: t["k"] >= 0)
+    rows = found.withColumn("at", at).where(F.size("at") <= max_order)
+    name = F.transform("at", lambda t: F.concat(letter(F.get(base, t["i"])), F.lit("_"), t["i"] + 1, F.lit("_"), letter(t["k"])))
+    places = F.array_join(F.transform("at", lambda t: (t["i"] + 1).cast("string")), ",")
+    return rows.select(F.size("at").alias("order"), places.alias("positions"), F.array_join(name, "-").alias("term"), "coefficient").orderBy("order", "term")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alpenglow.functions import plots, stats
-from alpenglow.operators import neighbours
+from alpenglow.operators import bitreach, neighbours
 from alpenglow.plans import metrics as M
 from alpenglow.plans.catalog import SOURCES, Sql, landscape
 from alpenglow.plans.filters import RowFilter, Rule
@@ -115,7 +115,7 @@ for n in ("l1", "l2", "l3", "l4"):
 _add("local_optima_min_l1", "node_id:l is_lo:b peak:l", lambda spark, sf: landscape(spark, sf, "l1", maximize=False).optima, _min.query("SELECT id AS node_id, is_lo, root AS peak FROM lo"))
 _add("global_optimum_l1", "node_id:l fitness:d", lambda spark, sf: (lambda x: x.nodes.where(F.col("node_id") == x.go_index))(landscape(spark, sf, "l1")), L["l1"].query("SELECT id AS node_id, f AS fitness FROM enc WHERE id = (SELECT id FROM go)"))
 for n in ("l1", "l3"):
-    _add(f"accessible_basins_{n}", "peak:l size:l", lambda spark, sf, n=n: landscape(spark, sf, n).ancestors.groupBy("peak").agg(F.count(F.lit(1)).alias("size")), L[n].query("SELECT peak, count(DISTINCT id) AS size FROM anc GROUP BY 1"))
+    _add(f"accessible_basins_{n}", "peak:l size:l", lambda spark, sf, n=n: bitreach.sizes(landscape(spark, sf, n).ancestor_counts).withColumnRenamed("key", "peak"), L[n].query("SELECT peak, count(DISTINCT id) AS size FROM anc GROUP BY 1"))
     _add(f"dist_to_go_{n}", "node_id:l dist_go:l", lambda spark, sf, n=n: landscape(spark, sf, n).dist_to_go, L[n].query("SELECT id AS node_id, d AS dist_go FROM dgo"))
 _add("neighbor_fitness_l1", "node_id:l mean_neighbor_fit:d", lambda spark, sf: landscape(spark, sf, "l1").neighbour_fitness, L["l1"].query("SELECT id AS node_id, m AS mean_neighbor_fit FROM nbf"))
 _add("degree_histogram_l5", "in_degree:l out_degree:l n:l", lambda spark, sf: landscape(spark, sf, "l5").degrees.groupBy("in_degree", "out_degree").agg(F.count(F.lit(1)).alias("n")), L["l5"].query("SELECT ind AS in_degree, outd AS out_degree, count(*) AS n FROM deg GROUP BY ALL"))
@@ -296,6 +296,38 @@ for kind, letters, table in (("dna", "ACGT", "orders"), ("protein", "ACDEFGHIKLM
 _lon_access = _lon | {"kept": "SELECT src, dst, w FROM lone WHERE f2 >= f1", "back(k, id)": "SELECT id, id FROM lo WHERE is_lo AND id = root UNION SELECT a.k, e.src FROM back a JOIN kept e ON e.dst = a.id"}
 _add("lon_measures_l1", "peak:l accessibility:l out_degree:l in_degree:l", lambda spark, sf: landscape(spark, sf, "l1").get_lon(min_edge_freq=1).nodes, L["l1"].query("SELECT k AS peak, count(*) AS accessibility, (SELECT count(*) FROM kept WHERE src = k) AS out_degree, (SELECT count(*) FROM kept WHERE dst = k) AS in_degree FROM back GROUP BY k", _lon_access))
 
+# many tied optima, several edits, whole transforms, letters in columns
+
+_tied = lambda name: (lambda spark, sf: landscape(spark, sf, name, keep_isolated=True).dist_to_go)
+for n in ("l7", "l8"):
+    gap = " + ".join(f"abs(e.a{i} - g.a{i})" if o and SOURCES[n].kind != "boolean" else f"(e.a{i} <> g.a{i})::INT" for i, o in enumerate(L[n].ordinal))
+    _add(f"dist_to_go_ties_{n}", "node_id:l dist_go:l", _tied(n), L[n].query(f"SELECT e.id AS node_id, min({gap}) AS dist_go FROM enc0 e, (SELECT * FROM enc0 WHERE f = (SELECT max(f) FROM enc0)) g GROUP BY 1"))
+_add("dist_to_go_l5", "node_id:l dist_go:l", _of("l5", lambda x: x.dist_to_go), L["l5"].query("SELECT id AS node_id, d AS dist_go FROM dgo"))
+_four_edits = " + ".join(f"(x.a{i} <> y.a{i})::INT" for i in range(24))
+_add("hamming4_pairs_l9", "u:l v:l", lambda spark, sf: (lambda x: neighbours.edit_pairs(x.nodes, x.variables, 4))(landscape(spark, sf, "l9", keep_isolated=True)), L["l9"].query(f"SELECT x.id AS u, y.id AS v FROM enc0 x JOIN enc0 y ON x.id < y.id AND {_four_edits} <= 4"))
+_number = " + ".join(f"a{i} * {1 << i}" for i in range(10))
+_signed = lambda spark, sf: M.walsh_hadamard(landscape(spark, sf, "l6", keep_isolated=True), max_order=10).withColumn("signed_sum", F.col("coefficient") * 1024 / F.pow(F.lit(2.0), F.col("order")))
+_add("walsh_full_l6", "order:l positions:s signed_sum:d", _signed, L["l6"].query("SELECT bit_count(m) AS \"order\", coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM unnest(range(1, 11)) t(i) WHERE (m >> (i - 1)) & 1 = 1), '') AS positions, sum(f * (1 - 2 * (bit_count(m & ~x) % 2))) AS signed_sum FROM cells, (SELECT unnest(range(0, 1024)) AS m) GROUP BY m", {"cells": f"SELECT {_number} AS x, f FROM enc0"}))
+_add("walsh_states_l4", "positions:s term:s coefficient:d", lambda spark, sf: M.walsh_hadamard(landscape(spark, sf, "l4", keep_isolated=True), max_order=1), L["l4"].query(" UNION ALL ".join(["SELECT '' AS positions, '' AS term, avg(f) AS coefficient FROM enc0", *[f"SELECT '{i + 1}' AS positions, '0_{i + 1}_' || chr(CAST(48 + a{i} AS INT)) AS term, avg(f) - (SELECT avg(f) FROM enc0 WHERE a{i} = 0) AS coefficient FROM enc0 WHERE a{i} > 0 GROUP BY a{i}" for i in range(3)]])))
+_letters = [("PQR", 1), ("QST", 3), ("UV", 9)]
+_cols = [f"substr('{x}', CAST(CAST(floor(o_orderkey / {d}) AS BIGINT) % {len(x)} AS INT) + 1, 1)" for x, d in _letters]
+
+
+def _alphabet(spark: SparkSession, sf: str) -> DataFrame:
+    """Letters a column, a third of them in one column only."""
+    cols = [F.expr(e.replace("BIGINT", "LONG")).alias(f"s{i}") for i, e in enumerate(_cols)]
+    land = build(spark.read.parquet(f"{sf}/orders.parquet").groupBy(*cols).agg(F.max("o_totalprice").cast("double").alias("fitness")), kind="sequence")
+    return spark.createDataFrame([(land.alphabet, *land.shape)], "alphabet string, n_configs long, n_edges long")
+
+
+_add("alphabet_orders", "alphabet:s n_configs:l n_edges:l", _alphabet, f"WITH g AS (SELECT {', '.join(f'{e} AS s{i}' for i, e in enumerate(_cols))}, max(o_totalprice) AS f FROM orders GROUP BY ALL) SELECT (SELECT string_agg(s, '' ORDER BY s) FROM (SELECT s0 AS s FROM g UNION SELECT s1 FROM g UNION SELECT s2 FROM g)) AS alphabet, (SELECT count(*) FROM g) AS n_configs, (SELECT count(*) FROM g x JOIN g y ON (x.s0 <> y.s0)::INT + (x.s1 <> y.s1)::INT + (x.s2 <> y.s2)::INT = 1 AND x.f < y.f) AS n_edges")
+
+# loops on a landscape too large for the driver's side
+
+_add("basins_l5", "node_id:l basin_index:l steps:l", _of("l5", lambda x: x.basins), L["l5"].query("SELECT id AS node_id, b AS basin_index, steps FROM basin"))
+_add("local_optima_l5", "node_id:l is_lo:b peak:l", _of("l5", lambda x: x.optima), L["l5"].query("SELECT id AS node_id, is_lo, root AS peak FROM lo"))
+_add("path_length_l5", "mean:d variance:d", _of("l5", M.mean_path_length_to_global_optimum), L["l5"].query("SELECT avg(d) AS mean, var_pop(d) AS variance FROM godist"))
+
 # without an SQL form: iterations to a limit, seeded walks, the whole profile
 
 _add("pagerank_l3", "node_id:l pagerank:d", lambda spark, sf: landscape(spark, sf, "l3").pagerank)

@@ -96,10 +96,25 @@ def parse_sequence(df: DataFrame, alphabet: str, columns: Sequence[str] | None =
     return out, columns, dict.fromkeys(columns, "categorical")
 
 
-def infer_alphabet(df: DataFrame, column: str) -> str:
-    """Sorted distinct symbols of a string column."""
-    symbols = df.select(F.explode(F.split(F.col(column), "")).alias("s")).where("s <> ''").distinct().collect()
-    return "".join(sorted(r[0] for r in symbols))
+def infer_alphabet(df: DataFrame, columns: Sequence[str] | str) -> str:
+    """Sorted distinct symbols: characters of one string column, or cell values of several, a letter each.
+
+    Nulls and empty cells have none; a table without any is an error. Lower-case symbols are symbols of
+    their own here, but sequences are read in upper case, so :func:`parse_sequence` refuses an alphabet
+    inferred from them: give upper-case data, or an ``alphabet``.
+    """
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    if len(columns) == 1:
+        cell = F.explode(F.array_distinct(F.split(F.col(f"`{columns[0]}`"), "")))
+    else:
+        cell = F.explode(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    # only single letters are collected, so what comes to the driver is an alphabet
+    found, longest = df.select(cell.alias("s")).agg(F.array_sort(F.collect_set(F.when(F.length("s") == 1, F.col("s")))), F.max(F.length("s"))).first()
+    if (longest or 0) > 1:
+        raise DataError("symbols of sequences are single letters")
+    if not found:
+        raise DataError("no symbols to infer an alphabet from")
+    return "".join(sorted(found))
 
 
 def encode(df: DataFrame, kinds: dict[str, str], fitness: str = "fitness", ordinal: str | None = None, kind: str = "default", alphabet: str | None = None, levels: dict[str, list] | None = None) -> Encoded:

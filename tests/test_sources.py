@@ -98,3 +98,25 @@ def test_csv_keeps_leading_zeros(spark, tmp_path):
     df = ingest.read_csv(spark, str(tmp_path / "x.csv"), "fitness", ["sequences"])
     assert sorted(r.sequences for r in df.collect()) == ["00", "01", "11"]
     assert ingest.infer_alphabet(df, "sequences") == "01"
+
+
+def test_alphabet_is_the_union_of_all_columns(spark):
+    """A letter a column: each gives its letters, whatever the others hold."""
+    df = spark.createDataFrame([("P", "P", "Q", 1.0), ("P", "P", "S", 2.0), ("P", "T", "Q", 3.0), (None, "", "Q", 4.0)], "a string, b string, c string, fitness double")
+    assert ingest.infer_alphabet(df, ["a", "b", "c"]) == "PQST"
+    land = build(df.dropna().where("b <> ''"), kind="sequence")
+    assert land.alphabet == "PQST" and land.shape == (3, 2)
+    same = build(df.dropna().where("b <> ''"), kind="sequence", alphabet="PQST")
+    assert sorted(map(tuple, same.edges.collect())) == sorted(map(tuple, land.edges.collect()))
+    whole = build(spark.createDataFrame([("AAC", 1.0), ("AAG", 5.0), ("ACC", 3.0)], "s string, fitness double"), kind="sequence")
+    assert whole.alphabet == "ACG"
+
+
+def test_alphabets_that_cannot_be(spark):
+    df = spark.createDataFrame([("ab", "c", 1.0), ("a", "d", 2.0)], "a string, b string, fitness double")
+    with pytest.raises(DataError):
+        ingest.infer_alphabet(df, ["a", "b"])
+    with pytest.raises(DataError):
+        ingest.infer_alphabet(df.where("false"), ["a", "b"])
+    with pytest.raises(DataError):  # read in upper case, inferred as they are
+        build(spark.createDataFrame([("ac", 1.0), ("ag", 5.0)], "s string, fitness double"), kind="sequence")
