@@ -1,4 +1,4 @@
-"""Least squares from one pass over the rows: sums of products in Spark, a small solve on the driver."""
+"""Least squares: sums of products in Spark, a small solve on the driver; conjugate gradients for many terms."""
 
 from __future__ import annotations
 
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
 
-#: Terms of a model at most: the products' matrix is solved on the driver (8 bytes a cell).
-TERMS = 4_000
+#: Terms of a model up to which the products' matrix is solved on the driver (8 bytes a cell), and at most:
+#: beyond the first, the driver and each task hold a few vectors of that length, never a matrix.
+TERMS, MOST = 4_000, 4_000_000
+#: Cells of a dense part of the design that a task holds at once.
+CELLS = 2_000_000
 
 
 @dataclass
@@ -38,10 +41,11 @@ def least_squares(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray],
 
     Each task sums its products; the sums of all tasks are added by an aggregation, cell by cell.
     With an intercept the products are centred before the solve. A second pass sums the squared
-    residuals, which the products alone would give with less accuracy.
+    residuals, which the products alone would give with less accuracy. More than TERMS terms are
+    fitted by :func:`gradients`.
     """
     if terms > TERMS:
-        raise ParameterError(f"{terms} terms are over the limit of {TERMS}")
+        return gradients(nodes, design, terms, intercept, y)
 
     def rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         lists = batch.column(0)
@@ -81,3 +85,67 @@ def least_squares(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray],
 
     sse, sst = data.mapInArrow(residuals, "sse double, sst double").agg(F.sum("sse"), F.sum("sst")).first()
     return Fit(beta, base, n, float(sse), float(sst))
+
+
+def gradients(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray], terms: int, intercept: bool = True, y: str = "fitness", tolerance: float = 1e-10, rounds: int = 2_000) -> Fit:
+    """The least-norm fit without a matrix: conjugate gradients on the normal equations.
+
+    A round is one pass: each task multiplies its rows with the direction, and their products back onto
+    the terms; the tasks' vectors are added term by term. It begins at zero, so it stays in the span of
+    the rows, and ends when the gradient is ``tolerance`` of the first one (in norm), or after ``rounds``.
+    With an intercept, rows and target are centred by their means.
+    """
+    if terms > MOST:
+        raise ParameterError(f"{terms} terms are over the limit of {MOST}")
+    data = nodes.select("cfg", F.col(y).cast("double").alias("y"))
+    size = terms + 3  # one sum a term, and of the target, its square, and the rows
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, CELLS // max(1, terms))
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                target = np.asarray(batch.column(1)).astype(float)
+                for a in range(0, batch.num_rows, step):
+                    yield design(codes[a : a + step]).astype(float), target[a : a + step]
+
+    def summed(each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for x, target in chunks(batches):
+                total += each(x, target)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["t", "s"])
+
+        cells = data.mapInArrow(run, "t long, s double").groupBy("t").agg(F.sum("s").alias("s")).toArrow()
+        out = np.zeros(size)
+        out[np.asarray(cells.column("t"))] = np.asarray(cells.column("s"))
+        return out
+
+    first = summed(lambda x, target: np.r_[x.sum(axis=0), target.sum(), 0.0, len(target)])
+    n = int(first[-1])
+    mean_x, mean_y = (first[:terms] / n, first[terms] / n) if intercept else (np.zeros(terms), 0.0)
+    told = summed(lambda x, target: np.r_[(x - mean_x).T @ (target - mean_y), 0.0, ((target - first[terms] / n) ** 2).sum(), 0.0])
+    gradient, sst = told[:terms], told[-2]
+    beta, direction = np.zeros(terms), gradient.copy()
+    norm = start = float(gradient @ gradient)
+    for _ in range(rounds):
+        if norm <= tolerance**2 * start or not start:
+            break
+
+        def onto(x: np.ndarray, _: np.ndarray, direction: np.ndarray = direction) -> np.ndarray:
+            z = x - mean_x
+            q = z @ direction
+            return np.r_[z.T @ q, q @ q, 0.0, 0.0]
+
+        product = summed(onto)
+        if product[terms] <= 0:
+            break
+        step = norm / product[terms]
+        beta = beta + step * direction
+        gradient = gradient - step * product[:terms]
+        norm, last = float(gradient @ gradient), norm
+        direction = gradient + norm / last * direction
+    base = mean_y - mean_x @ beta if intercept else 0.0
+    sse = summed(lambda x, target: np.r_[np.zeros(terms), 0.0, ((target - base - x @ beta) ** 2).sum(), 0.0])[-2]
+    return Fit(beta, float(base), n, float(sse), float(sst))

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alpenglow.errors import ParameterError
+from alpenglow.functions.kendall import kendall
 from alpenglow.functions.numbering import SMALL, average_rank, running_total
-from alpenglow.operators import local
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -33,39 +30,6 @@ def spearman(df: DataFrame, x: str, y: str, name: str = "value") -> DataFrame:
     return ranked.agg(guarded_corr(F.col("rx"), F.col("ry")).alias(name))
 
 
-def _inversions(y: np.ndarray, weight: np.ndarray) -> int:
-    """Weighted pairs i < j with y[i] > y[j], by merging runs bottom-up."""
-    y, weight, total, width, n = y.copy(), weight.copy(), 0, 1, len(y)
-    while width < n:
-        for a in range(0, n, 2 * width):
-            m, b = min(a + width, n), min(a + 2 * width, n)
-            left, wl = y[a:m], weight[a:m]
-            tail = np.r_[np.cumsum(wl[::-1])[::-1], 0]
-            total += int((tail[np.searchsorted(left, y[m:b], "right")] * weight[m:b]).sum())
-            order = np.argsort(y[a:b], kind="stable")
-            y[a:b], weight[a:b] = y[a:b][order], weight[a:b][order]
-        width *= 2
-    return total
-
-
-def kendall(df: DataFrame, x: str, y: str, name: str = "value") -> DataFrame:
-    """Kendall's tau-b over distinct pairs and their counts, by merge counting in one task (n log n)."""
-    counts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*frames, pd.DataFrame({"x": [], "y": [], "n": []})])
-        n = rows["n"].astype(int)
-        pairs = lambda c: int((c * (c - 1) // 2).sum())
-        total = int(n.sum()) * (int(n.sum()) - 1) // 2
-        tx, ty, both = pairs(n.groupby(rows["x"]).sum()), pairs(n.groupby(rows["y"]).sum()), pairs(n)
-        order = np.lexsort((rows["y"], rows["x"]))
-        worse = _inversions(rows["y"].to_numpy()[order], n.to_numpy()[order])
-        down = (total - tx) * (total - ty)
-        yield pd.DataFrame({name: [(total - tx - ty + both - 2 * worse) / math.sqrt(down) if down else None]})
-
-    return counts.coalesce(1).mapInPandas(run, f"{name} double")
-
-
 CORRELATIONS = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
 
 
@@ -127,25 +91,29 @@ def moments(df: DataFrame, x: str = "fitness", small: bool = True) -> DataFrame:
 
 
 def cauchy_location(df: DataFrame, x: str = "fitness", rounds: int = 200) -> float:
-    """Maximum-likelihood location of a Cauchy distribution, its scale fitted with it, by repeated weighted means.
+    """Maximum-likelihood location of a Cauchy distribution, its scale fitted with it.
 
-    A round is one aggregate; a column that a size check finds small is worked on outside Spark.
+    The likelihood has one maximum, so where the rounds begin (sketched quartiles) doesn't matter. A round
+    is one aggregate of a few sums: it takes Newton's step where the likelihood is curved downwards and
+    the step is short, else that of repeated weighted means, which always gains.
     """
-    q1, loc, q3 = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    values = df.select(F.col(x).cast("double").alias("x"))
+    q1, loc, q3 = values.agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 1000)).first()[0]
     scale = max((q3 - q1) / 2, 1e-12)
-    values = local.fetch(df.select(F.col(x).cast("double")), local.LIMIT)
-
-    def sums(loc: float, scale: float) -> tuple[float, float, int]:
-        if values:
-            w = 1 / (1 + ((values[0] - loc) / scale) ** 2)
-            return float(w.sum()), float((w * values[0]).sum()), len(w)
-        w = 1 / (1 + F.pow((F.col(x) - loc) / scale, 2))
-        return df.agg(F.sum(w), F.sum(w * F.col(x)), F.count(x)).first()
-
     for _ in range(rounds):
-        total, mean, n = sums(loc, scale)
+        u = (F.col("x") - loc) / scale
+        w = 1 / (1 + u * u)
+        n, total, mean, a, b, c = values.agg(F.count("x"), F.sum(w), F.sum(w * F.col("x")), F.sum(w * w), F.sum(u * w * w), F.sum(u * w)).first()
+        # per square of the scale: slopes and curvatures; u*u*w = 1 - w and u*u*w*w = w - w*w
+        g1, g2 = 2 * c * scale, (n - 2 * total) * scale
+        h11, h12, h22 = 2 * (total - 2 * a), -4 * b, n - 2 * (n - total) - 4 * (total - a)
+        det = h11 * h22 - h12 * h12
         new, new_scale = mean / total, max(scale / math.sqrt(max(n / (2 * total), 1e-12)), 1e-12)
-        done = abs(new - loc) + abs(new_scale - scale) < 1e-10 * (abs(loc) + scale)
+        if h11 < 0 and det > 0:
+            step, step_scale = (g2 * h12 - g1 * h22) / det, (g1 * h12 - g2 * h11) / det
+            if abs(step) < scale and abs(step_scale) < scale / 2:
+                new, new_scale = loc + step, scale + step_scale
+        done = abs(new - loc) + abs(new_scale - scale) < 1e-12 * (abs(loc) + scale)
         loc, scale = new, new_scale
         if done:
             break

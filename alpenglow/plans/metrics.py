@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
-from alpenglow.functions import linalg, stats, transform
+from alpenglow.functions import linalg, selection, stats, transform
 from alpenglow.functions.numbering import SMALL
 from alpenglow.operators import bitreach, neighbours, squares, structure, walks
 from alpenglow.operators.graph import reach
@@ -108,8 +108,10 @@ def mutation_effects(land: Landscape, position: str | None = None, test: str = "
         pairs = pairs.where(F.col("position") == position)
     effect = F.col("fu") - F.col("fv")
     rows = pairs.groupBy("position", "a", "b").agg(
-        F.percentile(F.abs(effect), F.lit(0.5)).alias("m"), F.avg(effect).alias("mean_effect"), F.count(F.lit(1)).alias("n"), F.count_if(effect > 0 if test == "positive" else effect < 0).alias("k")
+        F.avg(effect).alias("mean_effect"), F.count(F.lit(1)).alias("n"), F.count_if(effect > 0 if test == "positive" else effect < 0).alias("k")
     )
+    medians = selection.median(pairs, ["position", "a", "b"], F.abs(effect)).withColumnRenamed("quantile", "m")
+    rows = rows.join(medians, ["position", "a", "b"])
     sd = land.nodes.agg(F.stddev_samp("fitness").alias("sd"))
     rows = rows.join(F.broadcast(sd)).withColumn("p_value", stats.binomial_tail_udf("k", "n"))  # sd: one row
     return rows.select("position", F.col("a").alias("allele_a"), F.col("b").alias("allele_b"), F.when(F.col("sd") > 0, F.col("m") / F.col("sd")).alias("median_abs_effect"), "mean_effect", "p_value", (F.col("p_value") < 0.05).alias("significant"))

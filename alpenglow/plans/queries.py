@@ -322,6 +322,19 @@ def _alphabet(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("alphabet_orders", "alphabet:s n_configs:l n_edges:l", _alphabet, f"WITH g AS (SELECT {', '.join(f'{e} AS s{i}' for i, e in enumerate(_cols))}, max(o_totalprice) AS f FROM orders GROUP BY ALL) SELECT (SELECT string_agg(s, '' ORDER BY s) FROM (SELECT s0 AS s FROM g UNION SELECT s1 FROM g UNION SELECT s2 FROM g)) AS alphabet, (SELECT count(*) FROM g) AS n_configs, (SELECT count(*) FROM g x JOIN g y ON (x.s0 <> y.s0)::INT + (x.s1 <> y.s1)::INT + (x.s2 <> y.s2)::INT = 1 AND x.f < y.f) AS n_edges")
 
+# ranks, medians and fits of whole tables
+
+_pairs5 = "SELECT d, f, count(*) AS n FROM dgo GROUP BY ALL"
+_add("fdc_kendall_l5", _V, _of("l5", M.fdc, method="kendall"), L["l5"].query("SELECT (SELECT sum(sign(x.f - y.f) * x.n * y.n) FROM pf x JOIN pf y ON x.d > y.d) / sqrt((SELECT (pow(sum(n), 2) - sum(n * n)) / 2 FROM (SELECT sum(n) AS n FROM pf GROUP BY d)) * (SELECT (pow(sum(n), 2) - sum(n * n)) / 2 FROM (SELECT sum(n) AS n FROM pf GROUP BY f))) AS value", {"pf": _pairs5}))
+_pos5 = "list_extract(['supplier', 'quantity', 'discount', 'tax'], p + 1)"
+_add("median_effects_l5", "position:s allele_a:l allele_b:l median_abs_effect:d", _of("l5", M.mutation_effects), L["l5"].query(f"SELECT {_pos5} AS position, a AS allele_a, b AS allele_b, quantile_cont(abs(fu - fv), 0.5) / (SELECT stddev_samp(f) FROM enc) AS median_abs_effect FROM pairs GROUP BY ALL"))
+_fit = {
+    "start": "SELECT quantile_cont(f, 0.5) AS loc, greatest((quantile_cont(f, 0.75) - quantile_cont(f, 0.25)) / 2, 1e-12) AS scale FROM enc",
+    "rounds(k, loc, scale)": "SELECT 0, loc, scale FROM start UNION ALL SELECT any_value(r.k) + 1, sum(f / (1 + pow((f - r.loc) / r.scale, 2))) / sum(1 / (1 + pow((f - r.loc) / r.scale, 2))), greatest(any_value(r.scale) / sqrt(greatest(count(*) / (2 * sum(1 / (1 + pow((f - r.loc) / r.scale, 2)))), 1e-12)), 1e-12) FROM rounds r, enc GROUP BY r.k HAVING any_value(r.k) < 100",
+}
+for n in ("l1", "l5"):
+    _add(f"cauchy_{n}", _V, lambda spark, sf, n=n: spark.createDataFrame([(stats.cauchy_location(landscape(spark, sf, n).nodes),)], "value double"), L[n].query("SELECT loc AS value FROM rounds WHERE k = 100", _fit))
+
 # loops on a landscape too large for the driver's side
 
 _add("basins_l5", "node_id:l basin_index:l steps:l", _of("l5", lambda x: x.basins), L["l5"].query("SELECT id AS node_id, b AS basin_index, steps FROM basin"))
@@ -332,7 +345,6 @@ _add("path_length_l5", "mean:d variance:d", _of("l5", M.mean_path_length_to_glob
 
 _add("pagerank_l3", "node_id:l pagerank:d", lambda spark, sf: landscape(spark, sf, "l3").pagerank)
 _add("autocorrelation_l3", _V, _of("l3", M.autocorrelation))
-_add("cauchy_l1", _V, lambda spark, sf: spark.createDataFrame([(stats.cauchy_location(landscape(spark, sf, "l1").nodes),)], "value double"))
 _add("missing_report_part", "column:s nulls:l", lambda spark, sf: spark.createDataFrame(sorted(ingest.missing_report(spark.read.parquet(f"{sf}/part.parquet")).items()), "column string, nulls long"), "SELECT * FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM part) ON COLUMNS(*) INTO NAME \"column\" VALUE nulls)")
 QUERIES["profile_l3"] = lambda spark, sf: profile(landscape(spark, sf, "l3"))
 QUERIES["list_metrics"] = lambda spark, sf: list_metrics(spark)

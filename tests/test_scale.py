@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alpenglow.functions import transform
+from alpenglow.functions import linalg, selection, stats, transform
+from alpenglow.functions.kendall import kendall
 from alpenglow.operators import bitreach, graph, nearest, neighbours
 from alpenglow.plans import metrics as M
 from alpenglow.plans.landscape import build
@@ -159,3 +160,70 @@ def test_walsh_of_a_cube_beyond_the_limit_of_terms(spark):
     for r in random.Random(1).sample(got, 60):
         at = [int(p) - 1 for p in r.positions.split(",") if p]
         assert r.order == len(at) and r.coefficient == pytest.approx(2 ** len(at) * np.mean(f * np.prod(2 * bits[:, at] - 1, axis=1)))
+
+
+@pytest.mark.parametrize("block", [65_536, 7, 1])
+def test_kendall_against_brute_force(spark, block):
+    """One block, several, and a block a row: the tree counts what is between them."""
+    rng = random.Random(block)
+    data = [(float(rng.randrange(12)), float(rng.randrange(15))) for _ in range(130)] + [(None, 1.0), (2.0, None)]
+    df = spark.createDataFrame(data, "x double, y double")
+    kept = data[:-2]
+    sign = lambda v: (v > 0) - (v < 0)
+    pairs = list(itertools.combinations(kept, 2))
+    top = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for a, b in pairs)
+    tau = top / (sum(a[0] != b[0] for a, b in pairs) * sum(a[1] != b[1] for a, b in pairs)) ** 0.5
+    assert M.value(kendall(df, "x", "y", block=block)) == pytest.approx(tau)
+    assert kendall(df.limit(0), "x", "y").collect() == [(None,)] and kendall(df.limit(1), "x", "y").collect() == [(None,)]
+    assert kendall(df.withColumn("y", F.lit(1.0)), "x", "y", block=block).collect() == [(None,)]
+
+
+@pytest.mark.parametrize("few,sent", [(512, 100_000), (3, 100_000), (1, 0)])
+def test_quantiles_of_groups_against_numpy(spark, monkeypatch, few, sent):
+    """A hot group, ties, one value, values far apart and next to zero; ranges of few rows are ordered, others narrowed."""
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "SENT", sent)
+    monkeypatch.setattr(selection, "STEPS", 8)
+    rng = np.random.default_rng(9)
+    groups = {"hot": rng.normal(size=700), "ties": rng.integers(0, 3, 90).astype(float), "one": np.array([4.0]), "wide": np.r_[1e-300, 5e-324, 0.0, -1.7e308, 1.7e308, 3.0], None: np.array([1.0, 2.0])}
+    data = [(g, float(v)) for g, x in groups.items() for v in x] + [("hot", None), ("ties", float("nan")), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for share in (0.5, 0.3, 1.0):
+        got = dict(map(tuple, selection.select(df, ["g"], F.col("v"), share).collect()))
+        assert got.keys() == groups.keys()
+        for g, x in groups.items():
+            assert got[g] == pytest.approx(np.quantile(x, share), rel=1e-12)
+    assert selection.median(df, [], F.col("v")).count() == 1 and selection.median(df.limit(0), ["g"], F.col("v")).count() == 0
+
+
+def test_cauchy_fit_has_no_slope(spark):
+    x = np.random.default_rng(4).standard_cauchy(4000) * 3 + 7
+    at = stats.cauchy_location(spark.createDataFrame([(float(v),) for v in x], "fitness double"))
+    best = max((-np.log(s) * len(x) - np.log1p(((x - at) / s) ** 2).sum(), s) for s in np.linspace(2, 4, 400))[1]
+    assert abs(at - 7) < 0.3 and abs((2 * (x - at) / (best**2 + (x - at) ** 2)).sum()) < 1e-1
+
+
+def test_least_squares_of_ten_thousand_terms(spark):
+    """Gradients equal numpy's least-norm fit, with fewer rows than terms too, and with an intercept."""
+    rng = np.random.default_rng(5)
+    terms, n = 10_000, 300
+    codes = rng.integers(0, terms, (n, 3))
+    f = rng.normal(size=n)
+    df = spark.createDataFrame([([int(v) for v in c], float(y)) for c, y in zip(codes, f)], "cfg array<int>, fitness double")
+
+    def design(c):
+        out = np.zeros((len(c), terms))
+        for j in range(3):
+            np.add.at(out, (np.arange(len(c)), c[:, j]), 1.0 + j)
+        return out
+
+    for intercept in (False, True):
+        fit = linalg.least_squares(df, design, terms, intercept=intercept)
+        x = design(codes)
+        shift, mean = (x.mean(axis=0), f.mean()) if intercept else (0, 0)
+        want = np.linalg.lstsq(x - shift, f - mean, rcond=1e-11)[0]
+        assert np.allclose(fit.coefficients, want, atol=1e-6)
+        assert fit.sse == pytest.approx(((f - fit.intercept - x @ want) ** 2).sum(), abs=1e-6)
+    small = lambda c: design(c)[:, :40]
+    a, b = linalg.least_squares(df, small, 40), linalg.gradients(df, small, 40)
+    assert np.allclose(a.coefficients, b.coefficients, atol=1e-7) and a.r2 == pytest.approx(b.r2)
