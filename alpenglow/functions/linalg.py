@@ -36,8 +36,34 @@ class Fit:
         return float(np.sqrt(self.sse / self.n))
 
 
+@dataclass
+class Sparse:
+    """Cells of a part of a design that are not zero; such a part is not laid out where there are many terms."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    n: int
+    terms: int
+
+    def times(self, p: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * p[self.columns], self.n)
+
+    def back(self, q: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * q[self.rows], self.terms)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, self.terms))
+        out[self.rows, self.columns] = self.values
+        return out
+
+
+def _laid_out(x: np.ndarray | Sparse) -> np.ndarray:
+    return x.dense() if isinstance(x, Sparse) else x.astype(float)
+
+
 def least_squares(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray], terms: int, intercept: bool = True, y: str = "fitness") -> Fit:
-    """Least-norm fit of ``y`` on ``design(codes)``, a matrix of ``terms`` columns for a batch of cfg.
+    """Least-norm fit of ``y`` on ``design(codes)``, a matrix of ``terms`` columns (or a :class:`Sparse`) for a batch of cfg.
 
     Each task sums its products; the sums of all tasks are added by an aggregation, cell by cell.
     With an intercept the products are centred before the solve. A second pass sums the squared
@@ -50,7 +76,7 @@ def least_squares(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray],
     def rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         lists = batch.column(0)
         codes = np.asarray(lists.flatten()).reshape(batch.num_rows, -1)
-        return design(codes).astype(float), np.asarray(batch.column(1)).astype(float)
+        return _laid_out(design(codes)), np.asarray(batch.column(1)).astype(float)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms + 2, terms + 2))
@@ -107,7 +133,12 @@ def gradients(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray], term
                 codes = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
                 target = np.asarray(batch.column(1)).astype(float)
                 for a in range(0, batch.num_rows, step):
-                    yield design(codes[a : a + step]).astype(float), target[a : a + step]
+                    yield design(codes[a : a + step]), target[a : a + step]
+
+    # products with the rows less their means, which are never laid out for sparse rows
+    times = lambda x, p: (x.times(p) if isinstance(x, Sparse) else x @ p) - mean_x @ p
+    back = lambda x, q: (x.back(q) if isinstance(x, Sparse) else x.T @ q) - mean_x * q.sum()
+    mean_x = np.zeros(terms)
 
     def summed(each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +153,10 @@ def gradients(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray], term
         out[np.asarray(cells.column("t"))] = np.asarray(cells.column("s"))
         return out
 
-    first = summed(lambda x, target: np.r_[x.sum(axis=0), target.sum(), 0.0, len(target)])
+    first = summed(lambda x, target: np.r_[back(x, np.ones(len(target))), target.sum(), 0.0, len(target)])
     n = int(first[-1])
     mean_x, mean_y = (first[:terms] / n, first[terms] / n) if intercept else (np.zeros(terms), 0.0)
-    told = summed(lambda x, target: np.r_[(x - mean_x).T @ (target - mean_y), 0.0, ((target - first[terms] / n) ** 2).sum(), 0.0])
+    told = summed(lambda x, target: np.r_[back(x, target - mean_y), 0.0, ((target - first[terms] / n) ** 2).sum(), 0.0])
     gradient, sst = told[:terms], told[-2]
     beta, direction = np.zeros(terms), gradient.copy()
     norm = start = float(gradient @ gradient)
@@ -133,10 +164,9 @@ def gradients(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray], term
         if norm <= tolerance**2 * start or not start:
             break
 
-        def onto(x: np.ndarray, _: np.ndarray, direction: np.ndarray = direction) -> np.ndarray:
-            z = x - mean_x
-            q = z @ direction
-            return np.r_[z.T @ q, q @ q, 0.0, 0.0]
+        def onto(x: np.ndarray | Sparse, _: np.ndarray, direction: np.ndarray = direction) -> np.ndarray:
+            q = times(x, direction)
+            return np.r_[back(x, q), q @ q, 0.0, 0.0]
 
         product = summed(onto)
         if product[terms] <= 0:
@@ -147,5 +177,5 @@ def gradients(nodes: DataFrame, design: Callable[[np.ndarray], np.ndarray], term
         norm, last = float(gradient @ gradient), norm
         direction = gradient + norm / last * direction
     base = mean_y - mean_x @ beta if intercept else 0.0
-    sse = summed(lambda x, target: np.r_[np.zeros(terms), 0.0, ((target - base - x @ beta) ** 2).sum(), 0.0])[-2]
+    sse = summed(lambda x, target: np.r_[np.zeros(terms), 0.0, ((target - mean_y - times(x, beta)) ** 2).sum(), 0.0])[-2]
     return Fit(beta, float(base), n, float(sse), float(sst))

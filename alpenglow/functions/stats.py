@@ -108,7 +108,7 @@ def cauchy_location(df: DataFrame, x: str = "fitness", rounds: int = 200) -> flo
         g1, g2 = 2 * c * scale, (n - 2 * total) * scale
         h11, h12, h22 = 2 * (total - 2 * a), -4 * b, n - 2 * (n - total) - 4 * (total - a)
         det = h11 * h22 - h12 * h12
-        new, new_scale = mean / total, max(scale / math.sqrt(max(n / (2 * total), 1e-12)), 1e-12)
+        new, new_scale = mean / total, max(scale * math.sqrt(2 * (n - total) / n), 1e-12)
         if h11 < 0 and det > 0:
             step, step_scale = (g2 * h12 - g1 * h22) / det, (g1 * h12 - g2 * h11) / det
             if abs(step) < scale and abs(step_scale) < scale / 2:

@@ -330,10 +330,15 @@ _pos5 = "list_extract(['supplier', 'quantity', 'discount', 'tax'], p + 1)"
 _add("median_effects_l5", "position:s allele_a:l allele_b:l median_abs_effect:d", _of("l5", M.mutation_effects), L["l5"].query(f"SELECT {_pos5} AS position, a AS allele_a, b AS allele_b, quantile_cont(abs(fu - fv), 0.5) / (SELECT stddev_samp(f) FROM enc) AS median_abs_effect FROM pairs GROUP BY ALL"))
 _fit = {
     "start": "SELECT quantile_cont(f, 0.5) AS loc, greatest((quantile_cont(f, 0.75) - quantile_cont(f, 0.25)) / 2, 1e-12) AS scale FROM enc",
-    "rounds(k, loc, scale)": "SELECT 0, loc, scale FROM start UNION ALL SELECT any_value(r.k) + 1, sum(f / (1 + pow((f - r.loc) / r.scale, 2))) / sum(1 / (1 + pow((f - r.loc) / r.scale, 2))), greatest(any_value(r.scale) / sqrt(greatest(count(*) / (2 * sum(1 / (1 + pow((f - r.loc) / r.scale, 2)))), 1e-12)), 1e-12) FROM rounds r, enc GROUP BY r.k HAVING any_value(r.k) < 100",
+    "rounds(k, loc, scale)": "SELECT 0, loc, scale FROM start UNION ALL SELECT any_value(r.k) + 1, sum(f / (1 + pow((f - r.loc) / r.scale, 2))) / sum(1 / (1 + pow((f - r.loc) / r.scale, 2))), greatest(any_value(r.scale) * sqrt(2 - 2 * sum(1 / (1 + pow((f - r.loc) / r.scale, 2))) / count(*)), 1e-12) FROM rounds r, enc GROUP BY r.k HAVING any_value(r.k) < 400",
 }
 for n in ("l1", "l5"):
-    _add(f"cauchy_{n}", _V, lambda spark, sf, n=n: spark.createDataFrame([(stats.cauchy_location(landscape(spark, sf, n).nodes),)], "value double"), L[n].query("SELECT loc AS value FROM rounds WHERE k = 100", _fit))
+    _add(f"cauchy_{n}", _V, lambda spark, sf, n=n: spark.createDataFrame([(stats.cauchy_location(landscape(spark, sf, n).nodes),)], "value double"), L[n].query("SELECT loc AS value FROM rounds WHERE k = 400", _fit))
+
+# wedges: an exact count, and shares estimated from some
+
+_add("wedges_l5", "wedges:l", lambda spark, sf: spark.createDataFrame([(M.found_wedges(landscape(spark, sf, "l5")).total,)], "wedges long"), L["l5"].query("SELECT count(*) AS wedges FROM links x JOIN links y ON x.u = y.u AND x.p < y.p"))
+_add("epistasis_estimate_l5", "magnitude:d magnitude_error:d sign:d sign_error:d reciprocal_sign:d reciprocal_sign_error:d positive:d negative:d positive_error:d squares:l wedges:l", _of("l5", M.estimate_epistasis, samples=20_000, seed=1))
 
 # loops on a landscape too large for the driver's side
 

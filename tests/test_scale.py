@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from alpenglow.errors import ParameterError
 from alpenglow.functions import linalg, selection, stats, transform
 from alpenglow.functions.kendall import kendall
 from alpenglow.operators import bitreach, graph, nearest, neighbours
@@ -227,3 +228,51 @@ def test_least_squares_of_ten_thousand_terms(spark):
     small = lambda c: design(c)[:, :40]
     a, b = linalg.least_squares(df, small, 40), linalg.gradients(df, small, 40)
     assert np.allclose(a.coefficients, b.coefficients, atol=1e-7) and a.r2 == pytest.approx(b.r2)
+
+
+@pytest.mark.parametrize("maximize,epsilon,drop", [(True, 0.0, 0.0), (False, 0.0, 0.3), (True, 0.3, 0.1)])
+def test_estimated_shares_lie_within_their_errors(spark, maximize, epsilon, drop):
+    rng = random.Random(21)
+    cfgs = [c for c in itertools.product(range(4), range(3), range(4), range(2)) if rng.random() >= drop]
+    df = spark.createDataFrame([(*c, rng.random() + 0.1 * sum(c)) for c in cfgs], "a int, b int, c int, d int, fitness double")
+    kinds = {"a": "categorical", "b": "categorical", "c": "ordinal", "d": "boolean"}
+    land = build(df, kinds, maximize=maximize, epsilon=epsilon, keep_isolated=True)
+    there, linked = set(cfgs), []
+    for x, y in itertools.permutations(cfgs, 2):
+        at = [i for i in range(4) if x[i] != y[i]]
+        if len(at) == 1 and (y[at[0]] - x[at[0]] == 1 if at == [2] else y[at[0]] > x[at[0]]):
+            linked.append((x, at[0], y))
+    count = sum(x == z and p < q for (x, p, _), (z, q, _) in itertools.product(linked, linked))
+    assert M.found_wedges(land).total == count
+    exact, got = M.classify_epistasis(land).first(), M.estimate_epistasis(land, samples=4000, seed=3).first()
+    for name in ("magnitude", "sign", "reciprocal_sign", "positive"):
+        assert abs(got[name] - exact[name]) <= 3 * got[f"{name}_error"] and got[f"{name}_error"] < 0.05
+        assert (got[f"{name}_error"] > 0) == (0 < got[name] < 1)
+    assert got == M.estimate_epistasis(land, samples=4000, seed=3).first()
+    whole = M.estimate_epistasis(land, budget=1e6).first()  # all fit
+    assert [whole[k] for k in exact.asDict()] == pytest.approx(list(exact)) and whole.magnitude_error == 0
+    drawn = M.wedges.drawn_squares(land.nodes, M.found_wedges(land), 4000, 3).select("n00", "n10", "n01", "n11").distinct()
+    every = M.found_squares(land, True).select("n00", "n10", "n01", "n11")
+    assert drawn.subtract(every).count() == 0 and drawn.count() > 0.9 * every.count()
+    assert len(there) == land.n_configs
+
+
+def test_cost_model_and_its_arguments(spark, monkeypatch):
+    df = spark.createDataFrame([(*c, float(i * 7 % 11)) for i, c in enumerate(itertools.product(range(3), repeat=4))], "a int, b int, c int, d int, fitness double")
+    land = build(df, dict.fromkeys("abcd", "categorical"))
+    assert M.affordable(land, 1e9) is None
+    monkeypatch.setattr(M, "WEDGES_A_SECOND", 0)
+    assert M.affordable(land, 1.0) is None or M.affordable(land, 1.0) == 1000
+    for bad in ({}, {"samples": 0}, {"samples": 5, "budget": 1.0}, {"budget": 0.0}):
+        with pytest.raises(ParameterError):
+            M.estimate_epistasis(land, **bad)
+
+
+def test_sparse_interactions_beyond_the_solve(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    cfgs = [c for c in itertools.product(range(5), range(4), range(6)) if rng.random() < 0.7]
+    df = spark.createDataFrame([(*map(int, c), float(rng.normal())) for c in cfgs], "a int, b int, c int, fitness double")
+    land = build(df, dict.fromkeys("abc", "categorical"), keep_isolated=True)
+    want = M.value(M.higher_order_epistasis(land, 2))
+    monkeypatch.setattr(linalg, "TERMS", 10)
+    assert M.value(M.higher_order_epistasis(land, 2)) == pytest.approx(want, abs=1e-7)
