@@ -51,22 +51,37 @@ def follow(pointers: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, weight: str | None = "delta_fit", damping: float = 0.85, tolerance: float = 1e-12, rounds: int = 200, limit: int | None = None) -> DataFrame:
-    """``(node_id, pagerank)``, summing to 1; nodes without out-edges spread their rank evenly."""
+    """``(node_id, pagerank)``, summing to 1; nodes without out-edges spread their rank evenly.
+
+    What such nodes spread is the same for all, so it only scales the ranks: they are pushed without it
+    and divided by their sum at the end. A round pushes the residuals above a bound along the edges;
+    where edges have no cycle (improving ones) none is left after the longest path, and ranks are exact.
+    Else what is left unpushed changes the ranks by at most ``tolerance`` in sum, unless ``rounds`` end first.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
     if (ids := local.fetch(nodes.select("node_id").orderBy("node_id"), limit)) and (links := local.fetch(edges.select("src", "dst", w.cast("double").alias("w")), limit)):
         return local.frame(nodes, node_id=ids[0], pagerank=local.pagerank(ids[0], *links, damping, tolerance, rounds))
-    n = nodes.count()
     total = edges.groupBy("src").agg(F.sum(w).alias("_total"))
-    share = written(edges.join(total, "src").select("src", "dst", (w / F.col("_total")).alias("share")), "share")
-    rank = written(nodes.select("node_id", F.lit(1.0 / n).alias("pagerank")), "rank")
-    ends = written(nodes.select("node_id").join(share.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_anti"), "ends")
+    share = written(edges.join(total, "src").select("src", "dst", (w * damping / F.col("_total")).alias("share")), "share")
+    bound = tolerance * (1 - damping)
+    left = written(nodes.select("node_id", F.lit(1.0).alias("r")), "residuals")
+    got: list[DataFrame] = []
     for _ in range(rounds):
-        lost = rank.join(ends, "node_id", "left_semi").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
-        got = share.join(rank.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
-        new = rank.join(got, "node_id", "left").select("node_id", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("new"), "pagerank")
-        new = written(new, "rank")
-        change = new.agg(F.sum(F.abs(F.col("new") - F.col("pagerank")))).first()[0]
-        rank = new.select("node_id", F.col("new").alias("pagerank"))
-        if change < tolerance:
+        pushed = left.where(F.col("r") > bound)
+        if not pushed.limit(1).count():
             break
-    return rank
+        got.append(pushed)
+        sent = pushed.withColumnRenamed("node_id", "src").join(share, "src").select(F.col("dst").alias("node_id"), (F.col("r") * F.col("share")).alias("r"))
+        left = written(left.where(F.col("r") <= bound).union(sent).groupBy("node_id").agg(F.sum("r").alias("r")), "residuals")
+        if len(got) == 16:
+            got = [written(_summed(got), "ranks")]
+    ranks = written(_summed([*got, left]), "ranks")
+    whole = ranks.agg(F.sum("r")).first()[0]
+    return ranks.select("node_id", (F.col("r") / F.lit(whole or 1.0)).alias("pagerank"))
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    return rows.groupBy("node_id").agg(F.sum("r").alias("r"))

@@ -11,7 +11,8 @@ import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,15 +124,31 @@ def segment_pairs(nodes: DataFrame, n: int, n_edit: int, hot: int = HOT) -> Data
     return met.where((differ <= n_edit) & own & again).select("u", "v", "fu", "fv")
 
 
-def generated_pairs(nodes: DataFrame, generate: Callable[[tuple[int, ...]], list[tuple[int, ...]]]) -> DataFrame:
-    """``(u, v, fu, fv)`` of nodes one of which ``generate`` names as the other's neighbour (a user's own rule)."""
+def generated_pairs(nodes: DataFrame, generate: Callable) -> DataFrame:
+    """``(u, v, fu, fv)`` of nodes one of which ``generate`` names as the other's neighbour (a user's own rule).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, f, list(n)) for i, c, f in zip(frame["node_id"], frame["cfg"], frame["fitness"]) for n in generate(tuple(int(x) for x in c))]
-            yield pd.DataFrame(rows, columns=["u", "fu", "cfg"])
-
-    made = nodes.select("node_id", "cfg", "fitness").mapInPandas(run, "u long, fu double, cfg array<int>")
+    It is given one tuple of codes and returns a list of them, or, if its attribute ``batches`` is true, a
+    matrix of codes, and returns the rows that have neighbours and these neighbours' codes.
+    """
+    whole = bool(getattr(generate, "batches", False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            if whole:
+                own, near = (np.asarray(x) for x in generate(codes))
+            else:
+                each = [[tuple(n) for n in generate(tuple(c))] for c in codes.tolist()]
+                own = np.repeat(np.arange(len(each)), [len(e) for e in each])
+                near = np.array([n for e in each for n in e], np.int64)
+            near = near.reshape(len(own), codes.shape[1]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * codes.shape[1]), pa.array(near.ravel()))
+            take = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), lists], names=["u", "fu", "cfg"])
+
+    made = nodes.select("node_id", "cfg", F.col("fitness").cast("double").alias("fitness")).mapInArrow(run, "u long, fu double, cfg array<int>")
     other = nodes.select("cfg", F.col("node_id").alias("v"), F.col("fitness").alias("fv"))
     met = made.join(other, "cfg").where("u <> v")
     swap = F.col("u") > F.col("v")

@@ -17,6 +17,7 @@ from alpenglow.operators.graph import pagerank
 from alpenglow.operators.nearest import nearest
 from alpenglow.plans.cut import written
 from alpenglow.sources import ingest
+from alpenglow.sources.handlers import Handlers
 from alpenglow.sources.ingest import ALPHABETS, Encoded, Variable
 
 log = logging.getLogger("alpenglow")
@@ -336,7 +337,7 @@ def _apart(df: DataFrame, kinds: dict[str, str] | None, levels: dict[str, list]
 def build(
     df: DataFrame, kinds: dict[str, str] | None = None, *, kind: str = "default", fitness: str = "fitness", maximize: bool = True, epsilon: float = 0.0,
     tau: float | None = None, filter_mode: str = "any", n_edit: int = 1, neighbours_by: str = "typed", ordinal: str | None = None, alphabet: str | None = None,
-    generate: Callable | None = None, levels: dict[str, list] | None = None, rules=None, keep_isolated: bool = False,
+    generate: Callable | None = None, levels: dict[str, list] | None = None, rules=None, keep_isolated: bool = False, handlers: Handlers | None = None,
 ) -> Landscape:
     """A landscape from a table of variables and a fitness column.
 
@@ -345,7 +346,9 @@ def build(
     building (filter_mode ``any``), or after it drops edges between bad ones (``both``). A variable called
     like a column that landscapes have (node_id, cfg, ...) gets an underscore after its name. ``rules``
     is a :class:`alpenglow.plans.filters.RowFilter`. ``generate`` gives a configuration's
-    neighbours by a rule of one's own.
+    neighbours by a rule of one's own: those of one tuple of codes, or, if its attribute ``batches`` is
+    true, of a matrix of them at once, as (row of the matrix, codes) arrays. ``handlers`` parse kinds of
+    input of one's own.
     """
     if filter_mode not in ("any", "both"):
         raise ParameterError("filter_mode is 'any' or 'both'")
@@ -356,6 +359,10 @@ def build(
         df = ingest.tau_filter(df, tau, maximize, fitness)
         if not df.limit(1).count():
             raise DataError("no row is as good as tau")
+    if handlers is not None and kind in handlers:
+        df, kinds = handlers[kind].apply(df, fitness, ordinal)
+        df, kinds, levels = _apart(df, kinds, levels, fitness, ordinal)
+        return out._build(ingest.encode(df, kinds, fitness, ordinal, kind, None, levels), n_edit, neighbours_by, generate, tau if filter_mode == "both" else None, keep_isolated)
     df, kinds, levels = _apart(df, kinds, levels, fitness, ordinal)
     given = [c for c in (kinds or df.columns) if c not in (fitness, ordinal)]
     if kind == "boolean":

@@ -16,6 +16,7 @@ from alpenglow.plans.filters import RowFilter, Rule
 from alpenglow.plans.landscape import build
 from alpenglow.plans.profile import list_metrics, profile
 from alpenglow.sources import ingest, problems
+from alpenglow.sources.handlers import Handlers, InputHandler
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -340,6 +341,48 @@ for n in ("l1", "l5"):
 _add("wedges_l5", "wedges:l", lambda spark, sf: spark.createDataFrame([(M.found_wedges(landscape(spark, sf, "l5")).total,)], "wedges long"), L["l5"].query("SELECT count(*) AS wedges FROM links x JOIN links y ON x.u = y.u AND x.p < y.p"))
 _add("epistasis_estimate_l5", "magnitude:d magnitude_error:d sign:d sign_error:d reciprocal_sign:d reciprocal_sign_error:d positive:d negative:d positive_error:d squares:l wedges:l", _of("l5", M.estimate_epistasis, samples=20_000, seed=1))
 
+# ranks: residuals are pushed along the edges, and their sum is brought to 1
+
+_pushed = {
+    "sh": "SELECT src, dst, d / sum(d) OVER (PARTITION BY src) AS share FROM edges",
+    "push(k, id, r)": "SELECT 0, id, CAST(1 AS DOUBLE) FROM enc UNION ALL SELECT any_value(p.k) + 1, dst, 0.85 * sum(r * share) FROM push p JOIN sh ON src = id GROUP BY p.k, dst HAVING any_value(p.k) < 300",
+}
+for n in ("l3", "l5"):
+    scale = {"l3": "", "l5": " * 1000"}[n]
+    _add(f"pagerank_{n}", "node_id:l pagerank:d", lambda spark, sf, n=n: (lambda x: x.withColumn("pagerank", F.col("pagerank") * 1000) if n == "l5" else x)(landscape(spark, sf, n).pagerank), L[n].query(f"SELECT id AS node_id, sum(r) / (SELECT sum(r) FROM push){scale} AS pagerank FROM push GROUP BY id", _pushed))
+_lon_push = _lon_access | {
+    "tops": "SELECT id FROM lo WHERE is_lo AND id = root",
+    "lsh": "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM kept",
+    "lpush(k, id, r)": "SELECT 0, id, CAST(1 AS DOUBLE) FROM tops UNION ALL SELECT any_value(p.k) + 1, dst, 0.85 * sum(r * share) FROM lpush p JOIN lsh ON src = id GROUP BY p.k, dst HAVING any_value(p.k) < 300",
+}
+_add("lon_pagerank_l1", "peak:l pagerank:d", lambda spark, sf: landscape(spark, sf, "l1").get_lon(min_edge_freq=1).nodes, L["l1"].query("SELECT id AS peak, sum(r) / (SELECT sum(r) FROM lpush) AS pagerank FROM lpush GROUP BY id", _lon_push))
+
+# a kind of input of one's own: sequences read as pairs of letters
+
+
+def _pairs_of_letters(batch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    s = batch.column(0)
+    return pa.RecordBatch.from_arrays([pc.utf8_slice_codeunits(s, 0, 2), pc.utf8_slice_codeunits(s, 2, 4), pc.cast(pc.count_substring_regex(s, "[CG]"), pa.int32())], names=["first", "second", "gc"])
+
+
+_seq4 = {k: " || ".join(f"substr('ACGT', CAST(CAST(floor(o_orderkey / {4 ** i}) AS {k}) % 4 AS INT) + 1, 1)" for i in range(4)) for k in ("LONG", "BIGINT")}
+
+
+def _handled(spark: SparkSession, sf: str) -> DataFrame:
+    known = Handlers()
+    known.register("pairs of letters", InputHandler(_pairs_of_letters, {"first": "categorical", "second": "categorical", "gc": "ordinal"}, {"first": "string", "second": "string"}))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.expr(_seq4["LONG"]).alias("s")).agg(F.max("o_totalprice").cast("double").alias("fitness"))
+    land = build(rows, kind="pairs of letters", handlers=known, neighbours_by="hamming", keep_isolated=True)
+    of = land.nodes.select("node_id", F.concat("first", "second").alias("s"), "gc")
+    return land.edges.join(of.select(F.col("node_id").alias("src"), F.col("s").alias("worse"), "gc"), "src").join(of.select(F.col("node_id").alias("dst"), F.col("s").alias("better")), "dst")
+
+
+_gc = "length(replace(replace(s, 'A', ''), 'T', ''))"
+_add("handled_orders", "worse:s better:s gc:l delta_fit:d", _handled, f"WITH g AS (SELECT s, f, left(s, 2) AS a, right(s, 2) AS b, {_gc} AS gc FROM (SELECT {_seq4['BIGINT']} AS s, max(o_totalprice) AS f FROM orders GROUP BY 1)) SELECT x.s AS worse, y.s AS better, x.gc, y.f - x.f AS delta_fit FROM g x JOIN g y ON (x.a <> y.a)::INT + (x.b <> y.b)::INT + (x.gc <> y.gc)::INT = 1 AND x.f < y.f")
+
 # loops on a landscape too large for the driver's side
 
 _add("basins_l5", "node_id:l basin_index:l steps:l", _of("l5", lambda x: x.basins), L["l5"].query("SELECT id AS node_id, b AS basin_index, steps FROM basin"))
@@ -348,7 +391,6 @@ _add("path_length_l5", "mean:d variance:d", _of("l5", M.mean_path_length_to_glob
 
 # without an SQL form: iterations to a limit, seeded walks, the whole profile
 
-_add("pagerank_l3", "node_id:l pagerank:d", lambda spark, sf: landscape(spark, sf, "l3").pagerank)
 _add("autocorrelation_l3", _V, _of("l3", M.autocorrelation))
 _add("missing_report_part", "column:s nulls:l", lambda spark, sf: spark.createDataFrame(sorted(ingest.missing_report(spark.read.parquet(f"{sf}/part.parquet")).items()), "column string, nulls long"), "SELECT * FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM part) ON COLUMNS(*) INTO NAME \"column\" VALUE nulls)")
 QUERIES["profile_l3"] = lambda spark, sf: profile(landscape(spark, sf, "l3"))
