@@ -15,7 +15,8 @@ from alpenglow.plans.catalog import SOURCES, Sql, landscape
 from alpenglow.plans.filters import RowFilter, Rule
 from alpenglow.plans.landscape import build
 from alpenglow.plans.profile import list_metrics, profile
-from alpenglow.sources import ingest, problems
+from alpenglow.plans.cut import fresh
+from alpenglow.sources import ingest, problems, store
 from alpenglow.sources.handlers import Handlers, InputHandler
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +358,16 @@ _lon_push = _lon_access | {
 }
 _add("lon_pagerank_l1", "peak:l pagerank:d", lambda spark, sf: landscape(spark, sf, "l1").get_lon(min_edge_freq=1).nodes, L["l1"].query("SELECT id AS peak, sum(r) / (SELECT sum(r) FROM lpush) AS pagerank FROM lpush GROUP BY id", _lon_push))
 
+# GraphML written and read back by executors
+
+
+def _back(spark: SparkSession, sf: str) -> DataFrame:
+    land = store.from_graphml(spark, store.write_graphml(_eps4(spark, sf), fresh(spark, "graphml")))
+    return land.plateaus.join(land.degrees, "node_id").join(land.nodes, "node_id")
+
+
+_add("graphml_l4", "node_id:l event_type:s hour:l day:l fitness:d plateau_id:l plateau_size:l in_degree:l out_degree:l", _back, _e4.query("SELECT e.id AS node_id, event_type, hour, day, f AS fitness, CASE WHEN size > 1 THEN dense_rank() OVER (ORDER BY CASE WHEN size > 1 THEN root END NULLS LAST) - 1 ELSE -1 END AS plateau_id, size AS plateau_size, ind AS in_degree, outd AS out_degree FROM enc e JOIN plat p ON p.id = e.id JOIN deg g ON g.id = e.id"))
+
 # a kind of input of one's own: sequences read as pairs of letters
 
 
