@@ -34,8 +34,8 @@ def adaptive_walks(land) -> DataFrame:
     return walks.climb_paths(land.nodes, land.pointers).groupBy("step").agg(F.avg("fitness").alias("mean_fitness"), F.count(F.lit(1)).alias("alive")).orderBy("step")
 
 
-def global_epistasis(land, bins: int = 20) -> DataFrame:
-    """``(bin, phi, fitness, n)``: fitness against the additive fit, in equal bins of the latter."""
+def _phi(land) -> DataFrame:
+    """``(phi, fitness)``: the additive fit and the fitness of every configuration."""
     from alpenglow.plans.metrics import _additive
 
     design, n = _additive(land)
@@ -48,12 +48,53 @@ def global_epistasis(land, bins: int = 20) -> DataFrame:
             codes = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([pa.array(fit.intercept + design(codes).astype(float) @ fit.coefficients), b.column(1)], names=["phi", "fitness"])
 
-    rows = land.nodes.select("cfg", "fitness").mapInArrow(predict, "phi double, fitness double")
+    return land.nodes.select("cfg", "fitness").mapInArrow(predict, "phi double, fitness double")
+
+
+def global_epistasis(land, bins: int = 20) -> DataFrame:
+    """``(bin, phi, fitness, n)``: fitness against the additive fit, in equal bins of the latter."""
+    rows = _phi(land)
     low, high = rows.agg(F.min("phi"), F.max("phi")).first()
     bin_ = F.least(F.width_bucket("phi", F.lit(low), F.lit(high if high > low else low + 1), F.lit(bins)), F.lit(bins))
     return rows.groupBy(bin_.alias("bin")).agg(F.avg("phi").alias("phi"), F.avg("fitness").alias("fitness"), F.count(F.lit(1)).alias("n")).orderBy("bin")
 
 
+def global_epistasis_curve(land, degree: int = 3, points: int = 100) -> DataFrame:
+    """``(phi, curve)``: the polynomial of the additive fit that is nearest to fitness, at even points of the fit's range."""
+    rows = _phi(land)
+    low, high, mean, sd = rows.agg(F.min("phi"), F.max("phi"), F.avg("phi"), F.stddev_pop("phi")).first()
+    sd = sd or 1.0  # powers of standard units, so that their products keep their digits
+    powers = lambda z: np.column_stack([z[:, 0] ** k for k in range(1, degree + 1)])
+    fit = linalg.least_squares(rows.select(F.array((F.col("phi") - mean) / sd).alias("cfg"), "fitness"), powers, degree)
+    x = np.linspace(low, high, points)
+    y = fit.intercept + powers(((x - mean) / sd)[:, None]) @ fit.coefficients
+    return land.spark.createDataFrame([(float(p), float(c)) for p, c in zip(x, y)], "phi double, curve double")
+
+
+def fitness_density(land, points: int = 200) -> DataFrame:
+    """``(point, fitness, density)``: Gaussian kernel density at even points of the range of fitness, with the bandwidth sd * n^(-1/5).
+
+    Each task adds up its own rows' kernels; a landscape of one fitness value has no density and gives no rows.
+    """
+    low, high, sd, n = land.nodes.agg(F.min("fitness"), F.max("fitness"), F.stddev_samp("fitness"), F.count(F.lit(1))).first()
+    if not sd:
+        return land.spark.createDataFrame([], "point int, fitness double, density double")
+    at, width = np.linspace(low, high, points), sd * n**-0.2
+
+    def kernels(batches):
+        import pyarrow as pa
+
+        total = np.zeros(points)
+        for b in batches:
+            f = np.asarray(b.column(0)).astype(float)
+            for a in range(0, len(f), 4096):
+                total += np.exp(-(((f[a : a + 4096, None] - at) / width) ** 2) / 2).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(points), pa.int32()), pa.array(at), pa.array(total)], names=["point", "fitness", "s"])
+
+    each = land.nodes.select("fitness").mapInArrow(kernels, "point int, fitness double, s double")
+    return each.groupBy("point", "fitness").agg((F.sum("s") / (n * width * np.sqrt(2 * np.pi))).alias("density")).orderBy("point")
+
+
 def fitness_histogram(land, bins: int = 50) -> DataFrame:
     """``(bin, n)`` of equal bins of fitness."""
     low, high = land.nodes.agg(F.min("fitness"), F.max("fitness")).first()

@@ -148,7 +148,19 @@ def fitness_flattening_index(land: Landscape, min_len: int = 3) -> DataFrame:
 
 
 def _reaches(land: Landscape, targets: list[int] | None = None, accessible: bool = True, among: DataFrame | None = None) -> DataFrame:
-    """``(key, dist, n)`` of the nodes that reach each target along improving edges, or along any."""
+    """``(key, dist, n)`` of the nodes that reach each target along improving edges, or along any.
+
+    What all optima, or the best one, are reached from is kept, as several metrics ask for it.
+    """
+    if among is None and (targets is None or targets == [land.go_index]):
+        name = f"_reached_{'all' if targets is None else 'best'}_{accessible}"
+        if name not in land.__dict__:
+            land.__dict__[name] = written(_counted(land, targets, accessible), "reached")
+        return land.__dict__[name]
+    return _counted(land, targets, accessible, among)
+
+
+def _counted(land: Landscape, targets: list[int] | None, accessible: bool, among: DataFrame | None = None) -> DataFrame:
     seeds = land.spark.createDataFrame([(t, t) for t in targets], "key long, node long") if targets is not None else land.optima.where("is_lo").select(F.col("node_id").alias("key"), F.col("node_id").alias("node"))
     edges = land.edges.select("src", "dst")
     return bitreach.reach_counts(edges if accessible else edges.union(edges.select("dst", "src")), seeds, "dst", "src", among)

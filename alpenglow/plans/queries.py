@@ -337,6 +337,9 @@ _fit = {
 for n in ("l1", "l5"):
     _add(f"cauchy_{n}", _V, lambda spark, sf, n=n: spark.createDataFrame([(stats.cauchy_location(landscape(spark, sf, n).nodes),)], "value double"), L[n].query("SELECT loc AS value FROM rounds WHERE k = 400", _fit))
 
+for n in ("l1", "l5"):
+    _add(f"fitness_density_{n}", "point:l scaled:d", lambda spark, sf, n=n: plots.fitness_density(landscape(spark, sf, n)).withColumn("scaled", F.col("density") * 1e6), L[n].query("SELECT i AS point, 1e6 * sum(exp(-pow((f - (low + (high - low) * i / 199)) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS scaled FROM enc, (SELECT min(f) AS low, max(f) AS high, count(*) AS n, stddev_samp(f) * pow(count(*), -0.2) AS h FROM enc), (SELECT unnest(range(0, 200)) AS i) GROUP BY i"))
+
 # wedges: an exact count, and shares estimated from some
 
 _add("wedges_l5", "wedges:l", lambda spark, sf: spark.createDataFrame([(M.found_wedges(landscape(spark, sf, "l5")).total,)], "wedges long"), L["l5"].query("SELECT count(*) AS wedges FROM links x JOIN links y ON x.u = y.u AND x.p < y.p"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alpenglow.errors import ParameterError
-from alpenglow.functions import linalg, selection, stats, transform
+from alpenglow.functions import linalg, plots, selection, stats, transform
 from alpenglow.functions.kendall import kendall
 from alpenglow.operators import bitreach, graph, nearest, neighbours
 from alpenglow.plans import metrics as M
@@ -276,3 +276,22 @@ def test_sparse_interactions_beyond_the_solve(spark, monkeypatch):
     want = M.value(M.higher_order_epistasis(land, 2))
     monkeypatch.setattr(linalg, "TERMS", 10)
     assert M.value(M.higher_order_epistasis(land, 2)) == pytest.approx(want, abs=1e-7)
+
+
+def test_density_and_curve_against_numpy(spark):
+    rng = np.random.default_rng(12)
+    cfgs = list(itertools.product(range(3), range(2), range(4)))
+    f = rng.normal(size=len(cfgs)) + [c[0] + c[2] for c in cfgs]
+    df = spark.createDataFrame([(*map(int, c), float(v)) for c, v in zip(cfgs, f)], "a int, b int, c int, fitness double")
+    land = build(df, {"a": "categorical", "b": "boolean", "c": "ordinal"})
+    got = plots.fitness_density(land, 50).collect()
+    at, h = np.linspace(f.min(), f.max(), 50), f.std(ddof=1) * len(f) ** -0.2
+    want = np.exp(-(((f[:, None] - at) / h) ** 2) / 2).sum(axis=0) / (len(f) * h * np.sqrt(2 * np.pi))
+    assert np.allclose([r.fitness for r in got], at) and np.allclose([r.density for r in got], want)
+    x = np.array([[c[0] == 1, c[0] == 2, c[1], c[2], 1] for c in cfgs], float)
+    phi = x @ np.linalg.lstsq(x, f, rcond=None)[0]
+    curve = plots.global_epistasis_curve(land, 3, 20).collect()
+    points = np.linspace(phi.min(), phi.max(), 20)
+    assert np.allclose([r.curve for r in curve], np.polyval(np.polyfit(phi, f, 3), points))
+    flat = build(df.withColumn("fitness", F.lit(1.0)), {"a": "categorical", "b": "boolean", "c": "ordinal"})
+    assert plots.fitness_density(flat).count() == 0
