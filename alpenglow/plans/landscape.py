@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ from alpenglow.sources.ingest import ALPHABETS, Encoded, Variable
 log = logging.getLogger("alpenglow")
 
 
+class kept(cached_property):
+    """A derived table, made once, also if several threads ask for it."""
+
+    def __get__(self, instance, owner=None):
+        if instance is None:
+            return self
+        with instance.lock:
+            return super().__get__(instance, owner)
+
+
 class Landscape:
     """Configurations as nodes, improving neighbours as edges, equal neighbours as neutral pairs.
 
@@ -35,6 +46,7 @@ class Landscape:
             raise ParameterError("epsilon must not be negative")
         self.maximize, self.epsilon = maximize, float(epsilon)
         self.built = False
+        self.lock = RLock()
         self.kind, self.alphabet, self.n_edit = "default", None, 1
         self.variables: list[Variable] = []
         self.columns: list[str] = []
@@ -121,7 +133,7 @@ class Landscape:
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
-    @cached_property
+    @kept
     def n_edges(self) -> int:
         return self.edges.count()
 
@@ -133,52 +145,52 @@ class Landscape:
     def n_vars(self) -> int:
         return len(self.variables)
 
-    @cached_property
+    @kept
     def hamming(self) -> DataFrame:
         """All pairs at Hamming distance 1, with position and codes, whatever the variables' kinds."""
         return written(neighbours.hamming_pairs(self.nodes, self.variables), "hamming")
 
-    @cached_property
+    @kept
     def degrees(self) -> DataFrame:
         return written(structure.degrees(self.nodes, self.edges), "degrees")
 
-    @cached_property
+    @kept
     def has_neutral(self) -> bool:
         return bool(self.neutral.limit(1).count())
 
-    @cached_property
+    @kept
     def plateaus(self) -> DataFrame:
         if not self.has_neutral:
             one = F.lit(1).cast("long")
             return self.nodes.select("node_id", F.lit(-1).cast("long").alias("plateau_id"), one.alias("plateau_size"), F.col("node_id").alias("peak"))
         return written(structure.plateaus(self.nodes, self.neutral, self.n_configs <= SMALL), "plateaus")
 
-    @cached_property
+    @kept
     def exits(self) -> DataFrame:
         if not self.has_neutral:
             return self.spark.createDataFrame([], "plateau_id long, member long, to long")
         return written(structure.exits(self.nodes, self.edges, self.plateaus, self.epsilon, self.maximize), "exits")
 
-    @cached_property
+    @kept
     def optima(self) -> DataFrame:
         """``(node_id, is_lo, peak)`` of every node."""
         return written(structure.local_optima(self.nodes, self.degrees, self.plateaus, self.exits), "optima")
 
-    @cached_property
+    @kept
     def n_lo(self) -> int:
         """Local optima; a plateau counts once."""
         return self.optima.where("is_lo and node_id = peak").count()
 
-    @cached_property
+    @kept
     def lo_index(self) -> list[int]:
         return sorted(r[0] for r in self.optima.where("is_lo").select("node_id").collect())
 
-    @cached_property
+    @kept
     def go_index(self) -> int:
         best = F.max(F.struct("fitness", (-F.col("node_id")).alias("n"))) if self.maximize else F.max(F.struct((-F.col("fitness")).alias("f"), (-F.col("node_id")).alias("n")))
         return int(-self.nodes.agg(best.alias("m")).select("m.n").first()[0])
 
-    @cached_property
+    @kept
     def pointers(self) -> DataFrame:
         """Climbs without plateau exits."""
         return written(structure.climb_pointers(self.nodes, self.edges), "pointers")
@@ -188,28 +200,28 @@ class Landscape:
         pointers = structure.climb_pointers(self.nodes, self.edges, self.plateaus, self.exits, strategy, exit_by, self.maximize, seed)
         return structure.greedy_basins(self.nodes, pointers, self.optima)
 
-    @cached_property
+    @kept
     def basins(self) -> DataFrame:
         """``(node_id, basin_index, steps)`` of climbs that leave plateaus by their first exit."""
         pointers = structure.climb_pointers(self.nodes, self.edges, self.plateaus, self.exits) if self.has_neutral else self.pointers
         return written(structure.greedy_basins(self.nodes, pointers, self.optima), "basins")
 
-    @cached_property
+    @kept
     def basin_sizes(self) -> DataFrame:
         return written(structure.basin_sizes(self.basins), "basin-sizes")
 
-    @cached_property
+    @kept
     def ancestors(self) -> DataFrame:
         """``(peak, node, dist)``: every node that can climb to a peak, in the fewest steps."""
         return structure.accessible(self.edges, self.optima)
 
-    @cached_property
+    @kept
     def ancestor_counts(self) -> DataFrame:
         """``(key, dist, n)``: how many nodes climb to the peak ``key`` in ``dist`` steps at least; no pair of both is ever a row."""
         seeds = self.optima.where("is_lo").select(F.col("peak").alias("key"), F.col("node_id").alias("node"))
         return written(bitreach.reach_counts(self.edges, seeds, "dst", "src"), "ancestor-counts")
 
-    @cached_property
+    @kept
     def accessible_paths(self) -> DataFrame:
         """``(node_id, size_basin_accessible)``: nodes that can climb to a peak, itself included; 0 for other nodes."""
         sizes = bitreach.sizes(self.ancestor_counts).select(F.col("key").alias("node_id"), F.col("size").alias("n"))
@@ -220,7 +232,7 @@ class Landscape:
             return "hamming"
         return [v.kind for v in self.variables]
 
-    @cached_property
+    @kept
     def dist_to_go(self) -> DataFrame:
         """``(node_id, dist_go)``: distance to the nearest of all best configurations."""
         return self.distances_to_go(self.distance_kind())
@@ -234,18 +246,18 @@ class Landscape:
         near = near if callable(kind) else near.withColumn("dist_go", F.col("dist_go").cast("long"))
         return written(near.union(tied.select("node_id", F.lit(0).cast(near.schema["dist_go"].dataType))), "dist-go")
 
-    @cached_property
+    @kept
     def neighbour_fitness(self) -> DataFrame:
         return written(structure.neighbour_fitness(self.nodes, self.edges, self.neutral), "neighbour-fitness")
 
-    @cached_property
+    @kept
     def edge_gains(self) -> DataFrame:
         """Edges with ``delta_mean_neighbor_fit``: mean neighbour fitness of the target less that of the source."""
         m = self.neighbour_fitness
         a, b = m.select(F.col("node_id").alias("src"), F.col("mean_neighbor_fit").alias("ma")), m.select(F.col("node_id").alias("dst"), F.col("mean_neighbor_fit").alias("mb"))
         return written(self.edges.join(a, "src").join(b, "dst").select("src", "dst", "delta_fit", (F.col("mb") - F.col("ma")).alias("delta_mean_neighbor_fit")), "edge-gains")
 
-    @cached_property
+    @kept
     def pagerank(self) -> DataFrame:
         return written(pagerank(self.nodes, self.edges), "pagerank")
 

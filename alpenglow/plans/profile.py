@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 import logging
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -76,9 +77,10 @@ def select(groups: Iterable[str] | None = None, include: Iterable[str] | None =
 
 
 def profile(
-    land: Landscape | list[Landscape], groups=None, include=None, exclude=None, params: dict[str, dict[str, Any]] | None = None, on_error: str = "warn", structure: bool = False, **shared: Any
+    land: Landscape | list[Landscape], groups=None, include=None, exclude=None, params: dict[str, dict[str, Any]] | None = None, on_error: str = "warn", structure: bool = False, workers: int = 4,
+    **shared: Any,
 ) -> DataFrame:
-    """One row a landscape, a double for every metric's column.
+    """One row a landscape, a double for every metric's column; ``workers`` metrics are worked on at a time.
 
     ``shared`` arguments go to the metrics that take them, ``params`` to single ones. A metric that
     fails gives nulls, with a warning or (on_error ``ignore``) without, or raises (``raise``).
@@ -90,13 +92,13 @@ def profile(
             raise ParameterError("no landscapes")
         out = None
         for x in land:
-            row = profile(x, groups, include, exclude, params, on_error, structure, **shared)
+            row = profile(x, groups, include, exclude, params, on_error, structure, workers, **shared)
             out = row if out is None else out.unionByName(row)
         return out
     row: dict[str, float | None] = {}
     if structure:
         row |= {f"structure.{k}": float(v) for k, v in {"n_configs": land.n_configs, "n_edges": land.n_edges, "n_vars": land.n_vars, "n_lo": land.n_lo}.items()}
-    for m in select(groups, include, exclude):
+    def measured(m: Metric) -> dict[str, float | None]:
         taken = {k: v for k, v in shared.items() if k in inspect.signature(m.function).parameters} | (params or {}).get(m.name, {})
         try:
             got = m.function(land, **taken).first().asDict()
@@ -107,7 +109,12 @@ def profile(
                 log.warning("%s failed: %s", m.name, e)
             got = {}
         columns = m.columns or {next(iter(got), "value"): m.name}
-        row |= {to: None if got.get(c) is None else float(got[c]) for c, to in columns.items()}
+        return {to: None if got.get(c) is None else float(got[c]) for c, to in columns.items()}
+
+    # the metrics' jobs are short and wait for each other's stages, so several run at once; what they share is made once
+    with ThreadPoolExecutor(workers) as pool:
+        for found in pool.map(measured, select(groups, include, exclude)):
+            row |= found
     return land.spark.createDataFrame([tuple(row.values())], ", ".join(f"`{c}` double" for c in row))
 
 
