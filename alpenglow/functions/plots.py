@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alpenglow.errors import ParameterError
 from alpenglow.functions import linalg
 from alpenglow.operators import walks
 
@@ -29,9 +30,16 @@ def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def adaptive_walks(land) -> DataFrame:
-    """``(step, mean_fitness, alive)`` over climbs from every node."""
-    return walks.climb_paths(land.nodes, land.pointers).groupBy("step").agg(F.avg("fitness").alias("mean_fitness"), F.count(F.lit(1)).alias("alive")).orderBy("step")
+def adaptive_walks(land, n_walks: int | None = None, seed: int = 0) -> DataFrame:
+    """``(step, mean_fitness, alive)`` over climbs from every node, or from ``n_walks`` of them drawn by ``seed``."""
+    if n_walks is None:
+        paths = walks.climb_paths(land.nodes, land.pointers)
+    else:
+        if n_walks < 1:
+            raise ParameterError("n_walks is a positive number")
+        starts = land.nodes.select("node_id").orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(n_walks)
+        paths = walks.climbs_from(starts, land.nodes, land.pointers)
+    return paths.groupBy("step").agg(F.avg("fitness").alias("mean_fitness"), F.count(F.lit(1)).alias("alive")).orderBy("step")
 
 
 def _phi(land) -> DataFrame:

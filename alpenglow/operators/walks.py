@@ -48,6 +48,17 @@ def _paths(node: np.ndarray, to: np.ndarray, end: int | None) -> dict[str, np.nd
     return {"start": a, "step": b.astype(np.int32), "node_id": c}
 
 
+def climbs_from(starts: DataFrame, nodes: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``(start, step, node_id, fitness)`` of the climbs from some nodes ``(node_id)``: a round a step for those not at their end."""
+    step_to = pointers.where("node <> to").select(F.col("node").alias("node_id"), "to")
+    now = written(starts.select(F.col("node_id").alias("start"), F.lit(0).alias("step"), "node_id"), "climbs")
+    out = now
+    while now.limit(1).count():
+        now = written(now.join(step_to, "node_id").select("start", (F.col("step") + 1).alias("step"), F.col("to").alias("node_id")), "climbs")
+        out = out.union(now)
+    return out.join(nodes.select("node_id", "fitness"), "node_id").select("start", "step", "node_id", "fitness")
+
+
 def climb_paths(nodes: DataFrame, pointers: DataFrame, end: int | None = None, limit: int | None = None) -> DataFrame:
     """``(start, step, node_id, fitness)`` of every node's climb; with ``end``, of the climbs that end there.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alpenglow.errors import ParameterError
 from alpenglow.functions import linalg, plots, selection, stats, transform
 from alpenglow.functions.kendall import kendall
-from alpenglow.operators import bitreach, graph, nearest, neighbours
+from alpenglow.operators import bitreach, graph, nearest, neighbours, walks
 from alpenglow.plans import metrics as M
 from alpenglow.plans.landscape import build
 from alpenglow.sources.ingest import Variable
@@ -295,3 +295,23 @@ def test_density_and_curve_against_numpy(spark):
     assert np.allclose([r.curve for r in curve], np.polyval(np.polyfit(phi, f, 3), points))
     flat = build(df.withColumn("fitness", F.lit(1.0)), {"a": "categorical", "b": "boolean", "c": "ordinal"})
     assert plots.fitness_density(flat).count() == 0
+
+
+def test_climbs_from_some_nodes(spark):
+    cfgs = list(itertools.product(range(3), range(4), range(3)))
+    f = [float((i * 7919) % 101) for i in range(len(cfgs))]
+    df = spark.createDataFrame([(*c, x) for c, x in zip(cfgs, f)], "a int, b int, c int, fitness double")
+    land = build(df, dict.fromkeys("abc", "categorical"))
+    to = {r.node: r.to for r in land.pointers.collect()}
+    whole = plots.adaptive_walks(land)
+    assert rows(plots.adaptive_walks(land, len(cfgs), 3)) == [pytest.approx(r) for r in rows(whole)]
+    some = rows(plots.adaptive_walks(land, 5, 3))
+    assert some[0][2] == 5 and some == rows(plots.adaptive_walks(land, 5, 3))
+    paths = {}
+    starts = spark.createDataFrame([(0,), (7,)], "node_id long")
+    for r in sorted(map(tuple, walks.climbs_from(starts, land.nodes, land.pointers).collect())):
+        paths.setdefault(r[0], []).append(r[2])
+    for s, path in paths.items():
+        assert path[0] == s and all(to[a] == b for a, b in zip(path, path[1:])) and to[path[-1]] == path[-1]
+    with pytest.raises(ParameterError):
+        plots.adaptive_walks(land, 0)
