@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Edges of a graph, and cells of a table of sources by nodes, that are worked on outside Spark.
-LIMIT, CELLS = 100_000, 20_000_000
+LIMIT, CELLS = 20_000, 20_000_000
 
 
 def fetch(df: DataFrame, limit: int | None = None) -> list[np.ndarray] | None:
