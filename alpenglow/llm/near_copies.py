@@ -7,9 +7,10 @@ Equal texts are taken once. Then come two joins, and a link of either is one of
    component after that, at a cost that grows with their texts, not with their shingles.
 2. Fingerprints miss pairs, so a set-similarity join without misses finds the rest. In any one order
    of the shingles, two such sets of n and m share a shingle within the first ``n - ceil(0.8 n) + 1``
-   of the one and ``m - ceil(0.8 m) + 1`` of the other. Only these are dealt into buckets by shingle;
-   shingles that a sample of texts finds frequent come last in the order, which makes groups small
-   and leaves out no pair.
+   of the one and ``m - ceil(0.8 m) + 1`` of the other. Only these are dealt into buckets by shingle.
+   The order is that of the number of texts that hold a shingle (`tallies`), which makes groups small
+   and leaves out no pair. Groups that are large all the same, and those of fingerprints, are dealt
+   over many tasks (`shares`).
 
 Within a group (a fingerprint component, or the texts that share a shingle) only texts of different
 components and of sizes that may be similar meet. First come bitmaps of about two bits a shingle,
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alpenglow.llm import files, shared, simhash
+from alpenglow.llm import files, shared, shares, simhash, tallies
 from alpenglow.llm.simhash import labels_of
 from alpenglow.llm.vector import offsets, ragged, texts
 from alpenglow.operators.components import components
@@ -36,12 +37,12 @@ from alpenglow.operators.components import components
 WIDTH = 5
 #: The least similarity of a link, as a fraction.
 OVER, UNDER = 4, 5
-#: One text in so many is in the sample; a shingle of so many of these is frequent. They decide the order only.
-SAMPLE, FREQUENT = 8, 4
+#: Shingles of fewer texts count as in none, in the order of shingles.
+FREQUENT = 16
 #: Bits in which fingerprints of linked texts differ at most; what they miss the shingles find.
 RADIUS = 3
 #: Shingles of a bucket, about.
-BUCKET = 500_000
+BUCKET = 125_000
 #: Texts of a bucket of fingerprint components, and rows of a file of kept ones, about.
 CHAINED, KEPT = 10_000, 1 << 20
 #: Shingles that a task gathers before it writes them.
@@ -49,6 +50,7 @@ HELD = 2_000_000
 #: Places beside it at which a text is compared first; pairs compared at once after that.
 BESIDE, PAIRS = 4, 1 << 20
 _BLOCK, _START = 14, 28
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def distinct(hashes: bytes) -> np.ndarray:
@@ -98,13 +100,10 @@ def may_be_similar(flat: np.ndarray, at: np.ndarray, words: np.ndarray, size: np
     return ok
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which any similar set has one among its own."""
+def prefix(s: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of the shingles of a set of which any similar set has one among its own: first those of the fewest texts."""
     n = len(s) + (-OVER * len(s) // UNDER) + 1
-    if len(frequent):
-        last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate((s[~last], s[last]))
-    return s[:n]
+    return np.argsort(count, kind="stable")[:n] if count.any() else np.arange(len(s))[:n]
 
 
 def _open(token: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -115,15 +114,18 @@ def _open(token: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut), np.diff(np.r_[cut, len(token)]))
 
 
-def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, read, bitmaps) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, read, bitmaps, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (root, least root of its component) among texts that share a token and have different ``root``s.
 
-    ``read(node)`` gives a set, ``bitmaps(nodes, sizes)`` their bitmaps one after another.
+    ``read(node)`` gives a set, ``bitmaps(nodes, sizes)`` their bitmaps one after another. If
+    ``asked`` is given, pairs without an asked row are left to others.
     """
+    every = asked is None
+    asked = np.ones(len(token), bool) if every else asked
     order = np.lexsort((node, size, token))
-    token, node, size, root = (v[order] for v in (token, node, size, root))
+    token, node, size, root, asked = (v[order] for v in (token, node, size, root, asked))
     keep = _open(token, root)
-    token, node, size, root = (v[keep] for v in (token, node, size, root))
+    token, node, size, root, asked = (v[keep] for v in (token, node, size, root, asked))
     ids, first, x = np.unique(node, return_index=True, return_inverse=True)
     size, root, n = size[first], root[first], len(ids)
     _, least, of = np.unique(root, return_index=True, return_inverse=True)
@@ -159,7 +161,7 @@ def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np
         i = np.flatnonzero(token[d:] == token[:-d])
         settle(x[i], x[i + d])
         keep = _open(token, label[x])
-        token, x = token[keep], x[keep]
+        token, x, asked = token[keep], x[keep], asked[keep]
     if len(x):
         # all that are not of a group's largest component meet all of its texts of sizes near their own
         group = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
@@ -169,9 +171,10 @@ def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np
         key = group * (2 * int(size.max()) + 2) + size[x]
         low = np.searchsorted(key, key - size[x] + -(-OVER * size[x] // UNDER))
         high = np.searchsorted(key, key - size[x] + UNDER * size[x] // OVER, "right")
-        rows = np.arange(len(x))
+        rows = np.flatnonzero(asked)
         while len(rows):
-            rows = rows[label[x[rows]] != label[largest[group[rows]]]]
+            if every:  # else the others of a pair need not ask here
+                rows = rows[label[x[rows]] != label[largest[group[rows]]]]
             m = max(1, int(np.searchsorted(np.cumsum(high[rows] - low[rows]), PAIRS, "right")))
             some, rows = rows[:m], rows[m:]
             settle(np.repeat(x[some], high[some] - low[some]), x[ragged(low[some], high[some] - low[some])])
@@ -180,14 +183,9 @@ def bucket_links(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np
     return u[u != v], v[u != v]
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw in texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(x) for x in raw]).view(np.int64))], names=["token"])
-
-    some = docs.where(F.pmod("h1", F.lit(SAMPLE)) == 0).select("text")
-    found = some.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT).select("token").toArrow()
-    return np.sort(np.asarray(found.column(0)).view(np.uint64))
+def _share(node: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """A share of each node, of so many; 0 of one."""
+    return ((node.astype(np.uint64) * _MIX) >> np.uint64(32)) % shares.astype(np.uint64)
 
 
 def hashes() -> list[Column]:
@@ -265,7 +263,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(), F.col("text").cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(rows))
     folder = shared.fresh(spark, "shingles")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,29 +293,58 @@ def near_copies(docs: DataFrame) -> DataFrame:
     placed = shared.written(rows.mapInArrow(place, "doc_id long, h1 long, h2 long, node long, size long, fp long"), "placed")
     # equal texts have equal sizes and fingerprints
     each = shared.written(placed.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("node", "size", "fp")]), "texts")
-    n, total = each.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(f"size - ceil(size * {OVER} / {UNDER}) + 1")), F.lit(0))).first()
-    buckets = max(1, int(total) // BUCKET)
+    n, total, every = each.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.expr(x)), F.lit(0)) for x in (f"size - ceil(size * {OVER} / {UNDER}) + 1", "size")]).first()
+    buckets, parts = max(1, int(total) // BUCKET), int(every) // tallies.PART + 1
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+
+    def by_block(table: DataFrame, *columns: str) -> DataFrame:
+        return table.select(*columns).repartition(spread, F.shiftright("node", _START)).sortWithinPartitions("node")
+
+    large = shares.SHARE
+    most = tallies.tally(by_block(each, "node", "size"), folder, _START, parts, FREQUENT)
+    shared.release(spark)
+
+    def heads(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """The first shingles of sets: token, texts that hold it, node, size, root."""
+        node, size, root = (np.asarray(c) for c in batch.columns)
+        out = []
+        for b in np.unique(node >> _START).tolist():
+            mine = np.flatnonzero(node >> _START == b)
+            m = size[mine]
+            token = np.asarray(files.load(f"{folder}/{b}.npy")[ragged(node[mine] & ((1 << _START) - 1), m)])
+            count = tallies.counts(token, files.load(f"{folder}/{b}-often.npy"), parts)
+            at = offsets(m)
+            first = [x + prefix(token[x:y], count[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            row, place = np.repeat(mine, [len(x) for x in first]), np.concatenate(first)
+            out.append((token[place], count[place], node[row], size[row], root[row]))
+        return [np.concatenate(v) for v in zip(*out)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first shingles of sets, packed for their buckets."""
+        """The first shingles of sets, packed for their buckets; a shingle of many texts has shares, with tokens of their own."""
         for batch in batches:
-            node, size, root = (np.asarray(c) for c in batch.columns)
-            head = []
-            for at, m in zip(node.tolist(), size.tolist()):
-                start = at & ((1 << _START) - 1)
-                head.append(prefix(np.array(files.load(f"{folder}/{at >> _START}.npy")[start : start + m]), frequent.value))
-            token = np.concatenate([np.zeros(0, np.uint64), *head])
-            row = np.repeat(np.arange(len(head)), [len(x) for x in head])
+            if not batch.num_rows:
+                continue
+            token, count, *given = heads(batch)
+            token = token + _share(given[0], np.maximum(-(-count // large), 1)) * _MIX
             to = (token % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            to, token, row = to[order], token[order], row[order]
-            cut = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)] if len(to) else np.zeros(1, np.int64)
+            to = to[order]
+            cut = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)]
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-            data = [[v[a:b].tobytes() for a, b in spans] for v in (token, node[row], size[row], root[row])]
+            data = [[v[a:b].tobytes() for a, b in spans] for v in (v[order] for v in (token, *given))]
             yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int64()), *(pa.array(v, pa.binary()) for v in data)], names=["bucket", "token", "node", "size", "root"])
         files.forget()
 
-    def compare(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray) -> pa.Table:
+    def of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the first shingles those with shares."""
+        for batch in batches:
+            if batch.num_rows:
+                token, count, *given = heads(batch)
+                some = count > large
+                yield pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)) for v in (token, *given)], names=["token", "node", "size", "root"])
+        files.forget()
+
+    def compare(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, asked: np.ndarray | None = None) -> pa.Table:
         sizes: dict[int, int] = {}
 
         def read(at: int) -> np.ndarray:
@@ -337,7 +363,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 out.append(files.load(f"{folder}/{block[a]}-bits.npy")[ragged(np.asarray(place), n_words(size[a:b]))])
             return np.concatenate(out)
 
-        u, v = bucket_links(token, node, size, root, read, bitmaps)
+        u, v = bucket_links(token, node, size, root, read, bitmaps, asked)
         files.forget()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
@@ -351,12 +377,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     fps = shared.written(each.select("fp").distinct(), "fingerprints")
     chains = components(simhash.links(fps, RADIUS)).withColumnRenamed("node", "fp")
-    by_chain = each.join(chains, "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("token"))
-    by_chain = by_chain.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(-(-max(n, 1) // CHAINED))))
-    first = components(by_chain.groupBy("bucket").applyInArrow(chained, "u long, v long"))
+    by_chain = shared.written(each.join(chains, "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("token")), "chains")
+    by_chain = shares.split(by_chain).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(-(-max(n, 1) // CHAINED))))
+    first = components(by_chain.groupBy("bucket").applyInArrow(chained, shares.LINKS))
     known = shared.written(each.join(first, "node", "left").select("h1", "h2", "node", "size", F.coalesce("root", "node").alias("root")), "known")
-    by_block = known.select("node", "size", "root").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets), F.shiftright("node", _START))
-    dealt = by_block.sortWithinPartitions("node").mapInArrow(deal, "bucket long, token binary, node binary, size binary, root binary")
-    rest = components(dealt.groupBy("bucket").applyInArrow(shared_shingles, "u long, v long")).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    dealt = by_block(known, "node", "size", "root").mapInArrow(deal, "bucket long, token binary, node binary, size binary, root binary")
+    found = shared.written(dealt.groupBy("bucket").applyInArrow(shared_shingles, shares.LINKS), "found")
+    if most > large:
+        hot = shared.written(by_block(known, "node", "size", "root").mapInArrow(of_many, "token long, node long, size long, root long"), "of_many")
+        found = shares.links(hot, found, compare)
+    rest = components(found).select(F.col("node").alias("root"), F.col("root").alias("last"))
     ends = known.select("h1", "h2", "root").join(rest, "root", "left").select("h1", "h2", F.coalesce("last", "root").alias("component"))
     return placed.select("doc_id", "h1", "h2").join(ends, ["h1", "h2"]).select("doc_id", "h1", "h2", "component")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from alpenglow.llm import near_copies, simhash
+from alpenglow.llm import near_copies, shares, simhash, tallies
 
 
 def shingled(t):
@@ -41,9 +41,12 @@ def edited(seed, n=40):
     return [(k + 100, t) for k, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("bucket", [500_000, 50])
-def test_near_copies_against_brute_force(frame, odd, bucket, monkeypatch):
+@pytest.mark.parametrize("bucket, share, frequent", [(500_000, 2048, 16), (50, 2048, 2), (50, 3, 2)])
+def test_near_copies_against_brute_force(frame, odd, bucket, share, frequent, monkeypatch):
+    """Also with tiny buckets, and with groups of more than three texts dealt in shares."""
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    monkeypatch.setattr(shares, "SHARE", share)
     docs = odd + edited(1)
     want = {}
     for (i, t), c in zip(docs, labelled(docs)):
@@ -79,8 +82,9 @@ def test_prefixes_of_similar_sets_meet():
         pool = np.unique(rng.integers(0, 1 << 60, 2 * n, dtype=np.uint64))
         a = np.sort(rng.choice(pool, min(n, len(pool)), replace=False))
         b = np.unique(np.r_[a[rng.random(len(a)) < 0.92], rng.choice(pool, n // 12)])
-        frequent = np.sort(rng.choice(pool, len(pool) // 3, replace=False))
-        meet = len(np.intersect1d(near_copies.prefix(a, frequent), near_copies.prefix(b, frequent))) > 0
+        texts = rng.integers(0, 5, len(pool)) * rng.integers(0, 2)  # all 0: none is frequent
+        first = lambda s: s[near_copies.prefix(s, texts[np.searchsorted(pool, s)])]  # noqa: B023, E731
+        meet = len(np.intersect1d(first(a), first(b))) > 0
         assert len(b) == 0 or meet or len(np.intersect1d(a, b)) * 5 < 4 * len(np.union1d(a, b))
         if len(b):
             assert near_copies.similar(a, b) == (len(np.intersect1d(a, b)) * 5 >= 4 * len(np.union1d(a, b)))
@@ -186,3 +190,59 @@ def test_removed_sets_give_their_disk_space_back(frame):
         except OSError:
             pass
     assert not mapped
+
+
+def test_tallies_of_shingles(spark, tmp_path):
+    """Blocks of sets learn in how many texts of all blocks their shingles come."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    rows, held, texts = [], {}, {}
+    for block in range(4):
+        sets = [np.unique(rng.choice(pool[: 20 if block else 60], int(rng.integers(1, 15)))) for _ in range(10)]
+        at = np.r_[0, np.cumsum([len(s) for s in sets])]
+        np.save(tmp_path / f"{block}.npy", np.concatenate(sets))
+        rows += [((block << 28) + int(x), len(s)) for x, s in zip(at, sets)]
+        held[block] = np.unique(np.concatenate(sets))
+        for s in sets:
+            for x in s.tolist():
+                texts[x] = texts.get(x, 0) + 1
+    each = spark.createDataFrame(rows, "node long, size long").repartition(3, (near_copies.F.shiftright("node", 28))).sortWithinPartitions("node")
+    assert tallies.tally(each, str(tmp_path), 28, 5, 3) == max(texts.values())
+    for block, s in held.items():
+        got = tallies.counts(s, np.load(tmp_path / f"{block}-often.npy"), 5)
+        assert got.tolist() == [texts[x] if texts[x] >= 3 else 0 for x in s.tolist()]
+    assert tallies.tally(each.limit(0), str(tmp_path), 28, 5, 3) == 0
+
+
+def test_unlike_texts_under_one_shingle_are_dealt_over_tasks(spark, tmp_path):
+    """5,000 sets share a shingle: copies of one, which the first rounds link, and others; of these no task meets more than two shares."""
+    rng = np.random.default_rng(9)
+    new = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    base, far, hot = new(60), [], new(1)
+    sets = [np.r_[hot, base[:-2], new(2)] for _ in range(1500)] + [np.r_[hot, new(int(k))] for k in rng.choice((30, 60, 61, 200), 3480)]
+    for _ in range(10):  # pairs of near copies among the others
+        far.append(len(sets))
+        sets += [x := np.r_[hot, new(80)], np.r_[x[:-3], new(3)]]
+    sets = [np.unique(s) for s in sets]
+    at = np.r_[0, np.cumsum([len(s) for s in sets])].tolist()
+    np.save(tmp_path / "sets.npy", np.concatenate(sets))
+    rows = spark.createDataFrame([(7, k, len(s), k) for k, s in enumerate(sets)], "token long, node long, size long, root long").repartition(8)
+    folder = str(tmp_path)
+
+    def compare(token, node, size, root, asked):
+        import os
+
+        flat = np.load(f"{folder}/sets.npy", mmap_mode="r")
+        read = lambda k: np.asarray(flat[at[k] : at[k + 1]])
+        u, v = near_copies.bucket_links(token, node, size, root, read, lambda ids, _: np.concatenate([near_copies.bitmap(read(k)) for k in ids.tolist()]), asked)
+        with open(f"{folder}/tasks", "a") as log:
+            log.write(f"{len(np.unique(node))} {asked is not None} {os.getpid()}\n")
+        return near_copies.pa.table({"u": near_copies.pa.array(u, near_copies.pa.int64()), "v": near_copies.pa.array(v, near_copies.pa.int64())})
+
+    found = shares.links(rows, spark.createDataFrame([], shares.LINKS), compare)
+    root = {r.node: r.root for r in shares.components(found).collect()}
+    assert len(root) == 1520 and {root[k] for k in range(1500)} == {0}
+    assert all(root[k] == root[k + 1] == k for k in far)
+    tasks = [(int(n), asked == "True") for n, asked, _ in (x.split() for x in (tmp_path / "tasks").read_text().splitlines())]
+    assert max(n for n, _ in tasks) < 2.2 * shares.SHARE  # shares are even, but by hash
+    assert sum(asked for _, asked in tasks) >= 8  # cells by size and share, of 5,000 rows; each of bounded work
