@@ -1,13 +1,16 @@
 """Operator 7: an interpolated modified Kneser-Ney model, counted in Spark, kept as sorted hash arrays.
 
 Words are hashed to 64 bits, and their bytes kept beside the hashes, so that words of one hash stay
-apart. A word's id is its rank among all training words in the order of hash and bytes. N-grams of
-two words are hashed by their pair of ids, without collisions up to 2^32 words. Both kinds of hash
+apart. A word's id is its rank among all training words in the order of hash and bytes. An n-gram is
+a pair of (n-1)-grams, those without its last and without its first word, and is hashed by the pair
+of their ids, without collisions up to 2^32 of these; its own id is its rank in the order of hashes.
+So every order is counted as the one before it, and takes the same eight bytes to send. All hashes
 are evenly spread, so parts by their leading bits are even whatever words are frequent. Counts travel
 packed, an array for each part and batch, and end as sorted arrays in files of the shared folder,
 which the scoring workers map into memory.
 
-The order is 2: the README has what counting of n-grams of three words takes.
+Below the highest order an n-gram counts by the distinct words before it; those that begin a text,
+which have none, count by their occurrences.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged
 PART_BYTES = 12 << 20
 #: Words, and pairs of words, that a task gathers before it sends them on.
 WORDS, PAIRS = 400_000, 1_500_000
+#: Words of the longest n-grams, where nothing else is asked for.
+ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
 _SPACE = np.zeros(256, bool)
@@ -219,15 +224,44 @@ def _discount(d: np.ndarray, count: np.ndarray) -> np.ndarray:
     return d[np.minimum(count, 3)]
 
 
+@dataclass
+class Grams:
+    """The n-grams of one length from 2 on, and what the model needs to know of all of them."""
+
+    parts: SortedParts
+    counts: str  # the column of the counts that are discounted
+    discount: np.ndarray
+
+
+def followed(t: Tokens, words: np.ndarray, n_words: int, known: list[SortedParts]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the lengths 2, 3, ..., one beyond those of ``known``: the places of the tokens at which n-grams end, the ids of
+    these without their last and without their first word, and their own (-1: not in training; of the last length all).
+
+    The word before a text's first is its start, ``n_words``.
+    """
+    in_text = np.arange(len(words)) - np.repeat(t.at[:-1], np.diff(t.at))
+    ids = words
+    for k in range(len(known) + 1):
+        place = np.flatnonzero(in_text >= k)
+        before, own = np.where(in_text[place] > 0, ids[place - 1], n_words), ids[place]
+        rank = np.full(len(place), -1, np.int64)
+        if k < len(known):
+            both = np.flatnonzero((before >= 0) & (own >= 0))
+            key, to = np.unique(pair_hash(before[both], own[both]), return_inverse=True)
+            rank[both] = known[k].find(key)[to]
+        yield place, before, own, rank
+        ids = np.full(len(words), -1, np.int64)
+        ids[place] = rank
+
+
 @dataclass
 class KneserNey:
-    """A trained model; its arrays are in the files of ``words`` and ``pairs``."""
+    """A trained model; its arrays are in the files of ``words`` and ``grams``."""
 
     words: SortedParts
-    pairs: SortedParts
+    grams: list[Grams]  # of two words, of three, ...
     tokens: int  # of the training texts
     starts: list[int]  # words seen first in a text: distinct once, twice, three times or more; texts
-    pair_discount: np.ndarray
     word_discount: np.ndarray
     continued: int  # distinct pairs
     continued_of: list[int]  # words that continue 1, 2, 3 or more distinct words
@@ -242,30 +276,25 @@ class KneserNey:
         h, at = t.hash, t.at
         rep, inverse = distinct(t.flat, t.start, t.length, h)
         rank = self.words.find_words(h[rep], t.flat, t.start[rep], t.length[rep])
-        count, cont, n1, n2, n3 = (self.words.take(c, rank) for c in ("count", "cont", "n1", "n2", "n3"))
+        count, cont = (self.words.take(c, rank) for c in ("count", "cont"))
         base = np.log10((count + 1) / (self.tokens + (self.n_words + 1)))
-        d, e = self.word_discount, self.pair_discount
+        d = self.word_discount
         if self.continued:
             rest = sum(d[k + 1] * self.continued_of[k] for k in range(3)) / self.continued
             lower = np.maximum(cont - _discount(d, cont), 0) / self.continued + rest / (self.n_words + 1)
-            back = np.where(count > 0, (e[1] * n1 + e[2] * n2 + e[3] * n3) / np.maximum(count, 1), 1.0)
         else:
-            lower, back = np.full(len(rep), 1.0 / (self.n_words + 1)), np.ones(len(rep))
-        # contexts: the word before, or the start of the text
-        prev = np.r_[0, inverse[:-1]]
-        first = np.zeros(len(h), bool)
-        first[at[:-1][at[1:] > at[:-1]]] = True
-        own = rank[inverse]
-        before = np.where(first, self.n_words, rank[prev])
-        both = np.flatnonzero((own >= 0) & (before >= 0))
-        key, place = np.unique(pair_hash(before[both], own[both]), return_inverse=True)
-        seen = np.zeros(len(h), np.int64)
-        seen[both] = self.pairs.take("count", self.pairs.find(key))[place]
-        total = np.where(first, self.starts[3], count[prev])
-        s = self.starts
-        start_back = (e[1] * s[0] + e[2] * s[1] + e[3] * s[2]) / s[3] if s[3] else 1.0
-        gamma = np.where(first, start_back, back[prev])
-        p = np.where(seen > 0, np.maximum(seen - _discount(e, seen), 0) / np.maximum(total, 1), 0.0) + gamma * lower[inverse]
+            lower = np.full(len(rep), 1.0 / (self.n_words + 1))
+        p = lower[inverse]
+        contexts, last = self.words, self.grams[-1]
+        for g, (place, before, _, own) in zip(self.grams, followed(t, rank[inverse], self.n_words, [g.parts for g in self.grams])):
+            context, to = np.unique(before, return_inverse=True)
+            n1, n2, n3, total = (contexts.take(c, np.where(context < contexts.at[-1], context, -1)) for c in ("n1", "n2", "n3", "count" if g is last else "total"))
+            if contexts is self.words and context[-1] == self.n_words:
+                n1[-1], n2[-1], n3[-1], total[-1] = self.starts
+            e, out_of, seen = g.discount, np.maximum(total, 1), g.parts.take(g.counts, own)
+            gamma = np.where(n1 + n2 + n3 > 0, (e[1] * n1 + e[2] * n2 + e[3] * n3) / out_of, 1.0)
+            p[place] = np.where(seen > 0, np.maximum(seen - _discount(e, seen), 0) / out_of[to], 0.0) + gamma[to] * p[place]
+            contexts = g.parts
         return {"n_tokens": np.diff(at), "n_known": segment_sum((count[inverse] > 0).astype(np.int64), at), "base_score": segment_sum(base[inverse], at), "score": segment_sum(np.log10(p), at)}
 
 
@@ -273,8 +302,50 @@ def _of_counts(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def train(docs: DataFrame) -> KneserNey:
-    """A model of all texts of ``docs``; null texts count as empty, and an empty text is its end alone."""
+def _narrow(x: np.ndarray) -> np.ndarray:
+    most = x.max(initial=0)
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
+def _statistics(part: int, shorter: SortedParts, before: np.ndarray, own: np.ndarray, counts: np.ndarray, total: bool) -> pa.Table:
+    """What a part's n-grams say of those one shorter: kind 1 of what follows them (1, 2, 3 or more times; ``total``: in all),
+    kind 2 of how many precede them; kind 3: the part's number, its n-grams, and how many of them count 1, 2, 3 and 4."""
+    prev = summed(before, counts == 1, counts == 2, counts >= 3, *([counts] if total else []))
+    cont = summed(own, np.ones(len(own), np.int64))
+    to = lambda ids: np.minimum(np.searchsorted(shorter.at, ids, "right") - 1, len(shorter.sizes))
+    sent = [_rows(to(x[0]), kind, x[0].astype("<i8"), *(v.astype("<u4") for v in x[1:4]), *(v.astype("<u8") for v in x[4:])) for kind, x in ((1, prev), (2, cont))]
+    sent.append(_sent([-1], 3, [np.array([part, len(own), *_of_counts(counts)], np.int64).tobytes()]))
+    return pa.Table.from_batches(sent)
+
+
+def _numbers(stats: DataFrame, parts: int) -> tuple[list[int], list[int]]:
+    """Each part's size, and how many n-grams of all count 1, 2, 3 and 4: one short row for each part."""
+    told = np.array([np.frombuffer(r[0], np.int64) for r in stats.where("kind = 3").select("data").collect()], np.int64).reshape(-1, 6)
+    sizes = np.zeros(parts, np.int64)
+    sizes[told[:, 0]] = told[:, 1]
+    return sizes.tolist(), told[:, 2:].sum(axis=0).tolist()
+
+
+def _dense(table: pa.Table, base: int, n: int, total: bool) -> dict[str, np.ndarray]:
+    """The statistics that were sent to one part, by place in it."""
+    dense = {k: np.zeros(n, np.int64) for k in ("n1", "n2", "n3", "cont", *(["total"] if total else []))}
+    follows = [k for k in dense if k != "cont"]
+    for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
+        if kind:
+            names = follows if kind == 1 else ["cont"]
+            ids, *values = unpack(data, "<i8", *("<u8" if k == "total" else "<u4" for k in names))
+            for name, v in zip(names, values):
+                dense[name][ids - base] += v.astype(np.int64)
+    return dense
+
+
+def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
+    """A model of n-grams of up to ``order`` words (2 or more) of all texts of ``docs``.
+
+    Null texts count as empty, and an empty text is its end alone.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_docs, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -319,61 +390,83 @@ def train(docs: DataFrame) -> KneserNey:
     n_words, n_tokens = int(words.at[-1]), sum(r["total"] for r in got if r)
     shared.release(spark)
 
-    # pairs
-    id_kind = "<u4" if n_words < (1 << 32) - 1 else "<u8"
-    pair_kinds = (id_kind, id_kind, "<u4")
-
-    def pair_counts(raw: list[bytes]) -> list[np.ndarray]:
-        t = tokens(raw)
-        rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
-        own = words.find_words(t.hash[rep], t.flat, t.start[rep], t.length[rep])[inverse]
-        before = np.r_[0, own[:-1]]
-        before[t.at[:-1]] = n_words
-        return summed_pairs(before, own, np.ones(len(own), np.int64))
-
-    def packed_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        before, own, count = pairs
-        part = part_of(pair_hash(before, own), parts).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return _rows(part[order], 0, *(x[order].astype(k) for x, k in zip((before, own, count), pair_kinds)))
-
-    def pair_part(table: pa.Table) -> pa.Table:
-        """Saves a part of the pairs; passes on, packed by the words' parts, how they follow and continue words."""
-        part = table.column("part")[0].as_py()
-        before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(unpack(d.as_py(), *pair_kinds) for d in table.column("data")))))
-        keys = pair_hash(before, own)
-        order = np.argsort(keys)
-        save("pairs", "hash", part, keys[order])
-        save("pairs", "count", part, counts[order].astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.int64))
-        prev = summed(before, counts == 1, counts == 2, counts >= 3)
-        cont = summed(own, np.ones(len(own), np.int64))
-        to = lambda ids: np.minimum(np.searchsorted(words.at, ids, "right") - 1, parts)
-        sent = [_rows(to(x[0]), kind, x[0].astype("<i8"), *(v.astype("<u4") for v in x[1:])) for kind, x in ((1, prev), (2, cont))]
-        numbers = [part, len(keys), *_of_counts(counts)]
-        sent.append(_sent([-1], 3, [np.array(numbers, np.int64).tobytes()]))
-        return pa.Table.from_batches(sent)
-
-    packed = rows.mapInArrow(lambda it: _gathered(it, pair_counts, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed_pairs, PAIRS), PACKED)
-    stats = packed.groupBy("part").applyInArrow(pair_part, PACKED)
-    stats = shared.written(stats, "pair-statistics")
-    shared.release(spark)
-    told_of = np.array([np.frombuffer(r[0], np.int64) for r in stats.where("kind = 3").select("data").collect()], np.int64).reshape(-1, 6)
-    sizes = np.zeros(parts, np.int64)
-    sizes[told_of[:, 0]] = told_of[:, 1]
+    # n-grams of two words and more; of the longest also, packed by the parts of those one shorter, how they follow and continue these
+    def counted(length: int, shorter: SortedParts, between: list[SortedParts]) -> tuple[SortedParts, list[int], DataFrame | None]:
+        """The n-grams of a length, from the ids of those one shorter; the longest give their discounts' numbers and statistics."""
+        most = int(shorter.at[-1])
+        kind = "<u4" if most < (1 << 32) - 1 else "<u8"
+        kinds, name, top = (kind, kind, "<u4"), f"grams{length}", length == order
+
+        def entries(raw: list[bytes]) -> list[np.ndarray]:
+            t = tokens(raw)
+            rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
+            ids = words.find_words(t.hash[rep], t.flat, t.start[rep], t.length[rep])[inverse]
+            *_, (_, before, own, _) = followed(t, ids, n_words, between)
+            return summed_pairs(before, own, np.ones(len(own), np.int64))
+
+        def packed(grams: list[np.ndarray]) -> pa.RecordBatch:
+            before, own, count = grams
+            part = part_of(pair_hash(before, own), parts).astype(np.int64)
+            to = np.argsort(part, kind="stable")
+            return _rows(part[to], 0, *(x[to].astype(k) for x, k in zip((before, own, count), kinds)))
+
+        def part_saved(table: pa.Table) -> pa.Table:
+            part = table.column("part")[0].as_py()
+            before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(unpack(d.as_py(), *kinds) for d in table.column("data")))))
+            keys = pair_hash(before, own)
+            to = np.argsort(keys)
+            save(name, "hash", part, keys[to])
+            save(name, "count", part, _narrow(counts[to]))
+            if top:
+                return _statistics(part, shorter, before, own, counts, False)
+            save(name, "before", part, before[to].astype(kind))
+            save(name, "own", part, own[to].astype(kind))
+            return pa.Table.from_batches([_sent([-1], 3, [np.array([part, len(keys), 0, 0, 0, 0], np.int64).tobytes()])])
+
+        sent = rows.mapInArrow(lambda it: _gathered(it, entries, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed, PAIRS), PACKED)
+        stats = shared.written(sent.groupBy("part").applyInArrow(part_saved, PACKED), f"{name}-statistics")
+        shared.release(spark)
+        sizes, numbers = _numbers(stats, parts)
+        return SortedParts(folder, name, sizes), numbers, stats
+
+    levels, numbers, stats = [words], [], None
+    for length in range(2, order + 1):
+        made, numbers, stats = counted(length, levels[-1], levels[1:])
+        levels.append(made)
+    of_length = {order: numbers}
+
+    # what follows and precedes each n-gram, from the longest down
+    def gram_stats(length: int) -> DataFrame:
+        own_parts, shorter, name = levels[length - 1], levels[length - 2], f"grams{length}"
+
+        def run(table: pa.Table) -> pa.Table:
+            part = table.column("part")[0].as_py()
+            if not own_parts.sizes[part]:
+                return pa.Table.from_batches([_sent([], 0, [])])
+            dense = _dense(table, int(own_parts.at[part]), own_parts.sizes[part], length + 1 < order)
+            raw = own_parts.column("count", part)
+            dense["adjusted"] = np.where(dense["cont"] > 0, dense["cont"], raw)
+            for k in ("n1", "n2", "n3", "adjusted", *(["total"] if length + 1 < order else [])):
+                save(name, k, part, _narrow(dense[k]))
+            return _statistics(part, shorter, own_parts.column("before", part).astype(np.int64), own_parts.column("own", part).astype(np.int64), dense["adjusted"], True)
+
+        # a part whose n-grams nothing longer follows or continues has statistics of its own n-grams to give all the same
+        each = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(bytearray()).alias("data"))
+        return stats.where("kind < 3").unionByName(each).groupBy("part").applyInArrow(run, PACKED)
+
+    for length in range(order - 1, 1, -1):
+        stats = shared.written(gram_stats(length), f"grams{length}-statistics")
+        of_length[length] = _numbers(stats, parts)[1]
+        shared.release(spark)
 
-    # what each word's followers and predecessors are
     def word_stats(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         base, n = (n_words, 1) if part == parts else (int(words.at[part]), words.sizes[part])
-        dense = {k: np.zeros(n, np.int64) for k in ("n1", "n2", "n3", "cont")}
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-            ids, *values = unpack(data, "<i8", *["<u4"] * (3 if kind == 1 else 1))
-            for name, v in zip(("n1", "n2", "n3") if kind == 1 else ("cont",), values):
-                dense[name][ids - base] += v
+        dense = _dense(table, base, n, order > 2)
         if part == parts:
             return told(part, *(int(dense[k][0]) for k in ("n1", "n2", "n3")), 0, 0, 0)
         for k, v in dense.items():
-            save("words", k, part, v.astype(np.uint32))
+            save("words", k, part, v.astype(np.uint32) if k != "total" else _narrow(v))
         c = _of_counts(dense["cont"])
         return told(part, int((dense["cont"] >= 3).sum()), *c, int(dense["cont"].sum()))
 
@@ -381,9 +474,9 @@ def train(docs: DataFrame) -> KneserNey:
     start, got = got[parts], [r for r in got[:parts] if r]
     of = [sum(r[f"c{k}"] for r in got) for k in (1, 2, 3, 4)]
     return KneserNey(
-        words, SortedParts(folder, "pairs", sizes.tolist()), n_tokens,
+        words, [Grams(g, "count" if k == order else "adjusted", discounts(of_length[k])) for k, g in enumerate(levels[1:], 2)], n_tokens,
         [start["n"], start["c1"], start["c2"], n_docs] if start else [0, 0, 0, 0],
-        discounts(told_of[:, 2:].sum(axis=0).tolist()), discounts(of), sum(r["total"] for r in got), [of[0], of[1], sum(r["n"] for r in got)],
+        discounts(of), sum(r["total"] for r in got), [of[0], of[1], sum(r["n"] for r in got)],
     )
 
 
@@ -400,13 +493,13 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
-    """All rows scored by a model of those whose crc32 of doc_id as text, modulo 7, is not 2.
+def score_held_out(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """All rows scored by a model of ``order`` of those whose crc32 of doc_id as text, modulo 7, is not 2.
 
     A null text counts as empty: its end is its only token. A null doc_id is in no fold: its row is
     trained on and has held_out false. Repeated rows count as often as they occur. Without training
     rows every word is unknown. An empty table gives an empty result; extra columns are not read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    scored = score(docs, train(docs.where(~held)))
+    scored = score(docs, train(docs.where(~held), order))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

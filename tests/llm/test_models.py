@@ -48,20 +48,31 @@ def test_words_of_one_hash_stay_apart(frame):
     assert scores[held].base_score == pytest.approx(sum(math.log10((c + 1) / (7 + 5)) for c in (3, 1, 0, 2)))
 
 
-def test_kneser_ney_against_a_plain_model(frame, odd):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_against_a_plain_model(frame, odd, order):
     rng = random.Random(3)
     docs = odd + [(100 + k, " ".join(rng.choices(["A", "b", "é,", *(f"w{j}" for j in range(2997))], weights=[1 / (j + 2) for j in range(3000)], k=rng.randint(0, 40)))) for k in range(200)]
+    docs += [(400 + k, docs[len(odd) + k % 7 * (k % 3)][1] + " a b A b") for k in range(40)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     toks = lambda t: [*(t or "").encode().lower().split(), None]
     train = [toks(t) for i, t in docs if not held(i)]
     c = Counter(w for t in train for w in t)
     n, v = c.total(), len(c)
-    pairs = Counter(p for t in train for p in zip(["^", *t], t))
-    total, follow, cont = Counter(), defaultdict(Counter), Counter()
-    for (a, b), k in pairs.items():
-        total[a] += k
-        follow[a][min(k, 3)] += 1
-        cont[b] += 1
+
+    def grams(t, k):
+        """Those of k words; with the start before the first word, which has nothing before it."""
+        t = ("^", *t)
+        return [t[i : i + k] for i in range(len(t) - k + 1)]
+
+    counts = {order: Counter(g for t in train for g in grams(t, order))}
+    for k in range(order - 1, 1, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1]) + Counter(g for t in train for g in grams(t, k)[:1])
+    counts[1] = Counter(g[1:] for g in counts[2])
+    total, follow = Counter(), defaultdict(Counter)
+    for k in range(2, order + 1):
+        for g, m in counts[k].items():
+            total[g[:-1]] += m
+            follow[g[:-1]][min(m, 3)] += 1
 
     def discounts(counts):
         """Of Chen and Goodman, written out: Y = n1 / (n1 + 2 n2), D_k = k - (k + 1) Y n_(k+1) / n_k."""
@@ -70,25 +81,36 @@ def test_kneser_ney_against_a_plain_model(frame, odd):
         each = [0, 1 - 2 * y * m[2] / m[1], 2 - 3 * y * m[3] / m[2], 3 - 4 * y * m[4] / m[3]]
         return [0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(each) if k)]
 
-    d2, d1, t1 = discounts(pairs.values()), discounts(cont.values()), cont.total()
-    rest = sum(d1[min(k, 3)] for k in cont.values()) / t1
-    one = lambda w: max(cont[w] - d1[min(cont[w], 3)], 0) / t1 + rest / (v + 1)
-
-    def two(a, w):
-        if not total[a]:
-            return one(w)
-        gamma = sum(d2[k] * m for k, m in follow[a].items()) / total[a]
-        return max(pairs[a, w] - d2[min(pairs[a, w], 3)], 0) / total[a] + gamma * one(w)
-
-    assert sum(two("^", w) for w in c) + sum(d2[k] * m for k, m in follow["^"].items()) / total["^"] * rest / (v + 1) == pytest.approx(1)
+    ds = {k: discounts(x.values()) for k, x in counts.items()}
+    t1 = counts[1].total()
+    rest = sum(ds[1][min(m, 3)] for m in counts[1].values()) / t1
+
+    def prob(context, w):
+        if not context:
+            m = counts[1][w,]
+            return max(m - ds[1][min(m, 3)], 0) / t1 + rest / (v + 1)
+        k, shorter = len(context) + 1, prob(context[1:], w)
+        if not total[context]:
+            return shorter
+        m, gamma = counts[k][(*context, w)], sum(ds[k][j] * x for j, x in follow[context].items()) / total[context]
+        return max(m - ds[k][min(m, 3)], 0) / total[context] + gamma * shorter
+
+    def scored(x):
+        x = ("^", *x)
+        return sum(math.log10(prob(x[max(0, i - order + 1) : i], x[i])) for i in range(1, len(x)))
+
+    some = [g[:-1] for g in counts[order]][:5] + [("^",), ("nowhere",)]
+    for context in some:
+        assert sum(prob(context, w) for w in c) + prob(context, "never seen") == pytest.approx(1)
     want = []
     for i, t in docs:
         x = toks(t)
-        want.append((str(i), held(i), len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), sum(math.log10(two(a, w)) for a, w in zip(["^", *x], x))))
-    got = [(str(r[0]), *r[1:]) for r in kneser_ney.score_held_out(frame(docs)).collect()]
+        want.append((str(i), held(i), len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), scored(x)))
+    got = [(str(r[0]), *r[1:]) for r in kneser_ney.score_held_out(frame(docs), order).collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
-    assert kneser_ney.score_held_out(frame([])).count() == 0
+    assert kneser_ney.score_held_out(frame([]), order).count() == 0
+    assert kneser_ney.score_held_out(frame([(1, None), (2, "")]), order).count() == 2
 
 
 def test_toxicity_finds_held_out_toxic_texts(spark, frame, odd):
