@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from alpenglow.llm import files, shared
 from alpenglow.llm.bpe import unique_words
-from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, same_spans, segment_sum, texts, unpack
+from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, same_spans, segment_sum, texts, unmix, unpack
 
 #: Text bytes for one part of the model.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 #: Words, and pairs of words, that a task gathers before it sends them on.
-WORDS, PAIRS = 400_000, 1_500_000
+WORDS, PAIRS = 400_000, 800_000
 #: Words of the longest n-grams, where nothing else is asked for.
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
@@ -104,6 +104,12 @@ def pair_hash(before: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mix(((b << np.uint64(32)) | (b >> np.uint64(32))) ^ own.astype(np.uint64))
 
 
+def hashed_pair(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, both below 2^32, whose :func:`pair_hash` is ``h``."""
+    both = unmix(h)
+    return (both >> np.uint64(32)).view(np.int64), (both & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
 def _rows(part: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     """One packed row for each part; ``part`` ascends."""
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
@@ -419,8 +425,9 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
             save(name, "count", part, _narrow(counts[to]))
             if top:
                 return _statistics(part, shorter, before, own, counts, False)
-            save(name, "before", part, before[to].astype(kind))
-            save(name, "own", part, own[to].astype(kind))
+            if kind == "<u8":  # otherwise the hashes tell them
+                save(name, "before", part, before[to])
+                save(name, "own", part, own[to])
             return pa.Table.from_batches([_sent([-1], 3, [np.array([part, len(keys), 0, 0, 0, 0], np.int64).tobytes()])])
 
         sent = rows.mapInArrow(lambda it: _gathered(it, entries, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed, PAIRS), PACKED)
@@ -448,7 +455,11 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
             dense["adjusted"] = np.where(dense["cont"] > 0, dense["cont"], raw)
             for k in ("n1", "n2", "n3", "adjusted", *(["total"] if length + 1 < order else [])):
                 save(name, k, part, _narrow(dense[k]))
-            return _statistics(part, shorter, own_parts.column("before", part).astype(np.int64), own_parts.column("own", part).astype(np.int64), dense["adjusted"], True)
+            if int(shorter.at[-1]) < (1 << 32) - 1:
+                before, own = hashed_pair(own_parts.column("hash", part))
+            else:
+                before, own = own_parts.column("before", part), own_parts.column("own", part)
+            return _statistics(part, shorter, before, own, dense["adjusted"], True)
 
         # a part whose n-grams nothing longer follows or continues has statistics of its own n-grams to give all the same
         each = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(bytearray()).alias("data"))

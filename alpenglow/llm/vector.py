@@ -28,6 +28,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`mix`."""
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(pow(MIX[1], -1, 1 << 64))
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(pow(MIX[0], -1, 1 << 64))
+    h ^= h >> np.uint64(33)
+    return h
+
+
 class PrefixHash:
     """Polynomial hashes of any span of a symbol array in O(1) from its prefix sums.
 

@@ -26,6 +26,7 @@ def test_pairs_of_ids_beyond_32_bits():
     assert np.array_equal(small[2], got[2])
     x = rng.integers(0, 1 << 32, (2, 10_000))
     assert len(np.unique(kneser_ney.pair_hash(*x))) == len({*zip(*x.tolist())})
+    assert all(np.array_equal(a, b) for a, b in zip(kneser_ney.hashed_pair(kneser_ney.pair_hash(*x)), x))
 
 
 def thue_morse(n):
