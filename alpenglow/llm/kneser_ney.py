@@ -81,17 +81,24 @@ def distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: n
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys in order and the sums of their values (int64)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     return [keys[head], *(np.add.reduceat(v[order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64) for v in values)]
 
 
-def summed_pairs(before: np.ndarray, own: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Distinct pairs of ids in order, and the sums of their counts."""
+def summed_pairs(before: np.ndarray, own: np.ndarray, count: np.ndarray | None = None) -> list[np.ndarray]:
+    """Distinct pairs of ids in order, and the sums of their counts (none given: of ones)."""
     if max(before.max(initial=0), own.max(initial=0)) < 1 << 32:  # one key orders them
-        pair, count = summed((before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64), count)
+        pair = (before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)
+        if count is None:
+            pair.sort()
+            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+            pair, count = pair[head], np.diff(np.r_[head, len(pair)])
+        else:
+            pair, count = summed(pair, count)
         return [(pair >> np.uint64(32)).view(np.int64), (pair & np.uint64(0xFFFFFFFF)).view(np.int64), count]
+    count = np.ones(len(own), np.int64) if count is None else count
     order = np.lexsort((own, before))
     before, own, count = before[order], own[order], count[order]
     head = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (own[1:] != own[:-1])][: len(own)])
@@ -206,7 +213,7 @@ class SortedParts:
         """Values at any ranks; -1 gives 0."""
         out = np.zeros(len(ranks), np.int64)
         ok = np.flatnonzero(ranks >= 0)
-        order = ok[np.argsort(ranks[ok], kind="stable")]
+        order = ok[np.argsort(ranks[ok])]
         for p, a, b in _cuts(np.searchsorted(self.at, ranks[order], "right") - 1):
             out[order[a:b]] = self.column(column, p)[ranks[order[a:b]] - self.at[p]]
         return out
@@ -253,8 +260,9 @@ def followed(t: Tokens, words: np.ndarray, n_words: int, known: list[SortedParts
         rank = np.full(len(place), -1, np.int64)
         if k < len(known):
             both = np.flatnonzero((before >= 0) & (own >= 0))
-            key, to = np.unique(pair_hash(before[both], own[both]), return_inverse=True)
-            rank[both] = known[k].find(key)[to]
+            key = pair_hash(before[both], own[both])
+            to = np.argsort(key)
+            rank[both[to]] = known[k].find(key[to])
         yield place, before, own, rank
         ids = np.full(len(words), -1, np.int64)
         ids[place] = rank
@@ -352,6 +360,11 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
     """
     if order < 2:
         raise ValueError("the order is 2 or more")
+    with shared.shuffles_end_with_queries(docs.sparkSession):
+        return _train(docs, order)
+
+
+def _train(docs: DataFrame, order: int) -> KneserNey:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_docs, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -394,7 +407,6 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
     got = collected(packed.groupBy("part").applyInArrow(word_part, grouped), parts)
     words = SortedParts(folder, "words", [r["n"] if r else 0 for r in got])
     n_words, n_tokens = int(words.at[-1]), sum(r["total"] for r in got if r)
-    shared.release(spark)
 
     # n-grams of two words and more; of the longest also, packed by the parts of those one shorter, how they follow and continue these
     def counted(length: int, shorter: SortedParts, between: list[SortedParts]) -> tuple[SortedParts, list[int], DataFrame | None]:
@@ -408,11 +420,11 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
             rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
             ids = words.find_words(t.hash[rep], t.flat, t.start[rep], t.length[rep])[inverse]
             *_, (_, before, own, _) = followed(t, ids, n_words, between)
-            return summed_pairs(before, own, np.ones(len(own), np.int64))
+            return summed_pairs(before, own)
 
         def packed(grams: list[np.ndarray]) -> pa.RecordBatch:
             before, own, count = grams
-            part = part_of(pair_hash(before, own), parts).astype(np.int64)
+            part = part_of(pair_hash(before, own), parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
             to = np.argsort(part, kind="stable")
             return _rows(part[to], 0, *(x[to].astype(k) for x, k in zip((before, own, count), kinds)))
 
@@ -432,7 +444,6 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
 
         sent = rows.mapInArrow(lambda it: _gathered(it, entries, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed, PAIRS), PACKED)
         stats = shared.written(sent.groupBy("part").applyInArrow(part_saved, PACKED), f"{name}-statistics")
-        shared.release(spark)
         sizes, numbers = _numbers(stats, parts)
         return SortedParts(folder, name, sizes), numbers, stats
 
@@ -468,7 +479,6 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
     for length in range(order - 1, 1, -1):
         stats = shared.written(gram_stats(length), f"grams{length}-statistics")
         of_length[length] = _numbers(stats, parts)[1]
-        shared.release(spark)
 
     def word_stats(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alpenglow.plans.cut import drop, fresh, scratch, shared_folder, written
 
-__all__ = ["drop", "exists", "free_name", "fresh", "release", "scratch", "shared_folder", "top", "written"]
+__all__ = ["drop", "exists", "free_name", "fresh", "release", "scratch", "shared_folder", "shuffles_end_with_queries", "top", "written"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,6 +42,21 @@ def top(rows: DataFrame, by: str, size: int, *ties: str) -> DataFrame:
     return some.drop("step").orderBy(F.desc(by), *ties).limit(size)
 
 
+@contextmanager
+def shuffles_end_with_queries(spark: SparkSession) -> Iterator[None]:
+    """In here Spark removes a query's shuffle files as soon as it has ended.
+
+    For steps that write or collect each DataFrame once; the setting is as before afterwards.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are written: it does when the driver's garbage is collected."""
     import gc
