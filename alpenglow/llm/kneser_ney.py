@@ -117,11 +117,25 @@ def hashed_pair(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(32)).view(np.int64), (both & np.uint64(0xFFFFFFFF)).view(np.int64)
 
 
+def sealed(ids: np.ndarray, *values: np.ndarray) -> bytes:
+    """Arrays of one length, the first ascending: its steps and the rest as byte planes, compressed."""
+    steps = ids.copy()
+    steps[1:] -= ids[:-1]
+    data = pack(steps, *values)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def opened(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of :func:`sealed`, of these types."""
+    steps, *values = unpack(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), *kinds)
+    return [np.cumsum(steps, dtype=steps.dtype), *values]
+
+
 def _rows(part: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     """One packed row for each part; ``part`` ascends."""
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
     ends = np.r_[cut[1:], len(part)].astype(np.int64)
-    data = [pack(*(v[a:b] for v in columns)) for a, b in zip(cut.tolist(), ends.tolist())]
+    data = [sealed(*(v[a:b] for v in columns)) for a, b in zip(cut.tolist(), ends.tolist())]
     return _sent(part[cut], kind, data)
 
 
@@ -215,7 +229,18 @@ class SortedParts:
         ok = np.flatnonzero(ranks >= 0)
         order = ok[np.argsort(ranks[ok])]
         for p, a, b in _cuts(np.searchsorted(self.at, ranks[order], "right") - 1):
-            out[order[a:b]] = self.column(column, p)[ranks[order[a:b]] - self.at[p]]
+            out[order[a:b]] = self.counts(column, p, ranks[order[a:b]] - self.at[p])
+        return out
+
+    def counts(self, column: str, part: int, places: np.ndarray | None = None) -> np.ndarray:
+        """The numbers that :func:`short` made bytes of, all of a part or those at some places."""
+        have, n = self.column(column, part), self.sizes[part]
+        places = np.arange(n) if places is None else places
+        out = have[places].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            at, value = np.frombuffer(have[n:].tobytes(), "<i8").reshape(2, -1)
+            out[big] = value[np.searchsorted(at, places[big])]
         return out
 
 
@@ -316,9 +341,10 @@ def _of_counts(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    most = x.max(initial=0)
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+def short(x: np.ndarray) -> np.ndarray:
+    """Numbers as a byte each; those from 255 on are named after all bytes, their places first."""
+    big = np.flatnonzero(x >= 255)
+    return np.r_[np.minimum(x, 255).astype(np.uint8), np.frombuffer(big.astype("<i8").tobytes() + x[big].astype("<i8").tobytes(), np.uint8)]
 
 
 def _statistics(part: int, shorter: SortedParts, before: np.ndarray, own: np.ndarray, counts: np.ndarray, total: bool) -> pa.Table:
@@ -347,7 +373,7 @@ def _dense(table: pa.Table, base: int, n: int, total: bool) -> dict[str, np.ndar
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
         if kind:
             names = follows if kind == 1 else ["cont"]
-            ids, *values = unpack(data, "<i8", *("<u8" if k == "total" else "<u4" for k in names))
+            ids, *values = opened(data, "<i8", *("<u8" if k == "total" else "<u4" for k in names))
             for name, v in zip(names, values):
                 dense[name][ids - base] += v.astype(np.int64)
     return dense
@@ -400,7 +426,7 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
         save("words", "hash", part, h)
         save("words", "at", part, offsets(length))
         save("words", "chars", part, chars)
-        save("words", "count", part, count.astype(np.uint32) if count.max() < 1 << 32 else count)
+        save("words", "count", part, short(count))
         return told(part, len(h), 0, 0, 0, 0, count.sum())
 
     packed = rows.mapInArrow(lambda it: _gathered(it, _word_counts, _merged_words, packed_words, WORDS), PACKED)
@@ -430,11 +456,11 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
 
         def part_saved(table: pa.Table) -> pa.Table:
             part = table.column("part")[0].as_py()
-            before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(unpack(d.as_py(), *kinds) for d in table.column("data")))))
+            before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(opened(d.as_py(), *kinds) for d in table.column("data")))))
             keys = pair_hash(before, own)
             to = np.argsort(keys)
             save(name, "hash", part, keys[to])
-            save(name, "count", part, _narrow(counts[to]))
+            save(name, "count", part, short(counts[to]))
             if top:
                 return _statistics(part, shorter, before, own, counts, False)
             if kind == "<u8":  # otherwise the hashes tell them
@@ -449,6 +475,8 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
 
     levels, numbers, stats = [words], [], None
     for length in range(2, order + 1):
+        if stats is not None:
+            shared.drop_tables(stats)
         made, numbers, stats = counted(length, levels[-1], levels[1:])
         levels.append(made)
     of_length = {order: numbers}
@@ -462,10 +490,10 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
             if not own_parts.sizes[part]:
                 return pa.Table.from_batches([_sent([], 0, [])])
             dense = _dense(table, int(own_parts.at[part]), own_parts.sizes[part], length + 1 < order)
-            raw = own_parts.column("count", part)
+            raw = own_parts.counts("count", part)
             dense["adjusted"] = np.where(dense["cont"] > 0, dense["cont"], raw)
             for k in ("n1", "n2", "n3", "adjusted", *(["total"] if length + 1 < order else [])):
-                save(name, k, part, _narrow(dense[k]))
+                save(name, k, part, short(dense[k]))
             if int(shorter.at[-1]) < (1 << 32) - 1:
                 before, own = hashed_pair(own_parts.column("hash", part))
             else:
@@ -477,7 +505,8 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
         return stats.where("kind < 3").unionByName(each).groupBy("part").applyInArrow(run, PACKED)
 
     for length in range(order - 1, 1, -1):
-        stats = shared.written(gram_stats(length), f"grams{length}-statistics")
+        used, stats = stats, shared.written(gram_stats(length), f"grams{length}-statistics")
+        shared.drop_tables(used)
         of_length[length] = _numbers(stats, parts)[1]
 
     def word_stats(table: pa.Table) -> pa.Table:
@@ -487,11 +516,12 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
         if part == parts:
             return told(part, *(int(dense[k][0]) for k in ("n1", "n2", "n3")), 0, 0, 0)
         for k, v in dense.items():
-            save("words", k, part, v.astype(np.uint32) if k != "total" else _narrow(v))
+            save("words", k, part, short(v))
         c = _of_counts(dense["cont"])
         return told(part, int((dense["cont"] >= 3).sum()), *c, int(dense["cont"].sum()))
 
     got = collected(stats.where("kind < 3").groupBy("part").applyInArrow(word_stats, grouped), parts + 1)
+    shared.drop_tables(stats)
     start, got = got[parts], [r for r in got[:parts] if r]
     of = [sum(r[f"c{k}"] for r in got) for k in (1, 2, 3, 4)]
     return KneserNey(

@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alpenglow.plans.cut import drop, fresh, scratch, shared_folder, written
+from alpenglow.plans.cut import drop, drop_tables, fresh, scratch, shared_folder, written
 
-__all__ = ["drop", "exists", "free_name", "fresh", "release", "scratch", "shared_folder", "shuffles_end_with_queries", "top", "written"]
+__all__ = ["drop", "drop_tables", "exists", "free_name", "fresh", "release", "scratch", "shared_folder", "shuffles_end_with_queries", "top", "written"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -29,6 +29,18 @@ def test_pairs_of_ids_beyond_32_bits():
     assert all(np.array_equal(a, b) for a, b in zip(kneser_ney.hashed_pair(kneser_ney.pair_hash(*x)), x))
 
 
+def test_sealed_rows_and_short_counts(tmp_path):
+    rng = np.random.default_rng(4)
+    ids, values = np.sort(rng.integers(0, 1 << 32, 300).astype("<u4")), rng.integers(0, 1 << 40, 300)
+    a, b = kneser_ney.opened(kneser_ney.sealed(ids, values), "<u4", "<i8")
+    assert np.array_equal(a, ids) and np.array_equal(b, values)
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    kneser_ney.files.save(f"{tmp_path}/x-count-000000.npy", kneser_ney.short(counts))
+    parts = kneser_ney.SortedParts(str(tmp_path), "x", [7])
+    assert np.array_equal(parts.counts("count", 0), counts)
+    assert parts.take("count", np.array([5, -1, 3, 5, 0])).tolist() == [1 << 40, 0, 255, 1 << 40, 0]
+
+
 def thue_morse(n):
     """Two words of n bytes whose polynomial hashes modulo 2^64 are equal for any odd base, n a power of two from 1,024 on."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
