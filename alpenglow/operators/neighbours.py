@@ -3,12 +3,16 @@
 Rows that differ at one position only agree on the rest, so each row is given once for every
 position with that position masked, and rows with equal masks are joined. Where the product of the
 variables' sizes fits into 63 bits the mask is one long; otherwise it is the masked array.
+
+Rows are exploded before these joins, which Spark's estimates of size leave out: a table of a few MB
+would be broadcast as gigabytes. So the joins are asked to be merges.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -64,7 +68,7 @@ def hamming_pairs(nodes: DataFrame, variables: list[Variable], typed: bool = Fal
     is_step = F.col("p").isin(steps) if steps else F.lit(False)
     left = rows.select("p", "key", F.when(is_step, F.col("a") + 1).otherwise(0).alias("slot"), F.col("node_id").alias("u"), "a", F.col("fitness").alias("fu"))
     right = rows.select("p", "key", F.when(is_step, F.col("a")).otherwise(0).alias("slot"), F.col("node_id").alias("v"), F.col("a").alias("b"), F.col("fitness").alias("fv"))
-    return left.join(right, ["p", "key", "slot"]).where("a < b").select(*PAIRS)
+    return left.join(right.hint("merge"), ["p", "key", "slot"]).where("a < b").select(*PAIRS)
 
 
 def edit_pairs(nodes: DataFrame, variables: list[Variable], n_edit: int) -> DataFrame:
@@ -77,51 +81,71 @@ def edit_pairs(nodes: DataFrame, variables: list[Variable], n_edit: int) -> Data
         raise ParameterError("n_edit must be 1 or more")
     n_edit = min(n_edit, len(variables))
     if math.comb(len(variables), n_edit) > MASKS:
-        return segment_pairs(nodes, len(variables), n_edit)
+        return segment_pairs(nodes, len(variables), n_edit, levels=max(v.levels for v in variables))
     masks = list(combinations(range(len(variables)), n_edit))
     keys = F.array(*[F.struct(F.lit(m).alias("m"), masked_key(variables, c).alias("key")) for m, c in enumerate(masks)])
     rows = nodes.select("node_id", "fitness", F.explode(keys).alias("k")).select("node_id", "fitness", "k.m", "k.key")
     left = rows.select("m", "key", F.col("node_id").alias("u"), F.col("fitness").alias("fu"))
     right = rows.select("m", "key", F.col("node_id").alias("v"), F.col("fitness").alias("fv"))
-    return left.join(right, ["m", "key"]).where("u < v").select("u", "v", "fu", "fv").distinct()
+    return left.join(right.hint("merge"), ["m", "key"]).where("u < v").select("u", "v", "fu", "fv").distinct()
+
+
+def bit_planes(n: int, levels: int, cfg: str = "cfg") -> list[list[Column]]:
+    """Codes below ``levels`` as longs: for each 64 of the n positions, one long for each bit of a code, a bit a position."""
+    bit = lambda w, j: F.aggregate(F.reverse(F.slice(cfg, w + 1, 64)), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.shiftright(x, j).bitwiseAND(F.lit(1)).cast("long")))
+    return [[bit(w, j) for j in range(max(1, (levels - 1).bit_length()))] for w in range(0, n, 64)]
+
+
+def _mask(places: list[int], n: int) -> list[int]:
+    """Bits of these places, for each 64 of n positions one signed long."""
+    words = [sum(1 << (i - w) for i in places if w <= i < w + 64) for w in range(0, n, 64)]
+    return [x - (1 << 64) if x >> 63 else x for x in words]
 
 
-def _parts(codes: Column, n: int, parts: int) -> list[Column]:
-    """An array of n codes cut into ``parts`` slices of even lengths, of which some may be empty."""
-    cuts = [n * i // parts for i in range(parts + 1)]
-    return [F.slice(codes, a + 1, b - a) for a, b in zip(cuts, cuts[1:])]
+def _segments(places: list[int], parts: int) -> list[list[int]]:
+    """Places cut into ``parts`` segments of even lengths, of which some may be empty."""
+    cuts = [len(places) * i // parts for i in range(parts + 1)]
+    return [places[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def segment_pairs(nodes: DataFrame, n: int, n_edit: int, hot: int = HOT) -> DataFrame:
+def segment_pairs(nodes: DataFrame, n: int, n_edit: int, hot: int = HOT, levels: int | None = None) -> DataFrame:
     """The pairs of :func:`edit_pairs` by pigeonhole: of ``n_edit`` + 1 segments of the n positions, one at least is equal.
 
-    Rows with an equal segment are candidates, verified position by position; a pair is given by its
+    Rows with an equal segment are candidates, verified at all positions; a pair is given by its
     first equal segment only, so none comes twice and nothing is made distinct. Rows of a
     segment that more than ``hot`` share are cut once more: the rest of their positions differs at
-    ``n_edit`` places at most too, so of its ``n_edit`` + 1 segments one is equal as well.
+    ``n_edit`` places at most too, so of its ``n_edit`` + 1 segments one is equal as well. Rows travel as
+    bit planes of their codes (all below ``levels``; not given: looked up), which candidates are told apart by.
     """
     parts = n_edit + 1
-    cuts = [n * i // parts for i in range(parts + 1)]
-    rows = nodes.select("node_id", "fitness", "cfg")
-    keyed = rows.select("*", F.posexplode(F.array(*_parts(F.col("cfg"), n, parts))).alias("s", "key"))
-    frequent = written(keyed.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("s", "key"), "hot-segments")
-    of_s = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("s") + 1)
-    out = lambda c: F.concat(F.slice(c, F.lit(1), of_s(cuts[:-1])), F.slice(c, of_s([x + 1 for x in cuts[1:]]), F.lit(n)))
-    sizes = of_s([n - (b - a) for a, b in zip(cuts, cuts[1:])])
-    # segments of the rest: their bounds depend on the segment that was taken out
-    at = lambda i: F.floor(sizes * i / parts).cast("int")
-    second = lambda c: F.array(*[F.slice(c, at(i) + 1, at(i + 1) - at(i)) for i in range(parts)])
-    few = keyed.join(frequent, ["s", "key"], "left_anti").select("node_id", "fitness", "cfg", "s", "key", F.lit(-1).alias("s2"), F.array().cast("array<int>").alias("key2"))
-    many = keyed.join(frequent, ["s", "key"], "left_semi").select("node_id", "fitness", "cfg", "s", "key", F.posexplode(second(out("cfg"))).alias("s2", "key2"))
-    cand = few.union(many)
-    left = cand.select("s", "key", "s2", "key2", F.col("node_id").alias("u"), F.col("fitness").alias("fu"), F.col("cfg").alias("cu"))
-    right = cand.select("s", "key", "s2", "key2", F.col("node_id").alias("v"), F.col("fitness").alias("fv"), F.col("cfg").alias("cv"))
-    met = left.join(right, ["s", "key", "s2", "key2"]).where("u < v")
-    differ = F.aggregate(F.zip_with("cu", "cv", lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
-    first = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
-    own = first(F.array(*_parts(F.col("cu"), n, parts)), F.array(*_parts(F.col("cv"), n, parts))) == F.col("s")
-    again = (F.col("s2") < 0) | (first(second(out("cu")), second(out("cv"))) == F.col("s2"))
-    return met.where((differ <= n_edit) & own & again).select("u", "v", "fu", "fv")
+    if levels is None:
+        levels = (nodes.agg(F.max(F.array_max("cfg"))).first()[0] or 0) + 1
+    made = bit_planes(n, levels)
+    names = [[f"c{w}_{j}" for j in range(len(word))] for w, word in enumerate(made)]
+    codes, keys = [c for word in names for c in word], [f"k{c}" for word in names for c in word]
+    first = _segments(list(range(n)), parts)
+    second = [_segments([i for i in range(n) if i not in set(x)], parts) for x in first]
+    one, two = [_mask(x, n) for x in first], [[_mask(y, n) for y in x] for x in second]
+    long = lambda x: F.lit(x).cast("long")
+    of_s = lambda values: F.element_at(F.array(*[long(x) for x in values]), F.col("s") + 1)
+    under = lambda masks: [F.col(c).bitwiseAND(masks[w]).alias(f"k{c}") for w, word in enumerate(names) for c in word]
+
+    rows = nodes.select("node_id", "fitness", *[x.alias(c) for word, cs in zip(made, names) for x, c in zip(word, cs)])
+    keyed = rows.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), *under([long(x) for x in m])) for s, m in enumerate(one)])).alias("x")).select(*rows.columns, "x.*")
+    frequent = written(keyed.groupBy("s", *keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("s", *keys), "hot-segments")
+    told = keyed.join(frequent.withColumn("many", F.lit(True)), ["s", *keys], "left")
+    whole = F.array(F.struct(F.lit(-1).alias("s2"), *keys))
+    finer = F.array(*[F.struct(F.lit(t).alias("s2"), *under([of_s([one[s][w] | two[s][t][w] for s in range(parts)]) for w in range(len(names))])) for t in range(parts)])
+    cand = told.select("s", *rows.columns, F.explode(F.when(F.col("many"), finer).otherwise(whole)).alias("x")).select("s", *rows.columns, "x.*")
+    left = cand.select("s", "s2", *keys, F.col("node_id").alias("u"), F.col("fitness").alias("fu"), *[F.col(c).alias(f"u{c}") for c in codes])
+    right = cand.select("s", "s2", *keys, F.col("node_id").alias("v"), F.col("fitness").alias("fv"), *[F.col(c).alias(f"v{c}") for c in codes])
+    met = left.join(right.hint("merge"), ["s", "s2", *keys]).where("u < v")  # Spark takes exploded rows for few, and would broadcast them
+    apart = [reduce(Column.bitwiseOR, [F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}")) for c in word]) for word in names]
+    differs = lambda masks: reduce(Column.bitwiseOR, [d.bitwiseAND(m) for d, m in zip(apart, masks)]) != 0
+    own = [(F.col("s") <= t) | differs([long(x) for x in one[t]]) for t in range(parts)]
+    again = [(F.col("s2") <= t) | differs([of_s([two[s][t][w] for s in range(parts)]) for w in range(len(names))]) for t in range(parts)]
+    near = reduce(Column.__add__, [F.bit_count(d) for d in apart]) <= n_edit
+    return met.where(reduce(Column.__and__, [near, *own, *again])).select("u", "v", "fu", "fv")
 
 
 def generated_pairs(nodes: DataFrame, generate: Callable) -> DataFrame:

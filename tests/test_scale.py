@@ -135,6 +135,28 @@ def test_segments_shorter_than_edits(spark):
         assert len(got) == len(set(got)) == 27 * (6 + 12) // 2
 
 
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    """A small file of rows that joins explode is small by Spark's estimates, and was broadcast with all its keys."""
+    spark.range(200).selectExpr("id as node_id", "cast(id as double) as fitness", "transform(sequence(0, 11), i -> cast(shiftright(id, i) & 1 as int)) as cfg").write.parquet(f"{tmp_path}/nodes")
+    nodes, variables = spark.read.parquet(f"{tmp_path}/nodes"), [Variable(f"v{i}", "boolean", 2) for i in range(12)]
+    found = {"hamming": neighbours.hamming_pairs(nodes, variables), "masks": neighbours.edit_pairs(nodes, variables, 1).select("u", "v"), "segments": neighbours.edit_pairs(nodes, variables, 4).select("u", "v")}
+    for name, pairs in found.items():
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and (name == "segments" or "Broadcast" not in plan), name
+    want = sum((i ^ j).bit_count() <= 4 for i, j in itertools.combinations(range(200), 2))
+    assert found["segments"].count() == want
+
+
+def test_segments_of_many_positions_and_levels(spark):
+    """70 positions are two words of bits, 20 levels five planes."""
+    rng = random.Random(5)
+    base = [rng.randrange(20) for _ in range(70)]
+    cfgs = [[rng.randrange(20) if rng.random() < 0.02 else x for x in base] for _ in range(80)]
+    df = spark.createDataFrame([(i, c, 0.0) for i, c in enumerate(cfgs)], "node_id long, cfg array<int>, fitness double")
+    want = [(i, j) for i, j in itertools.combinations(range(80), 2) if sum(a != b for a, b in zip(cfgs[i], cfgs[j])) <= 2]
+    assert want and rows(neighbours.segment_pairs(df, 70, 2, 3).select("u", "v")) == want
+
+
 @pytest.mark.parametrize("sizes", [[2] * 7, [3, 2, 4], [40, 2, 3]])
 def test_transform_equals_a_solve(spark, sizes):
     rng = np.random.default_rng(2)
