@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged
 
 #: Text bytes for one part of the model.
 PART_BYTES = 6 << 20
+#: Files of a column at most: their number is what a block of text that is looked up has to go through.
+FILES = 64
+#: Parts, where there are more than FILES, that statistics are sent to together: every part sends a row to every such group.
+GROUP = 4
 #: Words, and pairs of words, that a task gathers before it sends them on.
 WORDS, PAIRS = 400_000, 800_000
 #: Words of the longest n-grams, where nothing else is asked for.
@@ -181,7 +186,11 @@ WORD = ("<u8", "<u4", "<u4")  # hash, count, length
 
 @dataclass
 class SortedParts:
-    """Arrays of one name in files, sorted over all parts; ``sizes`` has each part's length."""
+    """Arrays of one name in files, sorted over all parts; ``sizes`` has each part's length.
+
+    Parts are what one task makes, and grow in number with the text; a file holds one part, or, beyond FILES
+    of these, some that follow each other, as what is looked up costs a step for each file.
+    """
 
     folder: str
     name: str
@@ -189,27 +198,45 @@ class SortedParts:
 
     def __post_init__(self):
         self.at = offsets(np.array(self.sizes))
+        n = min(FILES, len(self.sizes))
+        self.first = np.arange(n + 1) * len(self.sizes) // n  # each file's first part
+        self.file_at = self.at[self.first]
+        k = -(-len(self.sizes) // (GROUP if len(self.sizes) > FILES else 1))
+        self.group = np.arange(k + 1) * len(self.sizes) // k  # each group's first part
+
+    def path(self, column: str, file: int) -> str:
+        return f"{self.folder}/{self.name}-{column}-{file:06d}.npy"
+
+    def column(self, column: str, file: int) -> np.ndarray:
+        return files.load(self.path(column, file))
 
-    def column(self, column: str, part: int) -> np.ndarray:
-        return files.load(f"{self.folder}/{self.name}-{column}-{part:06d}.npy")
+    def size(self, file: int) -> int:
+        return int(self.file_at[file + 1] - self.file_at[file])
+
+    def place(self, part: int) -> tuple[int, slice]:
+        """A part's file and place there."""
+        file = int(np.searchsorted(self.first, part, "right")) - 1
+        return file, slice(int(self.at[part] - self.file_at[file]), int(self.at[part + 1] - self.file_at[file]))
+
+    def files_of(self, needles: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(file, from, to) of sorted hashes, without empty files."""
+        file = np.searchsorted(self.first, part_of(needles, len(self.sizes)).astype(np.int64), "right") - 1
+        return (x for x in _cuts(file) if self.size(x[0]))
 
     def find(self, needles: np.ndarray) -> np.ndarray:
         """Ranks of sorted hashes, -1 where absent."""
         out = np.full(len(needles), -1, np.int64)
-        for p, a, b in _cuts(part_of(needles, len(self.sizes))):
-            if self.sizes[p]:
-                have = self.column("hash", p)
-                k = np.minimum(np.searchsorted(have, needles[a:b]), len(have) - 1)
-                out[a:b] = np.where(have[k] == needles[a:b], self.at[p] + k, -1)
+        for f, a, b in self.files_of(needles):
+            have = self.column("hash", f)
+            k = np.minimum(np.searchsorted(have, needles[a:b]), len(have) - 1)
+            out[a:b] = np.where(have[k] == needles[a:b], self.file_at[f] + k, -1)
         return out
 
     def find_words(self, needles: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Ranks of words in the order of their hashes, -1 where absent; their bytes are compared, not only the hashes."""
         out = np.full(len(needles), -1, np.int64)
-        for p, a, b in _cuts(part_of(needles, len(self.sizes))):
-            if not self.sizes[p]:
-                continue
-            have, at, kept = (self.column(c, p) for c in ("hash", "at", "chars"))
+        for f, a, b in self.files_of(needles):
+            have, at, kept = (self.column(c, f) for c in ("hash", "at", "chars"))
             todo, k = np.arange(a, b), np.searchsorted(have, needles[a:b])
             while len(todo):  # once but for words of one hash
                 ok = k < len(have)
@@ -218,23 +245,31 @@ class SortedParts:
                 begin = np.asarray(at[k])
                 same = at[k + 1] - begin == length[todo]
                 i = np.flatnonzero(same)
-                same[i] = same_spans(chars, start[todo[i]], kept, begin[i], length[todo[i]])
-                out[todo[same]] = self.at[p] + k[same]
+                size = length[todo[i]]
+                own = offsets(size)[:-1]
+                same[i] = same_spans(chars[ragged(start[todo[i]], size)], own, kept[ragged(begin[i], size)], own, size)
+                out[todo[same]] = self.file_at[f] + k[same]
                 todo, k = todo[~same], k[~same] + 1
         return out
 
     def take(self, column: str, ranks: np.ndarray) -> np.ndarray:
         """Values at any ranks; -1 gives 0."""
-        out = np.zeros(len(ranks), np.int64)
+        return self.take_all(ranks, column)[0]
+
+    def take_all(self, ranks: np.ndarray, *columns: str) -> list[np.ndarray]:
+        """:meth:`take` of some columns, the ranks put in order once."""
+        out = [np.zeros(len(ranks), np.int64) for _ in columns]
         ok = np.flatnonzero(ranks >= 0)
         order = ok[np.argsort(ranks[ok])]
-        for p, a, b in _cuts(np.searchsorted(self.at, ranks[order], "right") - 1):
-            out[order[a:b]] = self.counts(column, p, ranks[order[a:b]] - self.at[p])
+        sorted_ = ranks[order]
+        for f, a, b in _cuts(np.searchsorted(self.file_at, sorted_, "right") - 1):
+            for values, c in zip(out, columns):
+                values[order[a:b]] = self.counts(c, f, sorted_[a:b] - self.file_at[f])
         return out
 
-    def counts(self, column: str, part: int, places: np.ndarray | None = None) -> np.ndarray:
-        """The numbers that :func:`short` made bytes of, all of a part or those at some places."""
-        have, n = self.column(column, part), self.sizes[part]
+    def counts(self, column: str, file: int, places: np.ndarray | None = None) -> np.ndarray:
+        """The numbers that :func:`short` made bytes of, all of a file or those at some places."""
+        have, n = self.column(column, file), self.size(file)
         places = np.arange(n) if places is None else places
         out = have[places].astype(np.int64)
         big = np.flatnonzero(out == 255)
@@ -243,6 +278,33 @@ class SortedParts:
             out[big] = value[np.searchsorted(at, places[big])]
         return out
 
+    def part_path(self, column: str, part: int) -> str:
+        """Where the task that makes a part puts it: its file, or what :meth:`join` makes files of."""
+        return self.path(column, part) if len(self.sizes) <= FILES else self.path(f"{column}-part", part)
+
+    def join(self, file: int, *columns: str) -> None:
+        """A file of its parts, which are removed; a task that runs again leaves what is done."""
+        parts = [p for p in range(self.first[file], self.first[file + 1]) if self.sizes[p]]
+        for c in columns if parts else ():
+            paths = [self.part_path(c, p) for p in parts]
+            if not files.there(self.path(c, file)):
+                files.save_joined(self.path(c, file), *_joined(c, [files.opened(x) for x in paths], [self.sizes[p] for p in parts]))
+            for x in paths:
+                files.remove(x)
+
+
+def _joined(column: str, arrays: list[np.ndarray], sizes: list[int]) -> tuple[np.dtype, int, Iterator[np.ndarray]]:
+    """Type, length and pieces of the array that some parts' arrays make."""
+    if column in ("hash", "before", "own", "chars"):
+        return arrays[0].dtype, sum(map(len, arrays)), iter(arrays)
+    if column == "at":
+        shift = offsets(np.array([x[-1] for x in arrays]))
+        return arrays[0].dtype, sum(sizes) + 1, (x[bool(k) :] + shift[k] for k, x in enumerate(arrays))
+    # bytes of numbers, then the places and values of the large ones
+    large = [np.frombuffer(x[n:].tobytes(), "<i8").reshape(2, -1) + np.array([[at], [0]]) for x, n, at in zip(arrays, sizes, offsets(np.array(sizes)))]
+    tail = np.frombuffer(np.concatenate(large, axis=1).astype("<i8").tobytes(), np.uint8)
+    return arrays[0].dtype, sum(sizes) + len(tail), chain((x[:n] for x, n in zip(arrays, sizes)), [tail])
+
 
 def _cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(part, from, to) of the runs of ascending parts."""
@@ -315,7 +377,7 @@ class KneserNey:
         h, at = t.hash, t.at
         rep, inverse = distinct(t.flat, t.start, t.length, h)
         rank = self.words.find_words(h[rep], t.flat, t.start[rep], t.length[rep])
-        count, cont = (self.words.take(c, rank) for c in ("count", "cont"))
+        count, cont = self.words.take_all(rank, "count", "cont")
         base = np.log10((count + 1) / (self.tokens + (self.n_words + 1)))
         d = self.word_discount
         if self.continued:
@@ -327,7 +389,7 @@ class KneserNey:
         contexts, last = self.words, self.grams[-1]
         for g, (place, before, _, own) in zip(self.grams, followed(t, rank[inverse], self.n_words, [g.parts for g in self.grams])):
             context, to = np.unique(before, return_inverse=True)
-            n1, n2, n3, total = (contexts.take(c, np.where(context < contexts.at[-1], context, -1)) for c in ("n1", "n2", "n3", "count" if g is last else "total"))
+            n1, n2, n3, total = contexts.take_all(np.where(context < contexts.at[-1], context, -1), "n1", "n2", "n3", "count" if g is last else "total")
             if contexts is self.words and context[-1] == self.n_words:
                 n1[-1], n2[-1], n3[-1], total[-1] = self.starts
             e, out_of, seen = g.discount, np.maximum(total, 1), g.parts.take(g.counts, own)
@@ -349,10 +411,10 @@ def short(x: np.ndarray) -> np.ndarray:
 
 def _statistics(part: int, shorter: SortedParts, before: np.ndarray, own: np.ndarray, counts: np.ndarray, total: bool) -> pa.Table:
     """What a part's n-grams say of those one shorter: kind 1 of what follows them (1, 2, 3 or more times; ``total``: in all),
-    kind 2 of how many precede them; kind 3: the part's number, its n-grams, and how many of them count 1, 2, 3 and 4."""
+    kind 2 of how many precede them, both for each group of parts; kind 3: the part's number, its n-grams, and how many of them count 1, 2, 3 and 4."""
     prev = summed(before, counts == 1, counts == 2, counts >= 3, *([counts] if total else []))
     cont = summed(own, np.ones(len(own), np.int64))
-    to = lambda ids: np.minimum(np.searchsorted(shorter.at, ids, "right") - 1, len(shorter.sizes))
+    to = lambda ids: np.searchsorted(shorter.at[shorter.group], ids, "right") - 1
     sent = [_rows(to(x[0]), kind, x[0].astype("<i8"), *(v.astype("<u4") for v in x[1:4]), *(v.astype("<u8") for v in x[4:])) for kind, x in ((1, prev), (2, cont))]
     sent.append(_sent([-1], 3, [np.array([part, len(own), *_of_counts(counts)], np.int64).tobytes()]))
     return pa.Table.from_batches(sent)
@@ -367,7 +429,7 @@ def _numbers(stats: DataFrame, parts: int) -> tuple[list[int], list[int]]:
 
 
 def _dense(table: pa.Table, base: int, n: int, total: bool) -> dict[str, np.ndarray]:
-    """The statistics that were sent to one part, by place in it."""
+    """The statistics that were sent to one group of parts, by place in it."""
     dense = {k: np.zeros(n, np.int64) for k in ("n1", "n2", "n3", "cont", *(["total"] if total else []))}
     follows = [k for k in dense if k != "cont"]
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
@@ -402,7 +464,28 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
         return pa.table({"part": pa.array([part], pa.int32())} | {k: pa.array([int(v)], pa.int64()) for k, v in zip(("n", "c1", "c2", "c3", "c4", "total"), x)})
 
     def save(name: str, column: str, part: int, array: np.ndarray) -> None:
-        files.save(f"{folder}/{name}-{column}-{part:06d}.npy", array)
+        files.save(SortedParts(folder, name, [0] * parts).part_path(column, part), array)
+
+    def save_group(made: SortedParts, group: int, arrays: dict[str, np.ndarray]) -> None:
+        """Numbers of a group's parts, each part's to its own file."""
+        first = made.at[made.group[group]]
+        for part in range(made.group[group], made.group[group + 1]):
+            if made.sizes[part]:
+                for column, x in arrays.items():
+                    save(made.name, column, part, short(x[made.at[part] - first : made.at[part + 1] - first]))
+
+    def joined(made: SortedParts, *columns: str) -> SortedParts:
+        """The same, its columns' parts joined to files."""
+        if parts > FILES:
+
+            def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for file in batch.column(0).to_pylist():
+                        made.join(file, *columns)
+                    yield batch.slice(0, 0)
+
+            spark.range(0, FILES, 1, FILES).mapInArrow(each, "id long").collect()  # no rows
+        return made
 
     def collected(df: DataFrame, n: int) -> list:
         """One short row for each part of the model: their number is the text's size by PART_BYTES."""
@@ -431,7 +514,7 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
 
     packed = rows.mapInArrow(lambda it: _gathered(it, _word_counts, _merged_words, packed_words, WORDS), PACKED)
     got = collected(packed.groupBy("part").applyInArrow(word_part, grouped), parts)
-    words = SortedParts(folder, "words", [r["n"] if r else 0 for r in got])
+    words = joined(SortedParts(folder, "words", [r["n"] if r else 0 for r in got]), "hash", "at", "chars", "count")
     n_words, n_tokens = int(words.at[-1]), sum(r["total"] for r in got if r)
 
     # n-grams of two words and more; of the longest also, packed by the parts of those one shorter, how they follow and continue these
@@ -471,7 +554,7 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
         sent = rows.mapInArrow(lambda it: _gathered(it, entries, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed, PAIRS), PACKED)
         stats = shared.written(sent.groupBy("part").applyInArrow(part_saved, PACKED), f"{name}-statistics")
         sizes, numbers = _numbers(stats, parts)
-        return SortedParts(folder, name, sizes), numbers, stats
+        return joined(SortedParts(folder, name, sizes), "hash", "count", *(() if top or kind == "<u4" else ("before", "own"))), numbers, stats
 
     levels, numbers, stats = [words], [], None
     for length in range(2, order + 1):
@@ -483,46 +566,49 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
 
     # what follows and precedes each n-gram, from the longest down
     def gram_stats(length: int) -> DataFrame:
-        own_parts, shorter, name = levels[length - 1], levels[length - 2], f"grams{length}"
+        own_parts, shorter = levels[length - 1], levels[length - 2]
 
         def run(table: pa.Table) -> pa.Table:
-            part = table.column("part")[0].as_py()
-            if not own_parts.sizes[part]:
+            group = table.column("part")[0].as_py()
+            own = range(own_parts.group[group], own_parts.group[group + 1])
+            base, n = int(own_parts.at[own.start]), int(own_parts.at[own.stop] - own_parts.at[own.start])
+            if not n:
                 return pa.Table.from_batches([_sent([], 0, [])])
-            dense = _dense(table, int(own_parts.at[part]), own_parts.sizes[part], length + 1 < order)
-            raw = own_parts.counts("count", part)
+            dense = _dense(table, base, n, length + 1 < order)
+            at = [own_parts.place(p) for p in own if own_parts.sizes[p]]
+            raw = np.concatenate([own_parts.counts("count", f, np.arange(x.start, x.stop)) for f, x in at])
             dense["adjusted"] = np.where(dense["cont"] > 0, dense["cont"], raw)
-            for k in ("n1", "n2", "n3", "adjusted", *(["total"] if length + 1 < order else [])):
-                save(name, k, part, short(dense[k]))
-            if int(shorter.at[-1]) < (1 << 32) - 1:
-                before, own = hashed_pair(own_parts.column("hash", part))
-            else:
-                before, own = own_parts.column("before", part), own_parts.column("own", part)
-            return _statistics(part, shorter, before, own, dense["adjusted"], True)
-
-        # a part whose n-grams nothing longer follows or continues has statistics of its own n-grams to give all the same
-        each = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(bytearray()).alias("data"))
+            save_group(own_parts, group, {k: dense[k] for k in ("n1", "n2", "n3", "adjusted", *(["total"] if length + 1 < order else []))})
+            whole = lambda column: np.concatenate([own_parts.column(column, f)[x] for f, x in at])
+            before, last = hashed_pair(whole("hash")) if int(shorter.at[-1]) < (1 << 32) - 1 else (whole("before"), whole("own"))
+            return _statistics(own.start, shorter, before, last, dense["adjusted"], True)
+
+        # a group whose n-grams nothing longer follows or continues has statistics of its own n-grams to give all the same
+        each = spark.range(len(own_parts.group) - 1).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(bytearray()).alias("data"))
         return stats.where("kind < 3").unionByName(each).groupBy("part").applyInArrow(run, PACKED)
 
     for length in range(order - 1, 1, -1):
         used, stats = stats, shared.written(gram_stats(length), f"grams{length}-statistics")
         shared.drop_tables(used)
         of_length[length] = _numbers(stats, parts)[1]
+        joined(levels[length - 1], "n1", "n2", "n3", "adjusted", *(["total"] if length + 1 < order else []))
+
+    groups = len(words.group) - 1
 
     def word_stats(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        base, n = (n_words, 1) if part == parts else (int(words.at[part]), words.sizes[part])
+        group = table.column("part")[0].as_py()
+        base, n = (n_words, 1) if group == groups else (int(words.at[words.group[group]]), int(words.at[words.group[group + 1]] - words.at[words.group[group]]))
         dense = _dense(table, base, n, order > 2)
-        if part == parts:
-            return told(part, *(int(dense[k][0]) for k in ("n1", "n2", "n3")), 0, 0, 0)
-        for k, v in dense.items():
-            save("words", k, part, short(v))
+        if group == groups:  # what begins a text
+            return told(group, *(int(dense[k][0]) for k in ("n1", "n2", "n3")), 0, 0, 0)
+        save_group(words, group, dense)
         c = _of_counts(dense["cont"])
-        return told(part, int((dense["cont"] >= 3).sum()), *c, int(dense["cont"].sum()))
+        return told(group, int((dense["cont"] >= 3).sum()), *c, int(dense["cont"].sum()))
 
-    got = collected(stats.where("kind < 3").groupBy("part").applyInArrow(word_stats, grouped), parts + 1)
+    got = collected(stats.where("kind < 3").groupBy("part").applyInArrow(word_stats, grouped), groups + 1)
     shared.drop_tables(stats)
-    start, got = got[parts], [r for r in got[:parts] if r]
+    joined(words, "n1", "n2", "n3", "cont", *(["total"] if order > 2 else []))
+    start, got = got[groups], [r for r in got[:groups] if r]
     of = [sum(r[f"c{k}"] for r in got) for k in (1, 2, 3, 4)]
     return KneserNey(
         words, [Grams(g, "count" if k == order else "adjusted", discounts(of_length[k])) for k, g in enumerate(levels[1:], 2)], n_tokens,

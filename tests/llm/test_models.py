@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -41,6 +42,24 @@ def test_sealed_rows_and_short_counts(tmp_path):
     assert parts.take("count", np.array([5, -1, 3, 5, 0])).tolist() == [1 << 40, 0, 255, 1 << 40, 0]
 
 
+def test_many_parts_end_in_few_files(frame, monkeypatch):
+    """Every block of text goes through all files of a column, so their number must not grow with the text."""
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, 60) % 300)) for i in range(90)] + [(1000 + i, "so so " * 150) for i in range(4)]
+    want = {order: kneser_ney.score_held_out(frame(docs), order).orderBy("doc_id").collect() for order in (3, 4)}
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 150)
+    for order in (3, 4):
+        model = kneser_ney.train(frame(docs), order)
+        for made in (model.words, *(g.parts for g in model.grams)):
+            assert len(made.sizes) > 2 * kneser_ney.FILES
+            names = [n for n in os.listdir(made.folder.removeprefix("file://")) if n.startswith(f"{made.name}-")]
+            for column in {n.removesuffix(".npy").rsplit("-", 1)[0] for n in names}:
+                assert sum(n.startswith(f"{column}-0") for n in names) <= kneser_ney.FILES and "-part" not in column
+        got = kneser_ney.score_held_out(frame(docs), order).orderBy("doc_id").collect()
+        assert [r[:5] for r in got] == [r[:5] for r in want[order]]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in want[order]], rtol=1e-12)
+
+
 def thue_morse(n):
     """Two words of n bytes whose polynomial hashes modulo 2^64 are equal for any odd base, n a power of two from 1,024 on."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
