@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from alpenglow.llm.vector import ragged, same_spans
+from alpenglow.llm.vector import heads, ordered, ragged, same_spans
 
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -139,21 +139,22 @@ def _orderly(table: MergeTable, sym, word, made, rank, hit: np.ndarray) -> np.nd
     return hit[~drop]
 
 
-def unique_words(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def unique_words(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray, exact: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """Indices of distinct words, for every word its place among them, and the number of distinct hashes.
 
     The words come in the order of their hashes; where equal hashes turn out, symbol by symbol, to be
-    of different words, these stand for themselves after all others.
+    of different words, these stand for themselves after all others. Two words of up to ``exact``
+    symbols are known to differ in their hashes if they differ.
     """
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    first = order[new]
+    order, in_order = ordered(hashes)
+    head = heads(in_order)
+    first = order[head]
     inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    inverse[order] = np.repeat(np.arange(len(head)), np.diff(head, append=len(order)))
     rep = first[inverse]
-    bad = (length[rep] != length) | ~same_spans(symbols, start, symbols, start[rep], length)
+    bad = length[rep] != length
+    open_ = np.flatnonzero((length > exact) & ~bad)
+    bad[open_] = ~same_spans(symbols, start[open_], symbols, start[rep[open_]], length[open_])
     n = len(first)
     if bad.any():
         own = np.flatnonzero(bad)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from alpenglow.llm import files, shared
 from alpenglow.llm.bpe import unique_words
-from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, same_spans, segment_sum, texts, unmix, unpack
+from alpenglow.llm.vector import MASK, PrefixHash, eights, heads, mix, offsets, ordered, pack, part_of, ragged, same_spans, segment_sum, texts, unmix, unpack
 
 #: Text bytes for one part of the model.
 PART_BYTES = 6 << 20
@@ -40,8 +40,8 @@ WORDS, PAIRS = 400_000, 800_000
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5851F42D4C957F2D)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of the words that are told apart by their hashes alone, and of those that are hashed without sums over their bytes.
+EXACT, SHORT = 7, 16
 PACKED = "part int, kind int, data binary"
 
 
@@ -56,22 +56,39 @@ class Tokens:
     at: np.ndarray
 
 
+def word_hashes(chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of words: of up to EXACT bytes different ones for different words; long ones by :class:`PrefixHash`."""
+    eight = eights(chars)
+    h = mix((eight[start] & MASK[np.minimum(length, EXACT)]) | (length.astype(np.uint64) << np.uint64(56)))
+    more = np.flatnonzero(length > EXACT)
+    if len(more):
+        a, n = start[more], length[more]
+        h[more] = mix((mix(eight[a]) ^ eight[a + n - 8]) + END * n.astype(np.uint64))
+    long = more[length[more] > SHORT]
+    if len(long):
+        n = length[long]
+        at = offsets(n)
+        h[long] = PrefixHash(chars[ragged(start[long], n)]).span(at[:-1], at[1:])
+    return h
+
+
 def tokens(docs: list[bytes]) -> Tokens:
-    flat = np.frombuffer(b"".join(d.lower() + b"\n" for d in docs), np.uint8)
-    edge = np.flatnonzero(np.diff(np.r_[False, ~_SPACE[flat], False]))
+    flat = np.frombuffer(b"\n".join([b"", *docs, b""]).lower(), np.uint8)
+    white = (flat - np.uint8(0x09) < 5) | (flat == 0x20)
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    doc_at = offsets(np.array([len(d) + 1 for d in docs]))
+    doc_at = 1 + offsets(np.array([len(d) + 1 for d in docs]))
     at = offsets(np.diff(np.searchsorted(start, doc_at)) + 1)
     is_word = np.ones(at[-1], bool)
     is_word[at[1:] - 1] = False
     out = Tokens(flat, np.full(at[-1], END), np.zeros(at[-1], np.int64), np.zeros(at[-1], np.int64), at)
-    out.hash[is_word], out.start[is_word], out.length[is_word] = PrefixHash(flat).span(start, end), start, end - start
+    out.hash[is_word], out.start[is_word], out.length[is_word] = word_hashes(flat, start, end - start), start, end - start
     return out
 
 
 def distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One index for each distinct word, in the order of hash and bytes, and for every word its place among these."""
-    first, inverse, n = unique_words(chars, start, length, hashes)
+    first, inverse, n = unique_words(chars, start, length, hashes, EXACT)
     if len(first) == n:
         return first, inverse
     # some words have one hash: these are told apart, and ordered, by their bytes
@@ -85,11 +102,18 @@ def distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: n
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order and the sums of their values (int64)."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    return [keys[head], *(np.add.reduceat(v[order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64) for v in values)]
+    """Distinct keys (none negative) in order and the sums of their values (int64)."""
+    order, in_order = ordered(keys)
+    head = heads(in_order)
+    ends = np.append(head, len(keys))
+    return [in_order[head].astype(keys.dtype, copy=False), *(np.diff(offsets(v[order])[ends]) for v in values)]
+
+
+def occurrences(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each of them comes."""
+    keys = np.sort(keys)
+    head = heads(keys)
+    return keys[head], np.diff(head, append=len(keys))
 
 
 def summed_pairs(before: np.ndarray, own: np.ndarray, count: np.ndarray | None = None) -> list[np.ndarray]:
@@ -97,11 +121,12 @@ def summed_pairs(before: np.ndarray, own: np.ndarray, count: np.ndarray | None =
     if max(before.max(initial=0), own.max(initial=0)) < 1 << 32:  # one key orders them
         pair = (before.astype(np.uint64) << np.uint64(32)) | own.astype(np.uint64)
         if count is None:
-            pair.sort()
-            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
-            pair, count = pair[head], np.diff(np.r_[head, len(pair)])
-        else:
-            pair, count = summed(pair, count)
+            pair, count = occurrences(pair)
+        else:  # mostly of some sorted runs, which a stable sort merges
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            head = heads(pair)
+            pair, count = pair[head], np.diff(offsets(count[order])[np.append(head, len(order))])
         return [(pair >> np.uint64(32)).view(np.int64), (pair & np.uint64(0xFFFFFFFF)).view(np.int64), count]
     count = np.ones(len(own), np.int64) if count is None else count
     order = np.lexsort((own, before))
@@ -208,7 +233,7 @@ class SortedParts:
         return f"{self.folder}/{self.name}-{column}-{file:06d}.npy"
 
     def column(self, column: str, file: int) -> np.ndarray:
-        return files.load(self.path(column, file))
+        return np.asarray(files.load(self.path(column, file)))  # not a memmap: whose slices take longer
 
     def size(self, file: int) -> int:
         return int(self.file_at[file + 1] - self.file_at[file])
@@ -242,9 +267,9 @@ class SortedParts:
                 ok = k < len(have)
                 ok[ok] = have[k[ok]] == needles[todo[ok]]
                 todo, k = todo[ok], k[ok]
-                begin = np.asarray(at[k])
+                begin = at[k]
                 same = at[k + 1] - begin == length[todo]
-                i = np.flatnonzero(same)
+                i = np.flatnonzero(same & (length[todo] > EXACT))
                 size = length[todo[i]]
                 own = offsets(size)[:-1]
                 same[i] = same_spans(chars[ragged(start[todo[i]], size)], own, kept[ragged(begin[i], size)], own, size)
@@ -257,11 +282,13 @@ class SortedParts:
         return self.take_all(ranks, column)[0]
 
     def take_all(self, ranks: np.ndarray, *columns: str) -> list[np.ndarray]:
-        """:meth:`take` of some columns, the ranks put in order once."""
+        """:meth:`take` of some columns, the ranks put in order once, if they are not."""
         out = [np.zeros(len(ranks), np.int64) for _ in columns]
-        ok = np.flatnonzero(ranks >= 0)
-        order = ok[np.argsort(ranks[ok])]
+        order = np.flatnonzero(ranks >= 0)
         sorted_ = ranks[order]
+        if (sorted_[1:] < sorted_[:-1]).any():
+            order = order[np.argsort(sorted_)]
+            sorted_ = ranks[order]
         for f, a, b in _cuts(np.searchsorted(self.file_at, sorted_, "right") - 1):
             for values, c in zip(out, columns):
                 values[order[a:b]] = self.counts(c, f, sorted_[a:b] - self.file_at[f])
@@ -333,26 +360,47 @@ class Grams:
     discount: np.ndarray
 
 
-def followed(t: Tokens, words: np.ndarray, n_words: int, known: list[SortedParts]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the lengths 2, 3, ..., one beyond those of ``known``: the places of the tokens at which n-grams end, the ids of
-    these without their last and without their first word, and their own (-1: not in training; of the last length all).
+@dataclass
+class Following:
+    """The n-grams of one length that end at the tokens of ``place``.
+
+    Ids are told once for all tokens that have them: ``shorter`` has those of the n-grams one shorter, of which each one here is the
+    ``before``-th, without its last word, and the ``own``-th, without its first; ``ids`` its own, as the ``index``-th. -1: not in training.
+    """
+
+    place: np.ndarray
+    shorter: np.ndarray
+    before: np.ndarray
+    own: np.ndarray
+    ids: np.ndarray
+    index: np.ndarray
+
+
+def followed(t: Tokens, ids: np.ndarray, index: np.ndarray, n_words: int, known: list[SortedParts]) -> Iterator[Following]:
+    """The n-grams of the lengths 2, 3, ..., one beyond those of ``known`` and of that length without ids, of words whose
+    ids are ``ids[index]``. The ids of a length ascend, -1 aside.
 
-    The word before a text's first is its start, ``n_words``.
+    The word before a text's first is its start, ``n_words``, the last of the shorter ids of length 2.
     """
-    in_text = np.arange(len(words)) - np.repeat(t.at[:-1], np.diff(t.at))
-    ids = words
+    in_text = np.arange(len(index)) - np.repeat(t.at[:-1], np.diff(t.at))
+    first, ids = t.at[:-1], np.append(ids, n_words)
     for k in range(len(known) + 1):
         place = np.flatnonzero(in_text >= k)
-        before, own = np.where(in_text[place] > 0, ids[place - 1], n_words), ids[place]
-        rank = np.full(len(place), -1, np.int64)
+        before, own = index[place - 1], index[place]
+        if not k:
+            before[first] = len(ids) - 1
+        found, to = np.full(1, -1, np.int64), np.zeros(len(place), np.int64)
         if k < len(known):
-            both = np.flatnonzero((before >= 0) & (own >= 0))
-            key = pair_hash(before[both], own[both])
-            to = np.argsort(key)
-            rank[both[to]] = known[k].find(key[to])
-        yield place, before, own, rank
-        ids = np.full(len(words), -1, np.int64)
-        ids[place] = rank
+            b, o = ids[before], ids[own]
+            both = np.flatnonzero((b >= 0) & (o >= 0))
+            order, key = ordered(pair_hash(b[both], o[both]))
+            head = heads(key)
+            found = np.append(known[k].find(key[head]), -1)
+            to[:] = len(head)
+            to[both[order]] = np.repeat(np.arange(len(head)), np.diff(head, append=len(key)))
+        yield Following(place, ids, before, own, found, to)
+        ids, index = found, np.full(len(index), len(found) - 1)
+        index[place] = to
 
 
 @dataclass
@@ -377,7 +425,9 @@ class KneserNey:
         h, at = t.hash, t.at
         rep, inverse = distinct(t.flat, t.start, t.length, h)
         rank = self.words.find_words(h[rep], t.flat, t.start[rep], t.length[rep])
-        count, cont = self.words.take_all(rank, "count", "cont")
+        follow = [["n1", "n2", "n3", "count" if g is self.grams[-1] else "total"] for g in self.grams]
+        count, cont, *context = self.words.take_all(rank, "count", "cont", *follow[0])
+        context = [np.append(x, start) for x, start in zip(context, self.starts)]
         base = np.log10((count + 1) / (self.tokens + (self.n_words + 1)))
         d = self.word_discount
         if self.continued:
@@ -386,16 +436,13 @@ class KneserNey:
         else:
             lower = np.full(len(rep), 1.0 / (self.n_words + 1))
         p = lower[inverse]
-        contexts, last = self.words, self.grams[-1]
-        for g, (place, before, _, own) in zip(self.grams, followed(t, rank[inverse], self.n_words, [g.parts for g in self.grams])):
-            context, to = np.unique(before, return_inverse=True)
-            n1, n2, n3, total = contexts.take_all(np.where(context < contexts.at[-1], context, -1), "n1", "n2", "n3", "count" if g is last else "total")
-            if contexts is self.words and context[-1] == self.n_words:
-                n1[-1], n2[-1], n3[-1], total[-1] = self.starts
-            e, out_of, seen = g.discount, np.maximum(total, 1), g.parts.take(g.counts, own)
+        for g, x, columns in zip(self.grams, followed(t, rank, inverse, self.n_words, [g.parts for g in self.grams]), [*follow[1:], []]):
+            n1, n2, n3, total = context
+            seen, *context = g.parts.take_all(x.ids, g.counts, *columns)
+            e, out_of = g.discount, np.maximum(total, 1)
             gamma = np.where(n1 + n2 + n3 > 0, (e[1] * n1 + e[2] * n2 + e[3] * n3) / out_of, 1.0)
-            p[place] = np.where(seen > 0, np.maximum(seen - _discount(e, seen), 0) / out_of[to], 0.0) + gamma[to] * p[place]
-            contexts = g.parts
+            kept = np.maximum(seen - _discount(e, seen), 0)  # of none seen nothing
+            p[x.place] = kept[x.index] / out_of[x.before] + gamma[x.before] * p[x.place]
         return {"n_tokens": np.diff(at), "n_known": segment_sum((count[inverse] > 0).astype(np.int64), at), "base_score": segment_sum(base[inverse], at), "score": segment_sum(np.log10(p), at)}
 
 
@@ -413,7 +460,7 @@ def _statistics(part: int, shorter: SortedParts, before: np.ndarray, own: np.nda
     """What a part's n-grams say of those one shorter: kind 1 of what follows them (1, 2, 3 or more times; ``total``: in all),
     kind 2 of how many precede them, both for each group of parts; kind 3: the part's number, its n-grams, and how many of them count 1, 2, 3 and 4."""
     prev = summed(before, counts == 1, counts == 2, counts >= 3, *([counts] if total else []))
-    cont = summed(own, np.ones(len(own), np.int64))
+    cont = occurrences(own)
     to = lambda ids: np.searchsorted(shorter.at[shorter.group], ids, "right") - 1
     sent = [_rows(to(x[0]), kind, x[0].astype("<i8"), *(v.astype("<u4") for v in x[1:4]), *(v.astype("<u8") for v in x[4:])) for kind, x in ((1, prev), (2, cont))]
     sent.append(_sent([-1], 3, [np.array([part, len(own), *_of_counts(counts)], np.int64).tobytes()]))
@@ -435,9 +482,10 @@ def _dense(table: pa.Table, base: int, n: int, total: bool) -> dict[str, np.ndar
     for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
         if kind:
             names = follows if kind == 1 else ["cont"]
-            ids, *values = opened(data, "<i8", *("<u8" if k == "total" else "<u4" for k in names))
+            ids, *values = opened(data, "<i8", *("<i8" if k == "total" else "<u4" for k in names))
+            ids -= base
             for name, v in zip(names, values):
-                dense[name][ids - base] += v.astype(np.int64)
+                dense[name][ids] += v
     return dense
 
 
@@ -527,28 +575,32 @@ def _train(docs: DataFrame, order: int) -> KneserNey:
         def entries(raw: list[bytes]) -> list[np.ndarray]:
             t = tokens(raw)
             rep, inverse = distinct(t.flat, t.start, t.length, t.hash)
-            ids = words.find_words(t.hash[rep], t.flat, t.start[rep], t.length[rep])[inverse]
-            *_, (_, before, own, _) = followed(t, ids, n_words, between)
-            return summed_pairs(before, own)
+            *_, x = followed(t, words.find_words(t.hash[rep], t.flat, t.start[rep], t.length[rep]), inverse, n_words, between)
+            return summed_pairs(x.shorter[x.before], x.shorter[x.own])
 
         def packed(grams: list[np.ndarray]) -> pa.RecordBatch:
             before, own, count = grams
             part = part_of(pair_hash(before, own), parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
             to = np.argsort(part, kind="stable")
-            return _rows(part[to], 0, *(x[to].astype(k) for x, k in zip((before, own, count), kinds)))
+            return _rows(part[to], 0, *(x.astype(k)[to] for x, k in zip((before, own, count), kinds)))
 
         def part_saved(table: pa.Table) -> pa.Table:
             part = table.column("part")[0].as_py()
-            before, own, counts = summed_pairs(*(np.concatenate(x) for x in zip(*(opened(d.as_py(), *kinds) for d in table.column("data")))))
-            keys = pair_hash(before, own)
-            to = np.argsort(keys)
-            save(name, "hash", part, keys[to])
-            save(name, "count", part, short(counts[to]))
+            before, own, counts = (np.concatenate(x) for x in zip(*(opened(d.as_py(), *kinds) for d in table.column("data"))))
+            if kind == "<u4":  # the hashes tell the pairs
+                keys, counts = summed(pair_hash(before, own), counts)
+                before, own = hashed_pair(keys) if top else (None, None)
+            else:
+                before, own, counts = summed_pairs(before, own, counts)
+                to, keys = ordered(pair_hash(before, own))
+                before, own, counts = before[to], own[to], counts[to]
+            save(name, "hash", part, keys)
+            save(name, "count", part, short(counts))
             if top:
                 return _statistics(part, shorter, before, own, counts, False)
-            if kind == "<u8":  # otherwise the hashes tell them
-                save(name, "before", part, before[to])
-                save(name, "own", part, own[to])
+            if kind == "<u8":
+                save(name, "before", part, before)
+                save(name, "own", part, own)
             return pa.Table.from_batches([_sent([-1], 3, [np.array([part, len(keys), 0, 0, 0, 0], np.int64).tobytes()])])
 
         sent = rows.mapInArrow(lambda it: _gathered(it, entries, lambda held: summed_pairs(*(np.concatenate(x) for x in zip(*held))), packed, PAIRS), PACKED)

@@ -96,9 +96,38 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total, dtype=shift.dtype if total else np.int64)
 
 
+def heads(ordered_: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    new = np.ones(len(ordered_), bool)
+    new[1:] = ordered_[1:] != ordered_[:-1]
+    return np.flatnonzero(new)
+
+
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys (none negative) in their order, equal ones as they come, and the keys in this order.
+
+    One sort of keys with their places in the low bits, some three times as quick as ``argsort``. Where the
+    keys leave too few bits for that, only their high ones are sorted at first, and what these leave open after.
+    """
+    keys = keys.astype(np.uint64, copy=False)
+    if not len(keys):
+        return np.zeros(0, np.int64), keys
+    least = keys.min()
+    free = 64 - int(keys.max() - least).bit_length()
+    low = np.uint64((1 << (len(keys) - 1).bit_length()) - 1)
+    both = (((keys - least) << np.uint64(min(free, 63))) & ~low) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & low).view(np.int64)
+    out = keys[order]
+    if (out[1:] < out[:-1]).any():
+        again = np.argsort(out, kind="stable")  # quick on what is nearly in order
+        order, out = order[again], out[again]
+    return order, out
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as byte planes, of which the even ones compress well."""
-    return len(arrays[0]).to_bytes(8, "little") + b"".join(a[:, None].view(np.uint8).T.tobytes() for a in map(np.ascontiguousarray, arrays))
+    return len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a[:, None].view(np.uint8).T).tobytes() for a in map(np.ascontiguousarray, arrays))
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -106,30 +135,34 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     n, at, out = int.from_bytes(data[:8], "little"), 8, []
     for kind in map(np.dtype, kinds):
         planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(planes.T.copy().view(kind).ravel())
+        values = np.empty(n, kind)
+        each = values.view(np.uint8)
+        for k, plane in enumerate(planes):
+            each[k :: kind.itemsize] = plane
+        out.append(values)
         at += n * kind.itemsize
     return out
 
 
-def _eights(x: np.ndarray) -> np.ndarray:
+def eights(x: np.ndarray) -> np.ndarray:
     """The eight bytes from each byte of ``x`` on, as one number; zeros follow the last."""
     raw = np.concatenate((np.ascontiguousarray(x).view(np.uint8), np.zeros(8, np.uint8)))
     return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
 
 
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def same_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which of the spans ``x[a:a+length]`` equal ``y[b:b+length]``, eight bytes at a time; x and y are of one type."""
     size = x.itemsize
-    ex = _eights(x)
-    ey = ex if y is x else _eights(y)
+    ex = eights(x)
+    ey = ex if y is x else eights(y)
     same = np.ones(len(a), bool)
     todo = np.flatnonzero(length > 0)
     i, j, left = a[todo] * size, b[todo] * size, length[todo] * size
     for _ in range(64):
-        mask = _MASK[np.minimum(left, 8)]
+        mask = MASK[np.minimum(left, 8)]
         ok = (ex[i] & mask) == (ey[j] & mask)
         same[todo[~ok]] = False
         go = ok & (left > 8)

@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from alpenglow.llm import kneser_ney, secret_scan, toxicity
-from alpenglow.llm.vector import pack, unpack
+from alpenglow.llm.vector import ordered, pack, unpack
 from tests.llm import plain
 
 
@@ -18,6 +19,36 @@ def test_packing_of_counts():
     assert np.array_equal(a, keys) and np.array_equal(b, counts)
 
 
+def test_order_of_keys():
+    rng = np.random.default_rng(3)
+    spread = rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
+    crowded = np.r_[spread[:2], spread[0] ^ np.arange(300, dtype=np.uint64), spread[1], spread[0]]  # alike but for low bits
+    for keys in (spread, np.repeat(spread[:100], 20), crowded, rng.integers(0, 50, 500), np.full(9, (1 << 63) - 1), np.array([0, (1 << 64) - 1, 0], np.uint64), spread[:1], spread[:0]):
+        order, in_order = ordered(keys)
+        assert np.array_equal(order, np.argsort(keys, kind="stable")) and np.array_equal(in_order, keys[order].astype(np.uint64))
+
+
+def test_words_by_their_hashes():
+    words = sorted({w for k in (1, 2, 6, 7, 8, 9, 15, 16, 17, 40) for c in ("a", "b", "\0", "\xe9") for w in ("x" * (k - 1) + c, c * k, c + "\0" * (k - 1))} | {"x\0y", "\0y"})
+    docs = [" ".join(words).encode(), b"", b" \t\r\n", " \x0b\x0c".join(reversed(words)).upper().encode()]
+    t = kneser_ney.tokens(docs)
+    assert np.diff(t.at).tolist() == [len(words) + 1, 1, 1, len(words) + 1]
+    got = [t.flat[a : a + n].tobytes() for a, n in zip(t.start, t.length)]
+    assert got == [w for d in docs for w in (*re.findall(rb"[^\x20\x09-\x0D]+", d.lower()), b"")]
+    rep, inverse = kneser_ney.distinct(t.flat, t.start, t.length, t.hash)
+    assert [got[k] for k in rep[inverse]] == got and len(rep) == len(np.unique(t.hash)) == len(set(got))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_n_grams_of_a_block_are_looked_up_once(frame, monkeypatch, order):
+    docs = [(i, f"{'a b c d ' * 20} w{i % 3} e{i}") for i in range(60)]
+    model = kneser_ney.train(frame(docs), order)
+    asked, find = [], kneser_ney.SortedParts.find
+    monkeypatch.setattr(kneser_ney.SortedParts, "find", lambda parts, needles: asked.append(needles) or find(parts, needles))
+    model.score([f"{text} unseen".encode() for _, text in docs])
+    assert len(asked) == order - 1 and all((x[1:] > x[:-1]).all() for x in asked)
+
+
 def test_pairs_of_ids_beyond_32_bits():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 4, 400) + (1 << 33), rng.integers(0, 4, 400) + (1 << 40)
