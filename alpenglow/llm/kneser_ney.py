@@ -30,6 +30,8 @@ from alpenglow.llm.vector import MASK, PrefixHash, eights, heads, mix, offsets,
 
 #: Text bytes for one part of the model.
 PART_BYTES = 6 << 20
+#: Bytes of a block of text: a block's n-grams are looked up once each, so larger ones than elsewhere save time.
+TEXT = 2 << 20
 #: Files of a column at most: their number is what a block of text that is looked up has to go through.
 FILES = 64
 #: Parts, where there are more than FILES, that statistics are sent to together: every part sends a row to every such group.
@@ -177,7 +179,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], entries, merged, packed, most:
     """``entries(texts)`` of every block, merged whenever there are ``most``, and ``packed`` where that doesn't halve them."""
     held: list = []
     n = 0
-    for _, raw in texts(batches):
+    for _, raw in texts(batches, size=TEXT):
         held.append(entries(raw))
         n += len(held[-1][0])
         if n > most:
@@ -673,7 +675,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in texts(batches):
+        for batch, raw in texts(batches, size=TEXT):
             s = model.score(raw)
             n = pa.array(np.full(len(raw), model.tokens, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s["n_tokens"]), pa.array(s["n_known"]), n, pa.array(s["base_score"]), pa.array(s["score"])], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from alpenglow.llm import files, shared, shares, simhash, tallies
 from alpenglow.llm.simhash import labels_of
-from alpenglow.llm.vector import offsets, ragged, texts
+from alpenglow.llm.vector import offsets, ragged, texts, trim
 from alpenglow.operators.components import components
 
 WIDTH = 5
@@ -334,6 +334,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             data = [[v[a:b].tobytes() for a, b in spans] for v in (v[order] for v in (token, *given))]
             yield pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]], pa.int64()), *(pa.array(v, pa.binary()) for v in data)], names=["bucket", "token", "node", "size", "root"])
         files.forget()
+        trim()
 
     def of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the first shingles those with shares."""
@@ -343,6 +344,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 some = count > large
                 yield pa.RecordBatch.from_arrays([pa.array(v[some].view(np.int64)) for v in (token, *given)], names=["token", "node", "size", "root"])
         files.forget()
+        trim()
 
     def compare(token: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, asked: np.ndarray | None = None) -> pa.Table:
         sizes: dict[int, int] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from alpenglow.functions.numbering import numbered
 from alpenglow.llm import shared
-from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, texts, unpack
+from alpenglow.llm.vector import PrefixHash, mix, offsets, pack, part_of, ragged, texts, trim, unpack
 
 LENGTH, ANCHOR = 100, 32
 #: Blocks of an anchor in a group.
@@ -372,6 +372,8 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
                 held = []
         if held:
             yield told()
+        del held, met
+        trim()
 
     found = each.select("doc", "text").mapInArrow(anchors, "bucket int, settled boolean, data binary")
     marks = shared.written(found.repartitionById(partitions, F.col("bucket")).mapInArrow(gather, MARKS), "marks")
@@ -427,6 +429,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tu
                 at = np.arange(len(each)) * length
                 w = PrefixHash(np.frombuffer(b"".join(each), np.uint8)).span(at, at + length)
                 yield _batch("key doc start n data", w.view(np.int64), doc[block], start[block] + j, np.ones(len(block), np.int64), each)
+        trim()
 
     def sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The same for single windows in the order of (key, doc, start); a group longer than a batch leaves its first windows for the next."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 #: Bytes of text worked on at once; the arrays of a block take some 40 times as much.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,6 +83,16 @@ class PrefixHash:
         return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, powers included, which are soon made again.
+
+    The C library keeps what arrays leave between others; a worker outlives its task, and would hold that beside the next one's.
+    """
+    PrefixHash._powers.clear()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        give(0)
+
+
 def offsets(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
@@ -189,7 +200,8 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into slices of about ``size`` bytes of text, with the text as UTF-8 (null: empty)."""
+    """Cut Arrow batches into slices of about ``size`` bytes of text, with the text as UTF-8 (null: empty). Memory is trimmed at every batch."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -199,3 +211,5 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = B
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a), [x or b"" for x in col.slice(a, b - a).to_pylist()]
+        del batch, col, lengths, block
+        trim()
